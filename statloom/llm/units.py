@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -39,7 +41,7 @@ class UnitCache:
             self.clear()
         keys = distinct.tolist()
         get = self.slots.get
-        slot = np.fromiter((get(x, -1) for x in keys), np.int64, len(keys))
+        slot = np.array([get(x, -1) for x in keys], np.int64)
         if len(new := np.flatnonzero(slot < 0)):
             at = where[new]
             raw = data.tobytes()
@@ -49,7 +51,7 @@ class UnitCache:
             self._room("flat", self.used + total)
             self._room("first", n + len(new))
             self._room("size", n + len(new))
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
+            self.flat[self.used : self.used + total] = list(chain.from_iterable(coded))
             self.size[n : n + len(new)] = sizes
             self.first[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.used += total
@@ -94,6 +96,23 @@ def word_bpe_units(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarr
     return lower, start, end
 
 
+#: Units that the normaliser leaves as they are and that are one pre-token: small letters, or signs without an apostrophe.
+_PLAIN = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level vocabularies write for each byte that isn't a visible Latin-1 sign itself: the next free one from U+0100."""
+    unseen = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    return {b: 0x100 + i for i, b in enumerate(unseen)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
+def _signs(unit: str) -> str:
+    return unit if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTE_SIGNS)
+
+
 @lru_cache(maxsize=4)
 def word_bpe(path: str) -> UnitCache:
     import os
@@ -102,7 +121,16 @@ def word_bpe(path: str) -> UnitCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return UnitCache(lambda units: [x.ids for x in tokenizer.encode_batch(units, add_special_tokens=False)])
+    merge, plain = tokenizer.model.tokenize, _PLAIN.fullmatch
+
+    def encode(units: list[str]) -> list[list[int]]:
+        coded = [[x.id for x in merge(_signs(unit))] if plain(unit) else None for unit in units]
+        if rest := [i for i, ids in enumerate(coded) if ids is None]:
+            for i, x in zip(rest, tokenizer.encode_batch([units[i] for i in rest], add_special_tokens=False), strict=True):
+                coded[i] = x.ids
+        return coded
+
+    return UnitCache(encode)
 
 
 @lru_cache(maxsize=4)
