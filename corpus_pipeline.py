@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import decontamination, packing, rules
+from statloom.llm import decontamination, neardup, packing, rules, substrings
 from statloom.llm.inputs import table, written
 from statloom.session import importable
 
@@ -13,6 +13,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.filter_quality(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -21,7 +29,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("decontamination", decontaminate), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontaminate), ("packing", pack)]
 
 #: Packing needs the ids of a public tokeniser, which SQL can't give.
 ORACLE_SQL = None
