@@ -32,7 +32,7 @@ SHINGLE = 5
 BANDS, ROWS, BITS = 51, 5, 2
 PER_LONG = 64 // BITS
 #: Members in a block of a bucket that is compared all against all.
-BLOCK = 128
+BLOCK = 256
 #: An estimate from 255 minima of 2 bits has a standard deviation of 0.04; five of them below the threshold is still checked.
 MARGIN = 0.2
 
@@ -131,30 +131,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return per_batch(joined, compare, "a long, b long, linked boolean")
 
 
-def _blocks(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in each bucket whose signatures come near the threshold."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    placed = placed.select("id", "component", "bits", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+def _sorted_sets(packed: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each compressed text."""
+    found: list[np.ndarray] = []
+    for _, texts in opened(packed):
+        for _, _, data, offsets in chunks(texts):
+            value, doc = shingles(data, offsets, k)
+            found += map(np.sort, np.split(value, np.searchsorted(doc, np.arange(1, len(offsets) - 1))))
+    return found
+
+
+def _block_links(members: DataFrame, bits: DataFrame, texts: DataFrame, least: float, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket: (bucket, id, component) rows.
+
+    A bucket's largest component is joined already: its members meet only the outsiders, and outsiders meet each other. Both
+    sides are cut into blocks, so the rows grow with the bucket while it has few outsiders. A task compares the signatures
+    of two blocks, confirms on the full sets what comes near, and returns one link for each member and component.
+    """
+    per_component = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = per_component.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("bucket", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer"))
+    placed = members.join(written(sizes, "sizes"), "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    own, outside = F.col("own"), F.col("outside")
+    inside_places = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct(F.lit(0).alias("kind"), own.alias("x"), j.alias("y")))
+    outside_places = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), own.alias("y"))),
+        F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least(own, j).alias("x"), F.greatest(own, j).alias("y"))),
+    )
+    dealt = placed.select("id", "component", "bucket", "own", "outside", F.explode(F.when(outside, outside_places).otherwise(inside_places)).alias("p"))
+    dealt = written(dealt.select("id", "component", "bucket", "own", "outside", "p.kind", "p.x", "p.y"), "dealt")
+    full = dealt.join(bits, "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        own = table.column("own").to_numpy()
+        own, outside = table.column("own").to_numpy(), table.column("outside").to_numpy()
         ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
         bits = table.column("bits").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), -1)
-        one, two = int(table.column("x")[0].as_py()), int(table.column("y")[0].as_py())
-        rows, columns = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        kind, one, two = (int(table.column(c)[0].as_py()) for c in ("kind", "x", "y"))
+        if kind:
+            rows, columns = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        else:
+            rows, columns = np.flatnonzero(outside), np.flatnonzero(~outside)
         fields, chance = U64(int("01" * PER_LONG, 2)), 2.0**-BITS
-        a, b = [], []
+        partners: dict[int, np.ndarray] = {}
         for i in rows.tolist():
             x = bits[columns] ^ bits[i]
             different = np.bitwise_count((x | x >> U64(1)) & fields).sum(1)
             near = ((1 - different / (BANDS * ROWS)) - chance) / (1 - chance) >= least
-            partner = columns[near & (component[columns] != component[i]) & ((one != two) | (ids[columns] > ids[i]))]
-            a.append(np.maximum(ids[partner], ids[i])), b.append(np.minimum(ids[partner], ids[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-    return placed.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+            partner = columns[near & (component[columns] != component[i])]
+            if kind and one == two:
+                partner = partner[ids[partner] > ids[i]]
+            if len(partner):
+                partners[i] = partner
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if partners:
+            used = np.unique(np.concatenate([list(partners), *partners.values()]).astype(np.int64))
+            sets = dict(zip(used.tolist(), _sorted_sets(table.column("text").combine_chunks().take(pa.array(used)), k), strict=True))
+            for i, partner in partners.items():
+                partner = partner[[len(sets[j]) > 0 for j in partner.tolist()]]
+                mine, others = sets[i], [sets[j] for j in partner.tolist()]
+                if not len(mine) or not others:
+                    continue
+                size = np.array([len(x) for x in others])
+                together = np.concatenate(others)
+                place = np.minimum(np.searchsorted(mine, together), len(mine) - 1)
+                both = np.add.reduceat(mine[place] == together, np.cumsum(size) - size)
+                linked = partner[100 * both >= percent * (len(mine) + size - both)]
+                linked = linked[np.unique(component[linked], return_index=True)[1]]
+                a.append(np.maximum(ids[linked], ids[i])), b.append(np.minimum(ids[linked], ids[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    # dealt by block, not by bucket: a large bucket's blocks go to many tasks
+    return full.repartition("bucket", "kind", "x", "y").groupBy("bucket", "kind", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
@@ -167,7 +216,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> Dat
     node_rows = named.select(F.col("doc_id").alias("id"), "s1", "s2", "bands", "bits").join(nodes, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
     banded = node_rows.select("id", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("bucket", "hub")
-    members = written(banded.join(hubs, "bucket"), "members")
+    # written first: AQE splits the hot keys of a join only between plain exchanges
+    members = written(banded.join(written(hubs, "hubs"), "bucket"), "members")
 
     # texts and signatures of documents that share a bucket
     sharing = members.select(F.col("id").alias("doc_id")).distinct()
@@ -191,9 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> Dat
     found = components(checked.where("linked"))
     for_members = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
     mixed = for_members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = written(for_members.join(mixed, "bucket", "left_semi").join(bits, "id"), "mixed")
-    more = _confirmed(_blocks(rest, least).join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, k, percent)
-    late = written(more.where("linked").select("a", "b"), "confirmed")
+    rest = written(for_members.join(written(mixed, "mixed"), "bucket", "left_semi"), "mixed")
+    late = written(_block_links(rest, bits, texts, least, k, percent), "confirmed")
     if not late.isEmpty():
         found = components(checked.where("linked").select("a", "b").unionByName(late))
 
