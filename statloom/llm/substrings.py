@@ -108,11 +108,12 @@ def confirmed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         raise ValueError("a span may have 63 windows at most")
     rows = find_spans(docs, window, gram)
     anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
-    recurring = written(rows.join(anchors, "anchor").select("span", "key", "place", (F.col("low") == F.col("high")).alias("same")), "recurring")
+    # aggregates are written before they are joined: AQE splits the hot keys of a join only between plain exchanges
+    recurring = written(rows.join(written(anchors, "anchors"), "anchor").select("span", "key", "place", (F.col("low") == F.col("high")).alias("same")), "recurring")
 
     mixed = recurring.where("not same")
     per_span = mixed.groupBy("span").agg(F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("first"))
-    judged = written(mixed.join(per_span, "span").select("key", "place", (F.col("copies") > 1).alias("whole"), (F.struct("key", "place") == F.col("first")).alias("leads")), "judged")
+    judged = written(mixed.join(written(per_span, "spans"), "span").select("key", "place", (F.col("copies") > 1).alias("whole"), (F.struct("key", "place") == F.col("first")).alias("leads")), "judged")
     # a span seen once needs its windows counted; of the others one speaks for all, with weight two
     asked = judged.where("not whole or leads").groupBy("key").agg(F.collect_list(F.struct("place", "whole")).alias("asked"))
     texts = compressed(docs.select("key", "text"), "text", "packed")
@@ -138,7 +139,7 @@ def confirmed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
     counted = written(per_batch(texts.join(asked, "key").select("key", "packed", "asked"), windows_of, "value long, key long, start long, weight int"), "windows")
     twice = counted.groupBy("value").agg(F.sum("weight").alias("weight")).where("weight > 1").select("value")
-    single = counted.where("weight = 1").join(twice, "value").select("key", "start", F.lit(1).cast("long").alias("n"))
+    single = counted.where("weight = 1").join(written(twice, "twice"), "value").select("key", "start", F.lit(1).cast("long").alias("n"))
     placed = lambda df: df.select("key", F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(63).alias("n"))
     found = placed(recurring.where("same")).unionByName(placed(judged.where("whole"))).unionByName(single)
     return written(found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
