@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Fixed odd multipliers of the polynomial hashes (64 bit).
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -41,7 +41,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 21)
+            size = max(2 * len(self.up), n, 1 << 18)
             for name, base in (("up", self.base), ("down", self.inverse)):
                 row = np.full(size, base, U64)
                 row[0] = 1

@@ -23,7 +23,7 @@ from .textkernel import chunks, long_column, split_words
 from .units import UnitCache, tokenizer_file
 
 #: Nodes that a worker keeps before it starts a new trie; words beyond LONGEST are counted without one.
-MOST_NODES = 1_000_000
+MOST_NODES = 500_000
 LONGEST = 200
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from .textkernel import LOWER, SPACE, Words, byte_hashes, ragged
 
 #: Distinct units that a worker remembers; beyond it starts afresh, so memory stays bounded.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class UnitCache:
