@@ -78,6 +78,46 @@ def chi2_sf(x, df):
     return gammaincc(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
 
+def tukey_sf(q, k, df, nodes: int = 64):
+    """P(Q > q) of the studentised range of k means, by Gauss-Legendre quadrature over the normal place and the pooled deviation."""
+    q, k, df = np.broadcast_arrays(*(np.asarray(v, float) for v in (q, k, df)))
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    place, mass = 8 * x, 8 * w * np.exp(-32 * x * x) / math.sqrt(2 * math.pi)
+    upper = norm_sf(-place)
+    out = np.empty(q.shape)
+    for i, (one, many, free) in enumerate(zip(q.ravel(), k.ravel(), df.ravel(), strict=True)):
+        reach = 8 / math.sqrt(2 * free)
+        low, high = max(0.0, 1 - reach), 1 + reach
+        s = (high + low) / 2 + (high - low) / 2 * x
+        density = (high - low) / 2 * w * np.exp(math.log(2) + free / 2 * math.log(free / 2) - math.lgamma(free / 2) + (free - 1) * np.log(s) - free * s * s / 2)
+        span = np.maximum(upper[None, :] - norm_sf(one * s[:, None] - place[None, :]), 0)
+        out.flat[i] = 1 - (density * (many * (mass * span ** (many - 1)).sum(1))).sum()
+    return np.clip(out, 0, 1)
+
+
+def mann_whitney_exact(n1: int, n2: int, u: float) -> float:
+    """Two-sided p of U without ties, by counting arrangements."""
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1
+    for i in range(1, n1 + 1):
+        # multiply by (1 - t^(n2 + i)) and divide by (1 - t^i)
+        step = n2 + i
+        if step <= n1 * n2:
+            ways[step:] -= ways[:-step].copy()
+        for start in range(i):
+            ways[start::i] = np.cumsum(ways[start::i])
+    return float(min(1.0, 2 * ways[: int(min(u, n1 * n2 - u)) + 1].sum() / ways.sum()))
+
+
+def wilcoxon_exact(n: int, w: float) -> float:
+    """Two-sided p of the smaller rank sum without ties, by counting subsets of 1 to n."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for i in range(1, n + 1):
+        ways[i:] += ways[:-i].copy()
+    return float(min(1.0, 2 * ways[: int(w) + 1].sum() / ways.sum()))
+
+
 def _inverse(upper_tail, p, low: float, high: float):
     low, high = np.full_like(p, low), np.full_like(p, high)
     for _ in range(80):
@@ -142,3 +182,16 @@ def p_z(z):
 
 def t_critical(df, alpha: float = 0.05):
     return F.nanvl(_udf(lambda d: t_quantile(np.full_like(d, alpha), d), 1)(df), F.lit(None).cast("double"))
+
+
+def p_tukey(q, k, df):
+    return F.nanvl(_udf(tukey_sf, 3)(q, k, df), F.lit(None).cast("double"))
+
+
+def p_mann_whitney_exact(n1, n2, u):
+    work = np.vectorize(lambda a, b, c: mann_whitney_exact(int(a), int(b), c), otypes=[float])
+    return F.nanvl(_udf(work, 3)(n1, n2, u), F.lit(None).cast("double"))
+
+
+def p_wilcoxon_exact(n, w):
+    return F.nanvl(_udf(np.vectorize(lambda a, b: wilcoxon_exact(int(a), b), otypes=[float]), 2)(n, w), F.lit(None).cast("double"))

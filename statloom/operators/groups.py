@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import p_f, p_t
+from ..functions.special import p_f, p_mann_whitney_exact, p_t, p_tukey, p_z
 from .describe import clean_numbers
 from .ranks import mid_ranks
 
 LEAST_GROUP = 3
+#: Rank tests count arrangements where the smaller group has so many rows, there are no ties and the product of sizes is bounded.
+EXACT_GROUP, EXACT_PRODUCT = 8, 20_000
 
 
 def pairs_long(df: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
@@ -109,6 +111,46 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
     return t.select("category", "number", n.cast("long").alias("n"), u.alias("u"), z.alias("z"), (1 - 2 * u / (n1 * n2)).alias("rank_biserial"))
 
 
+def mann_whitney_p(sums: DataFrame) -> DataFrame:
+    """Mann-Whitney tests with p: exact for small groups without ties, else by the normal distribution."""
+    sizes = sums.groupBy("category", "number", "ties").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.count("*").alias("_k")).where("_k = 2").drop("_k")
+    tests = mann_whitney(sums).join(F.broadcast(sizes), ["category", "number"])  # a row per test
+    exact = (F.col("ties") == 0) & (F.col("_least") <= EXACT_GROUP) & (F.col("_least") * F.col("_most") <= EXACT_PRODUCT)
+    only = lambda c: F.when(exact, F.col(c).cast("double"))
+    # the distribution of U is symmetric, so the order of the groups doesn't matter
+    p = F.coalesce(p_mann_whitney_exact(only("_least"), only("_most"), only("u")), p_z(F.col("z")))
+    return tests.withColumn("p", p).drop("ties", "_least", "_most")
+
+
+def pairwise_mann_whitney(long: DataFrame) -> DataFrame:
+    """category, number, a, b, n, u, z, p, median_difference for every pair of groups, ranked within the pair.
+
+    Rows are counted per group and value before each count is copied to the pairs of its group.
+    """
+    keys = ["category", "number"]
+    sized = long.groupBy(*keys, "grp").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median")).where(F.col("n") >= LEAST_GROUP)
+    x, y = sized.alias("x"), sized.alias("y")
+    pairs = x.join(y, (F.col("x.category") == F.col("y.category")) & (F.col("x.number") == F.col("y.number")) & (F.col("x.grp") < F.col("y.grp"))).select(
+        F.col("x.category").alias("category"), F.col("x.number").alias("number"), F.col("x.grp").alias("a"), F.col("y.grp").alias("b"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), (F.col("x.median") - F.col("y.median")).alias("median_difference"),
+    )
+    cells = long.groupBy(*keys, "grp", "value").agg(F.count("*").alias("m"))
+    members = pairs.select(*keys, "a", "b", F.explode(F.array("a", "b")).alias("grp"))
+    dealt = cells.join(F.broadcast(members), [*keys, "grp"])  # a row per pair of groups and side
+    own = [*keys, "a", "b"]
+    ranks = mid_ranks(dealt, own, "value", weight="m")
+    ties = ranks.groupBy(*own).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
+    firsts = dealt.where(F.col("grp") == F.col("a")).join(ranks.select(*own, "value", "rank"), [*own, "value"]).groupBy(*own).agg(F.sum(F.col("m") * F.col("rank")).alias("rank_sum"))
+    t = firsts.join(ties, own).join(pairs, own)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, u = n1 + n2, F.col("rank_sum") - n1 * (n1 + 1) / 2
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.signum(u - n1 * n2 / 2) * F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd)
+    found = t.select(*own, n.cast("long").alias("n"), u.alias("u"), z.alias("z"), "median_difference", "n1", "n2", "ties")
+    exact = (F.col("ties") == 0) & (F.least("n1", "n2") <= EXACT_GROUP) & (F.col("n1") * F.col("n2") <= EXACT_PRODUCT)
+    only = lambda c: F.when(exact, F.col(c).cast("double"))
+    return found.withColumn("p", F.coalesce(p_mann_whitney_exact(only("n1"), only("n2"), only("u")), p_z(F.col("z")))).drop("n1", "n2", "ties")
+
+
 def recommend(k: Column, normal: Column, equal_variance: Column, welch_for_many: bool = True) -> Column:
     """The recommended test. Two policies differ for three groups and more with unequal variances: Welch's analysis or ranks."""
     many = F.lit("welch_anova" if welch_for_many else "kruskal_wallis")
@@ -131,3 +173,9 @@ def pairwise_differences(moments: DataFrame) -> DataFrame:
     j = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.number") == F.col("b.number")) & (F.col("a.grp") < F.col("b.grp")))
     q = F.try_divide(F.abs(F.col("a.mean") - F.col("b.mean")), F.sqrt(F.col("a.mse") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n"))))
     return j.select(F.col("a.category").alias("category"), F.col("a.number").alias("number"), F.col("a.grp").alias("a"), F.col("b.grp").alias("b"), (F.col("a.mean") - F.col("b.mean")).alias("difference"), q.alias("q"), F.col("a.df").alias("df"))
+
+
+def tukey(moments: DataFrame) -> DataFrame:
+    """Pairwise differences of group means with Tukey's p."""
+    k = moments.groupBy("category", "number").agg(F.count("*").alias("k"))
+    return pairwise_differences(moments).join(F.broadcast(k), ["category", "number"]).withColumn("p", p_tukey(F.col("q"), F.col("k"), F.col("df")))

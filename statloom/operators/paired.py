@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import p_chi2, p_t, p_z
+from ..functions.special import p_chi2, p_t, p_wilcoxon_exact, p_z
 from .moments import pair_moments
 from .ranks import mid_ranks
 
+EXACT_PAIRS = 50
+
 
 def paired_t(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, n, difference, sd, t, df, d_z for each pair of columns, from the Gram pass."""
@@ -30,11 +32,14 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     t = cells.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(up), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("m") * F.col("rank") - up), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(F.col("m") * (F.col("tied") ** 2 - 1.0)), F.lit(0.0)).alias("ties"))
     n = F.col("n").cast("double")
     w = F.least("w_plus", "w_minus")
-    return t.select("n", "w_plus", "w_minus", w.alias("w"), F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)).alias("z"))
+    return t.select("n", "w_plus", "w_minus", w.alias("w"), F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)).alias("z"), "ties")
 
 
 def wilcoxon_p(t: DataFrame) -> DataFrame:
-    return t.withColumn("p", p_z(F.col("z")))
+    """p: exact up to 50 differences without ties, else by the normal distribution."""
+    exact = (F.col("ties") == 0) & (F.col("n") <= EXACT_PAIRS)
+    only = lambda c: F.when(exact, F.col(c).cast("double"))
+    return t.withColumn("p", F.coalesce(p_wilcoxon_exact(only("n"), only("w")), p_z(F.col("z"))))
 
 
 def friedman(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def mid_ranks(cells: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def mid_ranks(cells: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """keys, value, n (rows with that value), rank (their mid-rank within the keys).
 
     Rows are first counted per value. Approximate quantiles cut each key's range into buckets; a running sum within a
-    bucket starts from the rows in the buckets before it, so the ranks are exact whatever the cuts.
+    bucket starts from the rows in the buckets before it, so the ranks are exact whatever the cuts. With ``weight``, a row
+    stands for that many.
     """
-    counted = cells.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counted = cells.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)]).alias("_cuts"))
     # a row per key (a variable or a pair of them): as small as the plan of tests
     placed = counted.join(F.broadcast(cuts), keys) if keys else counted.crossJoin(F.broadcast(cuts))

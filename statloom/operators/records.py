@@ -95,3 +95,63 @@ def apa_authors(authors: Column) -> Column:
 
     names, n = F.transform(authors, one), F.size(authors)
     return F.when(n == 1, names[0]).when(n > 20, F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", … "), F.element_at(names, -1))).when(n > 1, F.concat(F.array_join(F.slice(names, 1, n - 1), ", "), F.lit(", & "), F.element_at(names, -1)))
+
+
+def apa_reference(authors: Column, year: Column, title: Column, journal: Column, volume: Column, issue: Column, pages: Column, doi: Column, pmid: Column, no_year: str = "(t.y.).") -> Column:
+    """One reference: authors, year, title, journal with volume, issue and pages, and the DOI or else the PubMed link."""
+    has = lambda c: c.isNotNull() & (c != "")
+    names = F.when(F.size(F.coalesce(authors, F.array())) > 0, apa_authors(authors))
+    dated = F.when(year.isNotNull(), F.concat(F.lit("("), year.cast("string"), F.lit(").")))
+    dated, named = F.coalesce(dated, F.lit(no_year)), F.concat(F.rtrim(title, F.lit(".")), F.lit("."))
+    head = F.when(names.isNotNull(), F.concat_ws(" ", names, dated, named)).otherwise(F.concat_ws(" ", named, dated))
+    place = F.concat(
+        F.regexp_replace(journal, "[,. ]+$", ""), F.when(has(volume), F.concat(F.lit(", "), volume, F.when(has(issue), F.concat(F.lit("("), issue, F.lit(")"))).otherwise(""))).otherwise(""),
+        F.when(has(pages), F.concat(F.lit(", "), pages)).otherwise(""), F.lit("."),
+    )
+    link = F.when(has(doi), F.concat(F.lit("https://doi.org/"), doi)).when(has(pmid), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")))
+    return F.concat_ws(" ", head, F.when(has(journal), place), link)
+
+
+def in_text_label(authors: Column, year: Column, title: Column, lang: str = "en") -> Column:
+    """The label of a citation: one or two last names, or the first and others; 30 characters of the title where no author is known."""
+    no_year, joiner, others = {"tr": ("t.y.", " ve ", " vd.")}.get(lang, ("n.d.", " & ", " et al."))
+    last = lambda n: F.coalesce(F.try_element_at(F.filter(F.split(F.replace(n, F.lit(","), F.lit(" ")), r"\s+"), lambda p: p != ""), F.lit(-1)), n)
+    names = F.transform(F.filter(F.coalesce(authors, F.array().cast("array<string>")), lambda a: a != ""), last)
+    short = F.concat(F.lit("“"), F.substring(title, 1, 30), F.when(F.length(title) > 30, "…").otherwise(""), F.lit("”"))
+    who = F.when(F.size(names) == 0, short).when(F.size(names) == 1, names[0]).when(F.size(names) == 2, F.array_join(names, joiner)).otherwise(F.concat(names[0], F.lit(others)))
+    return F.concat(who, F.lit(", "), F.coalesce(year.cast("string"), F.lit(no_year)))
+
+
+def in_text(texts: DataFrame, text: str, references: DataFrame, lang: str = "en") -> DataFrame:
+    """Texts with their markers replaced by labels of references (id, authors, year, title); unknown ids go, runs of spaces shrink."""
+    labels = references.select(F.col("id").cast("long").alias("id"), in_text_label(F.col("authors"), F.col("year"), F.col("title"), lang).alias("label"))
+    table = labels.agg(F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("_labels"))  # the reference list of one manuscript
+    pieces = F.split(F.regexp_replace(text, MARKER, "\u0001[$1\u0001"), "\u0001")
+
+    def piece(p: Column) -> Column:
+        found = F.array_compact(F.transform(F.split(F.substring(p, 2, 10**6), r"\s*,\s*"), lambda i: F.try_element_at(F.col("_labels"), i.try_cast("long"))))
+        return F.when(p.rlike(r"^\[\d+(\s*,\s*\d+)*$"), F.when(F.size(found) > 0, F.concat(F.lit("("), F.array_join(found, "; "), F.lit(")"))).otherwise("")).otherwise(p)
+
+    joined = texts.crossJoin(F.broadcast(table))
+    return joined.withColumn(text, F.regexp_replace(F.array_join(F.transform(pieces, piece), ""), " {2,}", " ")).drop("_labels")
+
+
+#: Author-year citations outside the marker system (fixed pattern).
+AUTHOR_YEAR = r"\((?:e\.g\.,?\s*)?[A-ZÇĞİÖŞÜ][\wçğıöşü]+(?:\s+(?:et\s+al\.|vd\.|ve\s+ark\.|&\s+[A-ZÇĞİÖŞÜ][\wçğıöşü]+))?,?\s+(?:19|20)\d{2}[a-z]?\)"
+
+
+def loose_citations(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, citation for each author-year citation of a text."""
+    return texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(AUTHOR_YEAR), F.lit(0))).alias("citation"))
+
+
+def changed_markers(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
+    """key of the texts whose set of markers isn't the same in both versions."""
+    ids = lambda df, name: df.select(key, F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(MARKER), 1), lambda m: F.split(m, r"\s*,\s*").cast("array<long>"))))).alias(name))
+    return ids(before, "_x").join(ids(after, "_y"), key).where(~F.col("_x").eqNullSafe(F.col("_y"))).select(key)
+
+
+def missing_sections(texts: DataFrame, name: str, text: str, required: list[str]) -> DataFrame:
+    """Required names without a text that isn't blank."""
+    wanted = texts.sparkSession.createDataFrame([(n,) for n in required], f"{name} string")
+    return wanted.join(texts.where(F.trim(text) != "").select(name), name, "left_anti")

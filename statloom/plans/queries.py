@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, cleaning, contingency, correlate, curves, describe, groups, paired, records, regress, scale
+from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, normality, paired, planning, records, regress, scale
+from ..sources import bibliography
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -280,7 +281,7 @@ def paired_t(spark, sf_dir):
 t AS (SELECT sum(m * m * m - m) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS m FROM d GROUP BY abs(d))), s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm FROM r)
 SELECT n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus, CAST(least(wp, wm) AS DOUBLE) AS w, round((least(wp, wm) - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - ties / 48), 6) AS z FROM s, t""")
 def wilcoxon(spark, sf_dir):
-    return rounded(paired.wilcoxon(table(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber"), 6)
+    return rounded(paired.wilcoxon(table(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber").drop("ties"), 6)
 
 
 def _items(spark, sf_dir):
@@ -409,3 +410,109 @@ def renumbering(spark, sf_dir):
 @query("SELECT doc_id, n_words FROM (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM documents) WHERE n_words < 60")
 def short_sections(spark, sf_dir):
     return records.short_sections(table(spark, sf_dir, "documents"), "doc_id", "text", 60)
+
+
+PARTS = ["p_size", "p_retailprice"]
+
+
+@query()
+def normality_tests(spark, sf_dir):
+    return rounded(normality.normality(table(spark, sf_dir, "part"), PARTS), 8)
+
+
+@query()
+def distribution_tests(spark, sf_dir):
+    long = describe.long_form(table(spark, sf_dir, "lineitem"), LINE)
+    return rounded(normality.distribution_tests(long, ["variable"]), 8)
+
+
+@query()
+def shapiro_wilk_groups(spark, sf_dir):
+    long = groups.pairs_long(table(spark, sf_dir, "part"), ["p_type"], PARTS)
+    return rounded(normality.shapiro_wilk(long, ["category", "number", "grp"]), 8)
+
+
+@query()
+def tukey(spark, sf_dir):
+    return rounded(groups.tukey(groups.group_moments(_line_groups(spark, sf_dir))), 8)
+
+
+@query(f"""WITH p AS (SELECT a.category, a.number, a.grp AS a, b.grp AS b FROM (SELECT DISTINCT category, number, grp FROM {_GROUPS}) a JOIN (SELECT DISTINCT category, number, grp FROM {_GROUPS}) b ON a.category = b.category AND a.number = b.number AND a.grp < b.grp),
+x AS (SELECT p.*, g.grp, g.v FROM p JOIN {_GROUPS} g ON p.category = g.category AND p.number = g.number AND g.grp IN (p.a, p.b)), r AS (SELECT *, rank() OVER (PARTITION BY category, number, a, b ORDER BY v) + (count(*) OVER (PARTITION BY category, number, a, b, v) - 1) / 2.0 AS r FROM x)
+SELECT category, number, a, b, count(*) AS n, sum(CASE WHEN grp = a THEN r ELSE 0 END) - count(CASE WHEN grp = a THEN 1 END) * (count(CASE WHEN grp = a THEN 1 END) + 1) / 2.0 AS u, round(quantile_cont(CASE WHEN grp = a THEN v END, 0.5) - quantile_cont(CASE WHEN grp = b THEN v END, 0.5), 8) AS median_difference FROM r GROUP BY ALL""")
+def pairwise_mann_whitney(spark, sf_dir):
+    return rounded(groups.pairwise_mann_whitney(_line_groups(spark, sf_dir)).drop("z", "p"), 8)
+
+
+@query("""WITH t AS (SELECT 'l_linestatus' AS variable, l_linestatus AS level, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT variable, arg_min(level, (n, -ascii(level))) AS event, min(n) AS n_event, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY variable""")
+def binary_outcomes(spark, sf_dir):
+    return kinds.binary_outcomes(table(spark, sf_dir, "lineitem"), ["l_linestatus", "l_returnflag"])
+
+
+@query()
+def infer_kinds(spark, sf_dir):
+    return kinds.infer_kinds(table(spark, sf_dir, "orders"))
+
+
+@query("""WITH x AS (SELECT l_quantity AS x, CAST(l_discount AS DOUBLE) AS y FROM lineitem), c AS (SELECT x, y, count(*) AS m FROM x GROUP BY ALL),
+j AS (SELECT m, sum(m) OVER () AS n, sum(m) OVER (PARTITION BY x) AS mx, sum(m) OVER (PARTITION BY y) AS my, x, y FROM c)
+SELECT 'l_quantity' AS a, 'l_discount' AS b, CAST(max(n) AS BIGINT) AS n, round(greatest(0, sum(m / n * ln(m * n / (mx * my))) - (count(*) - count(DISTINCT x) - count(DISTINCT y) + 1) / (2 * max(n))), 8) AS mi FROM j""")
+def mutual_information(spark, sf_dir):
+    # finer bins than either column has values: each value is its own bin
+    return rounded(discovery.mutual_information(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], bins=2000).select("a", "b", "n", "mi"), 8)
+
+
+@query()
+def nonlinear_finds(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_size", (F.col("p_size") ** 2 - 51 * F.col("p_size")).alias("bent"), "p_retailprice")
+    return rounded(discovery.nonlinear_finds(discovery.mutual_information(part, ["p_size", "bent", "p_retailprice"])), 6)
+
+
+@query()
+def hidden_clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(ITEMS)])
+    assigned, _ = discovery.clusters(rows, "key", ITEMS)
+    return rounded(discovery.cluster_profile(rows, "key", ITEMS, assigned).select("cluster", "n", "share", F.transform("traits", lambda t: t["variable"]).alias("traits")))
+
+
+@query()
+def anomalies(spark, sf_dir):
+    orders = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), *LINE)
+    return rounded(discovery.anomalies(orders, "key", LINE).select("key", "score"))
+
+
+@query()
+def risk_scores(spark, sf_dir):
+    scored = _scored(spark, sf_dir).select("doc_id", "quality", "n_chars", (F.col("serial") % 97).alias("noise"))
+    return rounded(discovery.risk_scores(scored, "doc_id", "quality", ["n_chars", "noise"], rounds=5, folds=3))
+
+
+@query()
+def predictability(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", *PARTS)
+    return rounded(discovery.predictability(part, "p_partkey", PARTS, ["p_retailprice"], rounds=5, folds=3), 4)
+
+
+@query("""SELECT doc_id, lang || ' Doe' AS author, '10.1/' || doc_id AS doi, source AS title, CAST(2000 + doc_id % 20 AS INT) AS year, '7-' || (7 + doc_id % 5) AS pages, 'deep ' || source AS abstract FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def flattened_works(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    place = F.struct(F.lit("7").alias("first_page"), (7 + F.col("doc_id") % 5).cast("string").alias("last_page"))
+    raw = F.to_json(F.struct(
+        F.col("source").alias("display_name"), F.concat(F.lit("https://doi.org/10.1/"), "doc_id").alias("doi"), (2000 + F.col("doc_id") % 20).alias("publication_year"), place.alias("biblio"),
+        F.array(F.struct(F.struct(F.concat("lang", F.lit(" Doe")).alias("display_name")).alias("author"))).alias("authorships"), F.create_map("source", F.array(F.lit(1)), F.lit("deep"), F.array(F.lit(0))).alias("abstract_inverted_index"),
+    ))
+    return bibliography.flatten_works(d.select("doc_id", raw.alias("raw")), "raw").select("doc_id", F.col("authors")[0].alias("author"), "doi", "title", "year", "pages", "abstract")
+
+
+@query()
+def planned_tests(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_type", "p_brand")
+    types = kinds.infer_kinds(part).withColumn("role", F.when(F.col("variable") == "p_retailprice", "dv").otherwise("auto"))
+    long = groups.pairs_long(part, ["p_type", "p_brand"], PARTS)
+    lev = groups.levene(long).select("number", "category", "k", "df1", "df2", "levene")
+    normal = normality.normality(part, PARTS)
+    checks = lev.join(normal.select(F.col("variable").alias("number"), "normal"), "number").select("number", "category", "k", "normal", groups.p_f(F.col("levene"), F.col("df1"), F.col("df2")).alias("levene_p"))
+    levels = part.agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("n_rows"), F.count_distinct("p_type").alias("n_columns"))
+    tables = levels.select(F.lit("p_brand").alias("a"), F.lit("p_type").alias("b"), "n", "n_rows", "n_columns", (F.col("n") / F.col("n_rows") / F.col("n_columns")).alias("least_expected"))
+    return planning.plan_tests(types, checks, normal, tables)
