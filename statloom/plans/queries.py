@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, normality, paired, planning, records, regress, scale
+from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, normality, paired, planning, records, regress, report, scale
 from ..sources import bibliography
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,3 +516,13 @@ def planned_tests(spark, sf_dir):
     levels = part.agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("n_rows"), F.count_distinct("p_type").alias("n_columns"))
     tables = levels.select(F.lit("p_brand").alias("a"), F.lit("p_type").alias("b"), "n", "n_rows", "n_columns", (F.col("n") / F.col("n_rows") / F.col("n_columns")).alias("least_expected"))
     return planning.plan_tests(types, checks, normal, tables)
+
+
+@query()
+def significant_findings(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = correlate.with_p(correlate.pearson_pairs(lines, LINE))
+    tests = groups.anova_p(groups.anova(groups.group_moments(_line_groups(spark, sf_dir))))
+    changes = paired.paired_t_p(paired.paired_t(lines, LINE))
+    found = [report.as_findings(pairs, "correlation", "a", "b", "r"), report.as_findings(tests, "group", "number", "category", "eta2"), report.as_findings(changes, "paired", "a", "b", "d_z")]
+    return rounded(report.significant_findings(found), 8)

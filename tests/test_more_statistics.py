@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import special
-from statloom.operators import discovery, groups, kinds, normality, paired, planning, records
+from statloom.operators import discovery, groups, kinds, normality, paired, planning, records, report
 from statloom.sources import bibliography
 
 
@@ -156,3 +156,11 @@ def test_labels_and_references(spark):
     loose = records.loose_citations(spark.createDataFrame([("a", "as (Smith et al., 2020) said [1]")], "name string, text string"), "name", "text").collect()
     assert [r["citation"] for r in loose] == ["(Smith et al., 2020)"]
     assert [r["name"] for r in records.missing_sections(texts, "name", "text", ["a", "b"]).collect()] == ["b"]
+
+
+def test_common_table_of_findings(spark):
+    one = spark.createDataFrame([("x", "y", 0.5, 0.001), ("x", "z", 0.1, 0.5), ("y", "z", 0.2, None)], "a string, b string, r double, p double")
+    two = spark.createDataFrame([("v", "g", 0.3, 0.04)], "number string, category string, eta2 double, p double")
+    found = report.significant_findings([report.as_findings(one, "correlation", "a", "b", "r"), report.as_findings(two, "group", "number", "category", "eta2")]).collect()
+    assert [(r["analysis"], r["first"], r["second"], r["p_bh"]) for r in found] == [("correlation", "x", "y", 0.002), ("group", "v", "g", 0.04)]
+    assert report.significant_findings([report.as_findings(one.where("p > 1"), "correlation", "a", "b", "r")]).count() == 0
