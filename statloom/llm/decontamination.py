@@ -200,5 +200,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    named = docs.withColumn("_row", F.xxhash64(*row_key(F.col("doc_id"), F.col("text"))))
+    bad = decontaminate(named.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return named.join(bad, "_row", "left_anti").select(docs.columns)

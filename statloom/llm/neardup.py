@@ -11,9 +11,12 @@ is left out, and no bucket is gathered in one task.
 
 A pair at the threshold is missed with probability (1 - 0.75^5)^51, one in a million; at similarity 0.8 it is one in 10^9.
 
+Rows are named by doc_id and the hash of their text, sets by a 64-bit hash, so the texts of a repeated doc_id are judged one by one.
+
 Defined cases: documents without words have the empty set and are linked with nothing; rows without doc_id are linked with nothing
-and keep component null; rows that repeat a doc_id are judged row by row; ties go to the smallest doc_id; an empty table
-gives no rows; other columns are ignored.
+and keep component null (``drop_near_duplicates`` links them like others); one row of each class is kept, that with the smallest
+doc_id, then the smallest hash of its text; of rows with equal doc_id and text one is kept; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .inputs import per_batch, written
+from .inputs import per_batch, row_key, written
 from .substrings import compressed, opened
 from .textkernel import LOWER, chunks, inside_document, long_column, mix, span_hashes, split_words, window_hashes
 
@@ -58,7 +61,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[n
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (128 bits that name the set), bands (a key per band), bits (packed low bits)."""
+    """doc_id, n_shingles, s1 and s2 (128 bits that name the set), bands (a key per band), bits (packed low bits) of rows
+    (doc_id, text, ...); further columns follow."""
+    more = docs.schema.fields[2:]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -84,9 +89,9 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 column.append(x)
         size, s1, s2, keys, packed = map(np.concatenate, out)
         rows = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(m).ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), long_column(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), rows(keys), rows(packed)], names=["doc_id", "n_shingles", "s1", "s2", "bands", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(0), long_column(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), rows(keys), rows(packed), *batch.columns[2:]], names=["doc_id", "n_shingles", "s1", "s2", "bands", "bits", *[f.name for f in more]])
 
-    return per_batch(docs, work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, bits array<long>")
+    return per_batch(docs, work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, bits array<long>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -206,23 +211,29 @@ def _block_links(members: DataFrame, bits: DataFrame, texts: DataFrame, least: f
     return full.repartition("bucket", "kind", "x", "y").groupBy("bucket", "kind", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def _judged(docs: DataFrame, k: int, percent: int, link_null_ids: bool) -> DataFrame:
+    """_k1, _k2 (the row's name), doc_id, n_shingles, component_id, copies, leads: a row for each name, with its number of rows
+    and whether it is the one of its class that is kept."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(source, k), "signatures")
+    source = source.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+    signed = written(signatures(source, k).withColumn("id", F.xxhash64("s1", "s2")), "signatures")
     least = percent / 100 - MARGIN
-    named = signed.where("doc_id is not null and n_shingles > 0")
-    nodes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    node_rows = named.select(F.col("doc_id").alias("id"), "s1", "s2", "bands", "bits").join(nodes, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
+    linkable = F.col("n_shingles") > 0
+    if not link_null_ids:
+        linkable = linkable & F.col("doc_id").isNotNull()
+    names = written(signed.groupBy("_k1", "_k2", "doc_id", "n_shingles", "id").agg(F.count("*").alias("copies")), "names")
+    node_rows = signed.where(linkable).select("id", "bands", "bits").dropDuplicates(["id"])
     banded = node_rows.select("id", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("bucket", "hub")
     # written first: AQE splits the hot keys of a join only between plain exchanges
     members = written(banded.join(written(hubs, "hubs"), "bucket"), "members")
 
-    # texts and signatures of documents that share a bucket
-    sharing = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = written(compressed(source.where("doc_id is not null"), "text", "text").join(sharing, "doc_id", "left_semi"), "texts")
-    bits = written(node_rows.select("id", "bits").join(sharing.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "bits")
+    # texts and signatures of sets that share a bucket, each with the text of one row
+    sharing = members.select("id").distinct()
+    spoken = names.where(linkable).groupBy("id").agg(F.min(F.struct("_k1", "_k2")).alias("m")).select("id", "m._k1", "m._k2").join(sharing, "id", "left_semi")
+    texts = compressed(source.select("_k1", "_k2", "text"), "text", "text").dropDuplicates(["_k1", "_k2"]).join(written(spoken, "spoken"), ["_k1", "_k2"])
+    texts = written(texts.select(F.col("id").alias("doc_id"), "text"), "texts")
+    bits = written(node_rows.select("id", "bits").join(sharing, "id", "left_semi"), "bits")
     near = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     near = near.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
     near = written(near.select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("similarity")).where(F.col("similarity") >= least), "near")
@@ -246,13 +257,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> Dat
     if not late.isEmpty():
         found = components(checked.where("linked").select("a", "b").unionByName(late))
 
-    classes = nodes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    linked = named.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    classed = names.where(linkable).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("class", F.coalesce("component", "id"))
+    classed = written(classed.drop("component"), "classes")
+    by_rank = F.struct(F.col("doc_id").isNull().alias("last"), "_k1", "_k2")
+    leaders = written(classed.groupBy("class").agg(F.min(by_rank).alias("lead"), F.min("doc_id").alias("component_id")), "leaders")
+    linked = classed.join(leaders, "class").withColumn("leads", by_rank == F.col("lead"))
+    columns = ["_k1", "_k2", "doc_id", "n_shingles", "component_id", "copies", "leads"]
+    alone = names.where(~linkable).withColumn("component_id", F.col("doc_id")).withColumn("leads", F.lit(True))
+    return linked.select(columns).unionByName(alone.select(columns))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    judged = _judged(docs, k, percent, False)
+    # the first of equal rows speaks for them
+    each = judged.select("doc_id", "n_shingles", "component_id", "leads", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select("doc_id", "n_shingles", "component_id", (F.col("leads") & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
-    """docs with one document of each class: that with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs with one row of each class: that with the smallest doc_id, rows without one last; all columns stay.
+
+    Of rows with equal doc_id and text, one stays: where other columns differ, that with the smallest hash of them all.
+    """
+    judged = written(_judged(docs, k, percent, True).select("_k1", "_k2", "copies", "leads"), "judged")
+    gone = written(judged.where("not leads or copies > 1").select("_k1", "_k2"), "gone")
+    repeated = written(judged.where("leads and copies > 1").select("_k1", "_k2"), "repeated")
+    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
+    whole = F.struct([F.col(c) for c in docs.columns])
+    single = keyed.join(gone, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    again = keyed.join(repeated, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return single.unionByName(again.select("row.*"))
