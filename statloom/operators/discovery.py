@@ -22,6 +22,7 @@ from .regress import roc_auc
 
 #: Fixed limits of the layer.
 LEAST_ROWS, REDUNDANT, STRONG_MI, STRONG_GAP, PREDICTABLE, TARGETS, FOLDS, ROUNDS, SEED = 25, 0.95, 0.30, 0.10, 0.15, 40, 5, 80, 42
+REPEATS = 3
 TREES, TREE_ROWS, TOP_ANOMALIES, TOP_REASONS, TOP_RISKS, LEAST_AUC, LEAST_CLASS = 100, 256, 25, 4, 10, 0.7, 10
 
 
@@ -82,7 +83,8 @@ def _scores(model, test: DataFrame, kind: str, target: str) -> dict[str, float]:
 
 
 def predictability(df: DataFrame, key: str, columns: list[str], targets: list[str], rounds: int = ROUNDS, folds: int = FOLDS) -> DataFrame:
-    """target, kind, score (mean over folds), baseline, gain, predictable, top (features by permutation importance).
+    """target, kind, score (mean over folds), baseline, gain, predictable, top (features by permutation importance, the mean
+    loss over ``REPEATS`` permutations of all rows under a model of all rows).
 
     A target with two to six values is a class, one with seven or more a number. Models train on the cluster, one target and
     fold after another; a row per target reaches the driver.
@@ -107,15 +109,16 @@ def predictability(df: DataFrame, key: str, columns: list[str], targets: list[st
             learner = stages[kind]
             if kind == "classification" and len(levels) == 2:
                 learner = learner.setMaxIter(rounds)
-            scores, importance = [], dict.fromkeys(others, 0.0)
+            scores = []
             for fold in range(folds):
                 prepared = _features(others).fit(use.where(F.col("_fold") != fold))
                 model = learner.fit(prepared.transform(use.where(F.col("_fold") != fold)))
                 test = use.where(F.col("_fold") == fold)
                 scores.append(_scores(model, prepared.transform(test), kind, target))
-                if fold == 0:
-                    for c in others:
-                        importance[c] = scores[0] - _scores(model, prepared.transform(permuted(test, key, c)), kind, target)
+            prepared = _features(others).fit(use)
+            model = learner.fit(prepared.transform(use))
+            whole = _scores(model, prepared.transform(use), kind, target)
+            importance = {c: whole - float(np.mean([_scores(model, prepared.transform(permuted(use, key, c, repeat=i)), kind, target) for i in range(REPEATS)])) for c in others}
             baseline = 0.0 if kind == "regression" else levels[0]["count"] / n
             score = float(np.mean(scores))
             top = [c for c, v in sorted(importance.items(), key=lambda p: (-p[1], p[0])) if v > 0][:5]
@@ -125,13 +128,13 @@ def predictability(df: DataFrame, key: str, columns: list[str], targets: list[st
     return spark.createDataFrame(rows, "target string, kind string, n long, score double, baseline double, gain double, predictable boolean, top array<string>")
 
 
-def permuted(df: DataFrame, key: str, column: str, blocks: int = 256) -> DataFrame:
-    """df with one column dealt anew among rows of the same hash block, in another hash order."""
+def permuted(df: DataFrame, key: str, column: str, blocks: int = 256, repeat: int = 0) -> DataFrame:
+    """df with one column dealt anew among rows of the same hash block, in another hash order for each repeat."""
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
     order = lambda seed: F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(key, F.lit(seed)), key))
     placed = df.withColumn("_block", block)
-    dealt = placed.select("_block", order(1).alias("_at"), F.col(column).alias("_new"))
-    return placed.withColumn("_at", order(2)).join(dealt, ["_block", "_at"]).drop(column, "_block", "_at").withColumnRenamed("_new", column)
+    dealt = placed.select("_block", order(2 * repeat + 1).alias("_at"), F.col(column).alias("_new"))
+    return placed.withColumn("_at", order(2 * repeat + 2)).join(dealt, ["_block", "_at"]).drop(column, "_block", "_at").withColumnRenamed("_new", column)
 
 
 def clusters(df: DataFrame, key: str, columns: list[str], most: int = 6) -> tuple[DataFrame, DataFrame]:

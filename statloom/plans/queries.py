@@ -485,13 +485,13 @@ def anomalies(spark, sf_dir):
 @query()
 def risk_scores(spark, sf_dir):
     scored = _scored(spark, sf_dir).select("doc_id", "quality", "n_chars", (F.col("serial") % 97).alias("noise"))
-    return rounded(discovery.risk_scores(scored, "doc_id", "quality", ["n_chars", "noise"], rounds=5, folds=3))
+    return rounded(discovery.risk_scores(scored, "doc_id", "quality", ["n_chars", "noise"]))
 
 
 @query()
 def predictability(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", *PARTS)
-    return rounded(discovery.predictability(part, "p_partkey", PARTS, ["p_retailprice"], rounds=5, folds=3), 4)
+    return rounded(discovery.predictability(part, "p_partkey", PARTS, ["p_retailprice"]), 4)
 
 
 @query("""SELECT doc_id, lang || ' Doe' AS author, '10.1/' || doc_id AS doi, source AS title, CAST(2000 + doc_id % 20 AS INT) AS year, '7-' || (7 + doc_id % 5) AS pages, 'deep ' || source AS abstract FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
