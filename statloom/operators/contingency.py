@@ -32,6 +32,13 @@ def chi_square(table: DataFrame) -> DataFrame:
     return s.select(F.col("n_all").alias("n"), "n_rows", "n_columns", "statistic", ((F.col("n_rows") - 1) * (F.col("n_columns") - 1)).alias("df"), F.sqrt(F.try_divide("statistic", F.col("n_all") * least)).alias("cramer_v"), "low_expected")
 
 
+def least_expected(table: DataFrame) -> DataFrame:
+    """One row: n, n_rows, n_columns, least_expected (the smallest expected count)."""
+    row, column = F.sum("n").over(Window.partitionBy("a")), F.sum("n").over(Window.partitionBy("b"))
+    t = table.select("a", "b", "n", row.alias("r"), column.alias("c")).agg(F.sum("n").alias("n"), F.count_distinct("a").alias("n_rows"), F.count_distinct("b").alias("n_columns"), F.min(F.col("r").cast("double") * F.col("c")).alias("_least"))
+    return t.select("n", "n_rows", "n_columns", F.try_divide("_least", "n").alias("least_expected"))
+
+
 def chi_square_p(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p", p_chi2(F.col("statistic"), F.col("df")))
 

@@ -129,6 +129,14 @@ def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFra
     return small.unionByName(large).withColumn("normal", F.col("p") >= alpha)
 
 
+def balanced_normality(long: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, normal: the balanced verdict on each group with a known value. A group that doesn't vary isn't normal."""
+    sizes = long.where("value is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.skewness("value").alias("_skew"), F.kurtosis("value").alias("_kurt"), (F.min("value") < F.max("value")).alias("_varies"))
+    j = sizes.join(shapiro_wilk(long, keys).select(*keys, F.col("p").alias("_p")), keys, "left")
+    verdict = F.col("_varies") & balanced_verdict(F.col("n"), F.col("_skew"), F.col("_kurt"), F.col("_p"))
+    return j.select(*keys, "n", F.coalesce(verdict, F.lit(False)).alias("normal"))
+
+
 def balanced_verdict(n: Column, skew: Column, kurt: Column, p: Column) -> Column:
     """The lenient verdict: shape counts beside the test, and more so in samples over 50."""
     loose, mild = (F.abs(skew) < 2) & (F.abs(kurt) < 7), (F.abs(skew) < 1) & (F.abs(kurt) < 3)
