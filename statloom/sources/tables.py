@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 
 #: Encodings in the order they are tried.
 ENCODINGS = ["utf-8", "windows-1254", "iso-8859-1"]
+#: Bytes that windows-1254 leaves without a letter.
+UNUSED_1254 = "[\\x{81}\\x{8d}-\\x{90}\\x{9d}\\x{9e}]"
 SEPARATORS = [",", ";", "\t", "|"]
 
 
 def _sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Separator and encoding from the head of one file, read through Spark."""
-    raw = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16)).first()[0])
-    raw = raw[: raw.rfind(b"\n") + 1] or raw
-    for encoding in ENCODINGS:
-        try:
-            head = raw.decode(encoding)
-            break
-        except UnicodeDecodeError:
-            continue
-    line = head.splitlines()[0] if head else ""
-    return max(SEPARATORS, key=line.count), encoding
+    """The separator from the first line, the encoding from all lines: one distributed aggregate over the bytes."""
+    lines = spark.read.text(path)
+    first = lines.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).head()
+    raw = F.col("value").cast("binary")
+    no_utf8, no_1254 = lines.agg(F.bool_or(~F.is_valid_utf8("value")), F.bool_or(F.decode(raw, "ISO-8859-1").rlike(UNUSED_1254))).first()
+    encoding = ENCODINGS[0] if not no_utf8 else ENCODINGS[2] if no_1254 else ENCODINGS[1]
+    return max(SEPARATORS, key=(first[0] if first else "").count), encoding
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
