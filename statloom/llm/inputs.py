@@ -1,45 +1,64 @@
-"""Small helpers shared by the operators: reading tables, work columns that can't clash, checkpoints."""
+"""Small helpers shared by the operators: reading tables, work on Arrow batches, written tables, names of rows."""
 
 from __future__ import annotations
 
+import gc
+import weakref
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a worker handles at a time. A single longer text is handled whole.
+SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``work`` to each Arrow batch."""
+#: Things that remember what a partition met; they are cleared when it ends, so that a reused worker keeps nothing of it.
+CACHES: weakref.WeakSet = weakref.WeakSet()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None and out.num_rows:
-                yield out
 
-    return df.mapInArrow(run, schema)
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    import ctypes
 
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that the session names, or one of our own where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not (folder := context.getConf().get("spark.checkpoint.dir")):
-            import tempfile
 
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def release() -> None:
+    """Give the memory of a finished partition back to the machine: Python workers are reused, and their heaps would add up."""
+    for cache in list(CACHES):
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Apply ``work`` to each Arrow batch, in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                rows = max(1, min(SLICE_ROWS, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1))))
+                for at in range(0, batch.num_rows, rows):
+                    if (out := work(batch.slice(at, rows))) is not None and out.num_rows:
+                        yield out
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, for written tables."""
+    """A new path below the folder that all executors share, for written tables. A session on one machine that names none gets its own."""
     import uuid
 
     context = spark.sparkContext
@@ -68,5 +87,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Two longs that name a row by its content, so that repeated ids with other texts stay apart."""
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("_k1"), F.xxhash64(text).alias("_k2")]
+    """Two longs that name a row by its content, so that repeated ids with other texts stay apart. Rows without an id go by two hashes."""
+    return [F.coalesce(doc_id.cast("long"), F.xxhash64(F.lit("no id"), text)).alias("_k1"), F.xxhash64(text).alias("_k2")]

@@ -1,20 +1,24 @@
-"""Removal of passages that the corpus repeats: fingerprints find and confirm them, Aho-Corasick automata locate them.
+"""Removal of passages that the corpus repeats: fingerprints confirm them, sharded Aho-Corasick automata find every occurrence.
 
 A window is ``WINDOW`` consecutive words of one document; words covered by a window whose words also start elsewhere go.
 
 1. Each window has an anchor: the smallest hash of the ``GRAM``-word runs in it (the leftmost of equals). Equal windows have equal
    anchors. Consecutive windows with one anchor form a span, about one for every fifteen words; only spans are shuffled.
-2. Spans whose anchor is unique are done. Where all spans of an anchor have equal words, or a span's words come twice,
-   all its windows recur. The windows of the other spans are counted one by one.
-3. The confirmed passages of a shard (a chunk of documents) are cut into phrases of ``WINDOW`` words that cover them; the
-   shard's automaton holds the phrases as strings with one sign a word, and all its documents are streamed through it. A hit
-   is confirmed by the phrase's 64-bit hash.
-
-Keys of joins are hashes of content, aggregates are partial, and AQE may split a join's hot keys: nothing needs the occurrences
-of a passage together. Texts are shuffled compressed. Rows are named by a 64-bit hash of doc_id and text.
+2. An anchor seen once holds no recurring window. The others' words are cut out of every document as pieces (anchor, words).
+3. Recurring passages are confirmed as phrases of ``WINDOW`` words, each kept once. Where all spans of an anchor are equal, or a span comes
+   twice, one of them speaks: its first and its last window cover it. In the other spans windows are counted one by one, and
+   each run of recurring ones gives its first and its last.
+4. Phrases are sharded by anchor into blocks of at most ``PHRASES``; each block is compiled into an automaton over words, and the pieces
+   of all documents with the block's anchors are streamed through it. Its hits, and nothing else, say which words go. Phrases and
+   pieces are compared word by word, not by hash.
+
+Anchors with very many pieces or phrases are dealt out as blocks of pieces times blocks of phrases, so no task gathers a hot
+passage. Aggregates are partial, and AQE may split the hot keys of joins. Texts are shuffled compressed. Rows are named by two hashes,
+of doc_id (or text) and text; windows and spans are compared by 64-bit hashes within one anchor, itself a 64-bit hash.
 
 Defined cases: null and empty texts have no words; a row repeated with id and text is an occurrence of its own, so both lose all
-windows; a window may overlap its own repeat; a null doc_id is a document; an empty table gives no rows.
+windows; a window may overlap its own repeat; a null doc_id is a document; an empty table gives no rows; columns of any name
+may follow, also those of the result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .inputs import per_batch, written
-from .textkernel import chunks, inside_document, long_column, ragged, span_hashes, split_words, window_hashes, winnow
+from .inputs import per_batch, release, row_key, written
+from .textkernel import chunks, covered, inside_document, long_column, ragged, span_hashes, split_words, window_hashes, winnow
 
 WINDOW = 35
 GRAM = 6
+#: Phrases in an automaton, and pieces that meet it in one task (both on average: they are dealt by hash).
+PHRASES, PIECES = 8192, 16384
+
+U64 = np.uint64
 
 
 @lru_cache(maxsize=1)
@@ -63,7 +71,7 @@ def opened(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     for i, x in enumerate(column):
         rows.append(None if not x.is_valid else unpack(x.as_buffer()))
         size += len(rows[-1] or b"")
-        if size > 4 << 20 or i == len(column) - 1:
+        if size > 1 << 20 or i == len(column) - 1:
             yield first, pa.array(rows, pa.large_binary()).cast(pa.large_string())
             rows, size, first = [], 0, i + 1
 
@@ -73,7 +81,7 @@ def spans_of(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tup
     windows = np.flatnonzero(inside_document(doc, window))
     if not len(windows):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(U64), none.astype(U64)
     grams = window_hashes(hashes, gram)
     at = winnow(grams, window - gram + 1)[windows]
     new = np.ones(len(windows), bool)
@@ -86,136 +94,233 @@ def spans_of(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tup
 
 
 def find_spans(keyed: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, span, key, place (start * 64 + windows) for the spans of rows (key, text)."""
+    """anchor, span, _k1, _k2, place (start * 64 + windows) for the spans of rows (_k1, _k2, text)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        for row, _, data, offsets in chunks(batch.column(1)):
+        for row, _, data, offsets in chunks(batch.column(2)):
             words = split_words(data, offsets)
             start, n, anchor, span = spans_of(words.hashes(), words.doc, window, gram)
             doc = words.doc[start]
             for out, x in zip(columns, (anchor.view(np.int64), span.view(np.int64), doc + row, (start - words.first[doc]) * 64 + n), strict=True):
                 out.append(x)
         anchor, span, rows, place = map(np.concatenate, columns)
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(span), batch.column(0).take(pa.array(rows)), long_column(place)], names=["anchor", "span", "key", "place"])
+        rows = pa.array(rows)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(span), batch.column(0).take(rows), batch.column(1).take(rows), long_column(place)], names=["anchor", "span", "_k1", "_k2", "place"])
 
-    return per_batch(keyed.select("key", "text"), work, "anchor long, span long, key long, place long")
+    return per_batch(keyed, work, "anchor long, span long, _k1 long, _k2 long, place long")
 
 
-def confirmed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """key and ranges (start, n): the windows of each row (key, text) that recur. Written to the shared folder."""
-    if window - gram + 1 > 63:
-        raise ValueError("a span may have 63 windows at most")
-    rows = find_spans(docs, window, gram)
-    anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
-    # aggregates are written before they are joined: AQE splits the hot keys of a join only between plain exchanges
-    recurring = written(rows.join(written(anchors, "anchors"), "anchor").select("span", "key", "place", (F.col("low") == F.col("high")).alias("same")), "recurring")
-
-    mixed = recurring.where("not same")
-    per_span = mixed.groupBy("span").agg(F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("first"))
-    judged = written(mixed.join(written(per_span, "spans"), "span").select("key", "place", (F.col("copies") > 1).alias("whole"), (F.struct("key", "place") == F.col("first")).alias("leads")), "judged")
-    # a span seen once needs its windows counted; of the others one speaks for all, with weight two
-    asked = judged.where("not whole or leads").groupBy("key").agg(F.collect_list(F.struct("place", "whole")).alias("asked"))
-    texts = compressed(docs.select("key", "text"), "text", "packed")
-
-    def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        values, rows, starts, weights = [], [], [], []
-        for first, texts in opened(batch.column(1)):
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges of data as a binary column."""
+    size = end - begin
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[ragged(begin, size)])])
+
+
+def cut_pieces(keyed: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
+    """anchor, kind, _k1, _k2, start, n, words: the words of each span of ``recurring`` (anchor, kind, _k1, _k2, place), once for each name."""
+    asked = recurring.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("place", "anchor", "kind")).alias("asked"))
+    texts = compressed(keyed, "text", "packed").dropDuplicates(["_k1", "_k2"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    yield from cut(whole.slice(at, 256))
+        finally:
+            release()
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for first, texts in opened(batch.column(2)):
             for row, stop, data, offsets in chunks(texts):
                 words = split_words(data, offsets)
-                all_windows = window_hashes(words.hashes(), window)
-                for i in range(row, stop):
-                    own = batch.column(2)[first + i].as_py()
-                    place = np.array([x["place"] for x in own])
-                    n = place & 63
-                    start = ragged(place >> 6, n)
-                    values.append(all_windows[start + words.first[i - row]])
-                    rows.append(np.full(len(start), first + i))
-                    starts.append(start)
-                    weights.append(np.repeat([2 if x["whole"] else 1 for x in own], n))
-        if not values:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), long_column(np.concatenate(starts)), pa.array(np.concatenate(weights).astype(np.int32))], names=["value", "key", "start", "weight"])
-
-    counted = written(per_batch(texts.join(asked, "key").select("key", "packed", "asked"), windows_of, "value long, key long, start long, weight int"), "windows")
-    twice = counted.groupBy("value").agg(F.sum("weight").alias("weight")).where("weight > 1").select("value")
-    single = counted.where("weight = 1").join(written(twice, "twice"), "value").select("key", "start", F.lit(1).cast("long").alias("n"))
-    placed = lambda df: df.select("key", F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(63).alias("n"))
-    found = placed(recurring.where("same")).unionByName(placed(judged.where("whole"))).unionByName(single)
-    return written(found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
-
-
-def phrase_starts(recurs: np.ndarray, window: int) -> np.ndarray:
-    """Starts of windows that cover all that the marked windows cover: the first of each run, every ``window``-th, and the last."""
-    edge = np.diff(np.concatenate([[0], recurs.astype(np.int8), [0]]))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-    n = (last - first) // window + 1
-    return np.unique(np.concatenate([np.repeat(first, n) + ragged(np.zeros(len(n), np.int64), n) * window, last]))
-
-
-def locate(codes: str, windows: np.ndarray, first: np.ndarray, phrases: np.ndarray, window: int) -> np.ndarray:
-    """Marks the words of a shard that any of its phrases covers. codes: one sign per word; windows: hash of the window at each word."""
-    automaton = ahocorasick.Automaton()
-    held: dict[str, set[int]] = {}
-    for start, value in zip(phrases.tolist(), windows[phrases].tolist(), strict=True):
-        held.setdefault(codes[start : start + window], set()).add(value)
-    for phrase, values in held.items():
-        automaton.add_word(phrase, values)
+                lists = batch.column(3).slice(first + row, stop - row)
+                fields = lists.flatten()
+                doc = np.repeat(np.arange(stop - row), np.diff(lists.offsets.to_numpy()))
+                place = fields.field("place").to_numpy()
+                start, n = place >> 6, place & 63
+                begin = words.first[doc] + start
+                rows = pa.array(doc + first + row)
+                yield pa.RecordBatch.from_arrays(
+                    [fields.field("anchor"), fields.field("kind"), batch.column(0).take(rows), batch.column(1).take(rows), long_column(start), pa.array(n.astype(np.int32)), _slices(data, words.start[begin], words.end[begin + n + window - 2])],
+                    names=["anchor", "kind", "_k1", "_k2", "start", "n", "words"],
+                )
+
+    joined = texts.join(asked, ["_k1", "_k2"]).select("_k1", "_k2", "packed", "asked")
+    return joined.mapInArrow(work, "anchor long, kind int, _k1 long, _k2 long, start long, n int, words binary")
+
+
+#: What a span is to the search: one of several equal ones, the one that speaks for them, or one whose windows are counted.
+COPY, SPEAKER, SINGLE = 0, 1, 2
+
+
+def _pieces_and_phrases(keyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces with recurring anchors, and the phrases (anchor, words) that are confirmed to recur."""
+    spans = find_spans(keyed, window, gram)
+    anchors = spans.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"), F.min(F.struct("_k1", "_k2", "place")).alias("first")).where("n > 1")
+    anchors = anchors.select("anchor", (F.col("low") == F.col("high")).alias("same"), "first")
+    # aggregates are written before they are joined: AQE splits the hot keys of a join only between plain exchanges
+    seen = written(spans.join(written(anchors, "anchors"), "anchor"), "spans")
+    own = F.struct("_k1", "_k2", "place") == F.col("first")
+    same = seen.where("same").select("anchor", F.when(own, SPEAKER).otherwise(COPY).alias("kind"), "_k1", "_k2", "place")
+    mixed = seen.where("not same").drop("first")
+    per_span = mixed.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(F.struct("_k1", "_k2", "place")).alias("first"))
+    mixed = mixed.join(written(per_span, "copies"), ["anchor", "span"])
+    mixed = mixed.select("anchor", F.when(F.col("copies") == 1, SINGLE).when(own, SPEAKER).otherwise(COPY).alias("kind"), "_k1", "_k2", "place", F.lit(True).alias("mixed"))
+    kinds = same.withColumn("mixed", F.lit(False)).unionByName(mixed)
+    kinds = kinds.select("anchor", (F.col("kind") + F.when(F.col("mixed"), 4).otherwise(0)).alias("kind"), "_k1", "_k2", "place")
+    pieces = written(cut_pieces(keyed, kinds, window), "pieces")
+
+    # windows of the anchors whose spans differ: those of a single span weigh one, those of a speaker two
+    def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = split_words(*_bytes(batch.column(6)))
+        n = batch.column(5).to_numpy().astype(np.int64)
+        piece = np.repeat(np.arange(batch.num_rows), n)
+        at = ragged(words.first[:-1], n)
+        value = window_hashes(words.hashes(), window)[at]
+        rows = pa.array(piece)
+        start = batch.column(4).to_numpy()[piece]
+        weight = np.where(batch.column(1).to_numpy() & 3 == SINGLE, 1, 2).astype(np.int32)[piece]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(value.view(np.int64)), batch.column(2).take(rows), batch.column(3).take(rows), long_column(start * 64 + at - words.first[piece]), pa.array(weight)], names=["anchor", "value", "_k1", "_k2", "place", "weight"])
+
+    counted = written(per_batch(pieces.where(f"kind in ({SPEAKER + 4}, {SINGLE + 4})"), windows_of, "anchor long, value long, _k1 long, _k2 long, place long, weight int"), "windows")
+    twice = counted.groupBy("anchor", "value").agg(F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "value")
+    single = counted.where("weight = 1").join(written(twice, "twice"), ["anchor", "value"]).select("anchor", "value", "_k1", "_k2", F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(63).cast("int").alias("i"))
+    # the first and the last of each run of recurring windows in a span; equal ones are wanted once
+    runs = single.groupBy("anchor", "_k1", "_k2", "start").agg(F.collect_list(F.struct("i", "value")).alias("w"))
+    has = lambda j: F.exists("w", lambda x: x["i"] == j)
+    edges = F.filter("w", lambda x: ~has(x["i"] - 1) | ~has(x["i"] + 1))
+    wanted = runs.select("anchor", "_k1", "_k2", "start", F.explode(edges).alias("e")).groupBy("anchor", "e.value").agg(F.min(F.struct("_k1", "_k2", "start", "e.i")).alias("m"))
+    wanted = wanted.select("anchor", "m._k1", "m._k2", "m.start", "m.i").groupBy("anchor", "_k1", "_k2", "start").agg(F.collect_list("i").alias("edges"))
+    spoken = pieces.where(f"kind in ({SPEAKER}, {SPEAKER + 4})").select("anchor", "n", "words", F.array(F.lit(0), F.col("n") - 1).alias("edges"))
+    counted_edges = pieces.where(f"kind = {SINGLE + 4}").join(written(wanted, "wanted"), ["anchor", "_k1", "_k2", "start"]).select("anchor", "n", "words", "edges")
+
+    def phrases_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = _bytes(batch.column(2))
+        words = split_words(data, offsets)
+        edges = batch.column(3)
+        piece = np.repeat(np.arange(batch.num_rows), np.diff(edges.offsets.to_numpy()))
+        at = words.first[piece] + edges.flatten().to_numpy()
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), _slices(data, words.start[at], words.end[at + window - 1])], names=["anchor", "words"])
+
+    phrases = per_batch(spoken.unionByName(counted_edges), phrases_of, "anchor long, words binary")
+    return pieces, written(phrases.dropDuplicates(["anchor", "words"]), "phrases")
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)), offsets - offsets[0]
+
+
+def compiled(phrases: list[bytes]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """An automaton over phrases with one sign for each word, and the signs: exact, as each word of the phrases has its own."""
+    signs: dict[bytes, int] = {}
+    split = [p.split() for p in phrases]
+    for words in split:
+        for w in words:
+            signs.setdefault(w, len(signs) + 1)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for words in split:
+        automaton.add_word(_signs([signs[w] for w in words]))
     automaton.make_automaton()
-    marks = np.zeros(len(codes) + 1, np.int32)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a < window:
-            continue
-        for end, values in automaton.iter(codes[a:b]):
-            start = a + end - window + 1
-            if int(windows[start]) in values:
-                marks[start] += 1
-                marks[start + window] -= 1
-    return np.cumsum(marks[:-1]) > 0
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    return automaton, signs
+
+
+def _signs(codes: list[int]) -> str:
+    """A string with a sign for each number; those of surrogates are left out."""
+    codes = np.array(codes, np.uint32)
+    return (codes + np.where(codes < 0xD000, 0, 0x1000).astype(np.uint32)).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def locate(phrases: list[bytes], pieces: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first word, last word) of what the hits of each piece cover together: its windows overlap, so that is one range."""
+    automaton, signs = compiled(phrases)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for row in range(0, len(pieces), 2048):
+        raw = [x.as_py().split() for x in pieces.slice(row, 2048)]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        get = signs.get
+        stream = _signs([get(w, 0) for words in raw for w in words])
+        last = np.fromiter((end for end, _ in automaton.iter(stream)), np.int64)
+        start = last - window + 1
+        piece = np.searchsorted(first, start, "right") - 1
+        inside = last < first[piece + 1]
+        start, last, piece = start[inside], last[inside], piece[inside]
+        if len(piece):
+            own, at = np.unique(piece, return_index=True)
+            ends = np.append(at[1:], len(piece)) - 1
+            found.append((own + row, start[at] - first[own], last[ends] - first[own]))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 3
+
+
+def occurrences(pieces: DataFrame, phrases: DataFrame, window: int = WINDOW, most_phrases: int = PHRASES, most_pieces: int = PIECES) -> DataFrame:
+    """_k1, _k2, start, n: ranges of words that phrases cover, found by streaming all pieces through the shards' automata."""
+    shards = max(1, -(-phrases.count() // most_phrases))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
+    # a shard is cut into blocks of phrases and blocks of pieces where an anchor makes it large
+    blocks = phrases.groupBy(shard).agg(F.ceil(F.count("*") / (2 * most_phrases)).cast("int").alias("blocks"))
+    deals = pieces.groupBy(shard).agg(F.ceil(F.count("*") / most_pieces).cast("int").alias("deals"))
+    plan = written(blocks.join(deals, "shard"), "shards")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    known = phrases.select(shard, "words").join(plan, "shard").select("shard", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int").alias("block"), every("deals").alias("deal"), "words")
+    streamed = pieces.select(shard, "_k1", "_k2", "start", "words").join(plan, "shard").select("shard", every("blocks").alias("block"), F.pmod(F.xxhash64("_k1", "_k2", "start"), F.col("deals")).cast("int").alias("deal"), "_k1", "_k2", "start", "words")
+
+    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        piece, first, last = locate(own.column("words").to_pylist(), asked.column("words").combine_chunks(), window) if own.num_rows and asked.num_rows else (none,) * 3
+        rows = pa.array(piece)
+        start = asked.column("start").take(rows).to_numpy() + first
+        out = pa.table({"_k1": asked.column("_k1").take(rows), "_k2": asked.column("_k2").take(rows), "start": long_column(start), "n": long_column(last - first + 1)})
+        release()
+        return out
+
+    cell = ["shard", "block", "deal"]
+    return known.groupBy(*cell).cogroup(streamed.groupBy(*cell)).applyInArrow(search, "_k1 long, _k2 long, start long, n long")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **options) -> DataFrame:
     """The rows of docs with all their columns, text as it was, and _n_words, _n_removed, _kept (the kept words with single spaces)."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
-    ranges = confirmed_windows(keyed.select(F.col("_key").alias("key"), "text"), window, gram)
-    packed = compressed(keyed, "text", "text").join(ranges.select(F.col("key").alias("_key"), "ranges").withColumnRenamed("ranges", "_ranges"), "_key", "left").drop("_key")
-    columns = packed.columns
-    at, ranges_at = columns.index("text"), columns.index("_ranges")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept", T.StringType()))]])
+    if window - gram + 1 > min(63, window):
+        raise ValueError("a span may have 63 windows at most")
+    keyed = docs.select(F.struct("*").alias("_row"), *row_key(F.col("doc_id"), F.col("text")), F.col("text"))
+    pieces, phrases = _pieces_and_phrases(keyed.select("_k1", "_k2", "text"), window, gram)
+    ranges = occurrences(pieces, phrases, window, **options).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "n")).alias("_ranges"))
+    # text is wanted once: the row keeps its place, and the text itself goes compressed
+    packed = keyed.withColumn("_row", F.col("_row").dropFields("text")) if len(docs.columns) > 1 else keyed
+    packed = compressed(packed, "text", "text").join(written(ranges, "ranges"), ["_k1", "_k2"], "left").select("_row", "text", "_ranges")
+    schema = T.StructType([T.StructField("_row", packed.schema["_row"].dataType), T.StructField("text", T.StringType()), *[T.StructField(n, t) for n, t in (("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept", T.StringType()))]])
 
     def work(batch: pa.RecordBatch):
-        for first_row, texts in opened(batch.column(at)):
+        for first_row, texts in opened(batch.column(1)):
             for row, stop, data, offsets in chunks(texts):
                 words = split_words(data, offsets)
-                hit = np.zeros(len(words.doc), bool)
                 begin, size = [], []
                 for i in range(row, stop):
-                    for x in batch.column(ranges_at)[first_row + i].as_py() or ():
+                    for x in batch.column(2)[first_row + i].as_py() or ():
                         begin.append(words.first[i - row] + x["start"]), size.append(x["n"])
-                if begin:
-                    hashes = words.hashes()
-                    recurs = np.zeros(len(words.doc) + 1, bool)
-                    recurs[ragged(np.array(begin), np.array(size))] = True
-                    codes = ((hashes >> np.uint64(44)) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
-                    # windows of two documents are never marked; each document's runs are cut apart by its last window
-                    hit = locate(codes, window_hashes(hashes, window), words.first, phrase_starts(recurs[:-1], window), window)
+                hit = covered(np.array(begin, np.int64), np.array(size, np.int64), len(words.doc))
                 raw = data.tobytes()
                 kept = []
                 for i in range(stop - row):
                     own = raw[offsets[i] : offsets[i + 1]].split()
                     gone = hit[words.first[i] : words.first[i + 1]]
                     kept.append(b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g] if gone.any() else own))
-                piece = batch.slice(first_row + row, stop - row)
-                arrays = [texts.slice(row, stop - row).cast(pa.string()) if i == at else c for i, c in enumerate(piece.columns) if i != ranges_at]
                 removed = np.bincount(words.doc[hit], minlength=words.n_docs)
-                yield pa.RecordBatch.from_arrays([*arrays, long_column(words.counts()), long_column(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first_row + row, stop - row), texts.slice(row, stop - row).cast(pa.string()), long_column(words.counts()), long_column(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from work(batch)
-
-    return packed.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    yield from work(batch.slice(at, 1024))
+        finally:
+            release()
+
+    found = packed.mapInArrow(run, schema)
+    return found.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns], "_n_words", "_n_removed", "_kept")
 
 
 def repeat_digest(docs: DataFrame, **options) -> DataFrame:

@@ -1,8 +1,9 @@
 """Columnar text helpers that run inside Spark tasks, on one Arrow batch at a time.
 
-A batch is cut into chunks of about ``CHUNK_BYTES`` of UTF-8 (a longer document is a chunk of its own), so that
-the numpy temporaries stay small whatever the length of the texts. All word and window hashes are 64 bit and depend
-on the words alone, never on the partition, the chunk or the process.
+A batch is cut into chunks of about ``CHUNK_BYTES`` of UTF-8 (a longer document is a chunk of its own). Bytes and words are hashed
+in blocks, so that the numpy temporaries stay small whatever the length of a text: what grows with a long text is a few numbers
+for each of its words. All word and window hashes are 64 bit and depend on the words alone, never on the partition, the chunk,
+the block or the process.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes or words that are hashed at a time.
+BLOCK = 1 << 18
 
 #: Fixed odd multipliers of the polynomial hashes (64 bit).
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
-SECOND_BASE = 0xA0761D6478BD642F
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -33,23 +35,26 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown when a longer text comes."""
+    """Powers of an odd base and of its inverse modulo 2^64. The kept tables never grow beyond what a block needs."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, U64)
 
+    def _table(self, base: int, n: int) -> np.ndarray:
+        row = np.full(n, base, U64)
+        row[0] = 1
+        return np.cumprod(row)
+
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > BLOCK + 1:  # a single very long word or span
+            return self._table(self.base, n), self._table(self.inverse, n)
         if len(self.up) < n:
-            size = max(2 * len(self.up), n, 1 << 18)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                row = np.full(size, base, U64)
-                row[0] = 1
-                setattr(self, name, np.cumprod(row))
+            self.up, self.down = self._table(self.base, BLOCK + 1), self._table(self.inverse, BLOCK + 1)
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS, _SECOND = _Powers(BYTE_BASE), _Powers(WORD_BASE), _Powers(SECOND_BASE)
+_BYTES, _WORDS = _Powers(BYTE_BASE), _Powers(WORD_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,12 +92,28 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
+def _range_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers, offset: int) -> np.ndarray:
+    """The polynomial value of each range of values. Ranges come in order of their start."""
+    out = np.zeros(len(start), U64)
+    i = 0
+    while i < len(start):
+        origin = int(start[i])
+        stop = max(i + 1, int(np.searchsorted(start, origin + BLOCK - 128)))
+        while stop > i + 1 and int(end[stop - 1]) - origin > BLOCK:
+            stop = i + (stop - i) // 2
+        a, b = start[i:stop] - origin, end[i:stop] - origin
+        n = int(b.max())
+        up, down = powers.to(n + 1)
+        sums = np.zeros(n + 1, U64)
+        np.cumsum((values[origin : origin + n].astype(U64) + U64(offset)) * up[:n], out=sums[1:])
+        out[i:stop] = (sums[b] - sums[a]) * down[a]
+        i = stop
+    return out
+
+
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range."""
-    up, down = _BYTES.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
+    """A 64-bit hash of each byte range; the ranges come in order."""
+    return mix(_range_sums(data, start, end, _BYTES, 1) ^ (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,23 +159,18 @@ def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT
     return Words(data, offsets, start, end, doc, first)
 
 
-def window_hashes(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each run of k consecutive word hashes (also across documents: see ``window_starts``)."""
-    n = len(words)
-    if n < k:
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k consecutive word hashes (also across documents: see ``inside_document``)."""
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    up, down = (_SECOND if second else _WORDS).to(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1] + U64(k))
+    start = np.arange(n)
+    return mix(_range_sums(words, start, start + k, _WORDS, 0) + U64(k))
 
 
-def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each range of word hashes."""
-    up, down = (_SECOND if second else _WORDS).to(len(words) + 1)
-    sums = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of word hashes; the ranges come in order."""
+    return mix(_range_sums(words, start, end, _WORDS, 0) + (end - start).astype(U64))
 
 
 def inside_document(doc: np.ndarray, k: int) -> np.ndarray:
@@ -176,16 +192,19 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return low
 
 
-#: Low bits that carry a position in a winnowing key: a single text may hold up to 2^26 words.
+#: Low bits that carry a position in a winnowing key.
 POSITION_BITS = 26
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w gram hashes, the position of the smallest, the leftmost of equals."""
-    if len(grams) >= 1 << POSITION_BITS:
-        raise ValueError("a text of over 2^26 words")
-    key = (grams >> U64(POSITION_BITS) << U64(POSITION_BITS)) | np.arange(len(grams), dtype=U64)
-    return (sliding_min(key, w) & U64((1 << POSITION_BITS) - 1)).astype(np.int64)
+    """For each run of w gram hashes, the position of the smallest, the leftmost of equals. Long inputs go in overlapping parts."""
+    part = (1 << POSITION_BITS) - w
+    found = []
+    for at in range(0, max(len(grams) - w + 1, 1), part):
+        own = grams[at : at + part + w - 1]
+        key = (own >> U64(POSITION_BITS) << U64(POSITION_BITS)) | np.arange(len(own), dtype=U64)
+        found.append((sliding_min(key, w) & U64((1 << POSITION_BITS) - 1)).astype(np.int64) + at)
+    return np.concatenate(found)
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray:

@@ -9,10 +9,11 @@ from itertools import chain
 
 import numpy as np
 
+from .inputs import CACHES
 from .textkernel import LOWER, SPACE, Words, byte_hashes, ragged
 
 #: Distinct units that a worker remembers; beyond it starts afresh, so memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class UnitCache:
@@ -21,6 +22,7 @@ class UnitCache:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.clear()
+        CACHES.add(self)
 
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
@@ -113,7 +115,7 @@ def _signs(unit: str) -> str:
     return unit if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTE_SIGNS)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def word_bpe(path: str) -> UnitCache:
     import os
 
@@ -133,7 +135,7 @@ def word_bpe(path: str) -> UnitCache:
     return UnitCache(encode)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def piece_bpe(path: str) -> tuple[UnitCache, np.ndarray]:
     """Ids by word, and which ids are single bytes."""
     from sentencepiece import SentencePieceProcessor

@@ -103,6 +103,57 @@ def test_substrings_equal_brute_force(docs, rows):
     assert same[3] == dict((r[0], r[1]) for r in rows)[3] and same[4] is None
 
 
+def removed_by_windows(rows, window):
+    """n_removed of each (doc_id, text), by counting all windows."""
+    count = Counter(tuple(w[i : i + window]) for _, t in rows for w in [words_of(t)] for i in range(len(w) - window + 1))
+    out = []
+    for k, t in rows:
+        w, gone = words_of(t), set()
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        out.append((k, len(gone)))
+    return sorted(out)
+
+
+def test_automata_alone_say_what_goes(spark):
+    """Near copies share most windows of a passage; small blocks split its phrases and pieces. Without phrases nothing is found."""
+    rng = random.Random(4)
+    base = [rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(120)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for j in rng.sample(range(120), i % 4):
+            own[j] = f"new{i}"
+        rows.append((i, " ".join([f"head{i}", *own[rng.randint(0, 60) :], f"tail{i}"])))
+    rows += [(100, "x " * 50), (101, "y z " * 9), (102, " ".join(base[:11])), (102, " ".join(base[50:64]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({}, {"most_phrases": 2, "most_pieces": 3}):
+        got = sorted((r["doc_id"], r["n_removed"]) for r in substrings.repeat_digest(df, window=12, gram=4, **options).collect())
+        assert got == removed_by_windows(rows, 12)
+    keyed = df.select(*substrings.row_key(F.col("doc_id"), F.col("text")), "text")
+    pieces, phrases = substrings._pieces_and_phrases(keyed, 12, 4)
+    found = substrings.occurrences(pieces, phrases, 12).count()
+    assert found > substrings.occurrences(pieces, phrases.where("pmod(xxhash64(words), 2) = 0"), 12).count() > 0
+    assert substrings.occurrences(pieces, phrases.limit(0), 12).count() == 0
+
+
+def test_long_texts_cross_chunks_and_blocks(spark):
+    """Texts beyond the sizes at which the helpers cut: a megabyte of words, and one word of a megabyte."""
+    rng = random.Random(9)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, "z" * 1_200_000), (3, "z" * 1_200_000 + " " + " ".join(long[70_000:70_080])), (4, " ".join(long[149_000:] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.repeat_digest(df).collect()}
+    assert got == {1: (150_000, 1080), 2: (1, 0), 3: (81, 80), 4: (1001, 1000)}
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.contamination_digest(df, spark.createDataFrame([(1, " ".join(long[70_000:70_040]))], "item_id long, text string")).collect()}
+    assert found == {1: (150_000, 40), 2: (1, 0), 3: (81, 40), 4: (1001, 0)}
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert near == {1: (149_996, 1), 2: (1, 2), 3: (77, 3), 4: (997, 4)}
+    packed = packing.pack_documents(df.where("doc_id <> 1"), capacity=64)
+    assert packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").count() == 0
+
+
 def test_substrings_of_repeated_rows_and_other_windows(spark):
     text = "a b c d e f g h i j"
     df = spark.createDataFrame([(1, text), (1, text), (2, "z " + text + " q"), (None, None)], "doc_id long, text string")
