@@ -1,41 +1,55 @@
-"""WARC capture archives, their index, and globally ordered capture histories.
+"""WARC capture archives, their index, and globally ordered capture histories by an external merge.
 
-Each page becomes a response record, or a revisit of the record with the same payload and the largest page_id. Records are
-written through Spark's text writer, whose line separator is the two empty lines that close a WARC record, so archives go to
-any store that Spark writes to. Reading back takes whole archive files (small by ``RECORDS_PER_FILE``) and follows the
-content lengths. Every archive gives a locally sorted run of index rows; ranges of URL key and time are dealt out, and
-each range merges its runs with a loser tree.
+Each page becomes a response record, or a revisit of the record with the same payload and the largest page_id. Tasks write archives of
+one gzip member a record, so a record can be read alone at its offset; a file is closed beyond ``ARCHIVE_BYTES``. Archives are read
+back member by member, and each gives a run: its index rows, sorted by URL key and time, in a Parquet file with small row groups.
 
-Defined cases: null html is an empty payload; a null url is an empty URL; rows that repeat a page_id are records of their own,
-and among equal payloads all rows but those with the largest page_id revisit it; rows without page_id are left out (nothing
-can refer to them); an empty table writes and returns nothing; other columns are ignored.
+Runs are merged by a loser tree over k open files, a row group of each in memory. While there are more than ``FAN_IN``, groups of them
+are merged into longer runs; then the key space is cut at sampled keys, and a task for each range merges its part of all runs. Row groups
+outside a range are skipped by their statistics. So no run, range or URL has to fit in memory, and a much-captured URL may span ranges.
+
+Archives and runs go to the shared folder through pyarrow.fs, under names of their own for each task attempt; only what a
+finished task reports is read later, so a lost executor leaves nothing half-written in the result.
+
+Defined cases: null html is an empty payload; a null url is an empty URL; a null page_id is a page of its own, which revisits the page with
+its payload that has the largest page_id, and is a response where no page with that payload has an id; of rows that repeat the
+largest page_id all are responses; an empty table writes and returns nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .inputs import shared_folder
+from .inputs import release, shared_folder, written
 
 #: Fixed strings of the format (ISO 28500).
-CLOSE = "\r\n\r\n"
+CLOSE = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Alphabets of base 32 digits (RFC 4648, sections 7 and 6).
 BASE32_HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-RECORDS_PER_FILE = 4000
-#: Captures have no time of their own here: page n is taken n seconds after this.
-FIRST_CAPTURE = "2024-01-01T00:00:00Z"
+#: Compressed bytes after which an archive is closed.
+ARCHIVE_BYTES = 16 << 20
+GZIP_LEVEL = 4
+#: Rows in a row group of a run; runs that are merged at once; rows in a range of the last merge, on average, and the most ranges.
+GROUP_ROWS, FAN_IN, RANGE_ROWS, MOST_RANGES = 2048, 64, 100_000, 4096
+#: Captures have no time of their own here: page n is taken n seconds (modulo ``SPAN``) after this.
+FIRST_CAPTURE, SPAN = datetime(2024, 1, 1, tzinfo=UTC), 300_000_000
 
-INDEX = "url_key string, captured string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, record_offset long"
+INDEX = pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("record_offset", pa.int64()), ("record_length", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
+INDEX_SQL = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in INDEX)
+RUNS = "run string, rows long, firsts array<string>"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -45,45 +59,77 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), BASE32_HEX, BASE32)
 
 
-def _bare(text: Column) -> Column:
-    """A header value on one line."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]", " ")
-
+def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, digest, size, target (the page that a revisit refers to, else null), html.
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One row (value) for each page: its whole WARC record without the closing lines.
-
-    Which page a payload's copies refer to is a partial aggregate over digests; pages join it by digest, so no html is shuffled
-    for the sake of the aggregate.
+    Which page a payload's copies refer to is a partial aggregate over digests, and pages join it by digest.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    page = pages.select(F.col("page_id").cast("long"), _bare(F.col("url")).alias("url"), html.alias("html")).where("page_id is not null")
+    page = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     page = page.withColumns({"digest": base32_sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html").cast("long")})
     first = page.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("copies")).where("copies > 1")
     joined = page.join(first, "digest", "left")
-    revisit = F.coalesce((F.col("size") >= least_bytes) & (F.col("target") != F.col("page_id")), F.lit(False))
-    captured = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(FIRST_CAPTURE))) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-Date", captured),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(
-            line("WARC-Profile", F.lit(REVISIT_PROFILE)),
-            line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("target").cast("string"), F.lit(">"))),
-            line("X-Payload-Length", F.col("size").cast("string")),
-        )).otherwise(F.lit("")),
-        line("Content-Length", F.when(revisit, "0").otherwise(F.col("size").cast("string"))),
-        F.lit("\r\n"),
-    )
-    return joined.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, least_bytes).write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    revisit = (F.col("size") >= least_bytes) & ~F.col("target").eqNullSafe(F.col("page_id"))
+    return joined.select("page_id", "url", "digest", "size", F.when(revisit, F.col("target")).alias("target"), "html")
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _named(number: int | None) -> str:
+    return "none" if number is None else str(number)
+
+
+def record(page: int | None, url: str, digest: str, size: int, target: int | None, html: str, name: str) -> bytes:
+    """A WARC record; ``name`` makes the id of a revisit its own."""
+    revisit = target is not None
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <urn:page:{_named(page)}:{name if revisit else digest}>",
+        "WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url),
+        f"WARC-Date: {FIRST_CAPTURE + timedelta(seconds=(page or 0) % SPAN):%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Page-ID: {_named(page)}",
+    ]
+    if revisit:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{target}:{digest}>", f"X-Payload-Length: {size}"]
+    block = b"" if revisit else html.encode()
+    return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + CLOSE + block + CLOSE
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write the archives below ``path``; archive and records of each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        prefix = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        store, folder = _store(path)
+        store.create_dir(folder, recursive=True)
+        out, name, records, done = None, "", 0, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if out is None:
+                    name, records = f"{prefix}-{len(done):05d}.warc.gz", 0
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                packer = zlib.compressobj(GZIP_LEVEL, wbits=31)
+                out.write(packer.compress(record(*[c[i].as_py() for c in batch.columns], name=f"{name}:{records}")) + packer.flush())
+                records += 1
+                if out.tell() >= archive_bytes:
+                    out.close()
+                    done.append((name, records))
+                    out = None
+        if out is not None:
+            out.close()
+            done.append((name, records))
+        release()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done]), pa.array([r for _, r in done])], names=["archive", "records"])
+
+    return written(captures(pages, least_bytes).mapInArrow(work, "archive string, records long"), "archives")
 
 
 def url_key(url: str) -> str:
@@ -93,48 +139,100 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")/" + rest.partition("#")[0]
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record."""
-    at = 0
-    while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:stop].decode("utf-8").split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        body = stop + 4
-        size = int(headers["Content-Length"])
-        yield at, headers, raw[body : body + size]
-        at = body + size + len(CLOSE)
+def members(stream, size: int = 1 << 18) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, bytes) of each gzip member of a file."""
+    offset, raw = 0, b""
+    while True:
+        unpack, parts, used = zlib.decompressobj(31), [], 0
+        while not unpack.eof:
+            if not raw and not (raw := stream.read(size)):
+                if used:
+                    raise ValueError(f"the member at {offset} is cut off")
+                return
+            parts.append(unpack.decompress(raw))
+            used += len(raw) - len(unpack.unused_data)
+            raw = unpack.unused_data
+        yield offset, used, b"".join(parts)
+        offset += used
+
 
+def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    stop = raw.index(CLOSE)
+    headers = dict(x.split(": ", 1) for x in raw[:stop].decode("utf-8").split("\r\n")[1:])
+    size = int(headers["Content-Length"])
+    return headers, raw[stop + 4 : stop + 4 + size]
 
-def read_archives(spark, path: str) -> DataFrame:
-    """Index rows of all records, each archive's in order of URL key and time; payload digests are those of the bytes read."""
-    import base64
-    import zlib
 
-    def work(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for offset, head, block in parse_archive(zlib.decompress(raw.as_buffer(), 31)):
-                    page = int(head["WARC-Record-ID"][10:-1])
-                    kind = head["WARC-Type"]
-                    digest = base64.b32encode(hashlib.sha1(block).digest()).decode() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if f"sha1:{digest}" != head["WARC-Payload-Digest"]:
-                        raise ValueError(f"{name}: the record at {offset} doesn't hold what was written")
-                    size = len(block) if kind == "response" else int(head["X-Payload-Length"])
-                    refers = int(head["WARC-Refers-To"][10:-1]) if kind == "revisit" else None
-                    rows.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], page, kind, refers, digest, size, name.rpartition("/")[2], offset))
-                rows.sort(key=lambda x: x[:3])
-                if rows:
-                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+def index_row(archive: str, offset: int, length: int, raw: bytes) -> tuple:
+    """The index row of a record; a response's digest and size are those of the bytes read."""
+    head, block = parsed(raw)
+    kind, page = head["WARC-Type"], head["X-Page-ID"]
+    claimed = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    digest = base64.b32encode(hashlib.sha1(block).digest()).decode() if kind == "response" else claimed
+    if digest != claimed:
+        raise ValueError(f"{archive}: the record at {offset} doesn't hold what was written")
+    refers = int(head["WARC-Refers-To"].split(":")[2]) if kind == "revisit" else None
+    size = len(block) if kind == "response" else int(head["X-Payload-Length"])
+    return url_key(head["WARC-Target-URI"]), head["WARC-Date"], None if page == "none" else int(page), archive, offset, length, kind, refers, digest, size
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(work, INDEX)
+def key_of(row: tuple) -> tuple:
+    """The order of histories: URL key, time, page (none first), then the record's place, so that no two are equal."""
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[4]
 
 
-_NAMES = [x.split()[0] for x in INDEX.split(", ")]
-_TYPES = [pa.int64() if x.endswith("long") else pa.string() for x in INDEX.split(", ")]
+class RunWriter:
+    """Writes rows in order as a run, and notes the first key of each row group."""
+
+    def __init__(self, store, path: str):
+        self.rows, self.count, self.firsts = [], 0, []
+        self.out = pq.ParquetWriter(path, INDEX, filesystem=store, compression="zstd")
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= GROUP_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.firsts.append(packed_key(key_of(self.rows[0])))
+            self.count += len(self.rows)
+            self.out.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), INDEX, strict=True)], schema=INDEX), row_group_size=GROUP_ROWS)
+            self.rows = []
+
+    def close(self) -> tuple[int, list[str]]:
+        self.flush()
+        self.out.close()
+        return self.count, self.firsts
+
+
+def packed_key(key: tuple) -> str:
+    import json
+
+    return json.dumps(key)
+
+
+def opened_key(text: str) -> tuple:
+    import json
+
+    return tuple(json.loads(text))
+
+
+def read_run(store, path: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple[tuple, tuple]]:
+    """(key, row) of a run's rows with low <= key < high, a row group at a time."""
+    with pq.ParquetFile(path, filesystem=store) as file:
+        for g in range(file.metadata.num_row_groups):
+            seen = file.metadata.row_group(g).column(0).statistics
+            if seen is not None and seen.has_min_max and (low and seen.max < low[0] or high and seen.min > high[0]):
+                continue
+            columns = file.read_row_group(g).to_pydict()
+            for row in zip(*columns.values(), strict=True):
+                key = key_of(row)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield key, row
 
 
 class LoserTree:
@@ -149,7 +247,7 @@ class LoserTree:
 
     def _before(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
-        return y is None or x is not None and (x, a) <= (y, b)
+        return y is None or x is not None and (x[0], a) <= (y[0], b)
 
     def _replay(self, winner: int) -> None:
         node = (winner + self.k) // 2
@@ -170,36 +268,100 @@ class LoserTree:
             self._replay(best)
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
-    """The index in global order of URL key, time and page: partition i holds what comes before partition i + 1.
+def index_archives(archives: DataFrame, path: str) -> DataFrame:
+    """Read each archive back and write its sorted run; run, rows and the first key of each row group."""
 
-    Ranges are cut through (url_key, captured, page_id), so a much-captured URL spans as many partitions as it needs.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        store, folder = _store(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as stream:
+                    rows = [index_row(name, *found) for found in members(stream)]
+                rows.sort(key=key_of)
+                run = RunWriter(store, f"{folder}/{name}-{context.taskAttemptId()}.run")
+                for row in rows:
+                    run.add(row)
+                count, firsts = run.close()
+                yield _run_row(f"{name}-{context.taskAttemptId()}.run", count, firsts)
+        release()
+
+    return written(archives.select("archive").repartition(max(1, min(archives.count(), 20_000))).mapInArrow(work, RUNS), "runs")
+
+
+def _run_row(run: str, count: int, firsts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([run]), pa.array([count]), pa.array([firsts], pa.list_(pa.string()))], names=["run", "rows", "firsts"])
+
+
+def longer_runs(runs: DataFrame, path: str, groups: int) -> DataFrame:
+    """One pass of the merge: groups of runs become a run each."""
+
+    def work(table: pa.Table) -> pa.Table:
+        store, folder = _store(path)
+        names = sorted(table.column("run").to_pylist())
+        name = f"merged-{hashlib.sha1(names[0].encode()).hexdigest()[:16]}-{TaskContext.get().taskAttemptId()}.run"
+        out = RunWriter(store, f"{folder}/{name}")
+        for _, row in LoserTree([read_run(store, f"{folder}/{run}") for run in names]):
+            out.add(row)
+        release()
+        return pa.Table.from_batches([_run_row(name, *out.close())])
+
+    return written(runs.repartition(groups, "run").groupBy(F.pmod(F.xxhash64("run"), F.lit(groups))).applyInArrow(work, RUNS), "runs")
+
+
+def merge_runs(runs: DataFrame, path: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The index in global order: partition i holds what comes before partition i + 1."""
+    spark = runs.sparkSession
+    while (k := runs.count()) > fan_in:
+        runs = longer_runs(runs, path, -(-2 * k // fan_in))
+    names = sorted(r[0] for r in runs.select("run").collect())  # fan_in at most
+    keys = runs.select(F.explode("firsts").alias("key"))
+    total, groups = runs.agg(F.sum("rows"), F.sum(F.size("firsts"))).first()
+    ranges = max(1, min(-(-(total or 0) // range_rows), MOST_RANGES))
+    # about twenty keys a range say where to cut; where the cuts fall decides balance, never the result
+    sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, (groups or 0) // (20 * ranges)))) == 0) if ranges > 1 else keys.limit(0)
+    known = sorted({opened_key(r[0]) for r in sample.collect()})
+    cuts = sorted({known[len(known) * i // ranges] for i in range(1, ranges)}) if known else []
+    held = spark.sparkContext.broadcast((names, [None, *cuts, None]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, bounds = held.value
+        store, folder = _store(path)
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                rows = []
+                for _, row in LoserTree([read_run(store, f"{folder}/{name}", bounds[i], bounds[i + 1]) for name in names]):
+                    rows.append(row)
+                    if len(rows) == GROUP_ROWS:
+                        yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
+        release()
+
+    return spark.range(0, len(cuts) + 1, 1, len(cuts) + 1).mapInArrow(work, INDEX_SQL)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), INDEX, strict=True)], schema=INDEX)
 
-    def work(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        rows = table.to_pandas()
-        keys = list(zip(rows.url_key, rows.captured, rows.page_id, range(len(rows)), strict=True))
-        runs = [iter([keys[i] for i in at]) for at in rows.groupby("archive", sort=True).indices.values()]
-        order = [key[3] for key in LoserTree(runs)]
-        yield from table.take(pa.array(order)).combine_chunks().to_batches(10_000)
 
-    dealt = index.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id")
-    return dealt.mapInArrow(work, INDEX)
+def read_record(path: str, archive: str, offset: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one record, read at its place alone."""
+    store, folder = _store(path)
+    with store.open_input_file(f"{folder}/{archive}") as file:
+        file.seek(offset)
+        return parsed(next(members(file))[2])
 
 
-def capture_histories(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write the archives, read them back and merge their index runs."""
-    spark = pages.sparkSession
+def capture_histories(pages: DataFrame, least_bytes: int = 0, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES, **merge) -> DataFrame:
+    """Write the archives, read them back and merge their runs."""
+    spark: SparkSession = pages.sparkSession
     path = path or shared_folder(spark, "warc")
-    write_archives(pages, path, least_bytes)
-    return merge_runs(read_archives(spark, path))
+    runs = index_archives(write_archives(pages, path, least_bytes, archive_bytes), path)
+    return merge_runs(runs, path, **merge)
 
 
 def archive_digest(pages: DataFrame, **options) -> DataFrame:
-    """The columns of the query first."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    merged = capture_histories(pages, **options)
-    return merged.select(*names, *[c for c in merged.columns if c not in names])
+    """The columns of the query."""
+    return capture_histories(pages, **options).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

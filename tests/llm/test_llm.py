@@ -285,22 +285,38 @@ def test_language_and_quality_on_a_small_corpus(spark):
 
 
 def test_archives_round_trip(spark, tmp_path):
-    rows = [(1, "http://b.org/x", "<p>é</p>\r\n\r\nWARC/1.1\r\n"), (2, "http://a.org/y", "<p>é</p>\r\n\r\nWARC/1.1\r\n"), (3, None, None), (4, "https://u@A.org:8/z#t", ""), (5, "http://a.org/\r\ny", "q"), (None, "u", "q")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = [r.asDict() for r in warc.archive_digest(pages, path=str(tmp_path / "w")).collect()]
-    by = {r["page_id"]: r for r in got}
-    assert {i: (r["record_type"], r["refers_to"]) for i, r in by.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None)}
-    for i, _, html in rows[:5]:
-        raw = (html or "").encode()
-        assert by[i]["payload_bytes"] == len(raw) and by[i]["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
-    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in got]
-    assert keys == sorted(keys)
+    same = "<p>é</p>\r\n\r\nWARC/1.1\r\n"
+    rows = [(1, "http://b.org/x", same), (2, "http://a.org/y", same), (3, None, None), (4, "https://u@A.org:8/z#t", ""), (5, "http://a.org/\r\ny", "q"), (None, "u", "q"), (None, "v", "r"), (None, "w", "r"), (1 << 60, "http://a.org/y", "z"), (-(1 << 62), "", same), (7, "http://a.org/y", "s"), (7, "http://a.org/y", "s"), (6, "t", "s"), (9, "big", "0123456789" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"archive": F.lit(1), "size": F.lit("x"), "target": F.lit(None).cast("string")})
+    path = str(tmp_path / "w")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r.asDict() for r in warc.capture_histories(pages.repartition(3), path=path, archive_bytes=150, fan_in=2, range_rows=3).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    most = {}
+    for i, _, html in rows:
+        most[html or ""] = max(most.get(html or "", -(1 << 63)), -(1 << 63) if i is None else i)
+    digest = lambda raw: base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    want = []
+    for i, _, html in rows:
+        raw, target = (html or "").encode(), most[html or ""]
+        other = target > -(1 << 63) and target != i
+        want.append((i, len(raw), digest(raw), "revisit" if other else "response", target if other else None))
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == Counter(want)
+    keys = [(r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
+    assert keys == sorted(keys) and next(r for r in got if r["page_id"] == 1)["captured"] == "2024-01-01T00:00:01Z"
+    for r in got:  # each record can be read alone at its place
+        head, block = warc.read_record(path, r["archive"], r["record_offset"])
+        assert head["WARC-Type"] == r["record_type"] and (r["record_type"] == "revisit" or digest(block) == r["payload_digest"])
+    assert len({r["archive"] for r in got}) > 4
+    assert warc.archive_digest(pages.limit(0)).count() == 0
 
 
 def test_loser_tree_merges():
     rng = np.random.default_rng(2)
     for k in (0, 1, 2, 3, 7):
-        runs = [sorted((int(x), i, j) for j, x in enumerate(rng.integers(0, 50, rng.integers(0, 20)))) for i in range(k)]
+        runs = [sorted(((int(x), i, j), None) for j, x in enumerate(rng.integers(0, 50, rng.integers(0, 20)))) for i in range(k)]
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
