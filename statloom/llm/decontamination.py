@@ -4,6 +4,8 @@ A window is ``WINDOW`` consecutive words of an item, or a shorter item whole. Of
 the smallest is kept as its fingerprint, so a document that holds the window holds the fingerprint too. Fingerprints of
 documents and items are joined, and each hit is extended to the windows around it, which are compared by 64-bit hash.
 
+Items shorter than a window can't be winnowed: documents are scanned for them, length by length.
+
 The fingerprints of items are broadcast while the items have at most ``max_broadcast_windows`` windows (counted first;
 20 bytes each); beyond that, fingerprints and windows are joined by shuffles, with equal results.
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .inputs import per_batch, row_key
+from .inputs import per_batch, row_key, written
 from .textkernel import ALNUM, LOWER, chunks, covered, inside_document, long_column, split_words, window_hashes, winnow
 
 WINDOW = 13
@@ -95,38 +97,48 @@ def _among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (known[place] == values if len(known) else np.zeros(len(values), bool)), place
 
 
-def _by_broadcast(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
+def _known(windows: DataFrame):
+    """Sorted fingerprints, sorted window hashes by length, and the items of each window; of a counted, bounded table."""
     table = windows.toPandas()
     table["value"] = table["value"].to_numpy().view(np.uint64)
     by_length, items = {}, {}
     for k, rows in table[table.length > 0].groupby("length"):
         grouped = rows.groupby("value").item_id.agg(list)
         by_length[int(k)], items[int(k)] = grouped.index.to_numpy(np.uint64), grouped.tolist()
-    held = spark.sparkContext.broadcast((np.sort(table.value[table.length == 0].unique()).astype(np.uint64), by_length, items))
+    return np.sort(table.value[table.length == 0].unique()).astype(np.uint64), by_length, items
+
+
+def _judged(column: pa.Array, known) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Words, hit words and sorted items of each text."""
+    prints, by_length, items = known
+    n_words, n_hit, found_items = [], [], []
+    for _, _, data, offsets in chunks(column):
+        words, hashes = _chunk_words(data, offsets)
+        start, length, place = _hits(words, hashes, prints, by_length)
+        hit = covered(start, length, len(words.doc))
+        n_words.append(words.counts())
+        n_hit.append(np.bincount(words.doc[hit], minlength=words.n_docs))
+        sets: list[set] = [set() for _ in range(words.n_docs)]
+        for d, k, p in set(zip(words.doc[start].tolist(), length.tolist(), place.tolist(), strict=True)):
+            sets[d].update(items[k][p])
+        found_items += [sorted(s) for s in sets]
+    return np.concatenate(n_words), np.concatenate(n_hit), found_items
+
+
+def _by_broadcast(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(_known(windows))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, by_length, items = held.value
-        n_words, n_hit, found_items = [], [], []
-        for _, _, data, offsets in chunks(batch.column(1)):
-            words, hashes = _chunk_words(data, offsets)
-            start, length, place = _hits(words, hashes, prints, by_length)
-            hit = covered(start, length, len(words.doc))
-            n_words.append(words.counts())
-            n_hit.append(np.bincount(words.doc[hit], minlength=words.n_docs))
-            sets: list[set] = [set() for _ in range(words.n_docs)]
-            for d, k, p in set(zip(words.doc[start].tolist(), length.tolist(), place.tolist(), strict=True)):
-                sets[d].update(items[k][p])
-            found_items += [sorted(s) for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), long_column(np.concatenate(n_words)), long_column(np.concatenate(n_hit)), pa.array(found_items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+        n_words, n_hit, items = _judged(batch.column(1), held.value)
+        return pa.RecordBatch.from_arrays([batch.column(0), long_column(n_words), long_column(n_hit), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
-    return per_batch(docs, work, "doc_id long, n_words long, n_hit long, items array<string>")
+    return per_batch(docs.select("doc_id", "text"), work, "doc_id long, n_words long, n_hit long, items array<string>")
 
 
 def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The same through joins: candidates by fingerprint, then windows by hash, then one row for each document."""
     lengths = [r[0] for r in windows.where("length > 0").select("length").distinct().collect()]  # at most WINDOW values
-    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
+    keyed = docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
 
     def prints_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, values = [], []
@@ -174,32 +186,46 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     at = words.first[i - row] + span["start"]
                     hit[at : at + span["length"]] = True
             n_words.append(words.counts()), n_hit.append(np.bincount(words.doc[hit], minlength=words.n_docs))
-        return pa.RecordBatch.from_arrays([batch.column(0), long_column(np.concatenate(n_words)), long_column(np.concatenate(n_hit)), batch.column(2)], names=["doc_id", "n_words", "n_hit", "items"])
+        return pa.RecordBatch.from_arrays([batch.column(0), long_column(np.concatenate(n_words)), long_column(np.concatenate(n_hit)), batch.column(2), batch.column(4), batch.column(5)], names=["doc_id", "n_words", "n_hit", "items", "_k1", "_k2"])
+
+    joined = keyed.join(found, ["_k1", "_k2"], "left").select("doc_id", "text", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", "_k1", "_k2")
+    return per_batch(joined, count, "doc_id long, n_words long, n_hit long, items array<string>, _k1 long, _k2 long")
 
-    joined = keyed.join(found, ["_k1", "_k2"], "left").select("doc_id", "text", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
-    return per_batch(joined, count, "doc_id long, n_words long, n_hit long, items array<string>")
+
+_CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
+
+
+def _windows(benchmark: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The items' windows as a written table, and whether they are few enough to be broadcast."""
+    windows = written(item_windows(benchmark), "windows")
+    return windows, windows.count() <= most
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), contaminated, one row for each row of docs."""
-    windows = item_windows(benchmark).cache()
-    try:
-        small = windows.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows
-        out = (_by_broadcast if small else _by_shuffle)(docs.select(F.col("doc_id").cast("long"), "text"), windows)
-    finally:
-        if small:
-            windows.unpersist()
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    windows, small = _windows(benchmark, max_broadcast_windows)
+    out = (_by_broadcast if small else _by_shuffle)(docs.select(F.col("doc_id").cast("long"), "text"), windows)
+    return out.select("doc_id", "n_words", "n_hit", "items", F.expr(_CONTAMINATED).alias("contaminated"))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The columns of the query: the items as a digest."""
     found = decontaminate(docs, benchmark, **options)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "items")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    named = docs.withColumn("_row", F.xxhash64(*row_key(F.col("doc_id"), F.col("text"))))
-    bad = decontaminate(named.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return named.join(bad, "_row", "left_anti").select(docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; each row is judged by its own text."""
+    windows, small = _windows(benchmark, max_broadcast_windows)
+    if not small:
+        found = _by_shuffle(docs.select(F.col("doc_id").cast("long"), "text"), windows).where(_CONTAMINATED).select("_k1", "_k2").distinct()
+        keyed = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text")))
+        return keyed.join(written(found, "contaminated"), ["_k1", "_k2"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    held = docs.sparkSession.sparkContext.broadcast(_known(windows))
+    at = docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_words, n_hit, _ = _judged(batch.column(at), held.value)
+        return batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+
+    return per_batch(docs, work, docs.schema)
