@@ -2,7 +2,7 @@
 
 Byte trigrams of letter runs, hashed into ``BUCKETS``, give each learned language a likelihood for every word. A document
 is a mixture over its words: expectation-maximisation estimates the proportions, first over all languages, then over the
-leading 1, 2, ... of them; the set with the best likelihood after a penalty per language is kept.
+leading 1, 2, ... of them, until no larger set can win; the set with the best likelihood after a penalty per language is kept.
 
 The model has languages x BUCKETS numbers whatever the corpus; its counts are summed by Spark, and it is broadcast.
 
@@ -24,8 +24,6 @@ from .textkernel import LOWER, chunks, split_words
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 ITERATIONS = 6
-#: Languages that one document may mix.
-MOST_LANGUAGES = 4
 #: Times log(words) / 2, the price of each further language.
 PENALTY = 2.0
 
@@ -104,10 +102,13 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.ndarra
     order = np.argsort(-share, 1, kind="stable")
     rank = np.argsort(order, 1, kind="stable")
     chosen, score = share, np.full(len(present), -np.inf)
-    for m in range(1, min(k, MOST_LANGUAGES) + 1):
+    for m in range(1, k + 1):
+        price = PENALTY * (m - 1) * np.log(sizes + 1) / 2
+        if (score >= -price).all():  # a likelihood here is at most 1, so no larger set can win
+            break
         start = np.where(rank < m, np.maximum(share, 1e-6), 0)
         own, fit = _expect(likely, start / start.sum(1, keepdims=True), doc, at, 3 if m > 1 else 0)
-        fit -= PENALTY * (m - 1) * np.log(sizes + 1) / 2
+        fit -= price
         better = fit > score
         chosen = np.where(better[:, None], own, chosen)
         score = np.where(better, fit, score)
