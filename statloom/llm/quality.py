@@ -110,15 +110,19 @@ def summed(rows: DataFrame, part, schema_width: int) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; the middles and values of the blocks."""
+    """Pool adjacent violators; the middles and values of the blocks, which never fall.
+
+    Half a success and half a failure are spread over all bins before they are pooled, so no value is quite 0 or 1.
+    """
+    all_rows = max(float(weight.sum()), 1.0)
+    total, weight = total + weight / (2 * all_rows), weight * (1 + 1 / all_rows)
     blocks: list[list[float]] = []
     for at, t, w in zip(x.tolist(), total.tolist(), weight.tolist(), strict=True):
         blocks.append([at * w, t, w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             a = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], a, strict=True)]
-    # one success and one failure more, spread over all: no block is surer than its rows allow
-    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+    return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
 def train(labelled: DataFrame) -> dict[str, np.ndarray] | None:
