@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
-Documents are cut into pieces of at most ``capacity`` ids. Randomised groups of documents are packed on their own by
+Documents are cut into pieces of at most ``capacity`` ids. Randomised groups of pieces are packed on their own by
 first-fit decreasing; a tournament tree over the room left in each bin finds the leftmost bin that fits in
 O(log n). Only piece lengths are shuffled, never texts or ids.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .inputs import per_batch
+from .inputs import per_batch, written
 from .textkernel import chunks, ragged, split_words
 from .units import tokenizer_file, word_bpe, word_bpe_units
 
@@ -111,9 +111,14 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return where, offset
 
 
-def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
-    """Sequences for pieces of about ``documents`` documents; sequence_id is unique over all groups."""
-    groups = max(1, -(-documents // group_documents))
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+    """Sequences for the pieces; sequence_id is unique over all groups.
+
+    Pieces, not documents, are dealt to the groups. Each row has a salt, so that rows with equal content don't meet in one group; it
+    is written with the pieces, so that a task that runs again deals them alike.
+    """
+    pieces = written(pieces.withColumn("_salt", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-pieces.where("start = 0").count() // group_documents))
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
@@ -123,7 +128,8 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_docu
         rows["padded_length"] = np.where(used & (used - 1), capacity, used)
         return rows[list(names)]
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_salt"), F.lit(groups))).drop("_salt")
+    pieces = pieces.drop("_salt")
     names = dict.fromkeys([*pieces.columns, "sequence_id", "offset", "padded_length"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, padded_length long"
     return dealt.groupBy("_group").applyInPandas(work, schema)
@@ -131,4 +137,4 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group_docu
 
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, closing: int = CLOSING_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length (the filled length where that is a power of two)."""
-    return pack(cut_pieces(docs, vocabulary, capacity, closing, keep_ids), docs.count(), capacity)
+    return pack(cut_pieces(docs, vocabulary, capacity, closing, keep_ids), capacity)
