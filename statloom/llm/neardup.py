@@ -146,12 +146,37 @@ def _sorted_sets(packed: pa.Array, k: int) -> list[np.ndarray]:
     return found
 
 
+def _near_partners(table: pa.Table, least: float) -> dict[int, np.ndarray]:
+    """For rows of a pair of blocks, the rows of other components whose signatures are near enough. Each pair is met once."""
+    own, outside = table.column("own").to_numpy(), table.column("outside").to_numpy()
+    ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), -1)
+    kind, one, two = (int(table.column(c)[0].as_py()) for c in ("kind", "x", "y"))
+    if kind:
+        rows, columns = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    else:
+        rows, columns = np.flatnonzero(outside), np.flatnonzero(~outside)
+    fields, chance = U64(int("01" * PER_LONG, 2)), 2.0**-BITS
+    partners: dict[int, np.ndarray] = {}
+    for i in rows.tolist():
+        x = bits[columns] ^ bits[i]
+        different = np.bitwise_count((x | x >> U64(1)) & fields).sum(1)
+        near = ((1 - different / (BANDS * ROWS)) - chance) / (1 - chance) >= least
+        partner = columns[near & (component[columns] != component[i])]
+        if kind and one == two:
+            partner = partner[ids[partner] > ids[i]]
+        if len(partner):
+            partners[i] = partner
+    return partners
+
+
 def _block_links(members: DataFrame, bits: DataFrame, texts: DataFrame, least: float, k: int, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket: (bucket, id, component) rows.
 
     A bucket's largest component is joined already: its members meet only the outsiders, and outsiders meet each other. Both
-    sides are cut into blocks, so the rows grow with the bucket while it has few outsiders. A task compares the signatures
-    of two blocks, confirms on the full sets what comes near, and returns one link for each member and component.
+    sides are cut into blocks, so the rows grow with the bucket while it has few outsiders. Two blocks first compare their
+    signatures, without texts; only members that came near another component get their texts, and the blocks confirm
+    on the full sets and return one link for each member and component.
     """
     per_component = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     sizes = per_component.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
@@ -165,50 +190,38 @@ def _block_links(members: DataFrame, bits: DataFrame, texts: DataFrame, least: f
         F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), own.alias("y"))),
         F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least(own, j).alias("x"), F.greatest(own, j).alias("y"))),
     )
-    dealt = placed.select("id", "component", "bucket", "own", "outside", F.explode(F.when(outside, outside_places).otherwise(inside_places)).alias("p"))
-    dealt = written(dealt.select("id", "component", "bucket", "own", "outside", "p.kind", "p.x", "p.y"), "dealt")
-    full = dealt.join(bits, "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    dealt = placed.join(bits, "id").select("id", "component", "bucket", "own", "outside", "bits", F.explode(F.when(outside, outside_places).otherwise(inside_places)).alias("p"))
+    dealt = dealt.select("id", "component", "bucket", "own", "outside", "bits", "p.kind", "p.x", "p.y")
+    place = ["bucket", "kind", "x", "y"]
+
+    def candidates(table: pa.Table) -> pa.Table:
+        partners = _near_partners(table, least)
+        used = np.unique(np.concatenate([list(partners), *partners.values()]).astype(np.int64)) if partners else np.zeros(0, np.int64)
+        return table.take(pa.array(used)).select([*place, "id", "component", "own", "outside", "bits"])
 
     def compare(table: pa.Table) -> pa.Table:
-        own, outside = table.column("own").to_numpy(), table.column("outside").to_numpy()
         ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), -1)
-        kind, one, two = (int(table.column(c)[0].as_py()) for c in ("kind", "x", "y"))
-        if kind:
-            rows, columns = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        else:
-            rows, columns = np.flatnonzero(outside), np.flatnonzero(~outside)
-        fields, chance = U64(int("01" * PER_LONG, 2)), 2.0**-BITS
-        partners: dict[int, np.ndarray] = {}
-        for i in rows.tolist():
-            x = bits[columns] ^ bits[i]
-            different = np.bitwise_count((x | x >> U64(1)) & fields).sum(1)
-            near = ((1 - different / (BANDS * ROWS)) - chance) / (1 - chance) >= least
-            partner = columns[near & (component[columns] != component[i])]
-            if kind and one == two:
-                partner = partner[ids[partner] > ids[i]]
-            if len(partner):
-                partners[i] = partner
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if partners:
-            used = np.unique(np.concatenate([list(partners), *partners.values()]).astype(np.int64))
-            sets = dict(zip(used.tolist(), _sorted_sets(table.column("text").combine_chunks().take(pa.array(used)), k), strict=True))
-            for i, partner in partners.items():
-                partner = partner[[len(sets[j]) > 0 for j in partner.tolist()]]
-                mine, others = sets[i], [sets[j] for j in partner.tolist()]
-                if not len(mine) or not others:
-                    continue
-                size = np.array([len(x) for x in others])
-                together = np.concatenate(others)
-                place = np.minimum(np.searchsorted(mine, together), len(mine) - 1)
-                both = np.add.reduceat(mine[place] == together, np.cumsum(size) - size)
-                linked = partner[100 * both >= percent * (len(mine) + size - both)]
-                linked = linked[np.unique(component[linked], return_index=True)[1]]
-                a.append(np.maximum(ids[linked], ids[i])), b.append(np.minimum(ids[linked], ids[i]))
+        sets = _sorted_sets(table.column("text").combine_chunks(), k)
+        for i, partner in _near_partners(table, least).items():
+            partner = partner[[len(sets[j]) > 0 for j in partner.tolist()]]
+            mine, others = sets[i], [sets[j] for j in partner.tolist()]
+            if not len(mine) or not others:
+                continue
+            size = np.array([len(x) for x in others])
+            together = np.concatenate(others)
+            at = np.minimum(np.searchsorted(mine, together), len(mine) - 1)
+            both = np.add.reduceat(mine[at] == together, np.cumsum(size) - size)
+            linked = partner[100 * both >= percent * (len(mine) + size - both)]
+            linked = linked[np.unique(component[linked], return_index=True)[1]]
+            a.append(np.maximum(ids[linked], ids[i])), b.append(np.minimum(ids[linked], ids[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     # dealt by block, not by bucket: a large bucket's blocks go to many tasks
-    return full.repartition("bucket", "kind", "x", "y").groupBy("bucket", "kind", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    schema = "bucket long, kind int, x int, y int, id long, component long, own int, outside boolean, bits array<long>"
+    near = written(dealt.repartition(*place).groupBy(*place).applyInArrow(candidates, schema), "near")
+    full = near.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return full.repartition(*place).groupBy(*place).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _judged(docs: DataFrame, k: int, percent: int, link_null_ids: bool) -> DataFrame:
@@ -283,8 +296,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -
     judged = written(_judged(docs, k, percent, True).select("_k1", "_k2", "copies", "leads"), "judged")
     gone = written(judged.where("not leads or copies > 1").select("_k1", "_k2"), "gone")
     repeated = written(judged.where("leads and copies > 1").select("_k1", "_k2"), "repeated")
-    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
-    whole = F.struct([F.col(c) for c in docs.columns])
-    single = keyed.join(gone, ["_k1", "_k2"], "left_anti").select(docs.columns)
-    again = keyed.join(repeated, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
-    return single.unionByName(again.select("row.*"))
+    # one column holds the row, so no name can clash
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text")))
+    single = keyed.join(gone, ["_k1", "_k2"], "left_anti").select("row")
+    again = keyed.join(repeated, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return single.unionByName(again.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
