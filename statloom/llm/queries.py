@@ -55,4 +55,65 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Languages, quality, fertility verdicts and token ids (2, 5, 6, 9, 10) need a model or a vocabulary, which SQL hasn't.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT DISTINCT doc_id, s FROM (
+            SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+            FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(d.doc_id, least.b) AS component_id, d.doc_id = least(d.doc_id, least.b) AS kept
+        FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON d.doc_id = least.a""",
+    "op3_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS s FROM (
+            SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS a FROM i WHERE len(w) > 0)),
+        hits AS (SELECT p.doc_id, p.a, p.k, windows.item_id FROM (
+            SELECT doc_id, k, a, array_to_string(w[a:a + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)) p
+            JOIN windows ON p.k = windows.k AND p.s = windows.s),
+        words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + k)) AS x FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS target,
+            list_transform(range(0, 8), lambda i: ('0x' || h[1 + 5 * i:5 + 5 * i])::INTEGER) AS v FROM p)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((x >> k) & 31)]), '')), '') AS payload_digest,
+            CASE WHEN target IS DISTINCT FROM page_id AND target IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN target IS DISTINCT FROM page_id THEN target END AS refers_to
+        FROM q""",
+    "op7_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        -- a backslash for each backslash and for each control string
+        m AS (SELECT *, list_sum(list_transform([role, text], lambda x: length(x) + list_sum(list_transform(['\', '<|', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<start_of_turn>', '<end_of_turn>'],
+            lambda c: (length(x) - length(replace(x, c, ''))) // length(c))))) AS size FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(size + length('<|role|>') + length('<|body|>') + 1 + length('<|end|>') + 1)::BIGINT AS formatted_chars
+        FROM m GROUP BY conv_id""",
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, a, sha256(array_to_string(w[a:a + 34], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS a FROM d WHERE len(w) >= 35)),
+        twice AS (SELECT doc_id, a FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+        gone AS (SELECT doc_id, list(DISTINCT x) AS xs FROM (SELECT doc_id, unnest(range(a, a + 35)) AS x FROM twice) GROUP BY doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS x FROM d),
+        kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.x) AS kept FROM words ANTI JOIN (SELECT doc_id, unnest(xs) AS x FROM gone) g ON words.doc_id = g.doc_id AND words.x = g.x GROUP BY words.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(len(xs), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
