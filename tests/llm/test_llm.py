@@ -248,23 +248,62 @@ def test_quality_rules_equal_brute_force(docs, rows):
     assert rules.filter_quality(docs).columns == docs.columns
 
 
-def test_token_counts_equal_a_plain_search(docs, rows):
+def test_token_counts_equal_a_plain_search(spark, docs, rows):
+    """A search over all segmentations, in order of their ends, with scores from counts of our own."""
+    import math
+    from functools import lru_cache
+
+    from sentencepiece import SentencePieceProcessor
+
     from statloom.llm.units import tokenizer_file
 
-    scores = tokencount.piece_scores(tokenizer_file("piece_bpe_32k.model"))
-    trie = tokencount.CountingTrie(scores)
-    long = "ab" * 150
-    whole = tokencount.CountingTrie(scores)
-    tokencount.LONGEST, kept = 10**6, tokencount.LONGEST
-    try:
-        assert whole.count(long) == 100 or whole.count(long) > 0
-        want = whole.count(long)
-    finally:
-        tokencount.LONGEST = kept
-    assert trie.count(long) == want
-    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs).collect()}
+    model = SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    used = Counter(i for _, t, *_ in rows for w in words_of(t) for i in model.encode(w))
+    counts, size = tokencount.piece_counts(docs, "piece_bpe_32k.model")
+    assert {i: n for i, n in enumerate(counts.tolist()) if n} == used and size == model.get_piece_size()
+    total = sum(used.values()) + size
+    score = {model.id_to_piece(i): math.log((used[i] + 1) / total) for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+
+    @lru_cache(maxsize=None)
+    def best(word):
+        if not word:
+            return 0.0, 0
+        found = None
+        for k in range(len(word)):  # the longest last piece first
+            if word[k:] in score:
+                s, n = best(word[:k])
+                if found is None or s + score[word[k:]] > found[0] + 1e-12:
+                    found = s + score[word[k:]], n + 1
+        if word[-1] not in score:
+            s, n = best(word[:-1])
+            size = len(word[-1].encode())
+            if found is None or s - size * math.log(total) > found[0]:
+                found = s - size * math.log(total), n + size
+        return found
+
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in tokencount.count_tokens(docs).collect()}
     for d, t, *_ in rows:
-        assert got[d] == sum(trie.count("▁" + w) for w in words_of(t))
+        assert got[d] == (len(words_of(t)), sum(best("▁" + w)[1] for w in words_of(t)))
+    trie = tokencount.CountingTrie(score, -math.log(total))
+    for word in ("▁" + "abé日" * 80, "▁🙂x", "▁"):  # the first is beyond what the trie keeps
+        short = word[:150]
+        assert trie.count(short) == best(short)[1]
+        sys_limit = trie.count(word)
+        assert sys_limit == _by_ends(word, score, total)
+
+
+def _by_ends(word, score, total):
+    import math
+
+    found = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        options = [(found[k][0] + score[word[k:end]], -k, found[k][1] + 1) for k in range(end) if word[k:end] in score]
+        if word[end - 1] not in score:
+            size = len(word[end - 1].encode())
+            options.append((found[end - 1][0] - size * math.log(total), -end, found[end - 1][1] + size))
+        s, _, n = max(options)
+        found.append((s, n))
+    return found[-1][1]
 
 
 def test_language_and_quality_on_a_small_corpus(spark):
@@ -321,21 +360,116 @@ def test_loser_tree_merges():
 
 
 def test_chat_round_trip_and_typed_parts(spark):
-    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "\\<|end|>\n<|role|>x\n\\"), (2, 0, None, None), (2, 1, "assistant", None), (3, 5, "assistant", "😀<"), (3, 5, "assistant", "é"), (None, 1, "a\nb\\n", "t")]
-    got = {r["conv_id"]: r for r in chat.conversation_digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    for conv in (1, 2, 3):
-        own = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv))
+    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "\\<|end|>\n<|role|>x\n\\"), (2, 0, None, None), (2, 1, "assistant", None), (3, 5, "assistant", "😀<"), (3, 5, "assistant", "é"), (None, 1, "a\nb\\n", "t"), (None, 2, "<|body|>\n", "<|end|>"), (4, 1, "assistant", "x" * 100_000), (4, None, "assistant", "<|"), (4, 1, "assistant", "x" * 100_000)]
+    rows += [(5, i, "assistant", f"turn {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"ts": F.lit(1), "at": F.lit("x"), "k": F.lit(2), "body": F.lit("y")})
+    got = {r["conv_id"]: r for r in chat.conversation_digest(df).collect()}
+    assert len(got) == 6
+    for conv in got:
+        own = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv))
         loss = "".join(x for _, r, x in own if r == "assistant")
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
-        assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    typed = spark.createDataFrame([(1, 0, "user", [("text", "see", None, None), ("image", None, "i1", 2), ("audio", None, "a1", 3), ("text", "<|image|>", None, None)])], f"conv_id long, turn long, role string, content {chat.PARTS}")
-    r = chat.format_conversations(typed).first()
-    assert r["formatted"] == "<|role|>user\nsee<|image|><|audio|><\\|image|><|end|>\n"
-    assert [(a["type"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "i1", 512), ("audio", "a1", 75)]
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    parts = [("text", "see", None, None), ("image", None, "i1", 2), ("audio", None, "a1", 3), ("text", "<|image|>", None, None), ("end", None, "e", None), ("text", "\n<", None, None), ("text", "|end|>\n", None, None)]
+    typed = spark.createDataFrame([(1, 0, "user", parts), (2, 0, "user", None), (2, 1, None, [])], f"conv_id long, turn long, role string, content {chat.PARTS}")
+    r, empty = chat.format_conversations(typed).orderBy("conv_id").collect()
+    assert r["formatted"] == "<|role|>user<|body|>\nsee<|part:image|><|part:audio|><\\|image|><|part:end|>\n<\\|end|>\n<|end|>\n"
+    assert [(a["type"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "i1", 512), ("audio", "a1", 75), ("end", "e", 1)]
+    assert empty["n_turns"] == 2 and empty["attachments"] == []
+    back = chat.format_conversations(typed).select("conv_id", chat.read_back(chat.turn_strings(F.col("formatted"))).alias("t")).orderBy("conv_id").first()["t"]
+    assert [(t["role"], t["text"]) for t in back] == [("user", "see<|part:image|><|part:audio|><|image|><|part:end|>\n<|end|>\n")]
+
+
+def test_calibration_never_falls():
+    at, value = quality.isotonic(np.array([0.1, 0.5, 0.9]), np.array([0.0, 10.0, 60.0]), np.array([1.0, 100.0, 100.0]))
+    assert (np.diff(value) >= 0).all() and np.allclose(value, [0.0, 0.1, 0.6], atol=0.01)
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = rng.integers(1, 12)
+        weight = rng.integers(1, 30, n).astype(float)
+        total = np.floor(rng.random(n) * (weight + 1))
+        at, value = quality.isotonic(np.arange(n).astype(float), total, weight)
+        assert (np.diff(value) >= 0).all() and (np.diff(at) > 0).all() and (value > 0).all() and (value < 1).all()
+        # the plain definition: the largest over starts of the smallest mean to any end
+        t, w = total + weight / (2 * weight.sum()), weight * (1 + 1 / weight.sum())
+        plain = [max(min(t[a : b + 1].sum() / w[a : b + 1].sum() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose([min(value, key=lambda v: abs(v - p)) for p in plain], plain)
+
+
+def test_normal_equations_equal_a_plain_solution(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.2 * rng.normal(size=400) > 0).astype(float)
+    held = rng.random(400) < 0.2
+    df = spark.createDataFrame([(a.tolist(), float(b), bool(c)) for a, b, c in zip(x, y, held, strict=True)], "x array<double>, y double, calibrate boolean").repartition(5)
+    model = quality.train(df)
+    z = quality.fourier(x[~held], x.mean(0), x.std(0))
+    d = z.shape[1]
+    penalty = quality.RIDGE * (~held).sum() * np.eye(d) + 1e-9 * np.eye(d)
+    penalty[0, 0] = 1e-9
+    assert np.allclose(model["weights"], np.linalg.solve(z.T @ z + penalty, z.T @ y[~held]), atol=1e-6)
+    score = quality.predict(x, model)
+    raw = quality.fourier(x, model["mean"], model["scale"]) @ model["weights"]
+    assert (np.diff(score[np.argsort(raw)]) >= 0).all() and ((score >= 0.5) == (y == 1))[held].mean() > 0.65
+
+
+def test_mixtures_of_many_languages(spark):
+    """Six invented languages, and documents that mix five of them: no limit on the set, and the shares come out."""
+    rng = random.Random(2)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    vocabulary = [["".join(rng.choice(s) for _ in range(rng.randint(3, 7))) for _ in range(40)] for s in letters]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 6]) for _ in range(50)), f"l{i % 6}") for i in range(240)]
+    rows += [(1000, " ".join(rng.choice(vocabulary[j]) for j in range(5) for _ in range(60)), None), (1001, "word! " * 3, None), (None, "abcd", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "held_out": F.lit(1), "languages": F.lit(2)})
+    got = {r["doc_id"]: r for r in language.identify_languages(df).collect()}
+    assert all(got[i]["lang_pred"] == lang and got[i]["score"] > 0.9 for i, _, lang in rows[:240])
+    assert sorted(got[1000]["languages"]) == ["l0", "l1", "l2", "l3", "l4"] and all(abs(p - 0.2) < 0.05 for p in got[1000]["proportions"])
+
+
+def test_fertility_verdict_equals_brute_force(spark):
+    """Characters a token, bytes and entropy by coding each word alone, for texts on both sides of the bands."""
+    import math
+    import unicodedata
+
+    from sentencepiece import SentencePieceProcessor
+
+    from statloom.llm.units import tokenizer_file
+
+    rng = random.Random(7)
+    words = lambda s, n, size: " ".join("".join(rng.choice(s) for _ in range(size)) for _ in range(n))
+    texts = [
+        "the quick brown fox jumps over a lazy dog while seven wizards make toxic brew for the evil queen and jack " * 1 + words("abcdefghijklmnopqrstuvwxyz", 60, 5),
+        " ".join(f"common word number {i} of many in this plain text that goes on" for i in range(12)), words("!?;:", 80, 6) + " a b c", words("日本語文字列漢", 60, 4), words("абвгдежзик", 60, 5), words("αβγδεζηθ", 60, 5),
+        words("؀؁𐎀𐎁", 60, 3) + " alpha", words("😀😁😂", 70, 2), words("ab", 60, 1), "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz " * 60, words("אבגדה", 55, 4), words("कखगघ", 60, 3),
+    ]
+    model = SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"kept": F.lit(1), "script": F.lit("x")})
+    names = {"LATIN": "latin", "GREEK": "greek", "CYRILLIC": "cyrillic", "HEBREW": "semitic", "ARABIC": "semitic", "DEVANAGARI": "indic", "CJK": "cjk"}
+    verdicts = []
+    for r in rules.quality_rules(df).orderBy("doc_id").collect():
+        own = texts[r["doc_id"]].split(" ")
+        ids = [i for w in own if w for i in model.encode(w)]
+        share = [n / len(ids) for n in Counter(ids).values()]
+        chars, byte, entropy = sum(map(len, own)) / len(ids), sum(map(model.is_byte, ids)) / len(ids), -sum(p * math.log2(p) for p in share)
+        assert (r["n_tokens"], pytest.approx(r["chars_per_token"]), pytest.approx(r["byte_share"]), pytest.approx(r["token_entropy"], abs=1e-9)) == (len(ids), chars, byte, entropy)
+        spoken = Counter(names.get(unicodedata.name(c, "?").split(" ")[0], "other") for c in texts[r["doc_id"]] if not c.isascii() or c.isalpha())
+        script = max(rules.SCRIPTS, key=lambda s: spoken[s]) if spoken else "other"
+        if not any(x in texts[r["doc_id"]] for x in "؀😀"):  # the lead byte says more than the name there
+            assert r["script"] == script
+        low, high, most, least = rules.BANDS[r["script"]]
+        assert r["kept"] == (not r["base_failed"] and low <= chars <= high and byte <= most and entropy >= least)
+        verdicts.append((r["base_failed"], r["kept"]))
+    assert (False, False) in verdicts and (False, True) in verdicts and (True, False) in verdicts
+
+
+def test_equal_rows_without_id_meet_in_many_groups(spark):
+    df = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d").alias("text"))
+    packed = packing.pack_documents(df)
+    assert packed.count() == 9000 and packed.select(F.shiftright("sequence_id", 32).alias("g")).groupBy("g").count().agg(F.max("count")).first()[0] < 2500
 
 
 def test_empty_tables_give_no_rows(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     benchmark = spark.createDataFrame([], "item_id long, text string")
-    for out in (neardup.near_duplicates(empty), substrings.repeat_digest(empty), packing.pack_documents(empty), rules.quality_rules(empty), decontamination.contamination_digest(empty, benchmark), language.identify_languages(empty), quality.classify_quality(empty, labels), tokencount.count_tokens(empty)):
+    for out in (neardup.near_duplicates(empty), substrings.repeat_digest(empty), packing.pack_documents(empty), rules.quality_rules(empty), decontamination.contamination_digest(empty, benchmark), language.identify_languages(empty), quality.classify_quality(empty, labels), tokencount.count_tokens(empty), chat.conversation_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))):
         assert out.count() == 0
