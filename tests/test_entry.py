@@ -49,7 +49,21 @@ def _near(x, y):
     return True
 
 
-def test_the_rest_works_without_the_subpackage(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
-    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'anova' in q and 'pipeline' not in q"], cwd=tmp_path / "repo", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")})
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_works_without_the_subpackage(tmp_path, gone):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
+    _runs(tmp_path / "repo", "")
+
+
+def test_the_rest_works_without_a_library_of_the_subpackage(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    _runs(tmp_path / "repo", "import sys; sys.modules['pyarrow.parquet'] = None; sys.modules['ahocorasick'] = None; ")
+
+
+def _runs(repo, before):
+    script = before + (
+        "import __spark_entry__ as e; q = e.queries(); assert 'anova' in q and 'pipeline' not in q; e.oracle_sql()['anova'];"
+        "from statloom.session import local_session; s = local_session(2, 2, **{'spark.driver.memory': '1g'}); assert q['anova'](s, '" + DATA + "').count() > 0; e.entry(s).collect()"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd=repo, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(repo)})
     assert done.returncode == 0, done.stderr
