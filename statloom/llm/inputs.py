@@ -80,12 +80,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs that name a row by its content, so that repeated ids with other texts stay apart. Rows without an id go by two hashes."""
     return [F.coalesce(doc_id.cast("long"), F.xxhash64(F.lit("no id"), text)).alias("_k1"), F.xxhash64(text).alias("_k2")]

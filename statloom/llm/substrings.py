@@ -5,9 +5,9 @@ A window is ``WINDOW`` consecutive words of one document; words covered by a win
 1. Each window has an anchor: the smallest hash of the ``GRAM``-word runs in it (the leftmost of equals). Equal windows have equal
    anchors. Consecutive windows with one anchor form a span, about one for every fifteen words; only spans are shuffled.
 2. An anchor seen once holds no recurring window. The others' words are cut out of every document as pieces (anchor, words).
-3. Recurring passages are confirmed as phrases of ``WINDOW`` words, each kept once. Where all spans of an anchor are equal, or a span comes
-   twice, one of them speaks: its first and its last window cover it. In the other spans windows are counted one by one, and
-   each run of recurring ones gives its first and its last.
+3. Recurring passages are confirmed as phrases of ``WINDOW`` words or more, each kept once. Where all spans of an anchor are equal, or a
+   span comes twice, one of them speaks: its words are a phrase. In the other spans windows are counted one by one, and the words of
+   each run of recurring ones are a phrase.
 4. Phrases are sharded by anchor into blocks of at most ``PHRASES``; each block is compiled into an automaton over words, and the pieces
    of all documents with the block's anchors are streamed through it. Its hits, and nothing else, say which words go. Phrases and
    pieces are compared word by word, not by hash.
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .inputs import per_batch, release, row_key, written
+from .inputs import discard, per_batch, release, row_key, written
 from .textkernel import chunks, covered, inside_document, long_column, ragged, span_hashes, split_words, window_hashes, winnow
 
 WINDOW = 35
 GRAM = 6
 #: Phrases in an automaton, and pieces that meet it in one task (both on average: they are dealt by hash).
-PHRASES, PIECES = 8192, 16384
+PHRASES, PIECES = 8192, 65536
 
 U64 = np.uint64
 
@@ -119,9 +119,9 @@ def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def cut_pieces(keyed: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """anchor, kind, _k1, _k2, start, n, words: the words of each span of ``recurring`` (anchor, kind, _k1, _k2, place), once for each name."""
-    asked = recurring.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("place", "anchor", "kind")).alias("asked"))
-    texts = compressed(keyed, "text", "packed").dropDuplicates(["_k1", "_k2"])
+    """anchor, kind, _k1, _k2, start, n, words: the words of each span of ``recurring`` (anchor, kind, _k1, _k2, place) in each row."""
+    asked = written(recurring.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("place", "anchor", "kind")).alias("asked")), "asked")
+    texts = compressed(keyed, "text", "packed")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -148,7 +148,9 @@ def cut_pieces(keyed: DataFrame, recurring: DataFrame, window: int) -> DataFrame
                 )
 
     joined = texts.join(asked, ["_k1", "_k2"]).select("_k1", "_k2", "packed", "asked")
-    return joined.mapInArrow(work, "anchor long, kind int, _k1 long, _k2 long, start long, n int, words binary")
+    pieces = written(joined.mapInArrow(work, "anchor long, kind int, _k1 long, _k2 long, start long, n int, words binary"), "pieces")
+    discard(asked)
+    return pieces
 
 
 #: What a span is to the search: one of several equal ones, the one that speaks for them, or one whose windows are counted.
@@ -158,19 +160,19 @@ COPY, SPEAKER, SINGLE = 0, 1, 2
 def _pieces_and_phrases(keyed: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """The pieces with recurring anchors, and the phrases (anchor, words) that are confirmed to recur."""
     spans = find_spans(keyed, window, gram)
-    anchors = spans.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"), F.min(F.struct("_k1", "_k2", "place")).alias("first")).where("n > 1")
-    anchors = anchors.select("anchor", (F.col("low") == F.col("high")).alias("same"), "first")
+    name = F.xxhash64("_k1", "_k2", "place")  # should two share one, both speak, which changes nothing
+    anchors = spans.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"), F.min(name).alias("first")).where("n > 1")
     # aggregates are written before they are joined: AQE splits the hot keys of a join only between plain exchanges
-    seen = written(spans.join(written(anchors, "anchors"), "anchor"), "spans")
-    own = F.struct("_k1", "_k2", "place") == F.col("first")
+    anchors = written(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same"), "first"), "anchors")
+    seen = written(spans.join(anchors, "anchor"), "spans")
+    own = name == F.col("first")
     same = seen.where("same").select("anchor", F.when(own, SPEAKER).otherwise(COPY).alias("kind"), "_k1", "_k2", "place")
     mixed = seen.where("not same").drop("first")
-    per_span = mixed.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(F.struct("_k1", "_k2", "place")).alias("first"))
-    mixed = mixed.join(written(per_span, "copies"), ["anchor", "span"])
-    mixed = mixed.select("anchor", F.when(F.col("copies") == 1, SINGLE).when(own, SPEAKER).otherwise(COPY).alias("kind"), "_k1", "_k2", "place", F.lit(True).alias("mixed"))
-    kinds = same.withColumn("mixed", F.lit(False)).unionByName(mixed)
-    kinds = kinds.select("anchor", (F.col("kind") + F.when(F.col("mixed"), 4).otherwise(0)).alias("kind"), "_k1", "_k2", "place")
-    pieces = written(cut_pieces(keyed, kinds, window), "pieces")
+    per_span = written(mixed.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(name).alias("first")), "copies")
+    mixed = mixed.join(per_span, ["anchor", "span"])
+    mixed = mixed.select("anchor", F.when(F.col("copies") == 1, SINGLE + 4).when(own, SPEAKER + 4).otherwise(COPY + 4).alias("kind"), "_k1", "_k2", "place")
+    pieces = cut_pieces(keyed, same.unionByName(mixed), window)
+    discard(anchors, seen, per_span)
 
     # windows of the anchors whose spans differ: those of a single span weigh one, those of a speaker two
     def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,27 +187,27 @@ def _pieces_and_phrases(keyed: DataFrame, window: int, gram: int) -> tuple[DataF
         return pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(value.view(np.int64)), batch.column(2).take(rows), batch.column(3).take(rows), long_column(start * 64 + at - words.first[piece]), pa.array(weight)], names=["anchor", "value", "_k1", "_k2", "place", "weight"])
 
     counted = written(per_batch(pieces.where(f"kind in ({SPEAKER + 4}, {SINGLE + 4})"), windows_of, "anchor long, value long, _k1 long, _k2 long, place long, weight int"), "windows")
-    twice = counted.groupBy("anchor", "value").agg(F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "value")
-    single = counted.where("weight = 1").join(written(twice, "twice"), ["anchor", "value"]).select("anchor", "value", "_k1", "_k2", F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(63).cast("int").alias("i"))
-    # the first and the last of each run of recurring windows in a span; equal ones are wanted once
-    runs = single.groupBy("anchor", "_k1", "_k2", "start").agg(F.collect_list(F.struct("i", "value")).alias("w"))
-    has = lambda j: F.exists("w", lambda x: x["i"] == j)
-    edges = F.filter("w", lambda x: ~has(x["i"] - 1) | ~has(x["i"] + 1))
-    wanted = runs.select("anchor", "_k1", "_k2", "start", F.explode(edges).alias("e")).groupBy("anchor", "e.value").agg(F.min(F.struct("_k1", "_k2", "start", "e.i")).alias("m"))
-    wanted = wanted.select("anchor", "m._k1", "m._k2", "m.start", "m.i").groupBy("anchor", "_k1", "_k2", "start").agg(F.collect_list("i").alias("edges"))
-    spoken = pieces.where(f"kind in ({SPEAKER}, {SPEAKER + 4})").select("anchor", "n", "words", F.array(F.lit(0), F.col("n") - 1).alias("edges"))
-    counted_edges = pieces.where(f"kind = {SINGLE + 4}").join(written(wanted, "wanted"), ["anchor", "_k1", "_k2", "start"]).select("anchor", "n", "words", "edges")
-
-    def phrases_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = _bytes(batch.column(2))
-        words = split_words(data, offsets)
-        edges = batch.column(3)
-        piece = np.repeat(np.arange(batch.num_rows), np.diff(edges.offsets.to_numpy()))
-        at = words.first[piece] + edges.flatten().to_numpy()
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), _slices(data, words.start[at], words.end[at + window - 1])], names=["anchor", "words"])
-
-    phrases = per_batch(spoken.unionByName(counted_edges), phrases_of, "anchor long, words binary")
-    return pieces, written(phrases.dropDuplicates(["anchor", "words"]), "phrases")
+    twice = written(counted.groupBy("anchor", "value").agg(F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "value"), "twice")
+    single = counted.where("weight = 1").join(twice, ["anchor", "value"]).select("anchor", "_k1", "_k2", F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(63).cast("int").alias("i"))
+    runs = written(single.groupBy("anchor", "_k1", "_k2", "start").agg(F.collect_list("i").alias("recurring")), "runs")
+    discard(counted, twice)
+    spoken = pieces.where(f"kind in ({SPEAKER}, {SPEAKER + 4})").select("anchor", "words")
+    partly = pieces.where(f"kind = {SINGLE + 4}").join(runs, ["anchor", "_k1", "_k2", "start"]).select("anchor", "words", "recurring")
+
+    def runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = _bytes(batch.column(1))
+        words, lists = split_words(data, offsets), batch.column(2)
+        at = np.sort(np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())) * 64 + lists.flatten().to_numpy())
+        gap = np.diff(at) > 1  # the last window of a piece and the first of the next are never neighbours: a span has 63 at most
+        first, last = at[np.append(True, gap)], at[np.append(gap, True)]
+        piece = first >> 6
+        begin, end = words.first[piece] + (first & 63), words.first[piece] + (last & 63) + window - 1
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), _slices(data, words.start[begin], words.end[end])], names=["anchor", "words"])
+
+    phrases = spoken.unionByName(per_batch(partly, runs_of, "anchor long, words binary"))
+    phrases = written(phrases.dropDuplicates(["anchor", "words"]), "phrases")
+    discard(runs)
+    return pieces, phrases
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -236,24 +238,25 @@ def _signs(codes: list[int]) -> str:
 
 
 def locate(phrases: list[bytes], pieces: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first word, last word) of what the hits of each piece cover together: its windows overlap, so that is one range."""
+    """(piece, first word, last word) of what the hits of each piece cover together: they are at least ``window`` words each, and a piece
+    has fewer than twice as many, so they overlap and cover one range. Pieces that are equal are streamed once."""
     automaton, signs = compiled(phrases)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for row in range(0, len(pieces), 2048):
-        raw = [x.as_py().split() for x in pieces.slice(row, 2048)]
+    same = pieces.dictionary_encode()
+    distinct, code = same.dictionary, same.indices.to_numpy()
+    low, high = np.full(len(distinct), 1 << 30), np.full(len(distinct), -1)
+    get = signs.get
+    for row in range(0, len(distinct), 2048):
+        raw = [x.as_py().split() for x in distinct.slice(row, 2048)]
         first = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        get = signs.get
-        stream = _signs([get(w, 0) for words in raw for w in words])
-        last = np.fromiter((end for end, _ in automaton.iter(stream)), np.int64)
-        start = last - window + 1
+        hits = np.array(list(automaton.iter(_signs([get(w, 0) for words in raw for w in words]))), np.int64).reshape(-1, 2)
+        last, start = hits[:, 0], hits[:, 0] - hits[:, 1] + 1
         piece = np.searchsorted(first, start, "right") - 1
-        inside = last < first[piece + 1]
+        inside = last < first[piece + 1]  # a hit across two pieces is none
         start, last, piece = start[inside], last[inside], piece[inside]
-        if len(piece):
-            own, at = np.unique(piece, return_index=True)
-            ends = np.append(at[1:], len(piece)) - 1
-            found.append((own + row, start[at] - first[own], last[ends] - first[own]))
-    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 3
+        np.minimum.at(low, piece + row, start - first[piece])
+        np.maximum.at(high, piece + row, last - first[piece])
+    found = np.flatnonzero(high[code] >= 0)
+    return found, low[code[found]], high[code[found]]
 
 
 def occurrences(pieces: DataFrame, phrases: DataFrame, window: int = WINDOW, most_phrases: int = PHRASES, most_pieces: int = PIECES) -> DataFrame:
