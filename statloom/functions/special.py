@@ -20,58 +20,93 @@ def norm_sf(z):
     return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2))
 
 
-def _beta_fraction(a, b, x, rounds: int = 300):
+#: A continued fraction or series ends when it changes by less than this; the number of rounds grows with the root of the parameters.
+CLOSE, ROUNDS = 1e-15, 2_000_000
+
+
+def _stirling_rest(z):
+    """log gamma(z) less Stirling's formula, without loss of digits for large z."""
+    z = np.asarray(z, float)
+    big = np.maximum(z, 16.0)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / big**2) / big**2) / big**2) / big
+    small = np.minimum(z, 16.0)
+    return np.where(z >= 16, series, _lgamma(small) - (small - 0.5) * np.log(small) + small - 0.5 * math.log(2 * math.pi))
+
+
+def _deviance(k, mean):
+    """k log(k / mean) + mean - k, without loss of digits where k is near the mean."""
+    e = (k - mean) / mean
+    near = np.clip(e, -0.02, 0.02)
+    series = sum((-1.0) ** j * near**j / (j * (j - 1)) for j in range(2, 14))
+    far = np.maximum(e, -1 + 1e-300)
+    return mean * np.where(np.abs(e) <= 0.02, series, (1 + far) * np.log1p(far) - far)
+
+
+def _beta_fraction(a, b, x):
     """Continued fraction of the incomplete beta function, by Lentz's method."""
     tiny = 1e-300
     c, d = np.ones_like(x), 1 / np.where(np.abs(v := 1 - (a + b) * x / (a + 1)) < tiny, tiny, v)
     h = d.copy()
-    for m in range(1, rounds + 1):
+    for m in range(1, ROUNDS):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / np.where(np.abs(v := 1 + num * d) < tiny, tiny, v)
             c = np.where(np.abs(v := 1 + num / c) < tiny, tiny, v)
             h = h * d * c
+        if (np.abs(d * c - 1) < CLOSE).all():
+            break
     return h
 
 
-def betainc(a, b, x):
-    """The regularised incomplete beta function."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
-    inner = np.clip(x, 1e-300, 1 - 1e-16)
-    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner))
-    low = inner < (a + 1) / (a + b + 2)
-    value = np.where(low, front * _beta_fraction(a, b, inner) / a, 1 - front * _beta_fraction(b, a, 1 - inner) / b)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
+def betainc(a, b, x, rest=None):
+    """The regularised incomplete beta function at x; ``rest`` is 1 - x where that is known better than by subtraction."""
+    a, b, x, rest = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x, 1 - np.asarray(x, float) if rest is None else rest)))
+    low_x, low_rest = np.clip(x, 1e-300, 1.0), np.clip(rest, 1e-300, 1.0)
+    n = a + b
+    front = np.sqrt(a * b / (2 * math.pi * n)) * np.exp(_stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b) - _deviance(a, n * low_x) - _deviance(b, n * low_rest))
+    low = low_x < (a + 1) / (n + 2)
+    # each place takes the side that converges fast
+    p, q, at = np.where(low, a, b), np.where(low, b, a), np.where(low, low_x, low_rest)
+    part = front * _beta_fraction(p, q, at) / p
+    value = np.where(low, part, 1 - part)
+    return np.where(x <= 0, 0.0, np.where(rest <= 0, 1.0, value))
 
 
-def gammaincc(a, x, rounds: int = 500):
+def gammaincc(a, x):
     """The regularised upper incomplete gamma function."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    front = np.exp(-x + a * np.log(np.maximum(x, 1e-300)) - _lgamma(a))
-    term = total = 1 / a
-    for n in range(1, rounds):
-        term = term * x / (a + n)
+    safe = np.maximum(x, 1e-300)
+    front = np.sqrt(a / (2 * math.pi)) * np.exp(-_stirling_rest(a) - _deviance(a, safe))
+    series = safe < a + 1
+    term = total = np.where(series, 1 / a, 0.0)
+    for n in range(1, ROUNDS):
+        term = term * safe / (a + n)
         total = total + term
-    b = x + 1 - a
-    c, d = np.full_like(x, 1e300), 1 / np.where(b == 0, 1e-300, b)
+        if (~series | (term < CLOSE * total)).all():
+            break
+    b = safe + 1 - a
+    c, d = np.full_like(safe, 1e300), 1 / np.where(b == 0, 1e-300, b)
     h = d
-    for n in range(1, rounds):
+    for n in range(1, ROUNDS):
         an = -n * (n - a)
         b = b + 2
         d = 1 / np.where(np.abs(v := an * d + b) < 1e-300, 1e-300, v)
         c = np.where(np.abs(v := b + an / c) < 1e-300, 1e-300, v)
         h = h * d * c
-    return np.where(x <= 0, 1.0, np.where(x < a + 1, 1 - front * total, front * h))
+        if (series | (np.abs(d * c - 1) < CLOSE)).all():
+            break
+    return np.where(x <= 0, 1.0, np.where(series, 1 - front * total, front * h))
 
 
 def t_sf2(t, df):
     """Two-sided P(|T| > |t|)."""
     t, df = np.asarray(t, float), np.asarray(df, float)
-    return betainc(df / 2, 0.5, df / (df + t * t))
+    return betainc(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_sf(f, d1, d2):
     f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
-    return betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * np.maximum(f, 0)))
+    f = np.maximum(f, 0)
+    return betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def chi2_sf(x, df):

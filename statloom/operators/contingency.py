@@ -96,3 +96,9 @@ def mcnemar(table: DataFrame) -> DataFrame:
     choose = F.aggregate(F.sequence(F.lit(0).cast("long"), least), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")), lambda s, k: F.struct((s["term"] * (n - k) / (k + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum")))["sum"]
     exact = F.when(n < 25, F.least(F.lit(1.0), 2 * choose / F.pow(F.lit(2.0), n)))
     return t.select(b.alias("discordant_a"), c.alias("discordant_b"), F.try_divide((F.greatest(F.abs(b - c) - 1, F.lit(0))) ** 2, n).alias("statistic"), exact.alias("exact_p"))
+
+
+def label_chi_square(low: Column, n_rows: Column, n_columns: Column) -> Column:
+    """Whether chi-square can be trusted, from the number of cells with an expected count below five."""
+    exact = F.when((n_rows == 2) & (n_columns == 2), "; see Fisher's p").otherwise("")
+    return F.when(low == 0, "yes").otherwise(F.concat(F.lit("careful: expected counts below 5"), exact))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_sf
@@ -45,6 +45,17 @@ def _apply(name: str, f: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(y, -700, 700)) if name in ("exponential", "power") else y
 
 
+def _raw_scale(name: str, b: np.ndarray, m: float, s: float) -> list[float]:
+    """Coefficients on x of those on (x - m) / s; the other features are on the scale of x already."""
+    if name not in ("linear", "quadratic", "cubic", "exponential"):
+        return [float(v) for v in b]
+    total, power = np.zeros(len(b)), np.ones(1)
+    for v in b:
+        total[: len(power)] += v * power
+        power = np.convolve(power, [-m / s, 1 / s])
+    return [float(v) for v in total]
+
+
 def fit_curves(df: DataFrame, x: str, y: str) -> DataFrame:
     """model, n, parameters, sse, r2, adj_r2, p for each model that the signs of x and y allow: one pass for all
     coefficients, one for all residuals on the scale of y."""
@@ -75,7 +86,7 @@ def fit_curves(df: DataFrame, x: str, y: str) -> DataFrame:
         k, r2 = len(b) - 1, 1 - e / r["sst"]
         left = n - k - 1
         p = float(f_sf(r2 / k / max((1 - r2) / left, 1e-300), k, left)) if 0 <= r2 < 1 and left > 0 else None
-        rows.append((m, n, [float(v) for v in b], float(e), float(r2), float(1 - (1 - r2) * (n - 1) / left), p))
+        rows.append((m, n, _raw_scale(m, b, mx, sx), float(e), float(r2), float(1 - (1 - r2) * (n - 1) / left), p))
     return spark.createDataFrame(rows, schema)
 
 
@@ -95,3 +106,22 @@ def hidden_formulas(df: DataFrame, columns: list[str]) -> DataFrame:
                 adj, x, y, model, gain, p = max(found, key=lambda v: (v[0], v[1]))
                 rows.append((x, y, model, float(adj), gain, p, bool(gain >= GAIN and adj >= LEAST)))
     return df.sparkSession.createDataFrame(rows, "x string, y string, model string, adj_r2 double, gain double, p double, hidden boolean")
+
+
+def short_number(x: Column) -> Column:
+    """Four significant digits without closing zeros."""
+    text = F.format_string("%.4g", x)
+    return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "(\\.\\d*?)0+($|e)", "$1$2"), "\\.($|e)", "$1")).otherwise(text)
+
+
+def equation(y: str, x: str, model: Column, c: Column) -> Column:
+    """The fitted curve as text. ``c``: the coefficients on the scale of x, the constant first; those of exponential and power curves on the log scale."""
+    term = lambda v, body: F.concat(F.when(v >= 0, " + ").otherwise(" − "), short_number(F.abs(v)), F.lit(f"·{body}"))
+    head = F.concat(F.lit(f"{y} = "), short_number(c[0]))
+    powers = [term(c[1], x), term(c[2], f"{x}²"), term(c[3], f"{x}³")]
+    return (
+        F.when(model == "linear", F.concat(head, powers[0])).when(model == "quadratic", F.concat(head, *powers[:2])).when(model == "cubic", F.concat(head, *powers))
+        .when(model == "logarithmic", F.concat(head, term(c[1], f"ln({x})"))).when(model == "inverse", F.concat(head, term(c[1], f"(1/{x})")))
+        .when(model == "exponential", F.concat(F.lit(f"{y} = "), short_number(F.exp(c[0])), F.lit("·e^("), short_number(c[1]), F.lit(f"·{x})")))
+        .when(model == "power", F.concat(F.lit(f"{y} = "), short_number(F.exp(c[0])), F.lit(f"·{x}^"), short_number(c[1])))
+    )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.special import p_chi2, t_critical
+from .ranks import quantiles
 
 #: Fixed thresholds of the typing rules.
 NUMERIC_DISTINCT, CATEGORY_DISTINCT, TEXT_SHARE = 7, 25, 0.9
@@ -37,8 +40,15 @@ def detect_variables(df: DataFrame, columns: list[str] | None = None) -> DataFra
         ))
     rows = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
     number = F.col("is_number") | (F.col("n_numbers") >= TEXT_SHARE * F.col("n")) & (F.col("n") > 0)
-    # all distinct integers without a gap to speak of: the median of sorted differences is 1 if at least half of them are
-    serial = F.col("is_number") & (F.col("n_unique") == F.col("n")) & (F.col("n_fractions") == 0) & (F.col("high") - F.col("low") + 1 < 1.5 * F.col("n")) & (F.col("n") > 2)
+    # only columns of distinct integers are looked at again: how many of them follow another
+    may_count = rows.where(number & (F.col("n_unique") == F.col("n")) & (F.col("n_numbers") == F.col("n")) & (F.col("n_fractions") == 0) & (F.col("n") > 1)).select("variable").collect()  # a name per column
+    neighbours = [_followers(df, r[0], numeric[r[0]]).select(F.lit(r[0]).alias("variable"), "followers") for r in may_count]
+    if neighbours:
+        rows = rows.join(F.broadcast(reduce(DataFrame.unionByName, neighbours)), "variable", "left")
+    else:
+        rows = rows.withColumn("followers", F.lit(None).cast("long"))
+    # the median gap of sorted distinct integers is 1 if more than half of the gaps are
+    serial = F.col("followers").isNotNull() & (F.col("followers") >= F.floor((F.col("n") - 1) / 2) + 1)
     reason = (
         F.when(F.col("n") == 0, "all missing").when(F.col("n_unique") <= 1, "constant").when(serial, "id")
         .when(~number & (F.col("n_unique") > CATEGORY_DISTINCT), "free text or id")
@@ -47,19 +57,34 @@ def detect_variables(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return rows.select("variable", kind.alias("kind"), reason.alias("reason"), "n", "n_missing", "n_unique")
 
 
+def _followers(df: DataFrame, c: str, is_number: bool) -> DataFrame:
+    """How many values of a column of distinct integers are one more than another: values and their successors meet by value."""
+    own = df.select((F.col(c).cast("double") if is_number else _number(c)).alias("v")).where("v is not null")
+    met = own.select(F.explode(F.array(F.col("v"), F.col("v") + 1)).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    return met.agg(F.count_if(F.col("n") == 2).alias("followers"))
+
+
+def as_number(df: DataFrame, c: str) -> F.Column:
+    """A column as numbers; texts may have a decimal comma, and what is no number is missing."""
+    return _number(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).cast("double")
+
+
 def long_form(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """keys, variable, value: a row for each known value."""
-    numbers = clean_numbers(df).select(*(keys or []), *[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = clean_numbers(df).select(*(keys or []), *[as_number(df, c).alias(c) for c in columns])
     return numbers.unpivot(keys or [], columns, "variable", "value").where("value is not null")
 
 
 def describe_numeric(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Moments, quartiles and shape of each column in one shuffle; quartiles are approximate if not ``exact``."""
-    quartiles = (F.percentile if exact else F.percentile_approx)("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = long_form(df, columns).groupBy("variable").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), quartiles.alias("q"), F.min("value").alias("min"), F.max("value").alias("max"),
+    """Moments, quartiles and shape of each column; exact quartiles come from ranks of counted values, others from a sketch."""
+    long = long_form(df, columns)
+    sketch = [] if exact else [F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")]
+    rows = long.groupBy("variable").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), *sketch, F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"),
     )
+    if exact:
+        rows = rows.join(F.broadcast(quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75])), "variable")  # a row per column
     n = F.col("n")
     q = lambda i: F.col("q")[i]
     return rows.select(
@@ -74,10 +99,32 @@ def with_interval(described: DataFrame, alpha: float = 0.05) -> DataFrame:
     return described.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
 
 
-def moment_tests(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Jarque-Bera and D'Agostino's K2 from moments: variable, n, jarque_bera, z_skew, z_kurt, k2."""
-    d = describe_numeric(df, columns, exact=False)
-    n, g1, g2 = F.col("n").cast("double"), F.col("skewness"), F.col("kurtosis")
+def outlier_counts(df: DataFrame, columns: list[str], width: float = 3.0) -> DataFrame:
+    """variable, n_outliers beyond ``width`` interquartile ranges from the quartiles; none where that range is zero."""
+    long = long_form(df, columns)
+    q = quantiles(long, ["variable"], "value", [0.25, 0.75])
+    reach = width * (F.col("q")[1] - F.col("q")[0])
+    beyond = (reach > 0) & ((F.col("value") < F.col("q")[0] - reach) | (F.col("value") > F.col("q")[1] + reach))
+    return long.join(F.broadcast(q), "variable").groupBy("variable").agg(F.count_if(beyond).alias("n_outliers"))  # a row per column
+
+
+def describe_fully(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The whole table of descriptives: moments and quartiles with their interval, missing values, outliers, four tests of normality and the verdict."""
+    from .normality import distribution_tests, normality, verdict
+
+    missing = df.select(*[as_number(df, c).alias(c) for c in columns]).agg(F.array(*[F.struct(F.lit(c).alias("variable"), F.count_if(F.col(c).isNull() | F.isnan(c)).alias("n_missing")) for c in columns]).alias("m")).select(F.inline("m"))
+    tests = normality(df, columns)
+    others = distribution_tests(long_form(df, columns), ["variable"])
+    jb = moment_tests(df, columns).select("variable", p_chi2(F.col("jarque_bera"), F.lit(2.0)).alias("jarque_bera_p"))
+    out = with_interval(describe_numeric(df, columns)).join(missing, "variable").join(outlier_counts(df, columns), "variable", "left")
+    for more in (tests, others.drop("n"), jb):
+        out = out.join(more.drop(*[c for c in more.columns if c != "variable" and c in out.columns]), "variable", "left")
+    return out.withColumn("normal", verdict(F.col("p")))
+
+
+def moment_statistics(n: F.Column, g1: F.Column, g2: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    """Jarque-Bera and the z of skewness and of kurtosis, from the count and the biased moments."""
+    n = n.cast("double")
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     b2 = 3 * (n**2 + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = F.sqrt(2 * (b2 - 1)) - 1
@@ -90,7 +137,19 @@ def moment_tests(df: DataFrame, columns: list[str]) -> DataFrame:
     a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / root**2))
     inner = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
     z2 = (1 - 2 / (9 * a) - F.signum(inner) * F.pow(F.abs(inner), 1 / 3)) / F.sqrt(2 / (9 * a))
-    return d.where("n >= 20 and sd > 0").select("variable", "n", (n / 6 * (g1**2 + g2**2 / 4)).alias("jarque_bera"), z1.alias("z_skew"), z2.alias("z_kurt"), (z1**2 + z2**2).alias("k2"))
+    return n / 6 * (g1**2 + g2**2 / 4), z1, z2
+
+
+def moment_tests(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Jarque-Bera and D'Agostino's K2 from moments: variable, n, jarque_bera, z_skew, z_kurt, k2."""
+    return moment_tests_of(long_form(df, columns), ["variable"])
+
+
+def moment_tests_of(long: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for each group of a long table, from 20 values that vary."""
+    m = long.groupBy(*keys).agg(F.count("value").alias("n"), F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"), F.stddev_samp("value").alias("_sd")).where("n >= 20 and _sd > 0")
+    jb, z1, z2 = moment_statistics(F.col("n"), F.col("_g1"), F.col("_g2"))
+    return m.select(*keys, "n", jb.alias("jarque_bera"), z1.alias("z_skew"), z2.alias("z_kurt"), (z1**2 + z2**2).alias("k2"))
 
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:

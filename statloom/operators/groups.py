@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import p_f, p_mann_whitney_exact, p_t, p_tukey, p_z
-from .describe import clean_numbers
-from .ranks import mid_ranks
+from .describe import as_number, clean_numbers
+from .ranks import mid_ranks, quantiles
 
 LEAST_GROUP = 3
 #: Rank tests count arrangements where the smaller group has so many rows, there are no ties and the product of sizes is bounded.
@@ -16,7 +16,7 @@ EXACT_GROUP, EXACT_PRODUCT = 8, 20_000
 
 def pairs_long(df: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
     """category, number, grp, value: a row for each known value of each pair of columns."""
-    own = clean_numbers(df).select([F.col(c).cast("string").alias(f"c_{c}") for c in categories] + [F.col(x).cast("double").alias(f"x_{x}") for x in numbers])
+    own = clean_numbers(df).select([F.col(c).cast("string").alias(f"c_{c}") for c in categories] + [as_number(df, x).alias(f"x_{x}") for x in numbers])
     groups = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"c_{c}").alias("grp")) for c in categories]))
     values = F.explode(F.array(*[F.struct(F.lit(x).alias("number"), F.col(f"x_{x}").alias("value")) for x in numbers]))
     return own.select(groups.alias("g"), *[f"x_{x}" for x in numbers]).select("g.*", values.alias("v")).select("category", "grp", "v.*").where("grp is not null and value is not null")
@@ -24,9 +24,9 @@ def pairs_long(df: DataFrame, categories: list[str], numbers: list[str]) -> Data
 
 def group_moments(long: DataFrame, median: bool = False) -> DataFrame:
     """category, number, grp, n, mean, sd, and the median if asked for; groups under three rows are left out."""
-    extra = [F.percentile("value", F.lit(0.5)).alias("median")] if median else []
-    m = long.groupBy("category", "number", "grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), *extra)
-    return m.where(F.col("n") >= LEAST_GROUP)
+    keys = ["category", "number", "grp"]
+    m = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd")).where(F.col("n") >= LEAST_GROUP)
+    return m.join(quantiles(long, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("median")), keys) if median else m
 
 
 def anova(moments: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def pairwise_mann_whitney(long: DataFrame) -> DataFrame:
     Rows are counted per group and value before each count is copied to the pairs of its group.
     """
     keys = ["category", "number"]
-    sized = long.groupBy(*keys, "grp").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median")).where(F.col("n") >= LEAST_GROUP)
+    sized = group_moments(long, median=True).select(*keys, "grp", "n", "median")
     x, y = sized.alias("x"), sized.alias("y")
     pairs = x.join(y, (F.col("x.category") == F.col("y.category")) & (F.col("x.number") == F.col("y.number")) & (F.col("x.grp") < F.col("y.grp"))).select(
         F.col("x.category").alias("category"), F.col("x.number").alias("number"), F.col("x.grp").alias("a"), F.col("y.grp").alias("b"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), (F.col("x.median") - F.col("y.median")).alias("median_difference"),
@@ -179,3 +179,26 @@ def tukey(moments: DataFrame) -> DataFrame:
     """Pairwise differences of group means with Tukey's p."""
     k = moments.groupBy("category", "number").agg(F.count("*").alias("k"))
     return pairwise_differences(moments).join(F.broadcast(k), ["category", "number"]).withColumn("p", p_tukey(F.col("q"), F.col("k"), F.col("df")))
+
+
+def battery(df: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
+    """A row for every pair of columns: category, number, n, k, dropped (small groups, in order), reason (why no test is made), normal,
+    levene_p, recommended. Groups under three rows are dropped; under two groups there is no test."""
+    from .normality import normality_of
+
+    long = pairs_long(df, categories, numbers)
+    spark = df.sparkSession
+    every = spark.createDataFrame([(c, x) for c in categories for x in numbers], "category string, number string")
+    keys = ["category", "number"]
+    sized = long.groupBy(*keys, "grp").agg(F.count("*").alias("m"), F.stddev_samp("value").alias("sd"))
+    kept = F.col("m") >= LEAST_GROUP
+    pairs = sized.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(kept, F.col("m"))), F.lit(0)).alias("n"), F.count_if(kept).alias("k"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~kept, F.col("grp")))), ", ").alias("dropped"), F.max(F.when(kept, F.col("sd"))).alias("spread"),
+    )
+    normal = normality_of(long, [*keys, "grp"]).groupBy(*keys).agg(F.every(F.coalesce(F.col("p") >= 0.05, F.lit(False))).alias("normal"))
+    equal = levene(long).select(*keys, p_f(F.col("levene"), F.col("df1"), F.col("df2")).alias("levene_p"))
+    found = every.join(pairs, keys, "left").join(normal, keys, "left").join(equal, keys, "left").fillna(0, ["n", "k"])
+    reason = F.when(F.col("k") < 2, "fewer than two groups of three rows").when(F.coalesce(F.col("spread"), F.lit(0.0)) == 0, "nothing varies")
+    test = recommend(F.col("k"), F.col("normal"), F.col("levene_p") >= 0.05)
+    return found.select(*keys, "n", "k", "dropped", reason.alias("reason"), "normal", "levene_p", F.when(reason.isNull(), test).alias("recommended"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import norm_quantile, norm_sf, p_chi2
-from .describe import long_form, moment_tests
+from .describe import long_form, moment_tests_of
 from .ranks import mid_ranks
 
 #: Fixed limits: rows up to which Shapiro-Wilk is used, and the least rows of each test.
@@ -108,7 +108,7 @@ def distribution_tests(long: DataFrame, keys: list[str]) -> DataFrame:
     Equal values share one row with their first and last place, so both statistics are sums or maxima over distinct values.
     """
     m = long.groupBy(*keys).agg(F.count("value").alias("total"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).where("sd > 0")
-    placed = mid_ranks(long, keys, "value").join(F.broadcast(m), keys)  # a row per group
+    placed = mid_ranks(long, keys, "value").drop("total").join(F.broadcast(m), keys)  # a row per group
     first, last, total = F.col("rank") - (F.col("n") - 1) / 2, F.col("rank") + (F.col("n") - 1) / 2, F.col("total")
     z = placed.select(*keys, "total", first.alias("f"), last.alias("l"), _normal((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
     f, l, below = F.col("f"), F.col("l"), F.col("z.below")  # noqa: E741
@@ -123,10 +123,18 @@ def distribution_tests(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
     """variable, test, n, statistic, p, normal: Shapiro-Wilk up to 5,000 values and D'Agostino's K2 above."""
-    small = shapiro_wilk(long_form(df, columns), ["variable"]).select("variable", F.lit("shapiro_wilk").alias("test"), "n", F.col("w").alias("statistic"), "p")
-    large = moment_tests(df, columns).where(F.col("n") > MOST_SHAPIRO)
-    large = large.select("variable", F.lit("dagostino_k2").alias("test"), "n", F.col("k2").alias("statistic"), p_chi2(F.col("k2"), F.lit(2)).alias("p"))
-    return small.unionByName(large).withColumn("normal", F.col("p") >= alpha)
+    return normality_of(long_form(df, columns), ["variable"]).withColumn("normal", F.col("p") >= alpha)
+
+
+def normality_of(long: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, test, n, statistic, p for each group of a long table."""
+    small = shapiro_wilk(long, keys).select(*keys, F.lit("shapiro_wilk").alias("test"), "n", F.col("w").alias("statistic"), "p")
+    large = moment_tests_of(long, keys).where(F.col("n") > MOST_SHAPIRO)
+    return small.unionByName(large.select(*keys, F.lit("dagostino_k2").alias("test"), "n", F.col("k2").alias("statistic"), p_chi2(F.col("k2"), F.lit(2)).alias("p")))
+
+
+def verdict(p: Column, alpha: float = 0.05) -> Column:
+    return F.when(p.isNull(), "unknown").when(p >= alpha, "yes").otherwise("no")
 
 
 def balanced_normality(long: DataFrame, keys: list[str]) -> DataFrame:

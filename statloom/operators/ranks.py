@@ -1,4 +1,4 @@
-"""Mid-ranks and concordance without a single-task sort."""
+"""Mid-ranks, exact quantiles and concordance without a single-task sort."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ BUCKETS = 64
 
 
 def mid_ranks(cells: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
-    """keys, value, n (rows with that value), rank (their mid-rank within the keys).
+    """keys, value, n (rows with that value), rank (their mid-rank within the keys), total (rows of the keys).
 
     Rows are first counted per value. Approximate quantiles cut each key's range into buckets; a running sum within a
     bucket starts from the rows in the buckets before it, so the ranks are exact whatever the cuts. With ``weight``, a row
@@ -22,11 +22,24 @@ def mid_ranks(cells: DataFrame, keys: list[str], value: str, buckets: int = BUCK
     placed = placed.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     totals = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"), F.sum("_rows").over(Window.partitionBy(*keys)).alias("total"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.join(F.broadcast(offsets), [*keys, "_bucket"])
     rank = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2
-    return ranked.select(*keys, value, "n", rank.cast("double").alias("rank"))
+    return ranked.select(*keys, value, "n", rank.cast("double").alias("rank"), "total")
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys and q, an array of exact quantiles (linear between neighbours), from ranks of counted values: no task holds a whole key."""
+    ranked = mid_ranks(rows, keys, value)
+    half = (F.col("n") - 1) / 2
+    found = []
+    for share in shares:
+        place = (F.col("total") - 1) * share + 1
+        at = lambda p: F.max(F.when(p.between(F.col("rank") - half, F.col("rank") + half), F.col(value)))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        found.append(low + part * (high - low))
+    return ranked.groupBy(*keys).agg(F.array(*found).alias("q"))
 
 
 def concordance(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed pattern of a citation marker: ids in brackets.
 MARKER = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 
 
@@ -20,10 +21,13 @@ def dedup_records(records: DataFrame) -> DataFrame:
     """Records (seq, doi, title, abstract, cited_by, findings, score) merged by key: the first wins, gaps are filled from later
     ones, citations take the maximum, findings the sorted union; the first record's score stays."""
     keyed = records.withColumn("key", record_key(F.col("doi"), F.col("title")))
-    return keyed.groupBy("key").agg(
+    # a set of findings, not their repeats, meets in a key
+    named = keyed.select("key", F.explode("findings").alias("f")).groupBy("key").agg(F.array_sort(F.collect_set("f")).alias("findings"))
+    merged = keyed.groupBy("key").agg(
         F.min("seq").alias("seq"), F.min_by("doi", "seq").alias("doi"), F.min_by("title", "seq").alias("title"), F.min_by("abstract", F.when(F.col("abstract").isNotNull(), F.col("seq"))).alias("abstract"),
-        F.max("cited_by").alias("cited_by"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"), F.min_by("score", "seq").alias("score"), F.count("*").alias("merged"),
+        F.max("cited_by").alias("cited_by"), F.min_by("score", "seq").alias("score"), F.count("*").alias("merged"),
     )
+    return merged.join(named, "key", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
 
 
 def relevance(query_terms: Column, title: Column, cited_by: Column, year: Column, abstract: Column, this_year: int) -> Column:
@@ -155,3 +159,61 @@ def missing_sections(texts: DataFrame, name: str, text: str, required: list[str]
     """Required names without a text that isn't blank."""
     wanted = texts.sparkSession.createDataFrame([(n,) for n in required], f"{name} string")
     return wanted.join(texts.where(F.trim(text) != "").select(name), name, "left_anti")
+
+
+def select_references(candidates: DataFrame, per_target: int = 5) -> tuple[DataFrame, DataFrame]:
+    """References (id, key, title, score) and links (target, id) from candidates (target, key, seq, title, score).
+
+    The best of each target are kept, records with one key are one, and ids follow the score. Only chosen records are numbered.
+    """
+    best = candidates.groupBy("target", "key").agg(F.max("score").alias("score"), F.min_by("title", "seq").alias("title"))
+    chosen = top_per_target(best, "target", per_target)
+    merged = chosen.groupBy("key").agg(F.max("score").alias("score"), F.min("title").alias("title"))
+    references = merged.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "key")).cast("long").alias("id"), "key", "title", "score")  # a row per chosen record
+    return references, chosen.join(references.select("key", "id"), "key").select("target", "id")
+
+
+def references_of(links: DataFrame, references: DataFrame, targets: DataFrame, fallback: int = 8) -> DataFrame:
+    """target, id, title: the references linked to each target, or the first ``fallback`` of all for a target without any."""
+    linked = targets.join(links, "target").join(references, "id").select("target", "id", "title")
+    first = references.orderBy("id").limit(fallback).select("id", "title")
+    return linked.unionByName(targets.join(links, "target", "left_anti").crossJoin(F.broadcast(first)).select("target", "id", "title"))  # ``fallback`` rows
+
+
+def exclusion_key(doi: Column, title: Column) -> Column:
+    return F.coalesce(F.nullif(doi, F.lit("")), F.concat(F.lit("t:"), F.lower(F.substring(title, 1, 60))))
+
+
+def added_references(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """id, doi, title of found records (seq, doi, title) that the list (id, doi, title) hasn't, numbered on from its highest id."""
+    known = existing.select(exclusion_key(F.col("doi"), F.col("title")).alias("key")).distinct()
+    new = found.withColumn("key", exclusion_key(F.col("doi"), F.col("title"))).join(known, "key", "left_anti")
+    new = new.groupBy("key").agg(F.min("seq").alias("seq"), F.min_by("doi", "seq").alias("doi"), F.min_by("title", "seq").alias("title"))
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    return new.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("seq"))).cast("long").alias("id"), "doi", "title")
+
+
+def incomplete(references: DataFrame) -> DataFrame:
+    """One row: n, without_year, without_authors, incomplete (either)."""
+    no_year, nobody = F.col("year").isNull(), F.size(F.coalesce("authors", F.array())) == 0
+    return references.agg(F.count("*").alias("n"), F.count_if(no_year).alias("without_year"), F.count_if(nobody).alias("without_authors"), F.count_if(no_year | nobody).alias("incomplete"))
+
+
+def list_order(authors: Column, year: Column) -> list[Column]:
+    """Sort keys of the reference list: the first author's last name, then the year; records without authors come last."""
+    first = F.try_element_at(F.coalesce(authors, F.array().cast("array<string>")), F.lit(1))
+    return [F.coalesce(F.lower(F.element_at(F.split(F.trim(first), r"\s+"), -1)), F.lit("zzz")), F.coalesce(year, F.lit(0))]
+
+
+def keywords(findings: DataFrame, labels: DataFrame) -> DataFrame:
+    """findings (dv, iv, extra, ...) with keywords, the labels of their variables in order, and the queries made of the first three.
+
+    ``labels`` (variable, label) has a row per variable.
+    """
+    table = labels.where("label <> ''").agg(F.map_from_entries(F.collect_list(F.struct("variable", "label"))).alias("_l"))
+    names = F.array_compact(F.concat(F.array("dv", "iv"), F.coalesce("extra", F.array().cast("array<string>"))))
+    words = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.coalesce(F.try_element_at(F.col("_l"), n), n))
+    first = F.slice("keywords", 1, 3)
+    related = F.when(F.size("keywords") >= 2, F.concat_ws(" ", F.col("keywords")[0], F.col("keywords")[1], F.lit("relationship")))
+    queries = F.when(F.size("keywords") > 0, F.array_compact(F.array(F.array_join(first, " "), related))).otherwise(F.array().cast("array<string>"))
+    return findings.crossJoin(F.broadcast(table)).withColumn("keywords", words).withColumn("queries", queries).drop("_l")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_sf, t_quantile, t_sf2
@@ -118,3 +118,7 @@ def interactions(df: DataFrame, y: str, columns: list[str], most: int = 3000) ->
         se = np.sqrt(cov[0, 0] * (1 - r2) / (n - 4) * np.linalg.inv(full)[2, 2])
         rows.append((y, x, z, n, float(b[2]), float(t_sf2(b[2] / max(se, 1e-300), n - 4)), float(r2 - r2_less), float(r2)))
     return df.sparkSession.createDataFrame(rows, "y string, x string, z string, n long, b double, p double, delta_r2 double, r2 double")
+
+
+def label_auc(a: Column) -> Column:
+    return F.when(a < 0.6, "none").when(a < 0.7, "poor").when(a < 0.8, "acceptable").when(a < 0.9, "good").otherwise("excellent")

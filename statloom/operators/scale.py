@@ -5,17 +5,22 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf, f_quantile
 from .moments import covariance
 
 
+#: Fixed pattern of the number that ends an item's name.
+ITEM_NUMBER = r"[\s_\-.]*\d+$"
+
+
 def item_groups(columns: list[str]) -> dict[str, list[str]]:
     """Columns that share a name before trailing digits, three at least."""
     found: dict[str, list[str]] = {}
     for c in columns:
-        if (stem := re.sub(r"[\s_\-.]*\d+$", "", c)) != c:
+        if (stem := re.sub(ITEM_NUMBER, "", c)) != c:
             found.setdefault(stem, []).append(c)
     return {k: v for k, v in found.items() if len(v) >= 3}
 
@@ -112,3 +117,11 @@ def factors(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     kmo, stat, _, p = adequacy(r, n)
     rows = [(name, c, [float(x) for x in load[i]], int(np.abs(load[i]).argmax()) + 1, float((load[i] ** 2).sum()), kmo, stat, p, float(values[:m].sum() / k)) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, schema)
+
+
+def label_alpha(a: Column) -> Column:
+    return F.when(a.isNull() | F.isnan(a), "").when(a < 0.5, "unacceptable").when(a < 0.6, "poor").when(a < 0.7, "questionable").when(a < 0.8, "acceptable").when(a < 0.9, "good").otherwise("excellent")
+
+
+def label_kmo(k: Column) -> Column:
+    return F.when(k.isNull() | F.isnan(k), "").when(k < 0.5, "unacceptable").when(k < 0.6, "poor").when(k < 0.7, "mediocre").when(k < 0.8, "middling").when(k < 0.9, "good").otherwise("excellent")

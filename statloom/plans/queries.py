@@ -378,14 +378,14 @@ def adjusted_p(spark, sf_dir):
     return rounded(adjust.adjust_p(tests, family=["family"]).drop("significant_bh"), 9)
 
 
-_REFS = """r AS (SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || source || lang END AS doi, substr(text, 1, 40) AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS abstract, n_chars AS cited_by, source AS finding FROM documents),
+_REFS = """r AS (SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || source || lang END AS doi, text AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS abstract, n_chars AS cited_by, source AS finding FROM documents),
 k AS (SELECT *, coalesce(lower(doi), 't:' || substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 80)) AS key FROM r)"""
 
 
 @query(f"WITH {_REFS} SELECT key, min(seq) AS seq, arg_min(abstract, seq) FILTER (WHERE abstract IS NOT NULL) AS abstract, max(cited_by) AS cited_by, count(DISTINCT finding) AS n_findings, count(*) AS merged FROM k GROUP BY key")
 def dedup_records(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    refs = d.select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "source", "lang")).alias("doi"), F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("abstract"), F.col("n_chars").alias("cited_by"), F.array("source").alias("findings"), F.lit(0.0).alias("score"))
+    refs = d.select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "source", "lang")).alias("doi"), F.col("text").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("abstract"), F.col("n_chars").alias("cited_by"), F.array("source").alias("findings"), F.lit(0.0).alias("score"))
     return records.dedup_records(refs).select("key", "seq", "abstract", "cited_by", F.size("findings").cast("long").alias("n_findings"), "merged")
 
 

@@ -59,3 +59,22 @@ def save_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet")
     for name, df in tables.items():
         out = df if not df.isEmpty() else df.sparkSession.createDataFrame([("no rows",)], "note string")
         out.write.mode("overwrite").format(form).save(f"{path.rstrip('/')}/{name}")
+
+
+def load_with_metadata(spark: SparkSession, path: str, labels: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A table, its variables (variable, label, measure) and its value labels (variable, value, label), from a JSON file beside it.
+
+    The file has an object for each variable: variable, label, measure and values, a map from code to label.
+    """
+    df = load_table(spark, path)
+    schema = "variable string, label string, measure string, values map<string,string>"
+    meta = spark.read.schema(schema).json(labels) if labels else spark.createDataFrame([], schema)
+    return df, meta.select("variable", "label", "measure"), meta.select("variable", F.explode("values").alias("value", "label"))
+
+
+def named(results: DataFrame, variables: DataFrame, columns: list[str]) -> DataFrame:
+    """results with the display name of each of the columns that hold a variable: its label, or else its name. A row per variable."""
+    known = variables.where("label <> ''").select(F.col("variable").alias("_v"), F.col("label").alias("_l")).dropDuplicates(["_v"])
+    for c in columns:
+        results = results.join(F.broadcast(known), F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce("_l", c)).drop("_v", "_l")
+    return results
