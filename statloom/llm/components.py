@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .inputs import written
+from .inputs import discard, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,14 +25,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of links (a, b) that isn't the smallest itself.
 
-    Each round is written to the shared folder; a round that changes nothing ends it. Rounds grow with the logarithm of the
+    Each round is written to the shared folder, in place of the one before; a round that changes nothing ends it. Rounds grow with the logarithm of the
     longest path.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = print_of(edges)
     while before[0]:
-        edges = written(_stars(_stars(edges, True), False), "links")
+        last, edges = edges, written(_stars(_stars(edges, True), False), "links")
+        discard(last)
         if (now := print_of(edges)) == before:
             break
         before = now

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 #: What a worker handles at a time. A single longer text is handled whole.
 SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
+#: Rows of an Arrow batch where the session keeps Spark's own 10,000: rows here hold texts, and a batch is held outside the heap on both sides.
+BATCH_ROWS = "2000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Batches for rows with texts. A session that has a limit of its own keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +62,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
         finally:
             release()
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -87,7 +96,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that no later job reads."""
+    """Delete tables made by ``written`` (or read from one) that no later job reads."""
     for df in tables:
         spark = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

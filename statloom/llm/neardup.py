@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .inputs import per_batch, row_key, written
+from .inputs import discard, per_batch, row_key, written
 from .substrings import compressed, opened
 from .textkernel import LOWER, chunks, inside_document, long_column, mix, span_hashes, split_words, window_hashes
 
@@ -182,7 +182,8 @@ def _block_links(members: DataFrame, bits: DataFrame, texts: DataFrame, least: f
     sizes = per_component.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = sizes.select("bucket", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer"))
-    placed = members.join(written(sizes, "sizes"), "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    sizes = written(sizes, "sizes")
+    placed = members.join(sizes, "bucket").withColumn("outside", F.col("component") != F.col("main"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
     own, outside = F.col("own"), F.col("outside")
     inside_places = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct(F.lit(0).alias("kind"), own.alias("x"), j.alias("y")))
@@ -221,7 +222,9 @@ def _block_links(members: DataFrame, bits: DataFrame, texts: DataFrame, least: f
     schema = "bucket long, kind int, x int, y int, id long, component long, own int, outside boolean, bits array<long>"
     near = written(dealt.repartition(*place).groupBy(*place).applyInArrow(candidates, schema), "near")
     full = near.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
-    return full.repartition(*place).groupBy(*place).applyInArrow(compare, "a long, b long").distinct()
+    links = written(full.repartition(*place).groupBy(*place).applyInArrow(compare, "a long, b long").distinct(), "confirmed")
+    discard(sizes, near)
+    return links
 
 
 def _judged(docs: DataFrame, k: int, percent: int, link_null_ids: bool) -> DataFrame:
@@ -239,14 +242,17 @@ def _judged(docs: DataFrame, k: int, percent: int, link_null_ids: bool) -> DataF
     banded = node_rows.select("id", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("bucket", "hub")
     # written first: AQE splits the hot keys of a join only between plain exchanges
-    members = written(banded.join(written(hubs, "hubs"), "bucket"), "members")
+    hubs = written(hubs, "hubs")
+    members = written(banded.join(hubs, "bucket"), "members")
 
     # texts and signatures of sets that share a bucket, each with the text of one row
     sharing = members.select("id").distinct()
     spoken = names.where(linkable).groupBy("id").agg(F.min(F.struct("_k1", "_k2")).alias("m")).select("id", "m._k1", "m._k2").join(sharing, "id", "left_semi")
-    texts = compressed(source.select("_k1", "_k2", "text"), "text", "text").dropDuplicates(["_k1", "_k2"]).join(written(spoken, "spoken"), ["_k1", "_k2"])
+    spoken = written(spoken, "spoken")
+    texts = compressed(source.select("_k1", "_k2", "text"), "text", "text").dropDuplicates(["_k1", "_k2"]).join(spoken, ["_k1", "_k2"])
     texts = written(texts.select(F.col("id").alias("doc_id"), "text"), "texts")
     bits = written(node_rows.select("id", "bits").join(sharing, "id", "left_semi"), "bits")
+    discard(signed, hubs, spoken)
     near = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     near = near.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
     near = written(near.select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("similarity")).where(F.col("similarity") >= least), "near")
@@ -260,18 +266,24 @@ def _judged(docs: DataFrame, k: int, percent: int, link_null_ids: bool) -> DataF
         roots = written(roots.join(further, "root", "left").select("a", F.coalesce("beyond", "root").alias("root")), "roots")
     one, two = (roots.select(F.col("a").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
     open_pairs = near.join(first.select("a", "b"), ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    checked = first.unionByName(written(_confirmed(open_pairs, texts, k, percent), "confirmed"))
+    second = written(_confirmed(open_pairs, texts, k, percent), "confirmed")
+    checked = first.unionByName(second)
+    discard(near, roots)
 
     found = components(checked.where("linked"))
     for_members = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
     mixed = for_members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = written(for_members.join(written(mixed, "mixed"), "bucket", "left_semi"), "mixed")
-    late = written(_block_links(rest, bits, texts, least, k, percent), "confirmed")
+    mixed = written(mixed, "mixed")
+    rest = written(for_members.join(mixed, "bucket", "left_semi"), "mixed")
+    discard(mixed, members)
+    late = _block_links(rest, bits, texts, least, k, percent)
+    discard(rest, bits, texts)
     if not late.isEmpty():
         found = components(checked.where("linked").select("a", "b").unionByName(late))
 
     classed = names.where(linkable).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     classed = written(classed.drop("component"), "classes")
+    discard(first, second, late, found)
     by_rank = F.struct(F.col("doc_id").isNull().alias("last"), "_k1", "_k2")
     leaders = written(classed.groupBy("class").agg(F.min(by_rank).alias("lead"), F.min("doc_id").alias("component_id")), "leaders")
     linked = classed.join(leaders, "class").withColumn("leads", by_rank == F.col("lead"))
