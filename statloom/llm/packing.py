@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .inputs import per_batch, written
 from .textkernel import chunks, ragged, split_words
-from .units import tokenizer_file, word_bpe, word_bpe_units
+from .units import UNIT_BYTES, tokenizer_file, word_bpe, word_bpe_units
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -51,7 +51,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity:
         cache = word_bpe(tokenizer_file(vocabulary))
         doc_ids = batch.column(0)
         columns: list[list] = [[], [], [], [], [], []]
-        for row, _, data, offsets in chunks(batch.column(1)):
+        for row, _, data, offsets in chunks(batch.column(1), UNIT_BYTES):
             ids, first = document_ids(data, offsets, cache, closing)
             raw = ids.astype("<u4").tobytes()
             total = np.diff(first)

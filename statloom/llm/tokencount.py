@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .inputs import CACHES, per_batch
 from .substrings import _bytes, _slices
 from .textkernel import byte_hashes, chunks, long_column, split_words
-from .units import UnitCache, tokenizer_file
+from .units import UNIT_BYTES, UnitCache, tokenizer_file
 
 #: Nodes that a worker keeps before it starts a new trie; words beyond LONGEST are counted without one.
 MOST_NODES = 500_000
@@ -99,7 +99,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts, counts = [], []
-        for _, _, data, offsets in chunks(batch.column(0)):
+        for _, _, data, offsets in chunks(batch.column(0), UNIT_BYTES):
             words = split_words(data, offsets)
             _, at, n = np.unique(byte_hashes(data, words.start, words.end), return_index=True, return_counts=True)
             parts.append(_slices(data, words.start[at], words.end[at])), counts.append(n)
@@ -147,7 +147,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> Da
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_tokens = [], []
-        for _, _, data, offsets in chunks(batch.column(1)):
+        for _, _, data, offsets in chunks(batch.column(1), UNIT_BYTES):
             cache = _counter(tokenizer_file(vocabulary), held.value)
             words = split_words(data, offsets)
             counts, _ = cache.ids(cache.slots_of(data, words.start, words.end))

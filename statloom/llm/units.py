@@ -12,6 +12,8 @@ import numpy as np
 from .inputs import CACHES
 from .textkernel import LOWER, SPACE, Words, byte_hashes, ragged
 
+#: Bytes of text whose units are looked up together: each distinct one costs a look-up a chunk.
+UNIT_BYTES = 1 << 20
 #: Distinct units that a worker remembers; beyond it starts afresh, so memory stays bounded.
 REMEMBERED = 150_000
 
