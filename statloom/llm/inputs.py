@@ -39,9 +39,9 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def release() -> None:
+def release(remember: bool = False) -> None:
     """Give the memory of a finished partition back to the machine: Python workers are reused, and their heaps would add up."""
-    for cache in list(CACHES):
+    for cache in [] if remember else list(CACHES):
         cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -49,8 +49,11 @@ def release() -> None:
         trim(0)
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``work`` to each Arrow batch, in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` bytes."""
+def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, remember: bool = False) -> DataFrame:
+    """Apply ``work`` to each Arrow batch, in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` bytes.
+
+    With ``remember``, what a worker looked up (a bounded cache) stays for the next partition: faster, for some 25 MB a worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -60,7 +63,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     if (out := work(batch.slice(at, rows))) is not None and out.num_rows:
                         yield out
         finally:
-            release()
+            release(remember)
 
     short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

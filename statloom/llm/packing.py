@@ -44,7 +44,7 @@ def document_ids(data: np.ndarray, offsets: np.ndarray, cache, closing: int) ->
     return out, first
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, closing: int = CLOSING_ID, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, closing: int = CLOSING_ID, keep_ids: bool = False, remember: bool = False) -> DataFrame:
     """One row per piece, with the ids themselves if asked for."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -71,7 +71,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity:
             arrays.append(pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), work, PIECES + ", ids array<int>" * keep_ids)
+    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), work, PIECES + ", ids array<int>" * keep_ids, remember)
 
 
 class RoomTree:
@@ -135,6 +135,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_documents: int = GRO
     return dealt.groupBy("_group").applyInPandas(work, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, closing: int = CLOSING_ID, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, closing: int = CLOSING_ID, keep_ids: bool = False, remember: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length (the filled length where that is a power of two)."""
-    return pack(cut_pieces(docs, vocabulary, capacity, closing, keep_ids), capacity)
+    return pack(cut_pieces(docs, vocabulary, capacity, closing, keep_ids, remember), capacity)

@@ -26,7 +26,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), remember=True)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents"))
+    return rules.quality_rules(table(spark, sf_dir, "documents"), remember=True)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), remember=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing)}

@@ -118,7 +118,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, vocabulary: str) -> dict[str,
     return out
 
 
-def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", remember: bool = False) -> DataFrame:
     """The measures and the verdict of each row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,7 +131,7 @@ def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> D
             **{k: got[k].astype(float) for k in ("chars_per_token", "byte_share", "token_entropy")},
         })
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), work, SCHEMA)
+    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), work, SCHEMA, remember)
 
 
 def filter_quality(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:

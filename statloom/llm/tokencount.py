@@ -141,7 +141,7 @@ def _counter(path: str, counts: bytes) -> UnitCache:
     return UnitCache(lambda words: [[trie.count("▁" + w)] for w in words])
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", remember: bool = False) -> DataFrame:
     """doc_id, n_words, n_tokens for each row."""
     held = docs.sparkSession.sparkContext.broadcast(piece_counts(docs, vocabulary)[0].tobytes())
 
@@ -155,4 +155,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> Da
             n_tokens.append(np.bincount(words.doc, weights=counts, minlength=words.n_docs))
         return pa.RecordBatch.from_arrays([batch.column(0), long_column(np.concatenate(n_words)), long_column(np.concatenate(n_tokens))], names=["doc_id", "n_words", "n_tokens"])
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_words long, n_tokens long")
+    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_words long, n_tokens long", remember)
