@@ -15,7 +15,7 @@ def test_large_degrees_of_freedom(df):
     assert math.isclose(float(f_sf(1.0, df, df)), 0.5, abs_tol=1e-8)
     z = 1.959963984540054  # t exceeds the normal's quantile a little more often: the first term of the expansion
     excess = 2 * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (z + z**3) / (4 * df)
-    assert math.isclose(float(t_sf2(z, df)), 0.05 + excess, abs_tol=1e-9)
+    assert math.isclose(float(t_sf2(z, df)), 0.05 + excess, abs_tol=1e-8)  # what the module promises
 
 
 def test_closed_forms():
