@@ -13,23 +13,66 @@ MODELS = ["linear", "quadratic", "cubic", "logarithmic", "exponential", "power",
 GAIN, LEAST = 0.05, 0.20
 
 
-def _sums(df: DataFrame, columns: list[str], work, size: int) -> np.ndarray:
-    """The sum of work(x) over all Arrow batches x (rows x columns); partial sums of a fixed size meet at the driver."""
+def _known(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as numbers; NaN is missing."""
+    numbers = [F.col(c).cast("double") for c in columns]
+    return df.select([F.when(~F.isnan(v), v).alias(c) for v, c in zip(numbers, columns, strict=True)])
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+
+
+def _sums(df: DataFrame, work, size: int) -> np.ndarray:
+    """The sum of work(x) over all Arrow batches x (rows x columns, NaN where missing); partial sums of a fixed size meet at the driver."""
 
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                total += work(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1))
+                total += work(_matrix(batch))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
 
-    rows = df.select([F.col(c).cast("double") for c in columns]).dropna().mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = df.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in rows:
         out[r["i"]] = r["v"]
     return out
 
 
+def _pair_moments(known: DataFrame, at: list[tuple[int, int]]) -> dict[int, dict]:
+    """n, mx, sx, sst, lx, ly and zeros of each pair (positions of x and y) over the rows that have both; pairs of under 20 rows or
+    without variation are left out. Sums are taken of values that each column's mean and deviation centre, so nothing cancels."""
+    c = known.agg(*[f(F.col(x)) for x in known.columns for f in (F.avg, F.stddev_pop)]).first()
+    mean = np.array([v or 0.0 for v in c[0::2]])
+    sd = np.array([v or 1.0 for v in c[1::2]])
+    names = ["n", "zeros", "x1", "x2", "y1", "y2", "lx", "hx", "ly", "hy"]
+
+    def run(batches):
+        sums, low, high = np.zeros((len(at), 6)), np.full((len(at), 2), np.inf), np.full((len(at), 2), -np.inf)
+        for batch in batches:
+            d = _matrix(batch)
+            z, there = (d - mean) / sd, ~np.isnan(d)
+            for k, (i, j) in enumerate(at):
+                both = there[:, i] & there[:, j]
+                if both.any():
+                    u, v, raw = z[both, i], z[both, j], d[both][:, [i, j]]
+                    sums[k] += [len(u), (raw[:, 0] == 0).sum(), u.sum(), u @ u, v.sum(), v @ v]
+                    low[k], high[k] = np.minimum(low[k], raw.min(0)), np.maximum(high[k], raw.max(0))
+        parts = [*sums.T, low[:, 0], high[:, 0], low[:, 1], high[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), *map(pa.array, parts)], names=["k", *names])
+
+    partial = known.mapInArrow(run, "k long, " + ", ".join(f"{x} double" for x in names)).groupBy("k")
+    rows = partial.agg(*[(F.min if x in ("lx", "ly") else F.max if x in ("hx", "hy") else F.sum)(x).alias(x) for x in names]).collect()
+    found = {}
+    for r in rows:
+        n, (i, j) = int(r["n"]), at[r["k"]]
+        if n >= 20 and r["lx"] < r["hx"] and r["ly"] < r["hy"]:
+            spread = np.sqrt(max(r["x2"] / n - (r["x1"] / n) ** 2, 1e-300))
+            found[r["k"]] = {"n": n, "mx": mean[i] + sd[i] * r["x1"] / n, "sx": sd[i] * spread, "sst": sd[j] ** 2 * (r["y2"] - r["y1"] ** 2 / n), "lx": r["lx"], "ly": r["ly"], "zeros": r["zeros"]}
+    return found
+
+
 def _features(x: np.ndarray, m: float, s: float) -> np.ndarray:
     """Columns 1, z, z2, z3, ln x, 1/x; what x doesn't allow is zero."""
     z = (x - m) / s
@@ -56,52 +99,74 @@ def _raw_scale(name: str, b: np.ndarray, m: float, s: float) -> list[float]:
     return [float(v) for v in total]
 
 
-def fit_curves(df: DataFrame, x: str, y: str) -> DataFrame:
-    """model, n, parameters, sse, r2, adj_r2, p for each model that the signs of x and y allow: one pass for all
-    coefficients, one for all residuals on the scale of y."""
-    spark = df.sparkSession
-    schema = "model string, n long, coefficients array<double>, sse double, r2 double, adj_r2 double, p double"
-    known = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    r = known.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.avg("y").alias("my"), F.min("x").alias("lx"), F.min("y").alias("ly"), F.count_if(F.col("x") == 0).alias("zeros"), (F.var_pop("y") * F.count("*")).alias("sst")).first()
-    n = r["n"]
-    if n < 20 or not r["sx"] or not r["sst"]:
-        return spark.createDataFrame([], schema)
-    allowed = [m for m in MODELS if (m not in ("logarithmic", "power") or r["lx"] > 0) and (m not in ("exponential", "power") or r["ly"] > 0) and (m != "inverse" or r["zeros"] == 0)]
-    mx, sx = r["mx"], r["sx"]
+def _fits(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """(x, y, model, n, coefficients, sse, r2, adj_r2, p) of all pairs: one pass for the moments of all pairs, one for all coefficients and
+    one for all residuals on the scale of y."""
+    columns = sorted({c for p in pairs for c in p})
+    known = _known(df, columns)
+    at = [(columns.index(x), columns.index(y)) for x, y in pairs]
+    moments = _pair_moments(known, at)
+    kept = sorted(moments)
+    if not kept:
+        return []
+
+    def values(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The features of x and the values of y in the rows that have both."""
+        i, j = at[k]
+        both = ~np.isnan(d[:, i]) & ~np.isnan(d[:, j])
+        return _features(d[both, i], moments[k]["mx"], moments[k]["sx"]), d[both, j]
 
     def normal(d: np.ndarray) -> np.ndarray:
-        f = _features(d[:, 0], mx, sx)
-        ly = np.log(np.where(d[:, 1] > 0, d[:, 1], 1))
-        return np.concatenate([(f.T @ f).ravel(), f.T @ d[:, 1], f.T @ ly])
-
-    s = _sums(known, ["x", "y"], normal, 48)
-    ff, fy, fl = s[:36].reshape(6, 6), s[36:42], s[42:]
-    fits = {}
-    for m in allowed:
-        at = _PARTS[m]
-        fits[m] = np.linalg.lstsq(ff[np.ix_(at, at)], (fl if m in ("exponential", "power") else fy)[at], rcond=None)[0]
-    errors = _sums(known, ["x", "y"], lambda d: np.array([((d[:, 1] - _apply(m, _features(d[:, 0], mx, sx), b)) ** 2).sum() for m, b in fits.items()]), len(fits))
+        parts = []
+        for k in kept:
+            f, y = values(d, k)
+            parts += [(f.T @ f).ravel(), f.T @ y, f.T @ np.log(np.where(y > 0, y, 1))]
+        return np.concatenate(parts)
+
+    sums = _sums(known, normal, 48 * len(kept)).reshape(len(kept), 48)
+    fits = []
+    for k, s in zip(kept, sums, strict=True):
+        r, ff, fy, fl = moments[k], s[:36].reshape(6, 6), s[36:42], s[42:]
+        for m in MODELS:
+            if (m in ("logarithmic", "power") and r["lx"] <= 0) or (m in ("exponential", "power") and r["ly"] <= 0) or (m == "inverse" and r["zeros"]):
+                continue
+            parts = _PARTS[m]
+            fits.append((k, m, np.linalg.lstsq(ff[np.ix_(parts, parts)], (fl if m in ("exponential", "power") else fy)[parts], rcond=None)[0]))
+
+    def residuals(d: np.ndarray) -> np.ndarray:
+        own = {k: values(d, k) for k in kept}
+        return np.array([((own[k][1] - _apply(m, own[k][0], b)) ** 2).sum() for k, m, b in fits])
+
     rows = []
-    for (m, b), e in zip(fits.items(), errors, strict=True):
-        k, r2 = len(b) - 1, 1 - e / r["sst"]
-        left = n - k - 1
-        p = float(f_sf(r2 / k / max((1 - r2) / left, 1e-300), k, left)) if 0 <= r2 < 1 and left > 0 else None
-        rows.append((m, n, _raw_scale(m, b, mx, sx), float(e), float(r2), float(1 - (1 - r2) * (n - 1) / left), p))
-    return spark.createDataFrame(rows, schema)
+    for (k, m, b), e in zip(fits, _sums(known, residuals, len(fits)), strict=True):
+        r, terms = moments[k], len(b) - 1
+        n, r2 = r["n"], 1 - e / r["sst"]
+        left = n - terms - 1
+        p = float(f_sf(r2 / terms / max((1 - r2) / left, 1e-300), terms, left)) if 0 <= r2 < 1 and left > 0 else None
+        rows.append((*pairs[k], m, n, _raw_scale(m, b, r["mx"], r["sx"]), float(e), float(r2), float(1 - (1 - r2) * (n - 1) / left), p))
+    return rows
+
+
+def fit_curves(df: DataFrame, x: str, y: str) -> DataFrame:
+    """model, n, coefficients, sse, r2, adj_r2, p for each model that the signs of x and y allow."""
+    rows = [r[2:] for r in _fits(df, [(x, y)])]
+    return df.sparkSession.createDataFrame(rows, "model string, n long, coefficients array<double>, sse double, r2 double, adj_r2 double, p double")
 
 
 def hidden_formulas(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, model, adj_r2, gain, p, hidden: the best model of the better direction of each pair."""
+    """x, y, model, adj_r2, gain, p, hidden: the best model of the better direction of each pair. Four jobs for all pairs."""
+    fitted: dict[tuple[str, str], list[tuple]] = {}
+    for r in _fits(df, [(a, b) for a in columns for b in columns if a != b]):
+        fitted.setdefault(r[:2], []).append(r)
     rows = []
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
             found = []
             for x, y in ((a, b), (b, a)):
-                fits = fit_curves(df, x, y).collect()
-                if fits:
-                    best = max(fits, key=lambda r: r["adj_r2"])
-                    gain = best["adj_r2"] - next(r["adj_r2"] for r in fits if r["model"] == "linear")
-                    found.append((best["adj_r2"], x, y, best["model"], float(gain), best["p"]))
+                if fits := fitted.get((x, y)):
+                    best = max(fits, key=lambda r: r[7])
+                    gain = best[7] - next(r[7] for r in fits if r[2] == "linear")
+                    found.append((best[7], x, y, best[2], float(gain), best[8]))
             if found:
                 adj, x, y, model, gain, p = max(found, key=lambda v: (v[0], v[1]))
                 rows.append((x, y, model, float(adj), gain, p, bool(gain >= GAIN and adj >= LEAST)))
