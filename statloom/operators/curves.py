@@ -8,38 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_sf
+from .moments import known_numbers, matrix_of, summed
 
 MODELS = ["linear", "quadratic", "cubic", "logarithmic", "exponential", "power", "inverse"]
 GAIN, LEAST = 0.05, 0.20
 
 
-def _known(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns as numbers; NaN is missing."""
-    numbers = [F.col(c).cast("double") for c in columns]
-    return df.select([F.when(~F.isnan(v), v).alias(c) for v, c in zip(numbers, columns, strict=True)])
-
-
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
-
-
-def _sums(df: DataFrame, work, size: int) -> np.ndarray:
-    """The sum of work(x) over all Arrow batches x (rows x columns, NaN where missing); partial sums of a fixed size meet at the driver."""
-
-    def run(batches):
-        total = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                total += work(_matrix(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
-
-    rows = df.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size)
-    for r in rows:
-        out[r["i"]] = r["v"]
-    return out
-
-
 def _pair_moments(known: DataFrame, at: list[tuple[int, int]]) -> dict[int, dict]:
     """n, mx, sx, sst, lx, ly and zeros of each pair (positions of x and y) over the rows that have both; pairs of under 20 rows or
     without variation are left out. Sums are taken of values that each column's mean and deviation centre, so nothing cancels."""
@@ -51,7 +25,7 @@ def _pair_moments(known: DataFrame, at: list[tuple[int, int]]) -> dict[int, dict
     def run(batches):
         sums, low, high = np.zeros((len(at), 6)), np.full((len(at), 2), np.inf), np.full((len(at), 2), -np.inf)
         for batch in batches:
-            d = _matrix(batch)
+            d = matrix_of(batch)
             z, there = (d - mean) / sd, ~np.isnan(d)
             for k, (i, j) in enumerate(at):
                 both = there[:, i] & there[:, j]
@@ -103,7 +77,7 @@ def _fits(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
     """(x, y, model, n, coefficients, sse, r2, adj_r2, p) of all pairs: one pass for the moments of all pairs, one for all coefficients and
     one for all residuals on the scale of y."""
     columns = sorted({c for p in pairs for c in p})
-    known = _known(df, columns)
+    known = known_numbers(df, columns)
     at = [(columns.index(x), columns.index(y)) for x, y in pairs]
     moments = _pair_moments(known, at)
     kept = sorted(moments)
@@ -123,7 +97,7 @@ def _fits(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
             parts += [(f.T @ f).ravel(), f.T @ y, f.T @ np.log(np.where(y > 0, y, 1))]
         return np.concatenate(parts)
 
-    sums = _sums(known, normal, 48 * len(kept)).reshape(len(kept), 48)
+    sums = summed(known, normal, 48 * len(kept)).reshape(len(kept), 48)
     fits = []
     for k, s in zip(kept, sums, strict=True):
         r, ff, fy, fl = moments[k], s[:36].reshape(6, 6), s[36:42], s[42:]
@@ -138,7 +112,7 @@ def _fits(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
         return np.array([((own[k][1] - _apply(m, own[k][0], b)) ** 2).sum() for k, m, b in fits])
 
     rows = []
-    for (k, m, b), e in zip(fits, _sums(known, residuals, len(fits)), strict=True):
+    for (k, m, b), e in zip(fits, summed(known, residuals, len(fits)), strict=True):
         r, terms = moments[k], len(b) - 1
         n, r2 = r["n"], 1 - e / r["sst"]
         left = n - terms - 1

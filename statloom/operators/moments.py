@@ -65,3 +65,30 @@ def covariance(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.n
         return int(total), np.zeros(d), np.zeros((d, d))
     first = np.diag(s)
     return int(total), first / total + np.array(centres(complete, columns)), (p - np.outer(first, first) / total) / (total - 1)
+
+
+def known_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as numbers; NaN is missing."""
+    numbers = [F.col(c).cast("double") for c in columns]
+    return df.select([F.when(~F.isnan(v), v).alias(c) for v, c in zip(numbers, columns, strict=True)])
+
+
+def matrix_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+
+
+def summed(df: DataFrame, work, size: int) -> np.ndarray:
+    """The sum of work(x) over all Arrow batches x (rows x columns, NaN where missing); partial sums of a fixed size meet at the driver."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += work(matrix_of(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
+
+    rows = df.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_sf, t_quantile, t_sf2
-from .moments import covariance
+from .moments import covariance, known_numbers, summed
 from .ranks import mid_ranks
 
 
@@ -99,25 +99,45 @@ def logistic(df: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(out, schema)
 
 
-def interactions(df: DataFrame, y: str, columns: list[str], most: int = 3000) -> DataFrame:
-    """y, x, z, n, b (of x times z), p, delta_r2, r2: standardised moderation models, from one aggregate of mixed moments each."""
+def interactions(df: DataFrame, y: str, columns: list[str]) -> DataFrame:
+    """y, x, z, n, b (of x times z), p, delta_r2, r2: standardised moderation models of all pairs, from one pass for the mixed moments.
+
+    Pairs of under 30 complete rows, without variation or with collinear terms are left out.
+    """
     names = [c for c in columns if c != y]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][:most]
+    pairs = [(i + 1, j + 1) for i in range(len(names)) for j in range(i + 1, len(names))]
+    schema = "y string, x string, z string, n long, b double, p double, delta_r2 double, r2 double"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+    known = known_numbers(df, [y, *names])
+    c = known.agg(*[f(F.col(v)) for v in known.columns for f in (F.avg, F.stddev_pop)]).first()
+    mean, sd = np.array([v or 0.0 for v in c[0::2]]), np.array([v or 1.0 for v in c[1::2]])
+
+    def mixed(d: np.ndarray) -> np.ndarray:
+        scaled, there = (d - mean) / sd, ~np.isnan(d)
+        out = []
+        for i, j in pairs:
+            own = scaled[there[:, 0] & there[:, i] & there[:, j]][:, [0, i, j]]
+            f = np.column_stack([np.ones(len(own)), own, own[:, 1] * own[:, 2]])
+            out.append((f.T @ f).ravel())
+        return np.concatenate(out)
+
     rows = []
-    base = df.select([F.col(c).cast("double") for c in [y, *names]])
-    for x, z in pairs:
-        own = base.select(y, x, z).dropna()
-        m = own.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate((y, x, z)) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        if m["n"] < 30 or not all(m[f"s{i}"] for i in range(3)):
+    for (i, j), g in zip(pairs, summed(known, mixed, 25 * len(pairs)).reshape(-1, 5, 5), strict=True):
+        n = int(g[0, 0])
+        if n < 30:
             continue
-        s = own.select(*[((F.col(c) - m[f"m{i}"]) / m[f"s{i}"]).alias(v) for i, (c, v) in enumerate(((y, "y"), (x, "x"), (z, "z")))]).withColumn("w", F.col("x") * F.col("z"))
-        n, _, cov = covariance(s, ["y", "x", "z", "w"])
+        cov = (g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / n) / (n - 1)
         full, less = cov[1:, 1:], cov[1:3, 1:3]
+        if min(np.diag(cov)) <= 1e-12 or np.linalg.cond(full) > 1e12:
+            continue
         b = np.linalg.solve(full, cov[1:, 0])
         r2, r2_less = b @ cov[1:, 0] / cov[0, 0], np.linalg.solve(less, cov[1:3, 0]) @ cov[1:3, 0] / cov[0, 0]
-        se = np.sqrt(cov[0, 0] * (1 - r2) / (n - 4) * np.linalg.inv(full)[2, 2])
-        rows.append((y, x, z, n, float(b[2]), float(t_sf2(b[2] / max(se, 1e-300), n - 4)), float(r2 - r2_less), float(r2)))
-    return df.sparkSession.createDataFrame(rows, "y string, x string, z string, n long, b double, p double, delta_r2 double, r2 double")
+        se = np.sqrt(max(cov[0, 0] * (1 - r2) / (n - 4) * np.linalg.inv(full)[2, 2], 0.0))
+        # other centres change no product term's test, and other scales only its unit
+        unit = np.sqrt(cov[1, 1] * cov[2, 2] / cov[0, 0] * (n - 1) / n)
+        rows.append((y, names[i - 1], names[j - 1], n, float(b[2] * unit), float(t_sf2(b[2] / max(se, 1e-300), n - 4)), float(r2 - r2_less), float(r2)))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def label_auc(a: Column) -> Column:
