@@ -97,6 +97,11 @@ def partial_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def kendall_p(k: DataFrame) -> DataFrame:
-    n = F.col("n")
-    return k.withColumn("p", p_z(3 * F.col("tau_b") * F.sqrt(n * (n - 1)) / F.sqrt(2 * (2 * n + 5))))
+def kendall_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, s, tau_b, z and p by the normal form, its variance corrected for ties; z and p are null with fewer than three rows or one value."""
+    c, n = concordance(df, x, y), F.col("n").cast("double")
+    m = n * (n - 1)
+    variance = (m * (2 * n + 5) - F.col("vx") - F.col("vy")) / 18 + F.try_divide(2 * F.col("tx") * F.col("ty"), m) + F.try_divide(F.col("ux") * F.col("uy"), 9 * m * (n - 2))
+    tau = F.try_divide(F.col("s"), F.sqrt((m / 2 - F.col("tx")) * (m / 2 - F.col("ty"))))
+    z = F.when((n > 2) & (variance > 0), F.try_divide(F.col("s"), F.sqrt(variance)))
+    return c.select("n", "s", tau.alias("tau_b"), z.alias("z")).withColumn("p", p_z(F.col("z")))

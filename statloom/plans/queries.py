@@ -156,6 +156,21 @@ def kendall(spark, sf_dir):
     return rounded(correlate.kendall(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount"), 8)
 
 
+@query("""WITH o AS (SELECT CAST(o_totalprice AS DOUBLE) AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders), s AS (SELECT CAST(sum(sign(b.y - a.y)) AS DOUBLE) AS s FROM o a JOIN o b ON a.x < b.x),
+tx AS (SELECT sum(m * (m - 1.0) / 2) AS t FROM (SELECT count(*) AS m FROM o GROUP BY x)), ty AS (SELECT sum(m * (m - 1.0) / 2) AS t FROM (SELECT count(*) AS m FROM o GROUP BY y)), t AS (SELECT count(*) AS n FROM o)
+SELECT t.n AS n, s.s AS s, round(s.s / sqrt((t.n * (t.n - 1.0) / 2 - tx.t) * (t.n * (t.n - 1.0) / 2 - ty.t)), 8) AS tau_b FROM t, s, tx, ty""")
+def kendall_continuous(spark, sf_dir):
+    return rounded(correlate.kendall(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey"), 8)
+
+
+@query("""WITH c AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT CAST(sum(a.n * b.n * sign(b.y - a.y)) AS DOUBLE) AS s FROM c a JOIN c b ON a.x < b.x),
+mx AS (SELECT CAST(sum(n) AS DOUBLE) AS m FROM c GROUP BY x), my AS (SELECT CAST(sum(n) AS DOUBLE) AS m FROM c GROUP BY y), t AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM c),
+tx AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v FROM mx), ty AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v FROM my)
+SELECT CAST(t.n AS BIGINT) AS n, round(s.s / sqrt((t.n * (t.n - 1) * (2 * t.n + 5) - tx.v - ty.v) / 18 + 2 * tx.t * ty.t / (t.n * (t.n - 1)) + tx.u * ty.u / (9 * t.n * (t.n - 1) * (t.n - 2))), 6) AS z FROM t, s, tx, ty""")
+def kendall_z(spark, sf_dir):
+    return rounded(correlate.kendall_test(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount").select("n", "z"), 6)
+
+
 @query("SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem")
 def simple_regression(spark, sf_dir):
     return rounded(correlate.simple_regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 8, slope=4, intercept=3)
