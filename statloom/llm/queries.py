@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, neardup, packing, quality, rules, substrings, tokencount, warc
+from . import chat, decontamination, language, neardup, packing, quality, repair, rules, substrings, tokencount, warc
 from .inputs import table
 
 
@@ -53,7 +53,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), remember=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing, op13_conversation_repair)}
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,4 +120,38 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.x) AS kept FROM words ANTI JOIN (SELECT doc_id, unnest(xs) AS x FROM gone) g ON words.doc_id = g.doc_id AND words.x = g.x GROUP BY words.doc_id)
         SELECT d.doc_id, len(w) AS n_words, coalesce(len(xs), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, x)) AS t),
+        keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT) AS key FROM conversations),
+        kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(key, lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256]), 4294967295), 4294967295) % 20 AS kind FROM keyed, bits),
+        rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM kinds WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS x, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM rows),
+        faulty AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY x) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+            left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY x) AS pair, count(*) OVER (PARTITION BY conv_id) - x AS k FROM placed),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+            count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+        -- states: 0 nothing yet, 1 system, 2 user, 3 assistant; up to two inserts stand before a row's own edit
+        inserts(state, cost, audit, lines, now) AS (VALUES (0, 0, '', '', 0), (1, 0, '', '', 1), (2, 0, '', '', 2), (3, 0, '', '', 3),
+            (0, 3, 'I', 'user:' || chr(10), 2), (1, 3, 'I', 'user:' || chr(10), 2), (2, 3, 'I', 'assistant:' || chr(10), 3), (3, 3, 'I', 'user:' || chr(10), 2),
+            (0, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 3), (1, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 3),
+            (2, 6, 'II', 'assistant:' || chr(10) || 'user:' || chr(10), 2), (3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 3)),
+        edits(now, edit, cost, initial, role, later) AS (VALUES (0, 'K', 0, 's', NULL, 1), (0, 'K', 0, 'u', NULL, 2), (1, 'K', 0, 'u', NULL, 2), (2, 'K', 0, 'a', NULL, 3), (3, 'K', 0, 'u', NULL, 2),
+            (0, 'R', 3, NULL, 'user', 2), (1, 'R', 3, NULL, 'user', 2), (2, 'R', 3, NULL, 'assistant', 3), (3, 'R', 3, NULL, 'user', 2),
+            (0, 'D', 4, NULL, NULL, 0), (1, 'D', 4, NULL, NULL, 1), (2, 'D', 4, NULL, NULL, 2), (3, 'D', 4, NULL, NULL, 3)),
+        moves AS (SELECT i.state, i.cost + e.cost AS cost, i.audit || e.edit AS audit, i.lines, e.edit, e.initial, e.role, e.later FROM inserts i JOIN edits e ON i.now = e.now),
+        best AS (
+            SELECT conv_id, 0::BIGINT AS k, e.state, {'cost': e.cost, 'audit': e.audit, 'lines': e.lines} AS s
+            FROM (SELECT DISTINCT conv_id FROM faulty), (VALUES (0, 0, '', ''), (1, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 3, 'I', 'assistant:' || chr(10)), (3, 0, '', '')) e(state, cost, audit, lines)
+            UNION ALL
+            SELECT b.conv_id, b.k + 1, m.state, min({'cost': m.cost + b.s.cost + CASE WHEN f.fault = 't' AND m.edit <> 'D' THEN 3 ELSE 0 END, 'audit': m.audit || b.s.audit,
+                'lines': m.lines || CASE WHEN m.edit = 'D' THEN '' ELSE coalesce(m.role, f.role) || ':' || f.text || chr(10) END || b.s.lines})
+            FROM best b JOIN faulty f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.k = f.k
+            JOIN moves m ON m.later = b.state AND (m.initial IS NULL OR m.initial = left(f.role, 1)) AND (m.edit = 'D' OR f.fault NOT IN ('b', 'd'))
+            GROUP BY b.conv_id, b.k, m.state)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, sha256(CASE WHEN s.lines IS NULL OR s.lines = '' THEN '' ELSE s.lines[:-2] END) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+        LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = n.n AND b.state = 0""",
 }
