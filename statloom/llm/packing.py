@@ -30,11 +30,10 @@ GROUP_DOCUMENTS = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def document_ids(data: np.ndarray, offsets: np.ndarray, cache, closing: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all documents of a chunk in a row, closing id included, and where each begins."""
-    words = split_words(data, offsets)
-    lower, start, end = word_bpe_units(data, words)
-    flat, size = cache.ids(cache.slots_of(lower, start, end))
+def document_ids(data: np.ndarray, offsets: np.ndarray, cache, closing: int, units=None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents of a chunk in a row, closing id included, and where each begins. ``units`` says how texts are cut for the cache."""
+    coded, start, end = units(data, offsets) if units else word_bpe_units(data, split_words(data, offsets))
+    flat, size = cache.ids(cache.slots_of(coded, start, end))
     n = len(offsets) - 1
     doc = np.searchsorted(offsets, start, "right") - 1
     tokens = np.bincount(doc, weights=size, minlength=n).astype(np.int64)

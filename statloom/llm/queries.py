@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, neardup, packing, quality, repair, rules, substrings, tokencount, warc
+from . import bestfit, chat, decontamination, language, neardup, packing, quality, repair, rules, substrings, tokencount, warc
 from .inputs import table
 
 
@@ -53,16 +53,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), remember=True)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing, op12_best_fit_packing, op13_conversation_repair)}
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Languages, quality, fertility verdicts and token ids (2, 5, 6, 9, 10) need a model or a vocabulary, which SQL hasn't.
+#: Languages, quality, fertility verdicts and token ids (2, 5, 6, 9, 10, 12) need a model or a vocabulary, which SQL hasn't.
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": f"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
