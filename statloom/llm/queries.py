@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, decontamination, language, neardup, packing, quality, repair, rules, substrings, tokencount, warc
+from . import bestfit, chat, decontamination, hardneg, language, neardup, packing, quality, repair, rules, substrings, tokencount, warc
 from .inputs import table
 
 
@@ -53,6 +53,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), remember=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_best(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing, op12_best_fit_packing, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_decontamination, op4_warc, op5_token_counts, op6_quality_classifier, op7_chat_format, op8_substring_dedup, op9_quality_rules, op10_packing, op11_hard_negatives, op12_best_fit_packing, op13_conversation_repair)}
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +129,15 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.x) AS kept FROM words ANTI JOIN (SELECT doc_id, unnest(xs) AS x FROM gone) g ON words.doc_id = g.doc_id AND words.x = g.x GROUP BY words.doc_id)
         SELECT d.doc_id, len(w) AS n_words, coalesce(len(xs), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+            s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT * FROM n WHERE rank <= 5""",
     "op13_conversation_repair": r"""
         WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, x)) AS t),
         keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,

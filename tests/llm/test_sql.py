@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def database():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
