@@ -14,9 +14,9 @@ A pair at the threshold is missed with probability (1 - 0.75^5)^51, one in a mil
 Rows are named by doc_id and the hash of their text, sets by a 64-bit hash, so the texts of a repeated doc_id are judged one by one.
 
 Defined cases: documents without words have the empty set and are linked with nothing; rows without doc_id are linked with nothing
-and keep component null (``drop_near_duplicates`` links them like others); one row of each class is kept, that with the smallest
-doc_id, then the smallest hash of its text; of rows with equal doc_id and text one is kept; an empty table gives no rows; other
-columns are ignored.
+and keep component and ``kept`` null; every row that has the smallest doc_id of its class is ``kept``, repeated ones too.
+``drop_near_duplicates`` links rows without doc_id like others and leaves one row of each class, that with the smallest doc_id, then
+the smallest hash of its text; of rows with equal doc_id and text it leaves one. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -295,9 +295,8 @@ def _judged(docs: DataFrame, k: int, percent: int, link_null_ids: bool) -> DataF
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     judged = _judged(docs, k, percent, False)
-    # the first of equal rows speaks for them
-    each = judged.select("doc_id", "n_shingles", "component_id", "leads", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return each.select("doc_id", "n_shingles", "component_id", (F.col("leads") & (F.col("copy") == 1)).alias("kept"))
+    each = judged.select("doc_id", "n_shingles", "component_id", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return each.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:

@@ -54,9 +54,12 @@ def test_texts_of_one_id_are_judged_one_by_one(spark, rows):
     found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(found) == len(rows)
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found)
-    assert got[1, 1, True] == 1 and got[1, 1, False] == 2 and got[2, 1, False] == 1
+    # kept is doc_id = component_id, row by row
+    assert got[1, 1, True] == 3 and got[2, 1, False] == 1
     assert got[3, 3, True] == 2 and got[4, 3, False] == got[5, 3, False] == 1
-    assert got[6, 6, True] == got[6, 6, False] == 1
+    assert got[6, 6, True] == 2 and got[9, 9, True] == 2
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found if r["doc_id"] is not None)
+    assert all(r["kept"] is None for r in found if r["doc_id"] is None)
     assert all(r["component_id"] is None for r in found if r["doc_id"] is None)
 
 
