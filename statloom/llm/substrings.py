@@ -269,7 +269,9 @@ def occurrences(pieces: DataFrame, phrases: DataFrame, window: int = WINDOW, mos
     plan = written(blocks.join(deals, "shard"), "shards")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     known = phrases.select(shard, "words").join(plan, "shard").select("shard", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int").alias("block"), every("deals").alias("deal"), "words")
-    streamed = pieces.select(shard, "_k1", "_k2", "start", "words").join(plan, "shard").select("shard", every("blocks").alias("block"), F.pmod(F.xxhash64("_k1", "_k2", "start"), F.col("deals")).cast("int").alias("deal"), "_k1", "_k2", "start", "words")
+    # a salt of the written table's rows deals pieces of equal rows evenly; an attempt that runs again reads the same salts
+    streamed = pieces.select(shard, "_k1", "_k2", "start", "words", F.monotonically_increasing_id().alias("salt")).join(plan, "shard")
+    streamed = streamed.select("shard", every("blocks").alias("block"), F.pmod(F.xxhash64("_k1", "_k2", "start", "salt"), F.col("deals")).cast("int").alias("deal"), "_k1", "_k2", "start", "words")
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
