@@ -199,18 +199,17 @@ def _streamed(turns: DataFrame, each, schema: str, tape_bytes: int) -> DataFrame
             open_now.tape.close()
 
         for batch in batches:
-            conv = batch["conv"].astype(object).where(batch["conv"].notna(), None)
-            edge = conv.ne(conv.shift()) & ~(conv.isna() & conv.shift().isna())
-            starts = [i for i, new in enumerate(edge.tolist()) if new or not i]
-            for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
-                if open_now is None or open_now.name != conv.iat[a]:
+            own = [batch[c].tolist() for c in columns]
+            here, gone = batch["conv"].astype(object).where(batch["conv"].notna(), None).tolist(), batch["gone"].tolist()
+            starts = [i for i in range(len(here)) if not i or here[i] != here[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(here)], strict=True):
+                if open_now is None or open_now.name != here[a]:
                     if open_now is not None:
                         yield from ended()
-                    open_now = Conversation(conv.iat[a], tape_bytes)
-                part = batch.iloc[a:b]
-                part = part[~part["gone"]]
-                if len(part):
-                    open_now.meet(zip(*(part[c].tolist() for c in columns), strict=True))
+                    open_now = Conversation(here[a], tape_bytes)
+                left = [i for i in range(a, b) if not gone[i]]
+                if left:
+                    open_now.meet(zip(*([x[i] for i in left] for x in own), strict=True))
             if out:
                 yield frame()
         if open_now is not None:
