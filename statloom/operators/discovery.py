@@ -1,4 +1,4 @@
-"""Hidden structure: mutual information, predictability, clusters, anomalies and risk models."""
+"""Hidden structure: mutual information, clusters and anomalies."""
 
 from __future__ import annotations
 
@@ -7,23 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .correlate import pearson_pairs
 from .describe import clean_numbers, describe_numeric
-from .regress import roc_auc
 
 #: Fixed limits of the layer.
-LEAST_ROWS, REDUNDANT, STRONG_MI, STRONG_GAP, PREDICTABLE, TARGETS, FOLDS, ROUNDS, SEED = 25, 0.95, 0.30, 0.10, 0.15, 40, 5, 80, 42
-REPEATS = 3
-TREES, TREE_ROWS, TOP_ANOMALIES, TOP_REASONS, TOP_RISKS, LEAST_AUC, LEAST_CLASS = 100, 256, 25, 4, 10, 0.7, 10
+LEAST_ROWS, REDUNDANT, STRONG_MI, STRONG_GAP, SEED = 25, 0.95, 0.30, 0.10, 42
+TREES, TREE_ROWS, TOP_ANOMALIES, TOP_REASONS = 100, 256, 25, 4
 
 
 def binned(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
@@ -60,11 +55,6 @@ def nonlinear_finds(mi: DataFrame) -> DataFrame:
     return mi.where((F.col("equivalent") >= STRONG_MI) & (F.abs("r") < REDUNDANT) & (F.col("gap") > STRONG_GAP))
 
 
-def fold_of(key: Column, folds: int = FOLDS) -> Column:
-    """A fold by hash, so that lost tasks deal rows the same way again."""
-    return F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(folds)).cast("int")
-
-
 def _features(columns: list[str]) -> Pipeline:
     names = [f"_{c}" for c in columns]
     return Pipeline(stages=[Imputer(inputCols=columns, outputCols=names, strategy="median"), VectorAssembler(inputCols=names, outputCol="features")])
@@ -74,69 +64,6 @@ def _numbers(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return clean_numbers(df).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
 
 
-def _scores(model, test: DataFrame, kind: str, target: str) -> dict[str, float]:
-    """R2 or accuracy over held-out rows, with sums only."""
-    if kind == "regression":
-        e = F.sum((F.col(target) - F.col("prediction")) ** 2) / (F.var_pop(target) * F.count("*"))
-        return float(model.transform(test).agg((1 - e).alias("s")).first()["s"] or 0.0)
-    return float(model.transform(test).agg(F.avg((F.col(target) == F.col("prediction")).cast("double")).alias("s")).first()["s"] or 0.0)
-
-
-def predictability(df: DataFrame, key: str, columns: list[str], targets: list[str], rounds: int = ROUNDS, folds: int = FOLDS) -> DataFrame:
-    """target, kind, score (mean over folds), baseline, gain, predictable, top (features by permutation importance, the mean
-    loss over ``REPEATS`` permutations of all rows under a model of all rows).
-
-    A target with two to six values is a class, one with seven or more a number. Models train on the cluster, one target and
-    fold after another; a row per target reaches the driver.
-    """
-    spark = df.sparkSession
-    data = _numbers(df, key, columns).withColumn("_fold", fold_of(F.col(key), folds)).persist()
-    rows = []
-    try:
-        for target in targets[:TARGETS]:
-            others = [c for c in columns if c != target]
-            known = data.where(F.col(target).isNotNull())
-            levels = known.groupBy(target).count().orderBy(F.desc("count"), target).limit(7).collect()
-            n = known.count()
-            if n < LEAST_ROWS or len(levels) < 2 or len(levels) < 7 and levels[-1]["count"] < 5:
-                continue
-            kind = "regression" if len(levels) == 7 else "classification"
-            use = known
-            if kind == "classification":
-                codes = {r[target]: float(i) for i, r in enumerate(sorted(levels, key=lambda r: r[target]))}
-                use = known.replace(codes, subset=[target])
-            stages = {"regression": GBTRegressor(labelCol=target, maxIter=rounds, seed=SEED), "classification": (GBTClassifier if len(levels) == 2 else RandomForestClassifier)(labelCol=target, seed=SEED)}
-            learner = stages[kind]
-            if kind == "classification" and len(levels) == 2:
-                learner = learner.setMaxIter(rounds)
-            scores = []
-            for fold in range(folds):
-                prepared = _features(others).fit(use.where(F.col("_fold") != fold))
-                model = learner.fit(prepared.transform(use.where(F.col("_fold") != fold)))
-                test = use.where(F.col("_fold") == fold)
-                scores.append(_scores(model, prepared.transform(test), kind, target))
-            prepared = _features(others).fit(use)
-            model = learner.fit(prepared.transform(use))
-            whole = _scores(model, prepared.transform(use), kind, target)
-            importance = {c: whole - float(np.mean([_scores(model, prepared.transform(permuted(use, key, c, repeat=i)), kind, target) for i in range(REPEATS)])) for c in others}
-            baseline = 0.0 if kind == "regression" else levels[0]["count"] / n
-            score = float(np.mean(scores))
-            top = [c for c, v in sorted(importance.items(), key=lambda p: (-p[1], p[0])) if v > 0][:5]
-            rows.append((target, kind, n, score, float(baseline), score - baseline, score - baseline >= PREDICTABLE, top))
-    finally:
-        data.unpersist()
-    return spark.createDataFrame(rows, "target string, kind string, n long, score double, baseline double, gain double, predictable boolean, top array<string>")
-
-
-def permuted(df: DataFrame, key: str, column: str, blocks: int = 256, repeat: int = 0) -> DataFrame:
-    """df with one column dealt anew among rows of the same hash block, in another hash order for each repeat."""
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
-    order = lambda seed: F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(key, F.lit(seed)), key))
-    placed = df.withColumn("_block", block)
-    dealt = placed.select("_block", order(2 * repeat + 1).alias("_at"), F.col(column).alias("_new"))
-    return placed.withColumn("_at", order(2 * repeat + 2)).join(dealt, ["_block", "_at"]).drop(column, "_block", "_at").withColumnRenamed("_new", column)
-
-
 def clusters(df: DataFrame, key: str, columns: list[str], most: int = 6) -> tuple[DataFrame, DataFrame]:
     """Rows (key, cluster) and one row per number of clusters (k, silhouette, chosen): k-means on standardised, reduced numbers."""
     spark, data = df.sparkSession, _numbers(df, key, columns)
@@ -236,28 +163,3 @@ def top_anomalies(scored: DataFrame, key: str, columns: list[str], most: int = T
     found = F.array_sort(F.array(*[F.struct((-F.abs(F.col(c))).alias("far"), F.lit(c).alias("variable"), F.col(c).alias("z")) for c in columns if c in scored.columns]))
     top = scored.orderBy(F.col("score").desc(), key).limit(most)
     return top.select(key, "score", F.transform(F.slice(found, 1, reasons), lambda x: F.struct(x["variable"].alias("variable"), x["z"].alias("z"))).alias("reasons"))
-
-
-def risk_scores(df: DataFrame, key: str, outcome: str, columns: list[str], rounds: int = ROUNDS, folds: int = FOLDS) -> DataFrame:
-    """key, outcome (0 or 1), risk: out-of-fold probabilities of the event, for every row with a known outcome.
-
-    Folds go by hash within all rows of a class, so each holds about the same share of events.
-    """
-    data = _numbers(df, key, [outcome, *columns]).where(F.col(outcome).isNotNull()).withColumn("_fold", fold_of(F.col(key), folds)).persist()
-    found = []
-    for fold in range(folds):
-        train, test = data.where(F.col("_fold") != fold), data.where(F.col("_fold") == fold)
-        prepared = _features(columns).fit(train)
-        model = GBTClassifier(labelCol=outcome, maxIter=rounds, seed=SEED).fit(prepared.transform(train))
-        found.append(model.transform(prepared.transform(test)).select(key, F.col(outcome).cast("int").alias("outcome"), vector_to_array("probability")[1].alias("risk")))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def risk_report(scores: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The AUC of out-of-fold risks, and the riskiest rows where it is 0.7 or more; a report of ten rows."""
-    auc = roc_auc(scores, "outcome", ["risk"])
-    top = scores.orderBy(F.col("risk").desc(), key).limit(TOP_RISKS)
-    return auc, top.join(F.broadcast(auc.where(F.col("auc") >= LEAST_AUC).select(F.lit(True).alias("_ok"))), how="inner").drop("_ok")

@@ -48,7 +48,7 @@ def ols_all(df: DataFrame, columns: list[str], dependents: list[str] | None = No
 def roc_auc(df: DataFrame, outcome: str, scores: list[str]) -> DataFrame:
     """score, n1, n0, auc (folded to 0.5 and above), direction, se (Hanley-McNeil), ci_low, ci_high; outcome is 0 or 1."""
     y = F.col(outcome).cast("int")
-    long = df.select(y.alias("y"), *[F.col(s).cast("double").alias(s) for s in scores]).unpivot("y", scores, "score", "value").where("y is not null and value is not null")
+    long = known_scores(df.select(y.alias("y"), *[F.col(s).cast("double").alias(s) for s in scores]).unpivot("y", scores, "score", "value"))
     ranks = mid_ranks(long, ["score"], "value")
     cells = long.groupBy("score", "value").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
     s = cells.join(ranks, ["score", "value"]).groupBy("score").agg(F.sum("ones").alias("n1"), F.sum("zeros").alias("n0"), F.sum(F.col("ones") * F.col("rank")).alias("r1"))
@@ -61,13 +61,29 @@ def roc_auc(df: DataFrame, outcome: str, scores: list[str]) -> DataFrame:
     return t.select("score", "n1", "n0", "auc", F.when(F.col("raw") >= 0.5, "higher").otherwise("lower").alias("direction"), se.alias("se"), F.greatest(F.lit(0.0), a - 1.96 * se).alias("ci_low"), F.least(F.lit(1.0), a + 1.96 * se).alias("ci_high"))
 
 
+def roc_auc_by(df: DataFrame, keys: str, outcome: str, score: str) -> DataFrame:
+    """keys, n1, n0, auc of one score within each value of a column, not folded: high scores speak for 1."""
+    y = F.col(outcome).cast("int")
+    known = known_scores(df.select(keys, y.alias("y"), F.col(score).cast("double").alias("value")))
+    ranks = mid_ranks(known, [keys], "value")
+    ones = known.groupBy(keys, "value").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
+    s = ones.join(ranks, [keys, "value"]).groupBy(keys).agg(F.sum("ones").alias("n1"), F.sum("zeros").alias("n0"), F.sum(F.col("ones") * F.col("rank")).alias("r1"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    return s.where("n1 > 0 and n0 > 0").select(keys, "n1", "n0", ((F.col("r1") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
+
+
+def known_scores(long: DataFrame) -> DataFrame:
+    """Rows with an outcome and a value; NaN is missing."""
+    return long.where("y is not null and value is not null and not isnan(value)")
+
+
 def youden(df: DataFrame, outcome: str, score: str) -> DataFrame:
     """One row: cutoff, sensitivity, specificity, j at the largest difference, the highest cutoff of equals.
 
     Classes are counted per distinct score; only those counts meet in the running sum.
     """
     y = F.col(outcome).cast("int")
-    counts = df.select(y.alias("y"), F.col(score).cast("double").alias("cutoff")).where("y is not null and cutoff is not null").groupBy("cutoff").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
+    counts = df.select(y.alias("y"), F.col(score).cast("double").alias("cutoff")).where("y is not null and cutoff is not null and not isnan(cutoff)").groupBy("cutoff").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
     cuts = counts.agg(F.percentile_approx("cutoff", [i / 64 for i in range(1, 64)]).alias("_cuts"))
     placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("cutoff")))).drop("_cuts")
     totals = placed.groupBy("_b").agg(F.sum("ones").alias("o"), F.sum("zeros").alias("z"))  # 64 rows at most

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, normality, paired, planning, records, regress, report, scale
+from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, normality, paired, planning, predict, records, regress, report, scale
 from ..sources import bibliography
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,16 +498,29 @@ def anomalies(spark, sf_dir):
     return rounded(discovery.anomalies(orders, "key", LINE).select("key", "score"))
 
 
+def _outcomes(spark, sf_dir):
+    """Labels as texts, with numbers and categories of their documents."""
+    scored = _scored(spark, sf_dir).select("doc_id", "quality", "toxic", "n_chars", (F.col("serial") % 97).alias("noise"))
+    return scored.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", "left").withColumns({c: F.when(F.col(c) == 1, "yes").otherwise("no") for c in ("quality", "toxic")})
+
+
 @query()
 def risk_scores(spark, sf_dir):
-    scored = _scored(spark, sf_dir).select("doc_id", "quality", "n_chars", (F.col("serial") % 97).alias("noise"))
-    return rounded(discovery.risk_scores(scored, "doc_id", "quality", ["n_chars", "noise"]))
+    scores, _ = predict.risk(_outcomes(spark, sf_dir), "doc_id", ["quality", "toxic"], ["n_chars", "noise"], ["lang", "source"])
+    return rounded(scores)
+
+
+@query()
+def risk_models(spark, sf_dir):
+    _, models = predict.risk(_outcomes(spark, sf_dir), "doc_id", ["quality", "toxic"], ["n_chars", "noise"], ["lang", "source"])
+    return rounded(models.select("outcome", "risky", "n", "n_risky", "auc", "strength", F.transform("top", lambda t: t["variable"]).alias("top"), "by_gain"), 4)
 
 
 @query()
 def predictability(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", *PARTS)
-    return rounded(discovery.predictability(part, "p_partkey", PARTS, ["p_retailprice"]), 4)
+    part = table(spark, sf_dir, "part").select("p_partkey", *PARTS, "p_brand", "p_type")
+    found = predict.predictability(part, "p_partkey", PARTS, ["p_brand", "p_type"])
+    return rounded(found.withColumn("top", F.transform("top", lambda t: t["variable"])), 4)
 
 
 @query("""SELECT doc_id, lang || ' Doe' AS author, '10.1/' || doc_id AS doi, source AS title, CAST(2000 + doc_id % 20 AS INT) AS year, '7-' || (7 + doc_id % 5) AS pages, 'deep ' || source AS abstract FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")

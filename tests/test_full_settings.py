@@ -1,37 +1,28 @@
-"""The registered tree queries run the operators' own rounds and folds, and permutations are repeated."""
+"""The registered tree queries run the operators' own rounds, folds and repeats."""
 
 import inspect
 
-from statloom.operators import discovery
+from statloom.operators import predict
 from statloom.plans import queries
 
 
 def test_queries_keep_the_rounds_and_folds_of_the_operators(spark, monkeypatch):
-    asked = {}
-    for name in ("risk_scores", "predictability"):
-        own = inspect.signature(getattr(discovery, name))
+    asked, signatures = {}, {x: inspect.signature(getattr(predict, x)) for x in ("risk", "predictability")}
+    for name, own_name in (("risk_scores", "risk"), ("risk_models", "risk"), ("predictability", "predictability")):
+        own = signatures[own_name]
+
+        class Met(Exception):
+            pass
 
         def record(*args, _name=name, _own=own, **more):
             bound = _own.bind(*args, **more)
             bound.apply_defaults()
-            asked[_name] = (bound.arguments["rounds"], bound.arguments["folds"])
-            return spark.range(1)
-
-        monkeypatch.setattr(discovery, name, record)
-        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert asked == {"risk_scores": (80, 5), "predictability": (80, 5)}
-
-
-def test_importance_takes_the_mean_of_three_permutations(spark, monkeypatch):
-    rows = spark.range(400).selectExpr("id as key", "cast(id % 20 as double) as x", "cast(id % 7 as double) as noise", "cast(3 * (id % 20) as double) as y")
-    seen, permuted = [], discovery.permuted
-
-    def record(df, key, column, **more):
-        seen.append((column, more["repeat"], df.count()))
-        return permuted(df, key, column, **more)
-
-    monkeypatch.setattr(discovery, "permuted", record)
-    found = discovery.predictability(rows, "key", ["x", "noise", "y"], ["y"], rounds=2, folds=2).first()
-    assert sorted(seen) == [(c, i, 400) for c in ("noise", "x") for i in range(3)] and found["top"][0] == "x"
-    dealt = [{r["key"]: r["x"] for r in permuted(rows, "key", "x", blocks=4, repeat=i).collect()} for i in range(2)]
-    assert dealt[0] != dealt[1] and sorted(dealt[0].values()) == sorted(dealt[1].values())
+            asked[_name] = (bound.arguments["rounds"], bound.arguments["folds"], bound.arguments["repeats"])
+            raise Met
+
+        monkeypatch.setattr(predict, own_name, record)
+        try:
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        except Met:
+            pass
+    assert asked == {name: (80, 5, 3) for name in ("risk_scores", "risk_models", "predictability")}
