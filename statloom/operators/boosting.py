@@ -1,6 +1,7 @@
 """Gradient-boosted trees on histograms: the trees of many targets and folds grow together.
 
-Rows are coded once (numbers by quantile bins, categories by the place of their level), numbered in the order of a hash of their key
+A table of a few blocks is grown without jobs a depth: the blocks are broadcast, and each task grows the trees of one target and fold, by the same
+steps. Its size is checked first; beyond it, and with equal results, the following holds. Rows are coded once (numbers by quantile bins, categories by the place of their level), numbered in the order of a hash of their key
 and packed into blocks of ``BLOCK`` rows. One job a depth adds up gradients by (tree, node, feature, bin) over all blocks; what meets at the driver has a fixed
 size, whatever the rows. Every ``REFRESH`` rounds the blocks are rewritten with the margins so far, so tasks evaluate few trees again.
 
@@ -30,6 +31,8 @@ BINS, BLOCK, DEPTH, RATE, LEAST_LEAF, REFRESH = 48, 8192, 3, 0.1, 20, 10
 MOST_LEVELS = 255
 #: Numbers that the histograms of one job may have, and what tasks may send to the driver at once; more is added up by a shuffle.
 AT_ONCE, DIRECT_BYTES = 4_000_000, 64 << 20
+#: Blocks that are broadcast at most, if they are no larger than this; larger tables grow by one job a depth.
+FEW_BLOCKS, FEW_BYTES = 12, 16 << 20
 SEED = 42
 
 
@@ -250,19 +253,42 @@ def best_splits(hist: np.ndarray, least: int, barred: np.ndarray | None = None)
     if barred is not None:
         gain = np.where(barred[:, None, :, None], -np.inf, gain)
     flat = gain.reshape(*gain.shape[:2], -1)
-    place = flat.argmax(-1)
+    place = flat.astype(np.float32).argmax(-1)  # gains that differ by the order of sums only are equal: the first counts
     top = np.take_along_axis(flat, place[..., None], -1)[..., 0]
     feature, cut = np.divmod(place, hist.shape[-1])
     sides = np.stack([np.take_along_axis(x.reshape(*x.shape[:3], -1), place[None, ..., None], -1)[..., 0] for x in (left, right)])
     return np.where(top > 1e-9, feature, -1), cut, np.where(top > 1e-9, top, 0), sides
 
 
-def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, rounds: int, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_LEAF) -> tuple[DataFrame, Forest]:
-    """The blocks with all margins, and the trees: for each target a model without each fold, and one of all rows."""
-    f = len(coding.features)
+class Growing:
+    """The trees of one round for some outputs, while they grow."""
+
+    def __init__(self, outputs: int, depth: int, rate: float, least: int, barred: np.ndarray):
+        self.feature, self.cut = np.full((outputs, (1 << depth) - 1), -1), np.zeros((outputs, (1 << depth) - 1), int)
+        self.value, self.gains = np.zeros((outputs, 1 << depth)), np.zeros(barred.shape)
+        self.depth, self.rate, self.least, self.barred = depth, rate, least, barred
+
+    def take(self, d: int, hist: np.ndarray) -> bool:
+        """Split the nodes of a depth by their histograms; whether any was."""
+        split, at, gain, sides = best_splits(hist, self.least, self.barred)
+        first, step, parted = (1 << d) - 1, 1 << (self.depth - d), split >= 0
+        self.feature[:, first : first + (1 << d)], self.cut[:, first : first + (1 << d)] = split, at
+        np.add.at(self.gains, (np.nonzero(parted)[0], split[parted]), gain[parted])
+        newton = lambda s: np.where(s[2] > 0, -self.rate * s[0] / np.maximum(s[1], 1e-12), 0.0)
+        # a side's value stands on the leftmost leaf below it; a node that isn't split has its parent's side already
+        self.value[:, ::step] = np.where(parted, newton(sides[0]), self.value[:, ::step] if d else newton(hist[:, :, :, 0, :].sum(-1)))
+        self.value[:, step // 2 :: step] = np.where(parted, newton(sides[1]), 0.0)
+        return bool(parted.any())
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.feature, self.cut, self.value
+
+
+def _start(blocks: DataFrame, targets: list[Target], folds: int) -> np.ndarray:
+    """The first margin of each output: the mean, the log odds or the log shares of its training rows."""
     strata = [max(len(t.levels), 1) for t in targets]
 
-    def start(row: dict) -> np.ndarray:
+    def work(row: dict) -> np.ndarray:
         values, dealt = np.frombuffer(row["values"]).reshape(len(targets), -1), np.frombuffer(row["folds"], np.int8).reshape(len(targets), -1)
         out = []
         for i, t in enumerate(targets):
@@ -274,49 +300,104 @@ def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, ro
             out.append(own.ravel())
         return np.concatenate(out)
 
-    sums = np.split(_added(blocks, start, 2 * folds * sum(strata)), np.cumsum([2 * folds * s for s in strata])[:-1])
+    sums = np.split(_added(blocks, work, 2 * folds * sum(strata)), np.cumsum([2 * folds * s for s in strata])[:-1])
     base = []
     for t, s, own in zip(targets, strata, sums, strict=True):
         n, y = own.reshape(2, folds, s)
         for m in range(folds + 1):
             use = [j for j in range(folds) if j != m]
-            count, total = n[use].sum(0), y[use].sum(0)
+            count, total = n[use if m < folds else slice(None)].sum(0), y[use if m < folds else slice(None)].sum(0)
             share = np.maximum(count, 1e-9) / max(count.sum(), 1)
             base += [total[0] / max(count[0], 1)] if not t.levels else [np.log(share[1] / share[0])] if s == 2 else np.log(share).tolist()
-    forest = Forest(targets, folds + 1, np.array(base), gains=np.zeros((len(base), f)))
-    where = forest.outputs()
-    written_rounds, blocks = 0, blocks.persist()
+    return np.array(base)
+
+
+def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, rounds: int, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_LEAF, few_blocks: int = FEW_BLOCKS) -> tuple[DataFrame, Forest]:
+    """The blocks with all margins, and the trees: for each target a model without each fold, and one of all rows."""
+    f = len(coding.features)
+    base = _start(blocks, targets, folds)
+    forest = Forest(targets, folds + 1, base, gains=np.zeros((len(base), f)))
     own_column = np.array([[t.name == c for c in coding.features] for t in targets])
-    barred = own_column[[i for i, _, _ in where]]  # a target tells nothing about itself
+    barred = own_column[[i for i, _, _ in forest.outputs()]]  # a target tells nothing about itself
+    size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("codes") + F.octet_length("values") + F.octet_length("folds")), F.lit(0))).first()
+    if size[0] <= few_blocks and size[1] <= FEW_BYTES:
+        _grow_apart(blocks, forest, barred, rounds, depth, rate, least)
+        return work_table(_with_margins(blocks, forest, 0, depth), "margins"), forest
+    written_rounds, blocks = 0, blocks.persist()
     tasks = blocks.rdd.getNumPartitions()
     for number in range(rounds):
         if number - written_rounds == REFRESH:
             fresh = work_table(_with_margins(blocks, forest, written_rounds, depth), "margins")
             blocks.unpersist()
             blocks, written_rounds = fresh.persist(), number
-        feature, cut = np.full((len(base), (1 << depth) - 1), -1), np.zeros((len(base), (1 << depth) - 1), int)
-        value = np.zeros((len(base), 1 << depth))
+        trees = Growing(len(base), depth, rate, least, barred)
         for d in range(depth):
-            hist = _level(blocks, forest, written_rounds, (feature, cut), d, depth, f, tasks)
-            split, at, gain, sides = best_splits(hist, least, barred)
-            first = (1 << d) - 1
-            feature[:, first : first + (1 << d)], cut[:, first : first + (1 << d)] = split, at
-            np.add.at(forest.gains, (np.nonzero(split >= 0)[0], split[split >= 0]), gain[split >= 0])
-            # a side's value stands on the leftmost leaf below it; a node that isn't split has its parent's side already
-            step, parted = 1 << (depth - d), split >= 0
-            newton = lambda s: np.where(s[2] > 0, -rate * s[0] / np.maximum(s[1], 1e-12), 0.0)
-            value[:, ::step] = np.where(parted, newton(sides[0]), value[:, ::step] if d else newton(hist[:, :, :, 0, :].sum(-1)))
-            value[:, step // 2 :: step] = np.where(parted, newton(sides[1]), 0.0)
-            if (split < 0).all():
+            if not trees.take(d, _level(blocks, forest, written_rounds, trees.done(), d, depth, f, tasks)):
                 break
-        forest.rounds.append((feature, cut, value))
-        if (feature < 0).all():  # nothing can be split any more
+        forest.rounds.append(trees.done())
+        forest.gains += trees.gains
+        if (trees.feature < 0).all():  # nothing can be split any more
             break
     out = work_table(_with_margins(blocks, forest, written_rounds, depth), "margins")
     blocks.unpersist()
     return out, forest
 
 
+def _histogram(codes: np.ndarray, node: np.ndarray, weights: tuple, nodes: int) -> np.ndarray:
+    """Sums (3, nodes, features, bins) of g, h and rows."""
+    f = len(codes)
+    cell = (node * (f * BINS) + np.arange(f)[:, None] * BINS + codes).ravel()
+    return np.stack([np.bincount(cell, None if w is None else np.tile(w, f), minlength=nodes * f * BINS).reshape(nodes, f, BINS) for w in weights])
+
+
+def _grow_apart(blocks: DataFrame, forest: Forest, barred: np.ndarray, rounds: int, depth: int, rate: float, least: int) -> None:
+    """Grow the trees of a small table: one task for each target and fold, over blocks that all of them have."""
+    spark, targets, outputs = blocks.sparkSession, forest.targets, forest.outputs()
+    rows = [r.asDict() for r in blocks.select("n", "codes", "values", "folds").orderBy("block").collect()]  # at most FEW_BYTES
+    held = spark.sparkContext.broadcast((rows, forest.base, barred))
+    pairs = [(i, m) for i in range(len(targets)) for m in range(forest.models)]
+
+    def work(batches):
+        rows, base, barred = held.value
+        join = lambda c, kind, k: np.concatenate([np.frombuffer(r[c], kind).reshape(k, r["n"]) for r in rows], 1) if rows else np.zeros((k, 0), kind)
+        all_codes, values, dealt = join("codes", np.uint8, barred.shape[1]), join("values", float, len(targets)), join("folds", np.int8, len(targets))
+        for batch in batches:
+            for pair in batch.column(0).to_pylist():
+                i, m = pairs[pair]
+                mine = [s for s, (a, b, _) in enumerate(outputs) if (a, b) == (i, m)]
+                use = np.flatnonzero((dealt[i] >= 0) & (dealt[i] != m))
+                codes, y = np.ascontiguousarray(all_codes[:, use]), values[i][use]
+                margin = np.repeat(base[mine][:, None], len(use), 1)
+                grown, gains = [], np.zeros((len(mine), barred.shape[1]))
+                for _ in range(rounds):
+                    trees = Growing(len(mine), depth, rate, least, barred[mine])
+                    g, h = _gradients(targets[i], y, margin)
+                    node = np.zeros((len(mine), len(use)), np.int64)
+                    for d in range(depth):
+                        hist = np.stack([_histogram(codes, node[k], (g[k], h[k], None), 1 << d) for k in range(len(mine))], 1)
+                        if not trees.take(d, hist):
+                            break
+                        node = np.stack([leaves(codes, trees.feature[k], trees.cut[k], d + 1) for k in range(len(mine))])
+                    margin = margin + np.stack([trees.value[k][leaves(codes, trees.feature[k], trees.cut[k], depth)] for k in range(len(mine))])
+                    grown.append(trees.done())
+                    gains += trees.gains
+                    if (trees.feature < 0).all():
+                        break
+                packs = [np.stack(x).astype(float).tobytes() for x in zip(*grown, strict=True)] if grown else [b""] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([len(grown)]), *[pa.array([x], pa.binary()) for x in (*packs, gains.tobytes())]], names=["pair", "rounds", "feature", "cut", "value", "gains"])
+
+    found = spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(work, "pair long, rounds long, feature binary, cut binary, value binary, gains binary").toArrow().to_pylist()
+    most = max([r["rounds"] for r in found], default=0)
+    shapes = ((1 << depth) - 1, (1 << depth) - 1, 1 << depth)
+    stacked = [np.full((most, len(outputs), k), fill) for k, fill in zip(shapes, (-1.0, 0.0, 0.0), strict=True)]
+    for r in found:
+        mine = [s for s, (a, b, _) in enumerate(outputs) if (a, b) == pairs[r["pair"]]]
+        for whole, c, k in zip(stacked, ("feature", "cut", "value"), shapes, strict=True):
+            whole[: r["rounds"], mine] = np.frombuffer(r[c]).reshape(r["rounds"], len(mine), k)
+        forest.gains[mine] = np.frombuffer(r["gains"]).reshape(len(mine), -1)
+    forest.rounds = [(a.astype(int), b.astype(int), c) for a, b, c in zip(*stacked, strict=True)]
+
+
 def _level(blocks: DataFrame, forest: Forest, since: int, tree: tuple, d: int, depth: int, f: int, tasks: int) -> np.ndarray:
     """Histograms (3, outputs, nodes, features, bins) of one depth of the trees that grow."""
     held = blocks.sparkSession.sparkContext.broadcast((forest.base, forest.rounds[since:], tree))
@@ -324,23 +405,19 @@ def _level(blocks: DataFrame, forest: Forest, since: int, tree: tuple, d: int, d
     shape = (3, len(forest.base), 1 << d, f, BINS)
 
     def work(row: dict) -> np.ndarray:
-        base, rounds, (feature, cut) = held.value
+        base, rounds, (feature, cut, _) = held.value
         n = row["n"]
         codes = np.frombuffer(row["codes"], np.uint8).reshape(f, n)
         values, dealt = np.frombuffer(row["values"]).reshape(len(targets), n), np.frombuffer(row["folds"], np.int8).reshape(len(targets), n)
         margin = _margins(row, codes, base, rounds, depth)
         out = np.zeros(shape)
         at = 0
-        offset = np.arange(f)[:, None] * BINS + codes
         for i, t in enumerate(targets):
             for m in range(models):
                 use = np.flatnonzero((dealt[i] >= 0) & (dealt[i] != m))
                 g, h = _gradients(t, values[i][use], margin[at : at + t.outputs, use])
                 for k in range(t.outputs):
-                    node = leaves(codes[:, use], feature[at + k], cut[at + k], d)
-                    cell = (node * (f * BINS) + offset[:, use]).ravel()
-                    for j, w in enumerate((g[k], h[k], None)):
-                        out[j, at + k] = np.bincount(cell, None if w is None else np.tile(w, f), minlength=(1 << d) * f * BINS).reshape(1 << d, f, BINS)
+                    out[:, at + k] = _histogram(codes[:, use], leaves(codes[:, use], feature[at + k], cut[at + k], d), (g[k], h[k], None), 1 << d)
                 at += t.outputs
         return out.ravel()
 

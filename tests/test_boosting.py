@@ -45,6 +45,24 @@ def test_one_tree_equals_exhaustive_search(spark, monkeypatch):
     assert forest.base[-1] == pytest.approx(y.mean())
 
 
+def test_jobs_a_depth_grow_the_trees_of_small_tables(df, monkeypatch):
+    """Both ways to grow give the same trees; margins are rewritten on the way, and tasks send sums directly or by a shuffle."""
+    monkeypatch.setattr(boosting, "BLOCK", 200)
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    coding = boosting.learn_coding(df, ["x", "z", "u", "y"], ["group", "sick"])
+    targets = [boosting.Target("y"), boosting.Target("group", ["a", "b", "c"]), boosting.Target("sick", ["no", "yes"])]
+    blocks = boosting.packed(df, "id", coding, targets, 3)
+    _, apart = boosting.fit(blocks, coding, targets, 3, 5)
+    for direct in (64 << 20, 0):
+        monkeypatch.setattr(boosting, "DIRECT_BYTES", direct)
+        out, together = boosting.fit(blocks, coding, targets, 3, 5, few_blocks=0)
+        np.testing.assert_allclose(together.gains, apart.gains, rtol=1e-7)
+        for one, two in zip(apart.rounds, together.rounds, strict=True):
+            assert (one[0] == two[0]).all()
+            np.testing.assert_allclose(one[2], two[2], atol=1e-9)
+    assert boosting.fold_scores(out, together, 3).shape == (3, 4)
+
+
 def test_folds_are_dealt_within_each_class(df, planted, monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK", 128)
     scores, models = predict.risk(df, "id", ["sick"], ["z", "u"], ["group"], rounds=2, repeats=1)
