@@ -68,20 +68,11 @@ def fisher_exact(table: DataFrame) -> DataFrame:
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n, observed, expected, kappa, weighted_kappa (linear, levels by name)."""
-    t = crosstab(df, a, b)
-    levels = t.select("a").distinct().select("a", (F.row_number().over(Window.orderBy("a")) - 1).alias("i"))  # a row per level
-    row, column = F.sum("n").over(Window.partitionBy("a")), F.sum("n").over(Window.partitionBy("b"))
-    cells = t.select("a", "b", "n", row.alias("r"), column.alias("c"))
-    cells = cells.join(F.broadcast(levels), "a").join(F.broadcast(levels.select(F.col("a").alias("b"), F.col("i").alias("j"))), "b")
-    total = cells.agg(F.sum("n").alias("n_all"))
-    e = F.col("r") * F.col("c") / F.col("n_all")
-    distance = F.abs(F.col("i") - F.col("j"))
-    s = cells.join(F.broadcast(total)).groupBy("n_all").agg(
-        F.sum(F.when(distance == 0, F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(distance == 0, e).otherwise(0.0)).alias("e"), F.sum(distance * F.col("n")).alias("wo"), F.sum(distance * e).alias("we"),
-    )
-    po, pe = F.col("o") / F.col("n_all"), F.col("e") / F.col("n_all")
-    return s.select(F.col("n_all").alias("n"), po.alias("observed"), pe.alias("expected"), F.try_divide(po - pe, 1 - pe).alias("kappa"), (1 - F.try_divide(F.col("wo"), F.col("we"))).alias("weighted_kappa"))
+    """One row: n, observed, expected, kappa, weighted_kappa (linear, levels by name); none unless both columns have the same levels and ten common rows."""
+    from .cube import agreement_pairs
+
+    own = df.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    return agreement_pairs(own, ["a", "b"]).where("reason is null").select("n", "observed", "expected", "kappa", "weighted_kappa")
 
 
 def label_kappa(k: Column) -> Column:

@@ -40,7 +40,7 @@ def redundant_pairs(pairs: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n and rho. Ranks are taken after pairwise deletion, over distinct values, and meet the cells of equal (x, y)."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    known = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     rank_x = mid_ranks(known, [], "x").select("x", F.col("rank").alias("rx"))
     rank_y = mid_ranks(known, [], "y").select("y", F.col("rank").alias("ry"))
     cells = known.groupBy("x", "y").agg(F.count("*").alias("n")).join(rank_x, "x").join(rank_y, "y")
@@ -72,7 +72,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def simple_regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    a, b = F.col(y).cast("double"), F.col(x).cast("double")
+    a, b = (F.when(~F.isnan(v), v) for v in (F.col(y).cast("double"), F.col(x).cast("double")))
     return df.agg(F.regr_count(a, b).alias("n"), F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.regr_r2(a, b).alias("r2"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import p_chi2
-from . import contingency, correlate, groups, regress
+from . import correlate, cube, groups, regress
 from .adjust import ALPHA, family_adjust
 
 COLUMNS = ["family", "dv", "iv", "test", "n", "statistic", "df", "p", "effect_name", "effect"]
@@ -51,22 +51,17 @@ def correlation_results(df: DataFrame, numbers: list[str]) -> DataFrame:
 
 
 def association_results(df: DataFrame, categories: list[str]) -> DataFrame | None:
-    """Chi-square and Fisher of every pair of categories."""
-    parts = []
-    for a in categories:
-        for b in categories:
-            if a < b:
-                pair = lambda t, a=a, b=b: t.withColumns({"_a": F.lit(a), "_b": F.lit(b)})
-                table = contingency.crosstab(df, a, b)
-                parts.append(_found(pair(contingency.chi_square_p(contingency.chi_square(table))), "association", "chi_square", "_a", "_b", "statistic", [F.col("df")], "p", "V", "cramer_v"))
-                exact = contingency.fisher_exact(table).withColumn("n", F.col("n11") + F.col("n12") + F.col("n21") + F.col("n22"))
-                parts.append(_found(pair(exact), "association", "fisher", "_a", "_b", "odds_ratio", [], "p", "", None))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    """Chi-square and Fisher of every pair of categories, from one cube of counts."""
+    if len(categories) < 2:
+        return None
+    t = cube.association_pairs(df, categories)
+    chi = _found(t.where("statistic is not null"), "association", "chi_square", "a", "b", "statistic", [F.col("df")], "p", "V", "cramer_v")
+    return chi.unionByName(_found(t.where("fisher_p is not null"), "association", "fisher", "a", "b", "odds_ratio", [], "fisher_p", "", None))
 
 
 def regression_results(df: DataFrame, dv: str, predictors: list[str]) -> DataFrame:
-    """The planned model of one marked variable; too few rows give no result."""
-    models = regress.ols_all(df, [dv, *predictors], [dv]).where(F.col("n") >= len(predictors) + 10).limit(1)  # a row per predictor says the same of the model
+    """The planned model of one marked variable; it takes ten rows more than predictors."""
+    models = regress.ols_all(df, [dv, *predictors], [dv], least_rows=len(predictors) + 10).limit(1)  # a row per predictor says the same of the model
     return _found(models, "regression", "linear_regression", "dependent", None, "f", [F.lit(len(predictors)), F.col("n") - len(predictors) - 1], "f_p", "R²", "r2")
 
 

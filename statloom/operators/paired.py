@@ -25,7 +25,7 @@ def paired_t_p(tests: DataFrame) -> DataFrame:
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n (differences other than zero), w_plus, w_minus, w, z (tie corrected)."""
-    d = df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d is not null and d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up"))
+    d = df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d is not null and not isnan(d) and d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up"))
     ranks = mid_ranks(d.select("size"), [], "size")
     cells = d.groupBy("size", "up").agg(F.count("*").alias("m")).join(ranks.select("size", "rank", F.col("n").alias("tied")), "size")
     up = F.when(F.col("up"), F.col("m") * F.col("rank")).otherwise(0.0)

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 MARKER = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 
 
+#: Fixed letters of the words that relevance compares.
+WORD = "[a-zçğıöşü]+"
+
+
 def title_key(title: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(title), "[^a-z0-9]", ""), 1, 80)
 
@@ -18,23 +22,26 @@ def record_key(doi: Column, title: Column) -> Column:
 
 
 def dedup_records(records: DataFrame) -> DataFrame:
-    """Records (seq, doi, title, abstract, cited_by, findings, score) merged by key: the first wins, gaps are filled from later
-    ones, citations take the maximum, findings the sorted union; the first record's score stays."""
+    """Records (seq, doi, title, abstract, cited_by, findings, score, and pmid if it is there) merged by key: the first wins, gaps are filled from later
+    ones (an empty abstract or pmid is a gap), citations take the maximum, findings the sorted union; the first record's score stays."""
     keyed = records.withColumn("key", record_key(F.col("doi"), F.col("title")))
     # a set of findings, not their repeats, meets in a key
     named = keyed.select("key", F.explode("findings").alias("f")).groupBy("key").agg(F.array_sort(F.collect_set("f")).alias("findings"))
+    first_known = lambda c: F.min_by(c, F.when(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) > 0, F.col("seq"))).alias(c)
     merged = keyed.groupBy("key").agg(
-        F.min("seq").alias("seq"), F.min_by("doi", "seq").alias("doi"), F.min_by("title", "seq").alias("title"), F.min_by("abstract", F.when(F.col("abstract").isNotNull(), F.col("seq"))).alias("abstract"),
+        F.min("seq").alias("seq"), F.min_by("doi", "seq").alias("doi"), F.min_by("title", "seq").alias("title"), *[first_known(c) for c in ("abstract", "pmid") if c in records.columns],
         F.max("cited_by").alias("cited_by"), F.min_by("score", "seq").alias("score"), F.count("*").alias("merged"),
     )
     return merged.join(named, "key", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
 
 
 def relevance(query_terms: Column, title: Column, cited_by: Column, year: Column, abstract: Column, this_year: int) -> Column:
-    terms = F.filter(F.split(F.lower(title), "[^\\w]+"), lambda t: t != "")
-    overlap = F.size(F.array_intersect(F.array_distinct(query_terms), terms))
-    age = F.coalesce(F.greatest(F.lit(0.0), 1 - (F.lit(this_year) - year) / 20), F.lit(0.0))
-    return 2 * overlap + F.log1p(F.coalesce(cited_by, F.lit(0))) / 10 + age + F.when(abstract.isNotNull(), 0.5).otherwise(0.0)
+    """Twice the share of the query's terms that the title has, citations on a log scale, how recent it is, and half a point for an abstract."""
+    asked = F.array_distinct(query_terms)
+    overlap = F.size(F.array_intersect(asked, F.regexp_extract_all(F.lower(title), F.lit(WORD), 0))) / F.greatest(F.size(asked), F.lit(1))
+    age = F.least(F.lit(1.0), F.coalesce(F.greatest(F.lit(0.0), 1 - (F.lit(this_year) - year) / 20), F.lit(0.0)))
+    known = F.coalesce(F.length(abstract.cast("string")), F.lit(0)) > 0
+    return 2 * F.coalesce(overlap, F.lit(0.0)) + F.log1p(F.coalesce(cited_by, F.lit(0))) / 10 + age + F.when(known, 0.5).otherwise(0.0)
 
 
 def top_per_target(scored: DataFrame, target: str, k: int) -> DataFrame:

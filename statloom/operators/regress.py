@@ -13,16 +13,17 @@ from .moments import covariance, known_numbers, summed
 from .ranks import mid_ranks
 
 
-def ols_all(df: DataFrame, columns: list[str], dependents: list[str] | None = None) -> DataFrame:
+def ols_all(df: DataFrame, columns: list[str], dependents: list[str] | None = None, least_rows: int | None = None) -> DataFrame:
     """Each dependent on all other columns, over complete rows: one matrix of columns x columns gives every model.
 
-    dependent, predictor, n, b, se, beta, t, p, ci_low, ci_high, vif, intercept, r2, adj_r2, f, f_p.
+    dependent, predictor, n, b, se, beta, t, p, ci_low, ci_high, vif, intercept, r2, adj_r2, f, f_p. Fewer rows than
+    ``least_rows`` (five for each predictor and ten more, unless given) give no model.
     """
     schema = "dependent string, predictor string, n long, " + ", ".join(f"{c} double" for c in ("b", "se", "beta", "t", "p", "ci_low", "ci_high", "vif", "intercept", "r2", "adj_r2", "f", "f_p"))
     n, mean, cov = covariance(df, columns)
     rows = []
     p = len(columns) - 1
-    if p >= 2 and n >= 5 * p + 10 and (np.diag(cov) > 0).all():
+    if p >= (2 if least_rows is None else 1) and n >= (5 * p + 10 if least_rows is None else least_rows) and (np.diag(cov) > 0).all():
         for y in dependents or columns:
             i = columns.index(y)
             x = [j for j in range(len(columns)) if j != i]

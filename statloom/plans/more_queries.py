@@ -526,7 +526,7 @@ def _records(spark, sf_dir):
     )
 
 
-_SCORE = """2 * len(list_intersect(['green', 'blue', 'small', 'part'], list_filter(regexp_split_to_array(lower(title), '[^a-z0-9_]+'), lambda w: w <> ''))) + ln(1 + cited_by) / 10 + coalesce(greatest(0, 1 - (2025 - year) / 20.0), 0) + CASE WHEN seq % 2 = 0 THEN 0.5 ELSE 0 END"""
+_SCORE = """2 * len(list_intersect(['green', 'blue', 'small', 'part'], regexp_extract_all(lower(title), '[a-zçğıöşü]+'))) / 4.0 + ln(1 + cited_by) / 10 + coalesce(least(1, greatest(0, 1 - (2025 - year) / 20.0)), 0) + CASE WHEN seq % 2 = 0 THEN 0.5 ELSE 0 END"""
 
 
 @query(f"SELECT seq, round({_SCORE}, 8) AS score FROM ({_RECORDS})")
