@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import f_sf, t_quantile, t_sf2
+from ..functions.special import f_sf, norm_sf, t_quantile, t_sf2
+from .adjust import adjust_p
 from .moments import covariance, known_numbers, summed
 from .ranks import mid_ranks
 
@@ -97,64 +98,204 @@ def youden(df: DataFrame, outcome: str, score: str) -> DataFrame:
     return best.select(F.col("m.cutoff").alias("cutoff"), F.col("m.tpr").alias("sensitivity"), (1 - F.col("m.fpr")).alias("specificity"), F.col("m.j").alias("j"))
 
 
-def logistic(df: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
-    """predictor, odds_ratio, ci_low, ci_high, p, mcfadden_r2, n; no row for too few events or a separated outcome."""
-    spark = df.sparkSession
-    schema = "predictor string, odds_ratio double, ci_low double, ci_high double, p double, mcfadden_r2 double, n long"
-    rows = df.select(F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double") for c in columns]).dropna()
-    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    p = len(columns)
-    if n < 10 * (p + 1) or min(ones, n - ones) < max(5, 5 * p):
-        return spark.createDataFrame([], schema)
-    fit = GeneralizedLinearRegression(family="binomial", labelCol="y", maxIter=50).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(rows))
-    s = fit.summary
-    se = s.coefficientStandardErrors
-    if not np.isfinite(se).all() or max(se) > 1000:
-        return spark.createDataFrame([], schema)
-    r2 = 1 - s.deviance / s.nullDeviance
-    out = [(c, *(float(np.exp(v)) for v in (b, b - 1.96 * e, b + 1.96 * e)), float(q), float(r2), int(n)) for c, b, e, q in zip(columns, fit.coefficients, se, s.pValues, strict=False)]
-    return spark.createDataFrame(out, schema)
+#: The normal quantile of a 95 % interval.
+Z975 = 1.959963984540054
+#: Fixed gates: rows of each class, standard errors beyond which an outcome counts as separated, rows of an interaction model.
+LEAST_CLASS, SEPARATED, LEAST_MODERATED = 5, 1000.0, 30
+#: Newton steps, and the change of the deviance that ends them.
+STEPS, SETTLED = 50, 1e-10
+#: Models whose sums go through one pass.
+MODELS_AT_ONCE = 20_000
 
 
-def interactions(df: DataFrame, y: str, columns: list[str]) -> DataFrame:
-    """y, x, z, n, b (of x times z), p, delta_r2, r2: standardised moderation models of all pairs, from one pass for the mixed moments.
+def binary_outcomes(df: DataFrame, categories: list[str]) -> dict[str, tuple[str, str]]:
+    """The columns with exactly two levels and the levels in order; the second is the event. A few levels a column reach the driver."""
+    if not categories:
+        return {}
+    found = df.agg(*[F.min(F.col(c).cast("string")).alias(f"a{i}") for i, c in enumerate(categories)], *[F.max(F.col(c).cast("string")).alias(f"b{i}") for i, c in enumerate(categories)]).first()
+    ends = {c: (found[f"a{i}"], found[f"b{i}"]) for i, c in enumerate(categories)}
+    able = [c for c, (a, b) in ends.items() if a is not None and a != b]
+    if not able:
+        return {}
+    others = df.agg(*[F.bool_or(~F.col(c).cast("string").isin(*ends[c])).alias(c) for c in able]).first()
+    return {c: ends[c] for c in able if not others[c]}
 
-    Pairs of under 30 complete rows, without variation or with collinear terms are left out.
+
+def logistic_all(df: DataFrame, numbers: list[str], outcomes: list[str]) -> DataFrame:
+    """Every outcome with two levels on all numbers, by Newton steps that all models take together: outcome, event, predictor, b, se, odds_ratio, ci_low,
+    ci_high, p, p corrections, mcfadden_r2, auc (in sample, by ranks), n, n_events, reason.
+
+    One pass a step adds up, for each model, the information matrix and the score over rows that know the outcome and all numbers; numbers are centred and scaled
+    first. A model that has settled leaves the passes. Outcomes of fewer than 10 (p + 1) rows or max(5, 5 p) in a class, and separated ones (standard errors that
+    aren't finite or exceed 1000, or no convergence) have a row with their reason instead.
     """
-    names = [c for c in columns if c != y]
-    pairs = [(i + 1, j + 1) for i in range(len(names)) for j in range(i + 1, len(names))]
-    schema = "y string, x string, z string, n long, b double, p double, delta_r2 double, r2 double"
-    if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    known = known_numbers(df, [y, *names])
-    c = known.agg(*[f(F.col(v)) for v in known.columns for f in (F.avg, F.stddev_pop)]).first()
-    mean, sd = np.array([v or 0.0 for v in c[0::2]]), np.array([v or 1.0 for v in c[1::2]])
+    spark = df.sparkSession
+    schema = "outcome string, event string, predictor string, b double, se double, odds_ratio double, ci_low double, ci_high double, p double, mcfadden_r2 double, n long, n_events long, reason string"
+    levels = binary_outcomes(df, outcomes)
+    names, k = list(levels), len(numbers)
+    if not names or not k:
+        return adjust_p(spark.createDataFrame([], schema).withColumn("auc", F.lit(None).cast("double")))
+    coded = df.select(*[F.when(F.col(c).cast("string") == levels[c][1], 1.0).when(F.col(c).isNotNull(), 0.0).alias(f"_y{i}") for i, c in enumerate(names)], *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(numbers)])
+    full = known_numbers(coded, coded.columns).where(" and ".join(f"_x{i} is not null" for i in range(k)))
+    size = k + 1
 
-    def mixed(d: np.ndarray) -> np.ndarray:
-        scaled, there = (d - mean) / sd, ~np.isnan(d)
-        out = []
-        for i, j in pairs:
-            own = scaled[there[:, 0] & there[:, i] & there[:, j]][:, [0, i, j]]
-            f = np.column_stack([np.ones(len(own)), own, own[:, 1] * own[:, 2]])
-            out.append((f.T @ f).ravel())
-        return np.concatenate(out)
+    def first(d: np.ndarray) -> np.ndarray:
+        """For each outcome: rows, events, and the sums and squares of the numbers."""
+        y, x = d[:, : len(names)], d[:, len(names) :]
+        known = ~np.isnan(y)
+        return np.concatenate([np.stack([known.sum(0), np.where(known, y, 0).sum(0)]).ravel(), (known.T @ x).ravel(), (known.T @ (x * x)).ravel()])
 
+    got = summed(full, first, 2 * len(names) + 2 * len(names) * k)
+    n, events = got[: 2 * len(names)].reshape(2, -1)
+    sx, sxx = got[2 * len(names) :].reshape(2, len(names), k)
     rows = []
-    for (i, j), g in zip(pairs, summed(known, mixed, 25 * len(pairs)).reshape(-1, 5, 5), strict=True):
-        n = int(g[0, 0])
-        if n < 30:
-            continue
-        cov = (g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / n) / (n - 1)
-        full, less = cov[1:, 1:], cov[1:3, 1:3]
-        if min(np.diag(cov)) <= 1e-12 or np.linalg.cond(full) > 1e12:
+    able = []
+    for i, c in enumerate(names):
+        need, need_class = 10 * (k + 1), max(LEAST_CLASS, 5 * k)
+        if n[i] < need or min(events[i], n[i] - events[i]) < need_class:
+            rows.append((c, levels[c][1], None, *[None] * 7, int(n[i]), int(events[i]), f"n={int(n[i])}, events={int(events[i])}: {need} rows and {need_class} in each class are needed"))
+        else:
+            able.append(i)
+    centre = sx / np.maximum(n, 1)[:, None]
+    spread = np.sqrt(np.maximum(sxx / np.maximum(n, 1)[:, None] - centre**2, 0))
+    spread = np.where(spread > 1e-12 * (np.abs(centre) + 1e-300), spread, 0.0)
+    share = np.clip(events / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    beta = np.zeros((len(names), size))
+    beta[:, 0] = np.log(share / (1 - share))
+    null = -2 * (events * np.log(share) + (n - events) * np.log(1 - share))
+    last, failed, covariance_of = np.full(len(names), np.inf), set(), {}
+    going = [i for i in able if (spread[i] > 0).all()]
+    failed |= set(able) - set(going)
+    for _ in range(STEPS):
+        if not going:
+            break
+        held = (list(going), beta[going].copy(), centre[going], spread[going])
+
+        def step(d: np.ndarray, held=held) -> np.ndarray:
+            out = []
+            for i, b, m, s in zip(*held, strict=True):
+                y = d[:, i]
+                use = ~np.isnan(y)
+                x = np.column_stack([np.ones(use.sum()), (d[use, len(names) :] - m) / s])
+                at = x @ b
+                p = 1 / (1 + np.exp(-np.clip(at, -700, 700)))
+                out += [((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (y[use] - p), [2 * (np.logaddexp(0, at) - y[use] * at).sum()]]
+            return np.concatenate(out)
+
+        sums = summed(full, step, len(going) * (size * size + size + 1)).reshape(len(going), -1)
+        still = []
+        for i, own in zip(going, sums, strict=True):
+            information, score, deviance = own[: size * size].reshape(size, size), own[size * size : -1], own[-1]
+            if not np.isfinite(own).all() or np.linalg.cond(information) > 1e14:
+                failed.add(i)
+                continue
+            covariance_of[i] = np.linalg.inv(information)
+            if abs(last[i] - deviance) <= SETTLED * (abs(deviance) + 0.1):
+                last[i] = deviance
+                continue
+            move = covariance_of[i] @ score
+            beta[i] += move * min(1.0, 10 / max(np.abs(move).max(), 1e-300))
+            last[i] = deviance
+            still.append(i)
+        going = still
+    failed |= set(going)
+    fitted = []
+    for i in able:
+        c = names[i]
+        se = np.sqrt(np.maximum(np.diag(covariance_of[i])[1:], 0)) / spread[i] if i in covariance_of and i not in failed else None
+        if se is None or not np.isfinite(se).all() or se.max() > SEPARATED:
+            rows.append((c, levels[c][1], None, *[None] * 7, int(n[i]), int(events[i]), "separated or not converged"))
             continue
-        b = np.linalg.solve(full, cov[1:, 0])
-        r2, r2_less = b @ cov[1:, 0] / cov[0, 0], np.linalg.solve(less, cov[1:3, 0]) @ cov[1:3, 0] / cov[0, 0]
-        se = np.sqrt(max(cov[0, 0] * (1 - r2) / (n - 4) * np.linalg.inv(full)[2, 2], 0.0))
-        # other centres change no product term's test, and other scales only its unit
-        unit = np.sqrt(cov[1, 1] * cov[2, 2] / cov[0, 0] * (n - 1) / n)
-        rows.append((y, names[i - 1], names[j - 1], n, float(b[2] * unit), float(t_sf2(b[2] / max(se, 1e-300), n - 4)), float(r2 - r2_less), float(r2)))
-    return df.sparkSession.createDataFrame(rows, schema)
+        fitted.append(i)
+        b = beta[i, 1:] / spread[i]
+        z, r2 = b / np.maximum(se, 1e-300), 1 - last[i] / null[i]
+        half = Z975 * se
+        for j, x in enumerate(numbers):
+            p = 2 * float(norm_sf(np.abs(z[j])))
+            rows.append((c, levels[c][1], x, *map(float, (b[j], se[j], np.exp(b[j]), np.exp(b[j] - half[j]), np.exp(b[j] + half[j]), p, r2)), int(n[i]), int(events[i]), None))
+    table = spark.createDataFrame(rows, schema)
+    parts = [full.where(f"_y{i} is not null").select(F.lit(names[i]).alias("outcome"), F.col(f"_y{i}").alias("y"), sum((F.col(f"_x{j}") * float(beta[i, 1 + j] / spread[i, j]) for j in range(1, k)), F.col("_x0") * float(beta[i, 1] / spread[i, 0])).alias("score")) for i in fitted]
+    auc = roc_auc_by(reduce(DataFrame.unionByName, parts), "outcome", "y", "score").select("outcome", "auc") if parts else spark.createDataFrame([], "outcome string, auc double")
+    return adjust_p(table.join(auc, "outcome", "left")).orderBy("outcome", "p")
+
+
+def logistic(df: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
+    """predictor, odds_ratio, ci_low, ci_high, p, mcfadden_r2, auc, n of one outcome; no row for too few events or a separated outcome."""
+    return logistic_all(df, columns, [outcome]).where("reason is null").select("predictor", "odds_ratio", "ci_low", "ci_high", "p", "mcfadden_r2", "auc", "n")
+
+
+def interactions_all(df: DataFrame, numbers: list[str], categories: list[str] | tuple = ()) -> DataFrame:
+    """y, x, z, n, b (of x times z), p with its corrections, delta_r2, r2: standardised moderation models of every number by every pair of the other numbers and
+    of the categories with two levels (the second is 1), each over the rows that know all three.
+
+    One pass adds up, for each pair, the products of (1, x, z, xz) over the rows that also know y, for all y at once as a product of matrices; so many pairs share a pass that
+    their sums stay small. Models of under 30 rows, without variation or with collinear terms are left out.
+    """
+    levels = binary_outcomes(df, list(categories))
+    coded = [F.when(F.col(c).cast("string") == b, 1.0).when(F.col(c).isNotNull(), 0.0).alias(f"{c} ({b}=1)") for c, (_, b) in levels.items()]
+    names = [*numbers, *[f"{c} ({b}=1)" for c, (_, b) in levels.items()]]
+    known = df.select(*[F.col(c).cast("double").alias(c) for c in numbers], *coded)
+    known = known.select([F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) for c in names])
+    y_count, schema = len(numbers), "y string, x string, z string, n long, b double, p double, delta_r2 double, r2 double"
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    if len(names) < 3 or not numbers:
+        return adjust_p(df.sparkSession.createDataFrame([], schema))
+    c = known.agg(*[f(F.col(f"`{v}`")) for v in names for f in (F.avg, F.stddev_pop)]).first()
+    mean, sd = np.array([v or 0.0 for v in c[0::2]]), np.array([v or 1.0 for v in c[1::2]])
+    rows = []
+    each = 15 * y_count
+    for at in range(0, len(pairs), max(1, MODELS_AT_ONCE // y_count)):
+        part = pairs[at : at + max(1, MODELS_AT_ONCE // y_count)]
+
+        def mixed(d: np.ndarray, part=part) -> np.ndarray:
+            there = ~np.isnan(d)
+            scaled = np.where(there, (d - mean) / sd, 0.0)
+            y, there_y = scaled[:, :y_count], there[:, :y_count].astype(float)
+            squares = y * y
+            out = []
+            for i, j in part:
+                use = there[:, i] & there[:, j]
+                x, z = scaled[use, i], scaled[use, j]
+                f = np.column_stack([np.ones(len(x)), x, z, x * z])
+                products = np.column_stack([f[:, a] * f[:, b] for a in range(4) for b in range(a, 4)])
+                out += [(products.T @ there_y[use]).ravel(), (f.T @ y[use]).ravel(), squares[use].sum(0)]
+            return np.concatenate(out)
+
+        for (i, j), own in zip(part, summed(known, mixed, each * len(part)).reshape(len(part), -1), strict=True):
+            gram, fy, yy = own[: 10 * y_count].reshape(10, y_count), own[10 * y_count : 14 * y_count].reshape(4, y_count), own[14 * y_count :]
+            for t in range(y_count):
+                if t not in (i, j) and (found := _moderated(gram[:, t], fy[:, t], yy[t])):
+                    rows.append((numbers[t], names[i], names[j], *found))
+    return adjust_p(df.sparkSession.createDataFrame(rows, schema)).orderBy("p", "y", "x", "z")
+
+
+def _moderated(gram: np.ndarray, fy: np.ndarray, yy: float) -> tuple | None:
+    """n, b, p, delta_r2 and r2 of y on x, z and xz from the sums of their products."""
+    g = np.zeros((5, 5))
+    g[:4, :4][np.triu_indices(4)] = gram
+    g[:4, :4] += np.triu(g[:4, :4], 1).T
+    g[:4, 4] = g[4, :4] = fy
+    g[4, 4] = yy
+    n = int(round(g[0, 0]))
+    if n < LEAST_MODERATED:
+        return None
+    cov = (g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / n) / (n - 1)
+    full, less, xy = cov[:3, :3], cov[:2, :2], cov[:3, 3]
+    scale = np.sqrt(np.maximum(np.diag(full), 1e-300))
+    if min(np.diag(cov)) <= 1e-12 or np.linalg.cond(full / np.outer(scale, scale)) > 1e12:
+        return None
+    b = np.linalg.solve(full, xy)
+    r2, r2_less = b @ xy / cov[3, 3], np.linalg.solve(less, xy[:2]) @ xy[:2] / cov[3, 3]
+    se = np.sqrt(max(cov[3, 3] * (1 - r2) * (n - 1) / (n - 4) * np.linalg.inv(full)[2, 2] / (n - 1), 0.0))
+    # other centres change no product term's test, and other scales only its unit
+    unit = np.sqrt(cov[0, 0] * cov[1, 1] / cov[3, 3])
+    return n, float(b[2] * unit), float(t_sf2(b[2] / max(se, 1e-100), n - 4)), float(r2 - r2_less), float(r2)
+
+
+def interactions(df: DataFrame, y: str, columns: list[str]) -> DataFrame:
+    """The models of ``interactions_all`` for one dependent number."""
+    names = [y, *[c for c in columns if c != y]]
+    return interactions_all(df, names).where(F.col("y") == y).select("y", "x", "z", "n", "b", "p", "delta_r2", "r2")
 
 
 def label_auc(a: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cube
-from .more_queries import sql_p_chi2
-from .queries import query, rounded, table
+from ..operators import cube, regress
+from .more_queries import sql_p_chi2, sql_p_t
+from .queries import LINE, _outcomes, query, rounded, table
 
 _LINE_PAIRS = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber")]
 
@@ -81,3 +81,42 @@ def change_pairs(spark, sf_dir):
 def skipped_pairs(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.lit("same").alias("constant"), "l_returnflag", "l_linestatus")
     return cube.skipped_pairs(cube.association_pairs(lines, lines.columns), "association")
+
+
+@query()
+def logistic_outcomes(spark, sf_dir):
+    """Newton's method has no SQL; the test compares with single models."""
+    outcomes = _outcomes(spark, sf_dir).withColumn("kilo_chars", F.col("n_chars") / 1000)
+    return rounded(regress.logistic_all(outcomes, ["kilo_chars", "noise"], ["quality", "toxic", "lang"]))
+
+
+_STATUS = "l_linestatus (O=1)"
+
+
+def _moderated(y: str, x: str, z: str) -> str:
+    """Sums of one model; columns are standardised over all lines, none of which misses a value."""
+    return f"""SELECT '{y}' AS y, '{x}' AS x, '{z}' AS z, count(*) AS n, var_samp("{x}") AS a11, covar_samp("{x}", "{z}") AS a12, covar_samp("{x}", "{x}" * "{z}") AS a13, var_samp("{z}") AS a22,
+        covar_samp("{z}", "{x}" * "{z}") AS a23, var_samp("{x}" * "{z}") AS a33, covar_samp("{x}", "{y}") AS c1, covar_samp("{z}", "{y}") AS c2, covar_samp("{x}" * "{z}", "{y}") AS c3, var_samp("{y}") AS yy FROM scaled"""
+
+
+def _models() -> str:
+    names = [*LINE, _STATUS]
+    return " UNION ALL ".join(_moderated(y, x, z) for y in LINE for i, x in enumerate(names) for z in names[i + 1 :] if y not in (x, z))
+
+
+@query(f"""
+    WITH coded AS (SELECT {", ".join(f'CAST({c} AS DOUBLE) AS "{c}"' for c in LINE)}, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS "{_STATUS}" FROM lineitem),
+    scaled AS (SELECT {", ".join(f'("{c}" - avg("{c}") OVER ()) / stddev_samp("{c}") OVER () AS "{c}"' for c in [*LINE, _STATUS])} FROM coded),
+    m AS ({_models()}),
+    d AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det,
+        a11 * a22 - a12 * a12 AS det2 FROM m),
+    s AS (SELECT *, (c1 * (a22 * a33 - a23 * a23) - a12 * (c2 * a33 - a23 * c3) + a13 * (c2 * a23 - a22 * c3)) / det AS b1,
+        (a11 * (c2 * a33 - a23 * c3) - c1 * (a12 * a33 - a23 * a13) + a13 * (a12 * c3 - c2 * a13)) / det AS b2,
+        (a11 * (a22 * c3 - c2 * a23) - a12 * (a12 * c3 - c2 * a13) + c1 * (a12 * a23 - a22 * a13)) / det AS b3,
+        ((c1 * a22 - c2 * a12) * c1 + (c2 * a11 - c1 * a12) * c2) / det2 / yy AS r2_less FROM d),
+    r AS (SELECT *, (b1 * c1 + b2 * c2 + b3 * c3) / yy AS r2 FROM s),
+    t AS (SELECT *, b3 / sqrt(yy * (1 - r2) / (n - 4) * det2 / det) AS t FROM r)
+    SELECT y, x, z, n, round(b3, 6) AS b, round(r2 - r2_less, 7) AS delta_r2, round(r2, 6) AS r2, round({sql_p_t("t", "(n - 4)")}, 5) AS p FROM t""")
+def interaction_scan(spark, sf_dir):
+    found = regress.interactions_all(table(spark, sf_dir, "lineitem"), LINE, ["l_linestatus", "l_returnflag"])
+    return rounded(found.select("y", "x", "z", "n", "b", "delta_r2", "r2", "p"), 6, delta_r2=7, p=5)

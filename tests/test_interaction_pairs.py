@@ -17,7 +17,7 @@ def test_pairs_fitted_together_equal_single_models(spark):
     assert set(found) == {("a", "b"), ("a", "c"), ("a", "copy"), ("b", "c"), ("c", "copy")}
     for (x, z), r in found.items():
         own = t[["y", x, z]].dropna()
-        s = (own - own.mean()) / own.std(ddof=0)
+        s = (own - own.mean()) / own.std()
         ones = np.ones(len(s))
         full, less = np.column_stack([ones, s[x], s[z], s[x] * s[z]]), np.column_stack([ones, s[x], s[z]])
         fit = lambda f: np.linalg.lstsq(f, s["y"], rcond=None)[0]  # noqa: B023, E731
