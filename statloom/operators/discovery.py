@@ -31,10 +31,10 @@ def binned(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     return joined.select([below(i, F.col(c)).alias(c) for i, c in enumerate(columns)])
 
 
-def mutual_information(df: DataFrame, columns: list[str], bins: int = 16) -> DataFrame:
+def binned_information(df: DataFrame, columns: list[str], bins: int = 16) -> DataFrame:
     """a, b, n, mi (nats, Miller-Madow corrected, 0 at least), equivalent (the correlation with that information), r, gap.
 
-    All rows count: they are binned, and only bin pairs are shuffled.
+    All rows count: they are binned, and only bin pairs are shuffled. ``neighbours.mutual_information`` needs no bins.
     """
     b = binned(df, columns, bins)
     pairs = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(x).alias("x"), F.col(y).alias("y")) for i, x in enumerate(columns) for y in columns[i + 1 :]]
@@ -47,7 +47,7 @@ def mutual_information(df: DataFrame, columns: list[str], bins: int = 16) -> Dat
     mi = F.greatest(F.lit(0.0), F.col("raw") - (F.col("k") - F.col("kx") - F.col("ky") + 1) / (2 * F.col("n")))
     r = pearson_pairs(df, columns).select("a", "b", "r")
     equal = F.sqrt(1 - F.exp(-2 * F.col("mi")))
-    found = m.select("a", "b", "n", mi.alias("mi")).join(F.broadcast(r), ["a", "b"]).withColumn("equivalent", equal)
+    found = m.select("a", "b", "n", mi.alias("mi")).join(r, ["a", "b"]).withColumn("equivalent", equal)
     return found.withColumn("gap", F.col("equivalent") - F.abs("r"))
 
 

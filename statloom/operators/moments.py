@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def centres(df: DataFrame, columns: list[str]) -> list[float]:
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    known = lambda v: F.when(F.abs(v) < float("inf"), v)  # noqa: E731  NaN is missing, and nothing is centred at infinity
+    row = df.agg(*[F.avg(known(F.col(c).cast("double"))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return [float(x or 0.0) for x in row]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cube, regress
+from ..operators import cube, neighbours, regress
 from .more_queries import sql_p_chi2, sql_p_t
 from .queries import LINE, _outcomes, query, rounded, table
 
@@ -120,3 +120,21 @@ def _models() -> str:
 def interaction_scan(spark, sf_dir):
     found = regress.interactions_all(table(spark, sf_dir, "lineitem"), LINE, ["l_linestatus", "l_returnflag"])
     return rounded(found.select("y", "x", "z", "n", "b", "delta_r2", "r2", "p"), 6, delta_r2=7, p=5)
+
+
+def _digamma(n: str) -> str:
+    """For whole numbers from 1: the asymptotic series six places further on."""
+    x = f"({n} + 6.0)"
+    return f"(ln{x} - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8) - (1.0 / {n} + 1.0 / ({n} + 1) + 1.0 / ({n} + 2) + 1.0 / ({n} + 3) + 1.0 / ({n} + 4) + 1.0 / ({n} + 5)))"
+
+
+@query(f"""
+    WITH p AS (SELECT c_custkey AS id, c_acctbal / stddev_pop(c_acctbal) OVER () AS x, c_custkey / stddev_pop(c_custkey) OVER () AS y FROM customer),
+    d AS (SELECT a.id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.id = b.id AS itself FROM p a, p b),
+    r AS (SELECT id, list_sort(list(greatest(dx, dy)) FILTER (NOT itself))[3] * (1 - 1e-12) AS r FROM d GROUP BY id),
+    c AS (SELECT d.id, greatest(1, count(*) FILTER (dx < r)) AS nx, greatest(1, count(*) FILTER (dy < r)) AS ny FROM d JOIN r ON d.id = r.id GROUP BY d.id)
+    SELECT 'c_acctbal' AS a, 'c_custkey' AS b, count(*) AS n, round(greatest(0, {_digamma("count(*)")} + {_digamma("3")} - avg({_digamma("nx")}) - avg({_digamma("ny")})), 7) AS mi FROM c""")
+def neighbour_information(spark, sf_dir):
+    """All customers, without the jitter: hardly a balance comes twice."""
+    found = neighbours.mutual_information(table(spark, sf_dir, "customer"), ["c_acctbal", "c_custkey"], jitter=False)
+    return rounded(found.select("a", "b", "n", "mi"), 7)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, normality, paired, planning, predict, records, regress, report, scale
+from ..operators import adjust, cleaning, contingency, correlate, curves, describe, discovery, groups, kinds, neighbours, normality, paired, planning, predict, records, regress, report, scale
 from ..sources import bibliography
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,13 +476,13 @@ j AS (SELECT m, sum(m) OVER () AS n, sum(m) OVER (PARTITION BY x) AS mx, sum(m)
 SELECT 'l_quantity' AS a, 'l_discount' AS b, CAST(max(n) AS BIGINT) AS n, round(greatest(0, sum(m / n * ln(m * n / (mx * my))) - (count(*) - count(DISTINCT x) - count(DISTINCT y) + 1) / (2 * max(n))), 8) AS mi FROM j""")
 def mutual_information(spark, sf_dir):
     # finer bins than either column has values: each value is its own bin
-    return rounded(discovery.mutual_information(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], bins=2000).select("a", "b", "n", "mi"), 8)
+    return rounded(discovery.binned_information(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], bins=2000).select("a", "b", "n", "mi"), 8)
 
 
 @query()
 def nonlinear_finds(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_size", (F.col("p_size") ** 2 - 51 * F.col("p_size")).alias("bent"), "p_retailprice")
-    return rounded(discovery.nonlinear_finds(discovery.mutual_information(part, ["p_size", "bent", "p_retailprice"])), 6)
+    return rounded(discovery.nonlinear_finds(neighbours.mutual_information(part, ["p_size", "bent", "p_retailprice"])), 6)
 
 
 @query()

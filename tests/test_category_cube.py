@@ -57,6 +57,7 @@ def test_nan_is_missing(spark):
     known = df.where("not isnan(x) and not isnan(y)")
     assert correlate.spearman(df, "x", "y").first() == correlate.spearman(known, "x", "y").first()
     assert correlate.simple_regression(df, "x", "y").first() == correlate.simple_regression(known, "x", "y").first()
+    assert correlate.pearson_pairs(df, ["x", "y"]).first()["r"] == pytest.approx(correlate.pearson_pairs(known, ["x", "y"]).first()["r"])
     assert paired.wilcoxon(df, "x", "y").first() == paired.wilcoxon(known, "x", "y").first()
     scored = spark.createDataFrame([(i % 2, nan if i == 4 else float(i * i % 11)) for i in range(24)], "y int, s double")
     assert regress.roc_auc(scored, "y", ["s"]).first()["n0"] == 11

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import special
-from statloom.operators import discovery, groups, kinds, normality, paired, planning, records, report
+from statloom.operators import discovery, groups, kinds, neighbours, normality, paired, planning, records, report
 from statloom.sources import bibliography
 
 
@@ -88,7 +88,7 @@ def test_mutual_information_finds_the_bend(spark):
     rng = np.random.default_rng(42)
     x = rng.normal(0, 2, 2000)
     df = spark.createDataFrame([(float(a), float(a * a + e), float(z)) for a, e, z in zip(x, rng.normal(0, 0.4, 2000), rng.normal(size=2000), strict=True)], "x double, u double, z double")
-    found = discovery.nonlinear_finds(discovery.mutual_information(df, ["x", "u", "z"])).collect()
+    found = discovery.nonlinear_finds(neighbours.mutual_information(df, ["x", "u", "z"])).collect()
     assert [(r["a"], r["b"]) for r in found] == [("x", "u")]
 
 
