@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_sf
+from .adjust import adjust_p
 from .moments import known_numbers, matrix_of, summed
 
 MODELS = ["linear", "quadratic", "cubic", "logarithmic", "exponential", "power", "inverse"]
@@ -128,7 +129,7 @@ def fit_curves(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def hidden_formulas(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, model, adj_r2, gain, p, hidden: the best model of the better direction of each pair. Four jobs for all pairs."""
+    """x, y, model, adj_r2, gain, p with its corrections, hidden: the best model of the better direction of each pair. Four jobs for all pairs."""
     fitted: dict[tuple[str, str], list[tuple]] = {}
     for r in _fits(df, [(a, b) for a in columns for b in columns if a != b]):
         fitted.setdefault(r[:2], []).append(r)
@@ -144,7 +145,7 @@ def hidden_formulas(df: DataFrame, columns: list[str]) -> DataFrame:
             if found:
                 adj, x, y, model, gain, p = max(found, key=lambda v: (v[0], v[1]))
                 rows.append((x, y, model, float(adj), gain, p, bool(gain >= GAIN and adj >= LEAST)))
-    return df.sparkSession.createDataFrame(rows, "x string, y string, model string, adj_r2 double, gain double, p double, hidden boolean")
+    return adjust_p(df.sparkSession.createDataFrame(rows, "x string, y string, model string, adj_r2 double, gain double, p double, hidden boolean"))
 
 
 def short_number(x: Column) -> Column:

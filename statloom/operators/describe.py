@@ -38,23 +38,25 @@ def detect_variables(df: DataFrame, columns: list[str] | None = None) -> DataFra
             F.lit(c).alias("variable"), F.lit(numeric[c]).alias("is_number"), F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"), F.count_distinct(value).alias("n_unique"),
             F.count(as_number).alias("n_numbers"), F.count_if(as_number % 1 != 0).alias("n_fractions"), F.min(as_number).alias("low"), F.max(as_number).alias("high"),
         ))
-    rows = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
-    number = F.col("is_number") | (F.col("n_numbers") >= TEXT_SHARE * F.col("n")) & (F.col("n") > 0)
+    # one row per column of the table reaches the driver, so the table is aggregated once
+    profile = df.agg(F.array(*stats).alias("s")).select(F.inline("s")).collect()
+    number = {r["variable"]: r["is_number"] or r["n"] > 0 and r["n_numbers"] >= TEXT_SHARE * r["n"] for r in profile}
     # only columns of distinct integers are looked at again: how many of them follow another
-    may_count = rows.where(number & (F.col("n_unique") == F.col("n")) & (F.col("n_numbers") == F.col("n")) & (F.col("n_fractions") == 0) & (F.col("n") > 1)).select("variable").collect()  # a name per column
-    neighbours = [_followers(df, r[0], numeric[r[0]]).select(F.lit(r[0]).alias("variable"), "followers") for r in may_count]
-    if neighbours:
-        rows = rows.join(F.broadcast(reduce(DataFrame.unionByName, neighbours)), "variable", "left")
-    else:
-        rows = rows.withColumn("followers", F.lit(None).cast("long"))
-    # the median gap of sorted distinct integers is 1 if more than half of the gaps are
-    serial = F.col("followers").isNotNull() & (F.col("followers") >= F.floor((F.col("n") - 1) / 2) + 1)
-    reason = (
-        F.when(F.col("n") == 0, "all missing").when(F.col("n_unique") <= 1, "constant").when(serial, "id")
-        .when(~number & (F.col("n_unique") > CATEGORY_DISTINCT), "free text or id")
-    )
-    kind = F.when(reason.isNotNull(), "skipped").when(number & (F.col("n_unique") >= NUMERIC_DISTINCT), "numeric").otherwise("categorical")
-    return rows.select("variable", kind.alias("kind"), reason.alias("reason"), "n", "n_missing", "n_unique")
+    may_count = [r["variable"] for r in profile if number[r["variable"]] and r["n_unique"] == r["n"] == r["n_numbers"] and r["n_fractions"] == 0 and r["n"] > 1]
+    counted = [_followers(df, c, numeric[c]).select(F.lit(c).alias("variable"), "followers") for c in may_count]
+    followers = {r["variable"]: r["followers"] for r in (reduce(DataFrame.unionByName, counted).collect() if counted else [])}
+    found = []
+    for r in profile:
+        c = r["variable"]
+        # the median gap of sorted distinct integers is 1 if more than half of the gaps are
+        serial = c in followers and followers[c] >= (r["n"] - 1) // 2 + 1
+        reason = (
+            "all missing" if r["n"] == 0 else "constant" if r["n_unique"] <= 1 else "id" if serial
+            else "free text or id" if not number[c] and r["n_unique"] > CATEGORY_DISTINCT else None
+        )
+        kind = "skipped" if reason else "numeric" if number[c] and r["n_unique"] >= NUMERIC_DISTINCT else "categorical"
+        found.append((c, kind, reason, r["n"], r["n_missing"], r["n_unique"]))
+    return df.sparkSession.createDataFrame(found, "variable string, kind string, reason string, n long, n_missing long, n_unique long")
 
 
 def _followers(df: DataFrame, c: str, is_number: bool) -> DataFrame:

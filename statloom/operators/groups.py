@@ -74,21 +74,21 @@ def levene(long: DataFrame) -> DataFrame:
     """The median-centred Levene statistic: an analysis of variance of the distances from the group medians."""
     keys = ["category", "number", "grp"]
     medians = group_moments(long, median=True).select(*keys, "median")
-    # a row per group
-    distances = long.join(F.broadcast(medians), keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
+    distances = long.join(medians, keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
     return anova(group_moments(distances)).select("category", "number", "k", "n", F.col("f").alias("levene"), "df1", "df2")
 
 
 def rank_sums(long: DataFrame) -> DataFrame:
     """category, number, grp, n, rank_sum, and the tie term of the pair of columns, by mid-ranks over all its groups."""
     keys = ["category", "number"]
-    sized = long.groupBy(*keys, "grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP).select(*keys, "grp")
-    kept = long.join(F.broadcast(sized), [*keys, "grp"])
-    ranks = mid_ranks(kept, keys, "value")
+    # counted once: sizes, ranks and sums start from the same exchange
+    cells = long.groupBy(*keys, "grp", "value").agg(F.count("*").alias("m"))
+    sized = cells.groupBy(*keys, "grp").agg(F.sum("m").alias("n")).where(F.col("n") >= LEAST_GROUP).select(*keys, "grp")
+    kept = cells.join(sized, [*keys, "grp"])
+    ranks = mid_ranks(kept, keys, "value", weight="m")
     ties = ranks.groupBy(*keys).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
-    cells = kept.groupBy(*keys, "grp", "value").agg(F.count("*").alias("m"))
-    sums = cells.join(ranks.select(*keys, "value", "rank"), [*keys, "value"]).groupBy(*keys, "grp").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("rank_sum"))
-    return sums.join(F.broadcast(ties), keys)
+    sums = kept.join(ranks.select(*keys, "value", "rank"), [*keys, "value"]).groupBy(*keys, "grp").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("rank_sum"))
+    return sums.join(ties, keys)
 
 
 def kruskal(sums: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
 def mann_whitney_p(sums: DataFrame) -> DataFrame:
     """Mann-Whitney tests with p: exact for small groups without ties, else by the normal distribution."""
     sizes = sums.groupBy("category", "number", "ties").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.count("*").alias("_k")).where("_k = 2").drop("_k")
-    tests = mann_whitney(sums).join(F.broadcast(sizes), ["category", "number"])  # a row per test
+    tests = mann_whitney(sums).join(sizes, ["category", "number"])
     exact = (F.col("ties") == 0) & (F.col("_least") <= EXACT_GROUP) & (F.col("_least") * F.col("_most") <= EXACT_PRODUCT)
     only = lambda c: F.when(exact, F.col(c).cast("double"))
     # the distribution of U is symmetric, so the order of the groups doesn't matter

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import p_chi2, p_t, p_wilcoxon_exact, p_z
+from .adjust import adjust_p
+from .describe import as_number
 from .moments import pair_moments
-from .ranks import mid_ranks
+from .normality import normality_of
+from .ranks import mid_ranks, quantiles
 
 EXACT_PAIRS = 50
 
@@ -42,6 +45,46 @@ def wilcoxon_p(t: DataFrame) -> DataFrame:
     return t.withColumn("p", F.coalesce(p_wilcoxon_exact(only("n"), only("w")), p_z(F.col("z"))))
 
 
+LEAST_PAIRS, ALPHA = 5, 0.05
+
+
+def paired_tests(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, n, difference, sd, median_difference, normal, t, t_p, w, w_p, d_z, recommended, p with its corrections, reason, for every pair of columns.
+
+    All pairs share their passes. The t test is recommended where the differences pass the test of normality, else signed ranks. Pairs with fewer than five
+    common rows, or whose differences are all the same, have a reason and no test. Nulls and NaN are missing.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    spark = df.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, n long, reason string")
+    own = df.select([as_number(df, c).alias(c) for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("value")) for a, b in pairs]))
+    keys = ["a", "b"]
+    long = own.select(each.alias("p")).select("p.*").where("value is not null and not isnan(value)")
+    basis = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("difference"), F.stddev_samp("value").alias("sd"))
+    medians = quantiles(long, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("median_difference"))
+    cells = long.where("value <> 0").groupBy(*keys, F.abs("value").alias("size"), (F.col("value") > 0).alias("up")).agg(F.count("*").alias("m"))
+    ranks = mid_ranks(cells, keys, "size", weight="m").select(*keys, "size", "rank", F.col("n").alias("tied"))
+    up = F.when(F.col("up"), F.col("m") * F.col("rank")).otherwise(0.0)
+    s = cells.join(ranks, [*keys, "size"]).groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(up).alias("plus"), F.sum(F.col("m") * F.col("rank") - up).alias("minus"), F.sum(F.col("m") * (F.col("tied") ** 2 - 1.0)).alias("ties"))
+    m, w = F.col("n").cast("double"), F.least("plus", "minus")
+    signed = wilcoxon_p(s.select(*keys, "n", w.alias("w"), F.try_divide(w - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)).alias("z"), "ties"))
+    shape = normality_of(long, keys).select(*keys, F.col("p").alias("_normal_p"))
+    t = spark.createDataFrame(pairs, "a string, b string").join(basis, keys, "left").join(medians, keys, "left").join(signed.select(*keys, "w", F.col("p").alias("w_p")), keys, "left").join(shape, keys, "left")
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(n < LEAST_PAIRS, F.concat(F.lit("n="), n.cast("string"), F.lit(f" < {LEAST_PAIRS}"))).when(F.col("sd") == 0, "all differences are the same")
+    t = t.withColumns({"n": n, "reason": reason, "normal": F.coalesce(F.col("_normal_p") >= ALPHA, F.lit(False))})
+    fine = F.col("reason").isNull()
+    t = t.withColumn("t", F.when(fine, F.col("difference") / (F.col("sd") / F.sqrt("n")))).withColumn("t_p", p_t(F.col("t"), F.when(fine, F.col("n") - 1)))
+    only = lambda c: F.when(fine, F.col(c))
+    found = t.select(
+        "a", "b", "n", only("difference").alias("difference"), only("sd").alias("sd"), only("median_difference").alias("median_difference"), only("normal").alias("normal"), "t", "t_p", only("w").alias("w"), only("w_p").alias("w_p"),
+        F.when(fine, F.col("difference") / F.col("sd")).alias("d_z"), F.when(fine, F.when(F.col("normal"), "paired_t").otherwise("wilcoxon")).alias("recommended"), F.when(fine, F.when(F.col("normal"), F.col("t_p")).otherwise(F.col("w_p"))).alias("p"), "reason",
+    )
+    return adjust_p(found).orderBy("p", "a", "b")
+
+
 def friedman(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n, k, chi2 (tie corrected), kendall_w; each row is ranked inside an array, so nothing is shuffled but sums."""
     k = len(columns)

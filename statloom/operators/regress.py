@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_sf, norm_sf, t_quantile, t_sf2
+from . import groups
 from .adjust import adjust_p
 from .moments import covariance, known_numbers, summed
 from .ranks import mid_ranks
@@ -298,5 +299,54 @@ def interactions(df: DataFrame, y: str, columns: list[str]) -> DataFrame:
     return interactions_all(df, names).where(F.col("y") == y).select("y", "x", "z", "n", "b", "p", "delta_r2", "r2")
 
 
+def roc_all(df: DataFrame, numbers: list[str], outcomes: list[str]) -> DataFrame:
+    """outcome, event, marker, n1, n0, auc (folded), direction, ci_low, ci_high, label, cutoff, sensitivity, specificity, p (Mann-Whitney) with its corrections, reason, by falling auc.
+
+    All outcomes with two levels by all numbers, in shared passes over counts by value. Classes of under five rows and constant markers have a reason instead.
+    """
+    spark = df.sparkSession
+    levels = binary_outcomes(df, outcomes)
+    if not levels or not numbers:
+        return spark.createDataFrame([], "outcome string, event string, marker string, auc double, p double, reason string")
+    events = spark.createDataFrame([(c, a, b) for c, (a, b) in levels.items()], "category string, _none string, event string")
+    keys = ["category", "number"]
+    long = groups.pairs_long(df, list(levels), numbers)
+    cells = long.join(events, "category").groupBy(*keys, "event", "value").agg(F.count_if(F.col("grp") == F.col("event")).alias("ones"), F.count_if(F.col("grp") != F.col("event")).alias("zeros"))
+    size = cells.groupBy(*keys, "event").agg(F.sum("ones").alias("n1"), F.sum("zeros").alias("n0"), (F.min("value") < F.max("value")).alias("varies"))
+    u = groups.mann_whitney_p(groups.rank_sums(long)).select(*keys, "u", "p")
+    planned = spark.createDataFrame([(c, x) for c in levels for x in numbers], "category string, number string").join(events.select("category", F.col("event").alias("_event")), "category")
+    t = planned.join(size, keys, "left").join(u, keys, "left")
+    n1, n0 = F.coalesce("n1", F.lit(0)).cast("double"), F.coalesce("n0", F.lit(0)).cast("double")
+    reason = F.when(F.least(n1, n0) < LEAST_CLASS, F.concat(F.lit("class sizes "), n1.cast("long").cast("string"), F.lit(" and "), n0.cast("long").cast("string"))).when(~F.col("varies"), "constant marker")
+    raw = 1 - F.col("u") / (n1 * n0)  # u counts for the first level, the event is the second
+    t = t.withColumns({"reason": reason, "raw": F.when(reason.isNull(), raw)}).withColumn("auc", F.greatest("raw", 1 - F.col("raw")))
+    a = F.col("auc")
+    se = F.sqrt((a * (1 - a) + (n1 - 1) * (a / (2 - a) - a**2) + (n0 - 1) * (2 * a**2 / (1 + a) - a**2)) / (n1 * n0))
+    best = _youden_by(cells.join(t.where("reason is null").select(*keys, F.when(F.col("raw") >= 0.5, 1.0).otherwise(-1.0).alias("sign")), keys))
+    found = t.join(best, keys, "left").select(
+        F.col("category").alias("outcome"), F.col("_event").alias("event"), F.col("number").alias("marker"), n1.cast("long").alias("n1"), n0.cast("long").alias("n0"), "auc", F.when(F.col("raw") >= 0.5, "higher").when(F.col("raw") < 0.5, "lower").alias("direction"),
+        F.greatest(F.lit(0.0), a - 1.96 * se).alias("ci_low"), F.when(a.isNotNull(), F.least(F.lit(1.0), a + 1.96 * se)).alias("ci_high"), F.when(a.isNotNull(), label_auc(a)).alias("label"),
+        "cutoff", "sensitivity", "specificity", F.when(F.col("reason").isNull(), F.col("p")).alias("p"), "reason",
+    ).withColumn("ci_low", F.when(F.col("auc").isNotNull(), F.col("ci_low")))
+    return adjust_p(found).orderBy(F.desc_nulls_last("auc"), "outcome", "marker")
+
+
+def _youden_by(cells: DataFrame, buckets: int = 64) -> DataFrame:
+    """category, number, cutoff, sensitivity, specificity: the largest difference of the rates of each marker, read in the direction of its sign; the first of equals."""
+    keys = ["category", "number"]
+    signed = cells.withColumn("s", F.col("sign") * F.col("value"))
+    cuts = signed.groupBy(*keys).agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)]).alias("_cuts"))
+    placed = signed.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("s")))).drop("_cuts")
+    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    totals = placed.groupBy(*keys, "_b").agg(F.sum("ones").alias("o"), F.sum("zeros").alias("z"))
+    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("o").over(above), F.lit(0)).alias("o0"), F.coalesce(F.sum("z").over(above), F.lit(0)).alias("z0"), F.sum("o").over(whole).alias("n1"), F.sum("z").over(whole).alias("n0"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("s"))
+    rates = placed.withColumns({"o": F.sum("ones").over(inside), "z": F.sum("zeros").over(inside)}).join(offsets, [*keys, "_b"])
+    tpr, fpr = (F.col("o0") + F.col("o")) / F.col("n1"), (F.col("z0") + F.col("z")) / F.col("n0")
+    best = rates.groupBy(*keys).agg(F.max(F.struct(F.round(tpr - fpr, 12).alias("j"), "s", tpr.alias("tpr"), fpr.alias("fpr"), "sign")).alias("m"))
+    return best.select(*keys, (F.col("m.s") * F.col("m.sign")).alias("cutoff"), F.col("m.tpr").alias("sensitivity"), (1 - F.col("m.fpr")).alias("specificity"))
+
+
 def label_auc(a: Column) -> Column:
     return F.when(a < 0.6, "none").when(a < 0.7, "poor").when(a < 0.8, "acceptable").when(a < 0.9, "good").otherwise("excellent")

@@ -16,6 +16,12 @@ def as_findings(results: DataFrame, analysis: str, first: str, second: str, effe
     return adjust_p(own, family=["analysis"])
 
 
+def skipped_tests(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """family, test, reason: what all families left out, from their tables with a ``reason``; the columns named with a table are the variables of its tests."""
+    parts = [df.where("reason is not null").select(F.lit(family).alias("family"), F.concat_ws(" × ", *[F.col(c) for c in names]).alias("test"), "reason") for family, (df, names) in tables.items()]
+    return reduce(DataFrame.unionByName, parts).orderBy("family", "test")
+
+
 def significant_findings(tables: list[DataFrame], alpha: float = ALPHA) -> DataFrame:
     """Findings below ``alpha`` after the false discovery correction, by that p and names; each input has a row per test."""
     together = reduce(DataFrame.unionByName, tables)

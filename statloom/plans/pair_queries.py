@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cube, neighbours, regress
+from ..operators import correlate, cube, curves, groups, neighbours, paired, regress, report
 from .more_queries import sql_p_chi2, sql_p_t
-from .queries import LINE, _outcomes, query, rounded, table
+from .queries import LINE, PARTS, _line_groups, _outcomes, query, rounded, table
 
 _LINE_PAIRS = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber")]
 
@@ -138,3 +138,69 @@ def neighbour_information(spark, sf_dir):
     """All customers, without the jitter: hardly a balance comes twice."""
     found = neighbours.mutual_information(table(spark, sf_dir, "customer"), ["c_acctbal", "c_custkey"], jitter=False)
     return rounded(found.select("a", "b", "n", "mi"), 7)
+
+
+@query("""
+    WITH s AS (SELECT CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS quality, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS toxic, CAST(n_chars AS DOUBLE) AS n_chars, CAST(labels.doc_id % 97 AS DOUBLE) AS noise
+        FROM documents JOIN labels ON documents.doc_id = labels.doc_id),
+    l AS (SELECT 'quality' AS outcome, 'n_chars' AS marker, quality = 'yes' AS y, n_chars AS v FROM s UNION ALL SELECT 'quality', 'noise', quality = 'yes', noise FROM s
+        UNION ALL SELECT 'toxic', 'n_chars', toxic = 'yes', n_chars FROM s UNION ALL SELECT 'toxic', 'noise', toxic = 'yes', noise FROM s),
+    r AS (SELECT *, rank() OVER (PARTITION BY outcome, marker ORDER BY v) + (count(*) OVER (PARTITION BY outcome, marker, v) - 1) / 2.0 AS r FROM l),
+    a AS (SELECT outcome, marker, count(*) FILTER (y) AS n1, count(*) FILTER (NOT y) AS n0, sum(r) FILTER (y) AS r1 FROM r GROUP BY ALL),
+    b AS (SELECT *, (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS raw FROM a),
+    c AS (SELECT *, greatest(raw, 1 - raw) AS auc, CASE WHEN raw >= 0.5 THEN 1 ELSE -1 END AS sign FROM b),
+    e AS (SELECT *, sqrt((auc * (1 - auc) + (n1 - 1) * (auc / (2 - auc) - auc ** 2) + (n0 - 1) * (2 * auc ** 2 / (1 + auc) - auc ** 2)) / (n1 * n0)) AS se FROM c),
+    v AS (SELECT l.outcome, l.marker, sign * v AS s, count(*) FILTER (y) AS o, count(*) FILTER (NOT y) AS z FROM l JOIN c ON l.outcome = c.outcome AND l.marker = c.marker GROUP BY ALL),
+    t AS (SELECT outcome, marker, s, sum(o) OVER w / sum(o) OVER (PARTITION BY outcome, marker) AS tpr, sum(z) OVER w / sum(z) OVER (PARTITION BY outcome, marker) AS fpr FROM v WINDOW w AS (PARTITION BY outcome, marker ORDER BY s DESC)),
+    best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY outcome, marker ORDER BY round(tpr - fpr, 12) DESC, s DESC) = 1)
+    SELECT e.outcome, e.marker, 'yes' AS event, n1, n0, round(auc, 8) AS auc, CASE WHEN sign = 1 THEN 'higher' ELSE 'lower' END AS direction, round(greatest(0, auc - 1.96 * se), 8) AS ci_low, round(least(1, auc + 1.96 * se), 8) AS ci_high,
+        round(best.s * sign, 8) AS cutoff, round(tpr, 8) AS sensitivity, round(1 - fpr, 8) AS specificity
+    FROM e JOIN best ON e.outcome = best.outcome AND e.marker = best.marker""")
+def roc_outcomes(spark, sf_dir):
+    found = regress.roc_all(_outcomes(spark, sf_dir), ["n_chars", "noise"], ["quality", "toxic"])
+    return rounded(found.select("outcome", "marker", "event", "n1", "n0", "auc", "direction", "ci_low", "ci_high", "cutoff", "sensitivity", "specificity"), 8)
+
+
+def _differences() -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE) AS v FROM lineitem" for i, a in enumerate(LINE) for b in LINE[i + 1 :])
+
+
+@query(f"""
+    WITH d AS ({_differences()}),
+    m AS (SELECT a, b, count(*) AS n, avg(v) AS difference, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS median_difference FROM d GROUP BY a, b),
+    r AS (SELECT a, b, v, rank() OVER w + (count(*) OVER (PARTITION BY a, b, abs(v)) - 1) / 2.0 AS r FROM d WHERE v <> 0 WINDOW w AS (PARTITION BY a, b ORDER BY abs(v))),
+    w AS (SELECT a, b, least(coalesce(sum(r) FILTER (v > 0), 0), coalesce(sum(r) FILTER (v < 0), 0)) AS w FROM r GROUP BY a, b)
+    SELECT m.a, m.b, n, round(difference, 6) AS difference, round(sd, 6) AS sd, round(median_difference, 6) AS median_difference, round(difference / (sd / sqrt(n)), 4) AS t,
+        round(w, 1) AS w, round(difference / sd, 7) AS d_z, 'wilcoxon' AS recommended
+    FROM m JOIN w ON m.a = w.a AND m.b = w.b""")
+def paired_tests(spark, sf_dir):
+    """No difference of two columns of lines is normal, so signed ranks are recommended for all."""
+    found = paired.paired_tests(table(spark, sf_dir, "lineitem"), LINE)
+    return rounded(found.select("a", "b", "n", "difference", "sd", "median_difference", "t", "w", "d_z", "recommended"), 6, t=4, w=1, d_z=7)
+
+
+@query()
+def findings_of_all_families(spark, sf_dir):
+    """What stays significant of correlations, groups, categories, pairs, outcomes, curves and interactions; each family has queries with SQL of its own."""
+    lines, outcomes = table(spark, sf_dir, "lineitem"), _outcomes(spark, sf_dir).withColumn("kilo_chars", F.col("n_chars") / 1000)
+    hidden = curves.hidden_formulas(table(spark, sf_dir, "part").withColumn("bent", (F.col("p_size") - 20) ** 2), [*PARTS, "bent"]).where("hidden")
+    moderated = regress.interactions_all(lines, LINE, ["l_linestatus"]).withColumn("x_z", F.concat_ws(" × ", "x", "z"))
+    found = [
+        report.as_findings(correlate.with_p(correlate.pearson_pairs(lines, LINE)), "correlation", "a", "b", "r"),
+        report.as_findings(groups.anova_p(groups.anova(groups.group_moments(_line_groups(spark, sf_dir)))), "group", "number", "category", "eta2"),
+        report.as_findings(cube.association_pairs(lines, ["l_returnflag", "l_linestatus", "l_linenumber"]), "association", "a", "b", "cramer_v"),
+        report.as_findings(paired.paired_tests(lines, LINE), "paired", "a", "b", "d_z"),
+        report.as_findings(regress.logistic_all(outcomes, ["kilo_chars", "noise"], ["quality", "toxic"]), "logistic", "outcome", "predictor", "odds_ratio"),
+        report.as_findings(hidden, "hidden formula", "y", "x", "adj_r2"),
+        report.as_findings(moderated, "interaction", "y", "x_z", "b"),
+    ]
+    return rounded(report.significant_findings(found), 8)
+
+
+@query()
+def skipped_of_all_families(spark, sf_dir):
+    few = table(spark, sf_dir, "region").select("r_regionkey", F.lit(1.0).alias("flat"), F.col("r_regionkey").cast("double").alias("key"), F.when(F.col("r_regionkey") < 2, "low").otherwise("high").alias("half"), F.lit("same").alias("constant"))
+    return report.skipped_tests({
+        "association": (cube.association_pairs(few, ["half", "constant"]), ["a", "b"]), "paired": (paired.paired_tests(few.where("r_regionkey < 3"), ["flat", "key"]), ["a", "b"]),
+        "logistic": (regress.logistic_all(few, ["key"], ["half"]), ["outcome"]), "roc": (regress.roc_all(few, ["key", "flat"], ["half"]), ["outcome", "marker"]),
+    })
