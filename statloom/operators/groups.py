@@ -135,7 +135,7 @@ def pairwise_mann_whitney(long: DataFrame) -> DataFrame:
     )
     cells = long.groupBy(*keys, "grp", "value").agg(F.count("*").alias("m"))
     members = pairs.select(*keys, "a", "b", F.explode(F.array("a", "b")).alias("grp"))
-    dealt = cells.join(F.broadcast(members), [*keys, "grp"])  # a row per pair of groups and side
+    dealt = cells.join(members, [*keys, "grp"])  # members have a row per pair of groups and side
     own = [*keys, "a", "b"]
     ranks = mid_ranks(dealt, own, "value", weight="m")
     ties = ranks.groupBy(*own).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))

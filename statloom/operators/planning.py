@@ -11,42 +11,96 @@ MOST_TESTS, LEAST_PAIRS, LEAST_CELLS, MOST_LEVELS, PREDICTORS = 40, 5, 10, 10, 5
 FAMILIES = ["group", "correlation", "association", "regression"]
 
 
-def plan_tests(kinds: DataFrame, groups: DataFrame, normal: DataFrame, tables: DataFrame, most: int = MOST_TESTS) -> DataFrame:
-    """family, dv, iv, test, extra: the first ``most`` tests by family and names, from tables with a row per variable or pair.
+def plan_tests(kinds: DataFrame, groups: DataFrame, pairs: DataFrame, tables: DataFrame, most: int = MOST_TESTS) -> DataFrame:
+    """family, dv, iv, test, extra, rationale, number, candidates: the first ``most`` tests by family and the places of their columns, out of ``candidates``.
 
-    ``kinds`` (variable, kind, role), ``groups`` (number, category, k, normal, levene_p), ``normal`` (variable, normal) and
-    ``tables`` (a, b, n, n_rows, n_columns, least_expected). Variables with the role exclude take no part; those marked dv or iv stay on their side.
+    Inputs have a row per variable or pair: ``kinds`` (variable, kind, role, and place, else variables go by name), ``groups`` (number, category, k, normal, levene_p), ``pairs``
+    (a, b, n, a_normal, b_normal, on the rows that know both) and ``tables`` (a, b, n, n_rows, n_columns, least_expected). Variables with the role exclude take no
+    part; a role dv asks for a regression. Correlations take five rows, tables ten and two to ten levels.
     """
-    active = kinds.where("role <> 'exclude'")
+    place = F.col("place") if "place" in kinds.columns else F.col("variable")
+    active = kinds.where("role <> 'exclude'").select("variable", "kind", "role", place.alias("place"))
     measured = active.where(F.col("kind").isin("continuous", "ordinal"))
     levels = active.where(F.col("kind").isin("binary", "nominal"))
-    side = lambda df, name: df.select(F.col("variable").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("role").alias(f"{name}_role"))
+    side = lambda df, name: df.select(F.col("variable").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("place").alias(f"{name}_at"))
+    other = {"a": "b", "b": "a", "a_normal": "b_normal", "b_normal": "a_normal"}
+    either = lambda df: df.unionByName(df.select(*[F.col(other.get(c, c)).alias(c) for c in df.columns]))
+    quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
 
-    g = side(measured, "dv").where("dv_role <> 'iv'").crossJoin(F.broadcast(side(levels, "iv").where("iv_role <> 'dv'")))  # both sides have a row per variable
+    g = side(measured, "dv").crossJoin(F.broadcast(side(levels, "iv")))  # both sides have a row per variable
     g = g.join(groups.select(F.col("number").alias("dv"), F.col("category").alias("iv"), "k", F.col("normal").alias("_normal"), "levene_p"), ["dv", "iv"]).where("k >= 2")
     test = recommend(F.col("k"), F.col("_normal") & (F.col("dv_kind") == "continuous"), F.col("levene_p") > 0.05, welch_for_many=False)
-    group = g.select(F.lit("group").alias("family"), "dv", "iv", test.alias("test"))
+    cause = (
+        F.when(F.col("dv_kind") == "ordinal", " is ordinal").when(~F.col("_normal"), " isn't normal in at least one group")
+        .when(F.col("levene_p") > 0.05, " is normal in every group, with equal variances").otherwise(" is normal in every group, but the variances differ")
+    )
+    group = g.select(F.lit("group").alias("family"), "dv", "iv", test.alias("test"), F.concat(quoted("dv"), cause).alias("rationale"), F.col("iv_at").alias("_one"), F.col("dv_at").alias("_two"))
 
-    pair = lambda df: side(df, "dv").join(side(df, "iv"), F.col("dv") < F.col("iv"))
-    shape = lambda name: normal.select(F.col("variable").alias(name), F.col("normal").alias(f"{name}_normal"))
-    c = pair(measured).join(shape("dv"), "dv", "left").join(shape("iv"), "iv", "left")
-    both = (F.col("dv_kind") == "continuous") & (F.col("iv_kind") == "continuous") & F.coalesce(F.col("dv_normal") & F.col("iv_normal"), F.lit(False))
-    correlation = c.select(F.lit("correlation").alias("family"), "dv", "iv", F.when(both, "pearson").otherwise("spearman").alias("test"))
+    pair = lambda df: side(df, "dv").join(side(df, "iv"), (F.col("dv_at") < F.col("iv_at")) | (F.col("dv_at") == F.col("iv_at")) & (F.col("dv") < F.col("iv")))
+    c = pair(measured).join(either(pairs).select(F.col("a").alias("dv"), F.col("b").alias("iv"), "n", "a_normal", "b_normal"), ["dv", "iv"]).where(F.col("n") >= LEAST_PAIRS)
+    scale = (F.col("dv_kind") == "continuous") & (F.col("iv_kind") == "continuous")
+    both = scale & F.coalesce(F.col("a_normal") & F.col("b_normal"), F.lit(False))
+    cause = F.when(both, "both are normal on their common rows").when(scale, "not both are normal on their common rows").otherwise("at least one is ordinal")
+    correlation = c.select(F.lit("correlation").alias("family"), "dv", "iv", F.when(both, "pearson").otherwise("spearman").alias("test"), cause.alias("rationale"), F.col("dv_at").alias("_one"), F.col("iv_at").alias("_two"))
 
-    t = pair(levels).join(tables.select(F.col("a").alias("dv"), F.col("b").alias("iv"), "n", "n_rows", "n_columns", "least_expected"), ["dv", "iv"])
+    t = pair(levels).join(either(tables).select(F.col("a").alias("dv"), F.col("b").alias("iv"), "n", "n_rows", "n_columns", "least_expected"), ["dv", "iv"])
     t = t.where((F.col("n") >= LEAST_CELLS) & F.col("n_rows").between(2, MOST_LEVELS) & F.col("n_columns").between(2, MOST_LEVELS))
     exact = (F.col("n_rows") == 2) & (F.col("n_columns") == 2) & (F.col("least_expected") < 5)
-    association = t.select(F.lit("association").alias("family"), "dv", "iv", F.when(exact, "fisher").otherwise("chi_square").alias("test"))
+    cause = F.when(exact, "an expected count of the 2x2 table is below 5").when(F.col("least_expected") < 5, "some expected counts are below 5: read with care").otherwise("all expected counts are 5 or more")
+    association = t.select(F.lit("association").alias("family"), "dv", "iv", F.when(exact, "fisher").otherwise("chi_square").alias("test"), cause.alias("rationale"), F.col("dv_at").alias("_one"), F.col("iv_at").alias("_two"))
 
-    marked = active.where("kind = 'continuous' and role = 'dv'").select(F.col("variable").alias("dv"))
-    names = active.where("kind = 'continuous'").agg(F.array_sort(F.collect_list("variable")).alias("_all"))  # a name per column
-    extra = F.slice(F.filter("_all", lambda v: v != F.col("dv")), 1, PREDICTORS)
-    regression = marked.crossJoin(F.broadcast(names)).select(F.lit("regression").alias("family"), "dv", F.lit(None).cast("string").alias("iv"), F.lit("linear_regression").alias("test"), extra.alias("extra")).where(F.size("extra") >= 2)
+    marked = active.where("kind = 'continuous' and role = 'dv'").select(F.col("variable").alias("dv"), F.col("place").alias("_one"))
+    names = active.where("kind = 'continuous'").agg(F.array_sort(F.collect_list(F.struct("place", "variable"))).alias("_all"))  # a name per column
+    extra = F.slice(F.filter(F.transform("_all", lambda v: v["variable"]), lambda v: v != F.col("dv")), 1, PREDICTORS)
+    regression = marked.crossJoin(F.broadcast(names)).select(
+        F.lit("regression").alias("family"), "dv", F.lit(None).cast("string").alias("iv"), F.lit("linear_regression").alias("test"), extra.alias("extra"),
+        F.concat(quoted("dv"), F.lit(" is marked as dependent")).alias("rationale"), "_one", F.col("_one").alias("_two"),
+    ).where(F.size("extra") >= 2)
 
     plans = group.unionByName(correlation).unionByName(association).unionByName(regression, allowMissingColumns=True)
-    place = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family"))
-    numbered = plans.withColumn("number", F.row_number().over(Window.orderBy(place, "dv", "iv")))  # a row per candidate test
-    return numbered.where(F.col("number") <= most)
+    family = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family"))
+    order = Window.orderBy(family, "_one", "_two", "dv", "iv")  # a row per candidate test
+    numbered = plans.withColumns({"number": F.row_number().over(order), "candidates": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    return numbered.where(F.col("number") <= most).drop("_one", "_two")
+
+
+def plan_notes(plans: DataFrame) -> DataFrame:
+    """note: that only the first tests of all possible ones are run, or that there is none."""
+    n = plans.agg(F.count("*").alias("n"), F.max("candidates").alias("all"))
+    cut = F.when(F.col("all") > F.col("n"), F.format_string("the first %d of %d possible tests are run", F.col("n"), F.col("all")))
+    return n.select(F.when(F.col("n") == 0, "no pair of variables suits a test").otherwise(cut).alias("note")).where("note is not null")
+
+
+def plan_table(df: DataFrame, kinds: DataFrame, most: int = MOST_TESTS) -> DataFrame:
+    """The plan of a table whose variables have kinds and roles: normality and spread by group, normality on the common rows of pairs, and cross tables are looked up for all at once.
+
+    Names of columns reach the driver.
+    """
+    from . import cube
+    from .describe import as_number
+    from .groups import LEAST_GROUP, levene, p_f, pairs_long
+    from .normality import balanced_normality
+
+    spark, at = df.sparkSession, {c: i for i, c in enumerate(df.columns)}
+    own = [r for r in kinds.where("role <> 'exclude'").collect() if r["variable"] in at]  # a row per column
+    numbers, levels = ([r["variable"] for r in own if r["kind"] in of] for of in (("continuous", "ordinal"), ("binary", "nominal")))
+    placed = kinds.drop("place").join(spark.createDataFrame(list(at.items()), "variable string, place int"), "variable")
+    checks = spark.createDataFrame([], "number string, category string, k long, normal boolean, levene_p double")
+    if numbers and levels:
+        long = pairs_long(df, levels, numbers)
+        spread = levene(long).select("number", "category", "k", p_f(F.col("levene"), F.col("df1"), F.col("df2")).alias("levene_p"))
+        each = balanced_normality(long, ["category", "number", "grp"]).where(F.col("n") >= LEAST_GROUP)
+        checks = spread.join(each.groupBy("number", "category").agg(F.every("normal").alias("normal")), ["number", "category"])
+    pairs = spark.createDataFrame([], "a string, b string, n long, a_normal boolean, b_normal boolean")
+    if len(numbers) > 1:
+        both = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
+        rows = df.select([as_number(df, c).alias(c) for c in numbers]).select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in both])).alias("p")).select("p.*")
+        known = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+        shape = balanced_normality(known.unpivot(["a", "b"], ["x", "y"], "side", "value"), ["a", "b", "side"])
+        one = lambda s: F.max(F.when(F.col("side") == s, F.col("normal")))
+        pairs = shape.groupBy("a", "b").agg(F.max("n").alias("n"), one("x").alias("a_normal"), one("y").alias("b_normal"))
+    tables = cube.association_pairs(df, levels).where("reason is null") if len(levels) > 1 else spark.createDataFrame([], "a string, b string, n long, n_rows long, n_columns long, least_expected double")
+    return plan_tests(placed, checks, pairs, tables.select("a", "b", "n", "n_rows", "n_columns", "least_expected"), most)
 
 
 def plan_issues(plans: DataFrame, results: DataFrame) -> DataFrame:

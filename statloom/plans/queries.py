@@ -534,25 +534,17 @@ def flattened_works(spark, sf_dir):
     return bibliography.flatten_works(d.select("doc_id", raw.alias("raw")), "raw").select("doc_id", F.col("authors")[0].alias("author"), "doi", "title", "year", "pages", "abstract")
 
 
-def _planned(df: DataFrame, numbers: list[str], categories: list[str], target: str) -> DataFrame:
-    """The plan of one table, from the checks on its own groups, columns and cross tables."""
-    types = kinds.infer_kinds(df).withColumn("role", F.when(F.col("variable") == target, "dv").otherwise("auto"))
-    long = groups.pairs_long(df, categories, numbers)
-    lev = groups.levene(long).select("number", "category", "k", groups.p_f(F.col("levene"), F.col("df1"), F.col("df2")).alias("levene_p"))
-    each = normality.balanced_normality(long, ["category", "number", "grp"]).where(F.col("n") >= groups.LEAST_GROUP)
-    checks = lev.join(each.groupBy("number", "category").agg(F.every("normal").alias("normal")), ["number", "category"])
-    normal = normality.balanced_normality(describe.long_form(df, numbers), ["variable"]).select("variable", "normal")
-    pairs = [(a, b) for a in sorted(categories) for b in sorted(categories) if a < b]
-    parts = [contingency.least_expected(contingency.crosstab(df, a, b)).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "n_rows", "n_columns", "least_expected") for a, b in pairs]
-    return planning.plan_tests(types, checks, normal, reduce(DataFrame.unionByName, parts))
+def _planned(df: DataFrame, target: str) -> DataFrame:
+    """The plan of one table, with one variable marked as dependent."""
+    return planning.plan_table(df, kinds.infer_kinds(df).withColumn("role", F.when(F.col("variable") == target, "dv").otherwise("auto")))
 
 
 @query()
 def planned_tests(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_type", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")  # its levels qualify for an association
-    plans = _planned(part, PARTS, ["p_type", "p_brand"], "p_retailprice")
-    return plans.unionByName(_planned(orders, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], "o_totalprice"))
+    plans = _planned(part, "p_retailprice")
+    return plans.unionByName(_planned(orders, "o_totalprice"))
 
 
 @query()

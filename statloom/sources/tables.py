@@ -12,14 +12,27 @@ UNUSED_1254 = "[\\x{81}\\x{8d}-\\x{90}\\x{9d}\\x{9e}]"
 SEPARATORS = [",", ";", "\t", "|"]
 
 
+#: A quoted part of a line, doubled quotes included; what is quoted doesn't separate.
+QUOTED = '"(?:[^"]|"")*"'
+
+
 def _sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The separator from the first line, the encoding from all lines: one distributed aggregate over the bytes."""
-    lines = spark.read.text(path)
-    first = lines.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).head()
+    """Separator and encoding, both from all lines by one distributed aggregate.
+
+    The separator is the one that divides every line alike: of those that occur outside quotes on every line or so, that whose number varies least from line to line
+    compared with its mean; of equals the more frequent. A file where none occurs has one column.
+    """
     raw = F.col("value").cast("binary")
-    no_utf8, no_1254 = lines.agg(F.bool_or(~F.is_valid_utf8("value")), F.bool_or(F.decode(raw, "ISO-8859-1").rlike(UNUSED_1254))).first()
-    encoding = ENCODINGS[0] if not no_utf8 else ENCODINGS[2] if no_1254 else ENCODINGS[1]
-    return max(SEPARATORS, key=(first[0] if first else "").count), encoding
+    bare = F.regexp_replace(F.decode(raw, "ISO-8859-1"), QUOTED, "")
+    lines = spark.read.text(path).select("value", raw.alias("raw"), bare.alias("bare")).where(F.length("value") > 0)
+    number = lambda s: F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(s), F.lit("")))
+    found = lines.agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("no_utf8"), F.bool_or(F.decode("raw", "ISO-8859-1").rlike(UNUSED_1254)).alias("no_1254"),
+        *[f(number(s)).alias(f"{name}{i}") for i, s in enumerate(SEPARATORS) for name, f in (("m", F.avg), ("sd", F.stddev_pop))],
+    ).first()
+    encoding = ENCODINGS[0] if not found["no_utf8"] else ENCODINGS[2] if found["no_1254"] else ENCODINGS[1]
+    steady = [(found[f"sd{i}"] / found[f"m{i}"], -found[f"m{i}"], i) for i in range(len(SEPARATORS)) if (found[f"m{i}"] or 0) >= 0.5]
+    return SEPARATORS[min(steady)[2]] if steady else SEPARATORS[0], encoding
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +57,9 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_labels(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace codes by labels (variable, value, label): by the code as it is, then as an integer; others stay."""
+    """Replace codes by labels (variable, value, label): by the code as it is, then as an integer; others stay. Of a code that is listed twice the first label in order counts."""
     for c in columns:
-        own = F.broadcast(labels.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("label").alias("_l")))  # a codebook
+        own = labels.where(F.col("variable") == c).groupBy(F.col("value").alias("_v")).agg(F.min("label").alias("_l"))
         code = F.col(c).cast("string")
         whole = F.expr(f"cast(try_cast(`{c}` as bigint) as string)")
         one = df.join(own, code == F.col("_v"), "left").withColumnRenamed("_l", "_l1").drop("_v")
@@ -54,9 +67,11 @@ def decode_labels(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataF
     return df
 
 
-def save_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
-    """One directory per result table; an empty table becomes one row that says so."""
-    for name, df in tables.items():
+def save_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet", variables: DataFrame | None = None, skipped: DataFrame | None = None) -> None:
+    """One directory per result table; an empty table becomes one row that says so. ``variables`` (with the reason of skipped columns) and ``skipped`` tests
+    (family, test, reason) are tables of their own."""
+    more = {"variables": variables, "skipped_tests": skipped}
+    for name, df in (tables | {k: v for k, v in more.items() if v is not None}).items():
         out = df if not df.isEmpty() else df.sparkSession.createDataFrame([("no rows",)], "note string")
         out.write.mode("overwrite").format(form).save(f"{path.rstrip('/')}/{name}")
 
@@ -76,5 +91,5 @@ def named(results: DataFrame, variables: DataFrame, columns: list[str]) -> DataF
     """results with the display name of each of the columns that hold a variable: its label, or else its name. A row per variable."""
     known = variables.where("label <> ''").select(F.col("variable").alias("_v"), F.col("label").alias("_l")).dropDuplicates(["_v"])
     for c in columns:
-        results = results.join(F.broadcast(known), F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce("_l", c)).drop("_v", "_l")
+        results = results.join(known, F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce("_l", c)).drop("_v", "_l")
     return results

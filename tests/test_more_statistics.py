@@ -103,17 +103,24 @@ def test_planted_outlier_is_the_first_anomaly(spark):
 
 
 def test_plan_follows_the_rules(spark):
-    types = spark.createDataFrame([("y", "continuous", "dv"), ("x", "continuous", "auto"), ("z", "continuous", "auto"), ("g", "nominal", "auto"), ("h", "binary", "auto"), ("q", "continuous", "exclude")], "variable string, kind string, role string")
+    types = spark.createDataFrame([("y", "continuous", "dv"), ("x", "continuous", "auto"), ("z", "continuous", "auto"), ("g", "nominal", "auto"), ("h", "binary", "auto"), ("q", "continuous", "exclude"), ("few", "ordinal", "auto")], "variable string, kind string, role string")
     checks = spark.createDataFrame([("y", "g", 3, True, 0.01), ("y", "h", 2, True, 0.01), ("x", "h", 2, False, 0.5)], "number string, category string, k long, normal boolean, levene_p double")
-    normal = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "variable string, normal boolean")
+    pairs = spark.createDataFrame([("x", "y", 9, True, True), ("z", "x", 9, False, True), ("y", "z", 5, True, False), ("x", "few", 4, True, True)], "a string, b string, n long, a_normal boolean, b_normal boolean")
     tables = spark.createDataFrame([("g", "h", 50, 3, 2, 6.0)], "a string, b string, n long, n_rows long, n_columns long, least_expected double")
-    plan = planning.plan_tests(types, checks, normal, tables)
+    plan = planning.plan_tests(types, checks, pairs, tables)
     got = [(r["family"], r["dv"], r["iv"], r["test"]) for r in plan.orderBy("number").collect()]
     assert got == [
-        ("group", "x", "h", "mann_whitney"), ("group", "y", "g", "kruskal_wallis"), ("group", "y", "h", "welch_t"),
+        ("group", "y", "g", "kruskal_wallis"), ("group", "x", "h", "mann_whitney"), ("group", "y", "h", "welch_t"),
         ("correlation", "x", "y", "pearson"), ("correlation", "x", "z", "spearman"), ("correlation", "y", "z", "spearman"),
         ("association", "g", "h", "chi_square"), ("regression", "y", None, "linear_regression"),
     ]
+    assert all(r["rationale"] for r in plan.collect()) and planning.plan_notes(plan).count() == 0
+    cut = planning.plan_tests(types, checks, pairs, tables, most=3)
+    assert [r["note"] for r in planning.plan_notes(cut).collect()] == ["the first 3 of 8 possible tests are run"]
+    # places, not names, order the tests; a measured variable may be marked iv and a category dv
+    marked = types.withColumn("role", types["role"].substr(1, 0)).withColumn("place", (types["variable"] != "h").cast("int"))
+    first = planning.plan_tests(marked.replace("", "iv", ["role"]), checks, pairs, tables).orderBy("number").first()
+    assert (first["dv"], first["iv"]) == ("x", "h")
     none = spark.createDataFrame([], "p double")
     assert [r["severity"] for r in planning.plan_issues(plan, none).collect()] == ["block"]
 

@@ -22,9 +22,10 @@ def rows():
 
 def test_groups_decide_and_rare_levels_ask_for_fisher(spark, rows):
     df = spark.createDataFrame(rows, "apart double, hidden double, g string, h string")
-    plan = {(r["dv"], r["iv"]): r["test"] for r in queries._planned(df, ["apart", "hidden"], ["g", "h"], "apart").collect()}
+    plan = {(r["dv"], r["iv"]): r["test"] for r in queries._planned(df, "apart").collect()}
     assert plan["apart", "g"] in ("student_t", "welch_t")  # pooled, the column has two peaks
     assert plan["hidden", "g"] == "mann_whitney"  # one skewed group is enough
+    assert plan["apart", "hidden"] == "spearman"  # not both are normal on their common rows
     assert plan["g", "h"] == "fisher"  # six of 600 rows have the level y, so three are expected
 
 
@@ -36,5 +37,5 @@ def test_least_expected_is_the_minimum(spark, rows):
 
 def test_the_registered_plan_has_an_association(spark):
     plan = queries.QUERIES["planned_tests"](spark, "/root/testdata/sf0.001").collect()
-    assert ("o_orderpriority", "o_orderstatus") in {(r["dv"], r["iv"]) for r in plan if r["family"] == "association"}
+    assert ("o_orderstatus", "o_orderpriority") in {(r["dv"], r["iv"]) for r in plan if r["family"] == "association"}
     assert {"group", "correlation"} <= {r["family"] for r in plan}
