@@ -44,9 +44,18 @@ def relevance(query_terms: Column, title: Column, cited_by: Column, year: Column
     return 2 * F.coalesce(overlap, F.lit(0.0)) + F.log1p(F.coalesce(cited_by, F.lit(0))) / 10 + age + F.when(known, 0.5).otherwise(0.0)
 
 
-def top_per_target(scored: DataFrame, target: str, k: int) -> DataFrame:
+#: Fixed size of the pool of records for the introduction.
+INTRODUCTION, INTRODUCTION_POOL = "INTRO", 8
+
+
+def top_per_target(scored: DataFrame, target: str, k: int, pools: dict[str, int] | None = None) -> DataFrame:
+    """The first records of each target by falling score, then key, with their rank: ``k`` of them, or as many as ``pools`` says for a target (eight for the introduction)."""
+    pools = {INTRODUCTION: INTRODUCTION_POOL} if pools is None else pools
+    most = F.lit(k)
+    for name, size in pools.items():
+        most = F.when(F.col(target) == name, F.lit(size)).otherwise(most)
     w = Window.partitionBy(target).orderBy(F.col("score").desc(), "key")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def markers(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -82,3 +82,10 @@ def test_merged_records_keep_the_first_known_pmid_and_abstract(spark):
     rows = [(1, "10.1/A", "t", "", 3, ["F1"], 1.0, None), (2, "10.1/a", "t", "later", 5, ["F2"], 2.0, "77"), (3, "10.1/a", "t", "last", 1, ["F1"], 0.0, "88")]
     r = records.dedup_records(spark.createDataFrame(rows, "seq long, doi string, title string, abstract string, cited_by long, findings array<string>, score double, pmid string")).first()
     assert (r["seq"], r["abstract"], r["pmid"], r["cited_by"], r["findings"]) == (1, "later", "77", 5, ["F1", "F2"])
+
+
+def test_the_introduction_has_a_pool_of_its_own(spark):
+    scored = spark.createDataFrame([(target, f"k{i:02}", float(i % 5)) for target in ("F1", "INTRO") for i in range(20)], "target string, key string, score double")
+    found = records.top_per_target(scored, "target", 3).groupBy("target").count().collect()
+    assert {r["target"]: r["count"] for r in found} == {"F1": 3, "INTRO": 8}
+    assert [r["key"] for r in records.top_per_target(scored, "target", 3).where("target = 'F1'").orderBy("rank").collect()] == ["k04", "k09", "k14"]
