@@ -169,7 +169,7 @@ ORACLE_SQL: dict[str, str] = {
             JOIN moves m ON m.later = b.state AND (m.initial IS NULL OR m.initial = left(f.role, 1)) AND (m.edit = 'D' OR f.fault NOT IN ('b', 'd'))
             GROUP BY b.conv_id, b.k, m.state)
         SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
-            coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, sha256(CASE WHEN s.lines IS NULL OR s.lines = '' THEN '' ELSE s.lines[:-2] END) AS repaired_sha256
+            coalesce(s.cost, 0)::BIGINT AS cost, coalesce(s.audit, '') AS audit, sha256(CASE WHEN s.lines IS NULL OR s.lines = '' THEN '' ELSE s.lines[:-2] END) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
         LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = n.n AND b.state = 0""",
 }
