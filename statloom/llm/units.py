@@ -16,14 +16,14 @@ from .textkernel import LOWER, SPACE, Words, byte_hashes, ragged
 #: Bytes of text whose units are looked up together: each distinct one costs a look-up a chunk.
 UNIT_BYTES = 1 << 20
 #: Distinct units that a worker remembers (some 150 bytes each); beyond it starts afresh, so memory stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class UnitCache:
     """Ids of units in one growing array, found by the 64-bit hash of the unit."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED):
+        self.encode, self.most = encode, most
         self.clear()
         CACHES.add(self)
 
@@ -45,7 +45,7 @@ class UnitCache:
         distinct, back = met.dictionary.to_numpy(), met.indices.to_numpy()
         where = np.zeros(len(distinct), np.int64)
         where[back[::-1]] = np.arange(len(back) - 1, -1, -1)  # the first of equals, written last
-        if len(self.slots) + len(distinct) > REMEMBERED:
+        if len(self.slots) + len(distinct) > self.most:
             self.clear()
         keys = distinct.tolist()
         get = self.slots.get
@@ -199,7 +199,7 @@ def byte_bpe(path: str) -> UnitCache:
                 coded[i] = x.ids
         return coded
 
-    return UnitCache(encode)
+    return UnitCache(encode, 400_000)
 
 
 @lru_cache(maxsize=1)
