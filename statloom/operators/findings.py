@@ -51,12 +51,15 @@ def correlation_results(df: DataFrame, numbers: list[str]) -> DataFrame:
 
 
 def association_results(df: DataFrame, categories: list[str]) -> DataFrame | None:
-    """Chi-square and Fisher of every pair of categories, from one cube of counts."""
+    """Chi-square and Fisher of every pair of categories, from one cube of counts; both orders of a pair are there, as a plan names them by place."""
     if len(categories) < 2:
         return None
     t = cube.association_pairs(df, categories)
-    chi = _found(t.where("statistic is not null"), "association", "chi_square", "a", "b", "statistic", [F.col("df")], "p", "V", "cramer_v")
-    return chi.unionByName(_found(t.where("fisher_p is not null"), "association", "fisher", "a", "b", "odds_ratio", [], "fisher_p", "", None))
+    parts = []
+    for a, b in (("a", "b"), ("b", "a")):  # all figures are the same for the transposed table
+        parts.append(_found(t.where("statistic is not null"), "association", "chi_square", a, b, "statistic", [F.col("df")], "p", "V", "cramer_v"))
+        parts.append(_found(t.where("fisher_p is not null"), "association", "fisher", a, b, "odds_ratio", [], "fisher_p", "", None))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def regression_results(df: DataFrame, dv: str, predictors: list[str]) -> DataFrame:

@@ -362,7 +362,7 @@ def plan_findings(spark, sf_dir):
 def planned_findings(spark, sf_dir):
     """The whole way of one table: kinds, checks, plan, tests, corrections."""
     orders = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
-    plan = base._planned(orders, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], "o_totalprice")
+    plan = base._planned(orders, "o_totalprice")
     return rounded(findings.run_plan(orders, plan), 8)
 
 
