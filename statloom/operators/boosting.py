@@ -2,8 +2,8 @@
 
 A table of a few blocks is grown without jobs a depth: the blocks are broadcast, and each task grows the trees of one target and fold, by the same
 steps. Its size is checked first; beyond it, and with equal results, the following holds. Rows are coded once (numbers by quantile bins, categories by the place of their level), numbered in the order of a hash of their key
-and packed into blocks of ``BLOCK`` rows. One job a depth adds up gradients by (tree, node, feature, bin) over all blocks; what meets at the driver has a fixed
-size, whatever the rows. Every ``REFRESH`` rounds the blocks are rewritten with the margins so far, so tasks evaluate few trees again.
+and packed into blocks of ``BLOCK`` rows. One job a depth adds up gradients by (tree, node, feature, bin) over all blocks and searches the sums by groups of
+trees, so that the driver receives the splits alone, whatever the rows. Every ``REFRESH`` rounds the blocks are rewritten with the margins so far, so tasks evaluate few trees again.
 
 Folds are exact: within each class of a target, rows in the order of the hash are dealt in turn, so a class's counts over the folds differ by
 one at most. The number of rows of a class before a block comes from the blocks' own counts.
@@ -29,10 +29,10 @@ from .describe import clean_numbers
 BINS, BLOCK, DEPTH, RATE, LEAST_LEAF, REFRESH = 48, 8192, 3, 0.1, 20, 10
 #: Levels of a category at most; columns with more are no categories.
 MOST_LEVELS = 255
-#: Numbers that the histograms of one job may have, and what tasks may send to the driver at once; more is added up by a shuffle.
+#: Numbers that the histograms of one job may have, and bytes of them that may meet in one task.
 AT_ONCE, DIRECT_BYTES = 4_000_000, 64 << 20
-#: Blocks that are broadcast at most, if they are no larger than this; larger tables grow by one job a depth.
-FEW_BLOCKS, FEW_BYTES = 12, 16 << 20
+#: Blocks that are broadcast at most, if neither they nor the margins, gradients and cells of one task are larger than this; larger tables grow by one job a depth.
+FEW_BLOCKS, FEW_BYTES, TASK_BYTES = 48, 16 << 20, 1 << 30
 SEED = 42
 
 
@@ -169,8 +169,8 @@ def packed(df: DataFrame, key: str, coding: Coding, targets: list[Target], folds
     return work_table(blocks.join(before, "block").select(*schema.names[:5], "before").mapInArrow(fold, done), "folded")
 
 
-def _added(blocks: DataFrame, work: Callable[[dict], np.ndarray], size: int, direct: bool = False) -> np.ndarray:
-    """The sum of work(block) over all blocks, of a fixed size. ``direct``: what tasks found is little enough to be added up at the driver."""
+def _added(blocks: DataFrame, work: Callable[[dict], np.ndarray], size: int) -> np.ndarray:
+    """The sum of work(block) over all blocks, of a small fixed size."""
 
     def run(batches):
         total = np.zeros(size)
@@ -182,10 +182,7 @@ def _added(blocks: DataFrame, work: Callable[[dict], np.ndarray], size: int, dir
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
 
-    parts = blocks.mapInArrow(run, "i long, v double")
-    if not direct:
-        parts = parts.groupBy("i").agg(F.sum("v").alias("v"))
-    got = parts.toArrow()
+    got = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     return np.bincount(got.column("i").to_numpy(), got.column("v").to_numpy(), minlength=size) if got.num_rows else np.zeros(size)
 
 
@@ -204,15 +201,17 @@ class Forest:
         return [(i, m, k) for i, t in enumerate(self.targets) for m in range(self.models) for k in range(t.outputs)]
 
 
-def leaves(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
-    """The node of each row at a depth of one tree."""
-    node = np.zeros(codes.shape[1], np.int64)
-    row = np.arange(codes.shape[1]) if at is None else at
+def leaves(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each row at a depth of one tree: a comparison of bytes for each node that is split."""
+    node = np.zeros(codes.shape[1], np.uint8 if depth < 8 else np.int64)
     for d in range(depth):
-        here = node + (1 << d) - 1
-        f = feature[here]
-        right = (f >= 0) & (codes[np.maximum(f, 0), row] > cut[here])
-        node = 2 * node + right
+        first, right = (1 << d) - 1, np.zeros(codes.shape[1], bool)
+        for j in range(1 << d):
+            if (f := feature[first + j]) >= 0:
+                beyond = codes[f] > cut[first + j]
+                right |= beyond & (node == j) if d else beyond
+        node += node
+        node += right
     return node
 
 
@@ -260,23 +259,27 @@ def best_splits(hist: np.ndarray, least: int, barred: np.ndarray | None = None)
     return np.where(top > 1e-9, feature, -1), cut, np.where(top > 1e-9, top, 0), sides
 
 
+def splits(hist: np.ndarray, least: int, barred: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The best splits, and the sums (3, outputs, nodes) of each node."""
+    return *best_splits(hist, least, barred), hist[:, :, :, 0, :].sum(-1)
+
+
 class Growing:
     """The trees of one round for some outputs, while they grow."""
 
-    def __init__(self, outputs: int, depth: int, rate: float, least: int, barred: np.ndarray):
+    def __init__(self, outputs: int, depth: int, rate: float, features: int):
         self.feature, self.cut = np.full((outputs, (1 << depth) - 1), -1), np.zeros((outputs, (1 << depth) - 1), int)
-        self.value, self.gains = np.zeros((outputs, 1 << depth)), np.zeros(barred.shape)
-        self.depth, self.rate, self.least, self.barred = depth, rate, least, barred
+        self.value, self.gains = np.zeros((outputs, 1 << depth)), np.zeros((outputs, features))
+        self.depth, self.rate = depth, rate
 
-    def take(self, d: int, hist: np.ndarray) -> bool:
-        """Split the nodes of a depth by their histograms; whether any was."""
-        split, at, gain, sides = best_splits(hist, self.least, self.barred)
+    def take(self, d: int, split: np.ndarray, at: np.ndarray, gain: np.ndarray, sides: np.ndarray, total: np.ndarray) -> bool:
+        """Split the nodes of a depth as ``splits`` found; whether any was."""
         first, step, parted = (1 << d) - 1, 1 << (self.depth - d), split >= 0
         self.feature[:, first : first + (1 << d)], self.cut[:, first : first + (1 << d)] = split, at
         np.add.at(self.gains, (np.nonzero(parted)[0], split[parted]), gain[parted])
         newton = lambda s: np.where(s[2] > 0, -self.rate * s[0] / np.maximum(s[1], 1e-12), 0.0)
         # a side's value stands on the leftmost leaf below it; a node that isn't split has its parent's side already
-        self.value[:, ::step] = np.where(parted, newton(sides[0]), self.value[:, ::step] if d else newton(hist[:, :, :, 0, :].sum(-1)))
+        self.value[:, ::step] = np.where(parted, newton(sides[0]), self.value[:, ::step] if d else newton(total))
         self.value[:, step // 2 :: step] = np.where(parted, newton(sides[1]), 0.0)
         return bool(parted.any())
 
@@ -320,7 +323,8 @@ def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, ro
     own_column = np.array([[t.name == c for c in coding.features] for t in targets])
     barred = own_column[[i for i, _, _ in forest.outputs()]]  # a target tells nothing about itself
     size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("codes") + F.octet_length("values") + F.octet_length("folds")), F.lit(0))).first()
-    if size[0] <= few_blocks and size[1] <= FEW_BYTES:
+    held = size[0] * BLOCK * (48 * max([t.outputs for t in targets], default=1) + 32 * f)
+    if size[0] <= few_blocks and size[1] <= FEW_BYTES and held <= TASK_BYTES:
         _grow_apart(blocks, forest, barred, rounds, depth, rate, least)
         return work_table(_with_margins(blocks, forest, 0, depth), "margins"), forest
     written_rounds, blocks = 0, blocks.persist()
@@ -330,9 +334,9 @@ def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, ro
             fresh = work_table(_with_margins(blocks, forest, written_rounds, depth), "margins")
             blocks.unpersist()
             blocks, written_rounds = fresh.persist(), number
-        trees = Growing(len(base), depth, rate, least, barred)
+        trees = Growing(len(base), depth, rate, f)
         for d in range(depth):
-            if not trees.take(d, _level(blocks, forest, written_rounds, trees.done(), d, depth, f, tasks)):
+            if not trees.take(d, *_level(blocks, forest, written_rounds, trees.done(), d, depth, least, barred, tasks)):
                 break
         forest.rounds.append(trees.done())
         forest.gains += trees.gains
@@ -343,11 +347,25 @@ def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, ro
     return out, forest
 
 
-def _histogram(codes: np.ndarray, node: np.ndarray, weights: tuple, nodes: int) -> np.ndarray:
-    """Sums (3, nodes, features, bins) of g, h and rows."""
-    f = len(codes)
-    cell = (node * (f * BINS) + np.arange(f)[:, None] * BINS + codes).ravel()
-    return np.stack([np.bincount(cell, None if w is None else np.tile(w, f), minlength=nodes * f * BINS).reshape(nodes, f, BINS) for w in weights])
+def _cells(codes: np.ndarray) -> np.ndarray:
+    """The cell of each feature and row in a histogram of one node."""
+    return np.arange(len(codes))[:, None] * BINS + codes
+
+
+def _histograms(cells: np.ndarray, node: list[np.ndarray] | None, g: np.ndarray, h: np.ndarray, nodes: int) -> np.ndarray:
+    """Sums (3, outputs, nodes, features, bins) of g, h and rows (outputs, rows). Without ``node`` there is one, and all outputs have the same rows in it."""
+    f, size = len(cells), nodes * len(cells) * BINS
+    out = np.empty((3, len(g), size))
+    cell = cells.ravel()
+    if node is None:
+        out[2] = np.bincount(cell, minlength=size)
+    for k in range(len(g)):
+        if node is not None:
+            cell = (cells + node[k].astype(np.int64) * (f * BINS)).ravel()
+            out[2, k] = np.bincount(cell, minlength=size)
+        out[0, k] = np.bincount(cell, np.tile(g[k], f), minlength=size)
+        out[1, k] = np.bincount(cell, np.tile(h[k], f), minlength=size)
+    return out.reshape(3, len(g), nodes, f, BINS)
 
 
 def _grow_apart(blocks: DataFrame, forest: Forest, barred: np.ndarray, rounds: int, depth: int, rate: float, least: int) -> None:
@@ -367,18 +385,19 @@ def _grow_apart(blocks: DataFrame, forest: Forest, barred: np.ndarray, rounds: i
                 mine = [s for s, (a, b, _) in enumerate(outputs) if (a, b) == (i, m)]
                 use = np.flatnonzero((dealt[i] >= 0) & (dealt[i] != m))
                 codes, y = np.ascontiguousarray(all_codes[:, use]), values[i][use]
+                cells = _cells(codes)
                 margin = np.repeat(base[mine][:, None], len(use), 1)
                 grown, gains = [], np.zeros((len(mine), barred.shape[1]))
                 for _ in range(rounds):
-                    trees = Growing(len(mine), depth, rate, least, barred[mine])
+                    trees = Growing(len(mine), depth, rate, barred.shape[1])
                     g, h = _gradients(targets[i], y, margin)
-                    node = np.zeros((len(mine), len(use)), np.int64)
+                    node = None
                     for d in range(depth):
-                        hist = np.stack([_histogram(codes, node[k], (g[k], h[k], None), 1 << d) for k in range(len(mine))], 1)
-                        if not trees.take(d, hist):
+                        if not trees.take(d, *splits(_histograms(cells, node, g, h, 1 << d), least, barred[mine])):
                             break
-                        node = np.stack([leaves(codes, trees.feature[k], trees.cut[k], d + 1) for k in range(len(mine))])
-                    margin = margin + np.stack([trees.value[k][leaves(codes, trees.feature[k], trees.cut[k], depth)] for k in range(len(mine))])
+                        node = [leaves(codes, trees.feature[k], trees.cut[k], d + 1) for k in range(len(mine))]
+                    for k in range(len(mine)):
+                        margin[k] += trees.value[k][leaves(codes, trees.feature[k], trees.cut[k], depth)]
                     grown.append(trees.done())
                     gains += trees.gains
                     if (trees.feature < 0).all():
@@ -398,31 +417,54 @@ def _grow_apart(blocks: DataFrame, forest: Forest, barred: np.ndarray, rounds: i
     forest.rounds = [(a.astype(int), b.astype(int), c) for a, b, c in zip(*stacked, strict=True)]
 
 
-def _level(blocks: DataFrame, forest: Forest, since: int, tree: tuple, d: int, depth: int, f: int, tasks: int) -> np.ndarray:
-    """Histograms (3, outputs, nodes, features, bins) of one depth of the trees that grow."""
-    held = blocks.sparkSession.sparkContext.broadcast((forest.base, forest.rounds[since:], tree))
-    targets, models = forest.targets, forest.models
-    shape = (3, len(forest.base), 1 << d, f, BINS)
-
-    def work(row: dict) -> np.ndarray:
-        base, rounds, (feature, cut, _) = held.value
-        n = row["n"]
-        codes = np.frombuffer(row["codes"], np.uint8).reshape(f, n)
-        values, dealt = np.frombuffer(row["values"]).reshape(len(targets), n), np.frombuffer(row["folds"], np.int8).reshape(len(targets), n)
-        margin = _margins(row, codes, base, rounds, depth)
-        out = np.zeros(shape)
-        at = 0
-        for i, t in enumerate(targets):
-            for m in range(models):
-                use = np.flatnonzero((dealt[i] >= 0) & (dealt[i] != m))
-                g, h = _gradients(t, values[i][use], margin[at : at + t.outputs, use])
-                for k in range(t.outputs):
-                    out[:, at + k] = _histogram(codes[:, use], leaves(codes[:, use], feature[at + k], cut[at + k], d), (g[k], h[k], None), 1 << d)
-                at += t.outputs
-        return out.ravel()
+def _level(blocks: DataFrame, forest: Forest, since: int, tree: tuple, d: int, depth: int, least: int, barred: np.ndarray, tasks: int) -> tuple[np.ndarray, ...]:
+    """The splits of one depth of the trees that grow. Histograms are added up and searched by groups of outputs; only what is split where reaches the driver."""
+    held = blocks.sparkSession.sparkContext.broadcast((forest.base, forest.rounds[since:], tree, barred))
+    targets, models, outputs, f, nodes = forest.targets, forest.models, len(forest.base), barred.shape[1], 1 << d
+    each = 3 * nodes * f * BINS
+    group = max(1, min(-(-outputs // 16), DIRECT_BYTES // (8 * each * tasks)))  # what all tasks found of a group meets in one
+    firsts = list(range(0, outputs, group))
 
-    size = int(np.prod(shape))
-    return _added(blocks, work, size, tasks * size * 16 <= DIRECT_BYTES).reshape(shape)
+    def add(batches):
+        base, rounds, (feature, cut, _), _ = held.value
+        total, block = np.zeros((3, outputs, nodes, f, BINS)), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("block", "n", "codes", "values", "folds", "margins")}
+                block = row["block"] if block is None else min(block, row["block"])
+                n = row["n"]
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(f, n)
+                values, dealt = np.frombuffer(row["values"]).reshape(len(targets), n), np.frombuffer(row["folds"], np.int8).reshape(len(targets), n)
+                margin = _margins(row, codes, base, rounds, depth)
+                at = 0
+                for t, y, fold in zip(targets, values, dealt, strict=True):
+                    for m in range(models):
+                        own, use = slice(at, at + t.outputs), np.flatnonzero((fold >= 0) & (fold != m))
+                        mine = np.ascontiguousarray(codes[:, use])
+                        g, h = _gradients(t, y[use], margin[own].take(use, 1))
+                        node = [leaves(mine, feature[s], cut[s], d) for s in range(own.start, own.stop)] if d else None
+                        total[:, own] += _histograms(_cells(mine), node, g, h, nodes)
+                        at += t.outputs
+        if block is not None:
+            for i, s in enumerate(firsts):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([block]), pa.array([total[:, s : s + group].tobytes()], pa.binary())], names=["part", "block", "sums"])
+
+    def split(name: tuple, found: pa.Table) -> pa.Table:
+        s = firsts[name[0].as_py()]
+        allowed = held.value[3][s : s + group]
+        hist = np.zeros(3 * len(allowed) * nodes * f * BINS)
+        for i in np.argsort(found.column("block").to_numpy()):  # always in the same order
+            hist += np.frombuffer(found.column("sums")[int(i)].as_buffer())
+        best = splits(hist.reshape(3, len(allowed), nodes, f, BINS), least, allowed)
+        return pa.table({"part": [name[0].as_py()], "best": pa.array([np.concatenate([x.astype(float).reshape(-1, len(allowed), nodes) for x in best]).tobytes()], pa.binary())})
+
+    parts = blocks.mapInArrow(add, "part long, block long, sums binary").groupBy("part").applyInArrow(split, "part long, best binary").toArrow().to_pylist()
+    best = np.zeros((12, outputs, nodes))
+    best[0] = -1  # no blocks, no split
+    for r in parts:
+        s = firsts[r["part"]]
+        best[:, s : s + group] = np.frombuffer(r["best"]).reshape(12, -1, nodes)
+    return best[0].astype(int), best[1].astype(int), best[2], best[3:9].reshape(2, 3, outputs, nodes), best[9:]
 
 
 def _with_margins(blocks: DataFrame, forest: Forest, since: int, depth: int) -> DataFrame:
