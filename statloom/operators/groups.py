@@ -74,7 +74,8 @@ def levene(long: DataFrame) -> DataFrame:
     """The median-centred Levene statistic: an analysis of variance of the distances from the group medians."""
     keys = ["category", "number", "grp"]
     medians = group_moments(long, median=True).select(*keys, "median")
-    distances = long.join(medians, keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
+    # medians have a row per group; by key, all rows of a group would meet in one task
+    distances = long.join(F.broadcast(medians), keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
     return anova(group_moments(distances)).select("category", "number", "k", "n", F.col("f").alias("levene"), "df1", "df2")
 
 
@@ -84,7 +85,7 @@ def rank_sums(long: DataFrame) -> DataFrame:
     # counted once: sizes, ranks and sums start from the same exchange
     cells = long.groupBy(*keys, "grp", "value").agg(F.count("*").alias("m"))
     sized = cells.groupBy(*keys, "grp").agg(F.sum("m").alias("n")).where(F.col("n") >= LEAST_GROUP).select(*keys, "grp")
-    kept = cells.join(sized, [*keys, "grp"])
+    kept = cells.join(F.broadcast(sized), [*keys, "grp"])  # a row per group
     ranks = mid_ranks(kept, keys, "value", weight="m")
     ties = ranks.groupBy(*keys).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"))
     sums = kept.join(ranks.select(*keys, "value", "rank"), [*keys, "value"]).groupBy(*keys, "grp").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("rank_sum"))

@@ -67,7 +67,8 @@ def shapiro_wilk(long: DataFrame, keys: list[str], most: int = MOST_SHAPIRO) ->
         return group[keys].head(1).assign(n=len(group), w=w, p=p)
 
     named = ", ".join(f"`{c}` {t}" for c, t in long.select(*keys).dtypes)
-    return long.where("value is not null").join(fit, keys, "left_semi").groupBy(*keys).applyInPandas(work, f"{named}, n long, w double, p double")
+    # a row per group; by key, all rows of a large group would meet in one task before they are left out
+    return long.where("value is not null").join(F.broadcast(fit), keys, "left_semi").groupBy(*keys).applyInPandas(work, f"{named}, n long, w double, p double")
 
 
 def _tails(z: pd.Series) -> pd.DataFrame:
