@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import p_t, p_z
+from ..session import work_table
 from .describe import as_number
 from .moments import covariance, pair_moments
 from .ranks import concordance, mid_ranks
@@ -53,15 +54,18 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, n, rho for every pair of columns in one job: rows are counted per pair and cell, and ranked within their pair after pairwise deletion."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    own = df.select([as_number(df, c).alias(c) for c in columns])
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs]))
-    cells = own.select(each.alias("p")).select("p.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("a", "b", "x", "y").agg(F.count("*").alias("m"))
-    rank = lambda v, name: mid_ranks(cells, ["a", "b"], v, weight="m").select("a", "b", v, F.col("rank").alias(name))
-    j = cells.join(rank("x", "rx"), ["a", "b", "x"]).join(rank("y", "ry"), ["a", "b", "y"])
-    s = j.groupBy("a", "b").agg(F.sum("m").alias("n"), *[F.sum(F.col("m") * F.col(p) * F.col(q)).alias(p + q) for p, q in (("rx", "ry"), ("rx", "rx"), ("ry", "ry"))])
+    spark = df.sparkSession
+    # equal rows are counted before they are copied to the pairs, and the cells of the pairs once for all that follows
+    own = df.select([as_number(df, c).alias(c) for c in columns]).groupBy(*[f"`{c}`" for c in columns]).agg(F.count("*").alias("_m"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"), F.col("_m").alias("m")) for i, (a, b) in enumerate(pairs)]))
+    cells = work_table(own.select(each.alias("p")).select("p.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("pair", "x", "y").agg(F.sum("m").alias("m")), "cells")
+    rank = lambda v, name: mid_ranks(cells, ["pair"], v, weight="m").select("pair", v, F.col("rank").alias(name))
+    j = cells.join(rank("x", "rx"), ["pair", "x"]).join(rank("y", "ry"), ["pair", "y"])
+    named = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    s = j.groupBy("pair").agg(F.sum("m").alias("n"), *[F.sum(F.col("m") * F.col(p) * F.col(q)).alias(p + q) for p, q in (("rx", "ry"), ("rx", "rx"), ("ry", "ry"))])
     centre = F.col("n") * ((F.col("n") + 1) / 2) ** 2
     rho = F.try_divide(F.col("rxry") - centre, F.sqrt((F.col("rxrx") - centre) * (F.col("ryry") - centre)))
-    return s.where("n >= 4").select("a", "b", "n", rho.alias("rho"))
+    return s.where("n >= 4").join(F.broadcast(named), "pair").select("a", "b", "n", rho.alias("rho"))
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -49,6 +49,15 @@ def _points(df: DataFrame, columns: list[str], jitter: bool) -> DataFrame:
     return work_table(rows.join(size, ["a", "b"]).select("a", "b", "id", "n", scaled("x", 1).alias("x"), scaled("y", 2).alias("y")), "points")
 
 
+def _below(v: str | Column, cuts: str = "cuts") -> Column:
+    """How many of the ascending cuts lie below a value: steps of about the root of their number, then one step."""
+    v, n = F.col(v) if isinstance(v, str) else v, F.size(cuts)
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
+    coarse = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (n - 1).cast("int")), step), lambda i: F.get(cuts, i))
+    first = (F.greatest(F.lit(1), F.size(F.filter(coarse, lambda c: c < v))) - 1) * step
+    return first + F.size(F.filter(F.slice(cuts, first + 1, step), lambda c: c < v))
+
+
 def _placed(points: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points with their strip and cell, the cuts of x of each pair and those of y of each strip."""
     strips = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / cell))).cast("int")
@@ -56,7 +65,8 @@ def _placed(points: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, DataFra
     marks = lambda m: F.array(*[F.lit(i / m) for i in range(1, m)]) if m > 1 else F.array(F.lit(0.5))
     # quantiles at most / i: all pairs with the same number of strips share one aggregate
     shape = points.select("a", "b", "n").distinct().withColumn("strips", strips).select("a", "b", "strips")
-    sized = points.join(shape, ["a", "b"])
+    # a row per pair, and below one per pair or strip: by key, all points of a pair would meet in one task
+    sized = points.join(F.broadcast(shape), ["a", "b"])
     kinds = [r[0] for r in shape.select("strips").distinct().collect()] if most > 1 else []
     none = F.array().cast("array<double>")
 
@@ -67,11 +77,10 @@ def _placed(points: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, DataFra
             out = out.unionByName(more)
         return out
 
-    below = lambda v: F.size(F.filter("cuts", lambda c: c < F.col(v)))
     x_cuts = work_table(cuts(sized, ["a", "b"], "x"), "cuts")
-    striped = sized.join(x_cuts, ["a", "b"]).withColumn("strip", below("x")).drop("cuts")
+    striped = sized.join(F.broadcast(x_cuts), ["a", "b"]).withColumn("strip", _below("x")).drop("cuts")
     y_cuts = work_table(cuts(striped, ["a", "b", "strip"], "y"), "cuts")
-    placed = striped.join(y_cuts, ["a", "b", "strip"]).withColumn("cell", below("y")).drop("cuts", "strips")
+    placed = striped.join(F.broadcast(y_cuts), ["a", "b", "strip"]).withColumn("cell", _below("y")).drop("cuts", "strips")
     return work_table(placed, "placed"), x_cuts, y_cuts
 
 
@@ -102,9 +111,9 @@ def neighbour_distances(points: DataFrame, k: int = NEIGHBOURS, cell: int = CELL
     home = work_table(placed.groupBy("a", "b", "strip", "cell").applyInArrow(at_home, home_schema), "home")
     # the cells that the square of a point reaches, but for its own
     r = F.element_at("near", k)
-    reach = lambda v: F.sequence(F.size(F.filter("cuts", lambda c: c < F.col(v) - r)), F.size(F.filter("cuts", lambda c: c < F.col(v) + r)))
-    asking = home.withColumnRenamed("strip", "own_strip").withColumnRenamed("cell", "own_cell").join(x_cuts, ["a", "b"])
-    asking = asking.withColumn("strip", F.explode(reach("x"))).drop("cuts").join(y_cuts, ["a", "b", "strip"]).withColumn("cell", F.explode(reach("y"))).drop("cuts")
+    reach = lambda v: F.sequence(_below(F.col(v) - r), _below(F.col(v) + r))
+    asking = home.withColumnRenamed("strip", "own_strip").withColumnRenamed("cell", "own_cell").join(F.broadcast(x_cuts), ["a", "b"])
+    asking = asking.withColumn("strip", F.explode(reach("x"))).drop("cuts").join(F.broadcast(y_cuts), ["a", "b", "strip"]).withColumn("cell", F.explode(reach("y"))).drop("cuts")
     asking = asking.where((F.col("strip") != F.col("own_strip")) | (F.col("cell") != F.col("own_cell"))).select("a", "b", "strip", "cell", "id", "x", "y")
 
     def abroad(own: pa.Table, asked: pa.Table) -> pa.Table:
@@ -134,13 +143,13 @@ def _marginal_counts(found: DataFrame, cell: int) -> DataFrame:
     )).alias("p")).select("a", "b", "axis", "id", "n", "p.at", "p.kind")
     buckets = max(1, int((ends.groupBy("a", "b", "axis").count().agg(F.max("count")).first()[0] or 1) // (8 * cell)))
     cuts = ends.groupBy("a", "b", "axis").agg(F.array_distinct(F.percentile_approx("v", [i / (buckets + 1) for i in range(1, buckets + 1)], 10_000)).alias("cuts"))
-    placed = places.join(cuts, ["a", "b", "axis"]).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
+    placed = places.join(F.broadcast(cuts), ["a", "b", "axis"]).withColumn("bucket", _below("at")).drop("cuts")  # a row per pair and axis
     value = (F.col("kind") == 1).cast("long")
     totals = placed.groupBy("a", "b", "axis", "bucket").agg(F.sum(value).alias("m"))
     before = Window.partitionBy("a", "b", "axis").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("a", "b", "axis", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("a", "b", "axis", "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.withColumn("so_far", F.sum(value).over(inside)).where("kind <> 1").join(offsets, ["a", "b", "axis", "bucket"])
+    ranked = placed.withColumn("so_far", F.sum(value).over(inside)).where("kind <> 1").join(F.broadcast(offsets), ["a", "b", "axis", "bucket"])
     signed = F.when(F.col("kind") == 0, F.col("first") + F.col("so_far")).otherwise(-(F.col("first") + F.col("so_far")))
     return ranked.groupBy("a", "b", "n", "axis", "id").agg(F.greatest(F.sum(signed), F.lit(1)).alias("own"))
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import p_chi2, p_t, p_wilcoxon_exact, p_z
+from ..session import work_table
 from .adjust import adjust_p
-from .describe import as_number
+from .describe import as_number, moment_statistics
 from .moments import pair_moments
-from .normality import normality_of
+from .normality import MOST_SHAPIRO, shapiro_wilk
 from .ranks import mid_ranks, quantiles
 
 EXACT_PAIRS = 50
@@ -58,20 +59,28 @@ def paired_tests(df: DataFrame, columns: list[str]) -> DataFrame:
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "a string, b string, n long, reason string")
-    own = df.select([as_number(df, c).alias(c) for c in columns])
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("value")) for a, b in pairs]))
-    keys = ["a", "b"]
-    long = own.select(each.alias("p")).select("p.*").where("value is not null and not isnan(value)")
-    basis = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("difference"), F.stddev_samp("value").alias("sd"))
-    medians = quantiles(long, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("median_difference"))
-    cells = long.where("value <> 0").groupBy(*keys, F.abs("value").alias("size"), (F.col("value") > 0).alias("up")).agg(F.count("*").alias("m"))
+    # equal rows are counted before they are copied to the pairs, and equal differences once for all that follows
+    own = df.select([as_number(df, c).alias(c) for c in columns]).groupBy(*[f"`{c}`" for c in columns]).agg(F.count("*").alias("_m"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("value"), F.col("_m").alias("m")) for i, (a, b) in enumerate(pairs)]))
+    keys, m = ["pair"], F.col("m")
+    long = work_table(own.select(each.alias("p")).select("p.*").where("value is not null and not isnan(value)").groupBy("pair", "value").agg(F.sum("m").alias("m")), "differences")
+    mean = long.groupBy("pair").agg(F.sum("m").alias("n"), (F.sum(m * F.col("value")) / F.sum("m")).alias("difference"), (F.min("value") < F.max("value")).alias("_varies"))
+    away = F.col("value") - F.col("difference")
+    basis = long.join(F.broadcast(mean), "pair").groupBy("pair", "n", "difference", "_varies").agg(*[F.sum(m * away**k).alias(f"_m{k}") for k in (2, 3, 4)])  # a row per pair
+    basis = basis.withColumn("sd", F.when(F.col("_varies"), F.sqrt(F.try_divide("_m2", F.col("n") - 1))).otherwise(F.lit(0.0)))
+    medians = quantiles(long, keys, "value", [0.5], weight="m").select(*keys, F.col("q")[0].alias("median_difference"))
+    cells = long.where("value <> 0").select(*keys, F.abs("value").alias("size"), (F.col("value") > 0).alias("up"), "m")
     ranks = mid_ranks(cells, keys, "size", weight="m").select(*keys, "size", "rank", F.col("n").alias("tied"))
     up = F.when(F.col("up"), F.col("m") * F.col("rank")).otherwise(0.0)
     s = cells.join(ranks, [*keys, "size"]).groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(up).alias("plus"), F.sum(F.col("m") * F.col("rank") - up).alias("minus"), F.sum(F.col("m") * (F.col("tied") ** 2 - 1.0)).alias("ties"))
-    m, w = F.col("n").cast("double"), F.least("plus", "minus")
-    signed = wilcoxon_p(s.select(*keys, "n", w.alias("w"), F.try_divide(w - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)).alias("z"), "ties"))
-    shape = normality_of(long, keys).select(*keys, F.col("p").alias("_normal_p"))
-    t = spark.createDataFrame(pairs, "a string, b string").join(basis, keys, "left").join(medians, keys, "left").join(signed.select(*keys, "w", F.col("p").alias("w_p")), keys, "left").join(shape, keys, "left")
+    k, w = F.col("n").cast("double"), F.least("plus", "minus")
+    signed = wilcoxon_p(s.select(*keys, "n", w.alias("w"), F.try_divide(w - k * (k + 1) / 4, F.sqrt(k * (k + 1) * (2 * k + 1) / 24 - F.col("ties") / 48)).alias("z"), "ties"))
+    few = long.join(F.broadcast(mean.where(F.col("n") <= MOST_SHAPIRO).select("pair")), "pair", "left_semi").select("pair", F.explode(F.array_repeat("value", F.col("m").cast("int"))).alias("value"))
+    many = basis.where((F.col("n") > MOST_SHAPIRO) & F.col("_varies"))
+    _, z1, z2 = moment_statistics(F.col("n"), F.sqrt(F.col("n")) * F.col("_m3") / F.pow("_m2", F.lit(1.5)), F.col("n") * F.col("_m4") / F.col("_m2") ** 2 - 3)
+    shape = shapiro_wilk(few, keys).select(*keys, F.col("p").alias("_normal_p")).unionByName(many.select(*keys, p_chi2(z1**2 + z2**2, F.lit(2)).alias("_normal_p")))
+    named = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    t = named.join(basis.select(*keys, "n", "difference", "sd"), keys, "left").join(medians, keys, "left").join(signed.select(*keys, "w", F.col("p").alias("w_p")), keys, "left").join(shape, keys, "left")
     n = F.coalesce("n", F.lit(0))
     reason = F.when(n < LEAST_PAIRS, F.concat(F.lit("n="), n.cast("string"), F.lit(f" < {LEAST_PAIRS}"))).when(F.col("sd") == 0, "all differences are the same")
     t = t.withColumns({"n": n, "reason": reason, "normal": F.coalesce(F.col("_normal_p") >= ALPHA, F.lit(False))})

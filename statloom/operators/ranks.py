@@ -31,9 +31,9 @@ def mid_ranks(cells: DataFrame, keys: list[str], value: str, buckets: int = BUCK
     return ranked.select(*keys, value, "n", rank.cast("double").alias("rank"), "total")
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """keys and q, an array of exact quantiles (linear between neighbours), from ranks of counted values: no task holds a whole key."""
-    ranked = mid_ranks(rows, keys, value)
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """keys and q, an array of exact quantiles (linear between neighbours), from ranks of counted values: no task holds a whole key. With ``weight``, a row stands for that many."""
+    ranked = mid_ranks(rows, keys, value, weight=weight)
     half = (F.col("n") - 1) / 2
     found = []
     for share in shares:
