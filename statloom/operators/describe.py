@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,9 @@ from .ranks import quantiles
 
 #: Fixed thresholds of the typing rules.
 NUMERIC_DISTINCT, CATEGORY_DISTINCT, TEXT_SHARE = 7, 25, 0.9
+#: Values that one task compares on average, and the rows and bytes whose equal values are merged before they are shuffled.
+TASK_VALUES, MERGED_ROWS, MERGED_BYTES = 1 << 18, 1 << 17, 1 << 24
+_COMPARED = T.NumericType | T.StringType | T.BooleanType | T.BinaryType | T.DateType | T.TimestampType | T.TimestampNTZType | T.DayTimeIntervalType
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
@@ -25,8 +29,52 @@ def _number(c: str) -> F.Column:
     return F.expr(f"try_cast(regexp_replace(trim(cast(`{c}` as string)), ',', '.') as double)")
 
 
+def _tasks(values: int) -> int:
+    return -(-values // TASK_VALUES) or 1
+
+
+def distinct_counts(df: DataFrame, known: dict[str, int]) -> dict[str, int]:
+    """How many distinct values each column has, from the columns and how many known values each has.
+
+    Tasks merge equal values of some rows at a time, so frequent values meet in few copies; then values are dealt to as many tasks as
+    all of them need. So neither a map of all values of a scan's task nor one of a shuffle's grows with the table. Nested columns, and
+    others that Arrow can't compare, are left to Spark's own count.
+    """
+    asked = [c for c, n in known.items() if n and isinstance(df.schema[c].dataType, _COMPARED)]
+    others = [c for c, n in known.items() if n and c not in asked]
+    found = dict.fromkeys(known, 0) | (df.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in others]).first().asDict() if others else {})
+    if not asked:
+        return found
+    types = list(dict.fromkeys(df.schema[c].dataType for c in asked))
+    slots = [types.index(df.schema[c].dataType) for c in asked]
+
+    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        for i, slot in enumerate(slots):
+            own = rows.column(i).unique().drop_null()
+            row = [pa.repeat(pa.scalar(i, pa.int32()), len(own)), *[own if j == slot else pa.nulls(len(own), rows.column(slots.index(j)).type) for j in range(len(types))]]
+            yield pa.RecordBatch.from_arrays(row, names=names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows >= MERGED_ROWS or size >= MERGED_BYTES:
+                yield from merged(held)
+                held, rows, size = [], 0, 0
+        if held:
+            yield from merged(held)
+
+    names = ["variable", *[f"v{j}" for j in range(len(types))]]
+    schema = T.StructType([T.StructField(name, t) for name, t in zip(names, [T.IntegerType(), *types], strict=True)])
+    values = df.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(asked)]).mapInArrow(work, schema)
+    dealt = values.repartition(_tasks(sum(known.values())), *names).distinct()
+    # a row per column of the table reaches the driver
+    return found | {asked[r["variable"]]: r["n"] for r in dealt.groupBy("variable").agg(F.count("*").alias("n")).collect()}
+
+
 def detect_variables(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """variable, kind (numeric, categorical or skipped), reason, n, n_missing, n_unique from one aggregate over the table."""
+    """variable, kind (numeric, categorical or skipped), reason, n, n_missing, n_unique; all columns share each pass over the table."""
     df = clean_numbers(df)
     columns = columns or df.columns
     numeric = {f.name: isinstance(f.dataType, T.NumericType | T.BooleanType) for f in df.schema}
@@ -35,35 +83,40 @@ def detect_variables(df: DataFrame, columns: list[str] | None = None) -> DataFra
         value = F.col(c).cast("int") if isinstance(df.schema[c].dataType, T.BooleanType) else F.col(c)
         as_number = value.cast("double") if numeric[c] else _number(c)
         stats.append(F.struct(
-            F.lit(c).alias("variable"), F.lit(numeric[c]).alias("is_number"), F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"), F.count_distinct(value).alias("n_unique"),
-            F.count(as_number).alias("n_numbers"), F.count_if(as_number % 1 != 0).alias("n_fractions"), F.min(as_number).alias("low"), F.max(as_number).alias("high"),
+            F.lit(c).alias("variable"), F.lit(numeric[c]).alias("is_number"), F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"),
+            F.count(as_number).alias("n_numbers"), F.count_if(as_number % 1 != 0).alias("n_fractions"),
         ))
-    # one row per column of the table reaches the driver, so the table is aggregated once
+    # one row per column of the table reaches the driver, from one aggregate without groups
     profile = df.agg(F.array(*stats).alias("s")).select(F.inline("s")).collect()
+    unique = distinct_counts(df, {r["variable"]: r["n"] for r in profile})
     number = {r["variable"]: r["is_number"] or r["n"] > 0 and r["n_numbers"] >= TEXT_SHARE * r["n"] for r in profile}
     # only columns of distinct integers are looked at again: how many of them follow another
-    may_count = [r["variable"] for r in profile if number[r["variable"]] and r["n_unique"] == r["n"] == r["n_numbers"] and r["n_fractions"] == 0 and r["n"] > 1]
-    counted = [_followers(df, c, numeric[c]).select(F.lit(c).alias("variable"), "followers") for c in may_count]
-    followers = {r["variable"]: r["followers"] for r in (reduce(DataFrame.unionByName, counted).collect() if counted else [])}
+    may_count = [r["variable"] for r in profile if number[r["variable"]] and unique[r["variable"]] == r["n"] == r["n_numbers"] and r["n_fractions"] == 0 and r["n"] > 1]
+    followers = _followers(df, {c: numeric[c] for c in may_count}, sum(r["n"] for r in profile if r["variable"] in may_count)) if may_count else {}
     found = []
     for r in profile:
-        c = r["variable"]
+        c, n_unique = r["variable"], unique[r["variable"]]
         # the median gap of sorted distinct integers is 1 if more than half of the gaps are
         serial = c in followers and followers[c] >= (r["n"] - 1) // 2 + 1
         reason = (
-            "all missing" if r["n"] == 0 else "constant" if r["n_unique"] <= 1 else "id" if serial
-            else "free text or id" if not number[c] and r["n_unique"] > CATEGORY_DISTINCT else None
+            "all missing" if r["n"] == 0 else "constant" if n_unique <= 1 else "id" if serial
+            else "free text or id" if not number[c] and n_unique > CATEGORY_DISTINCT else None
         )
-        kind = "skipped" if reason else "numeric" if number[c] and r["n_unique"] >= NUMERIC_DISTINCT else "categorical"
-        found.append((c, kind, reason, r["n"], r["n_missing"], r["n_unique"]))
+        kind = "skipped" if reason else "numeric" if number[c] and n_unique >= NUMERIC_DISTINCT else "categorical"
+        found.append((c, kind, reason, r["n"], r["n_missing"], n_unique))
     return df.sparkSession.createDataFrame(found, "variable string, kind string, reason string, n long, n_missing long, n_unique long")
 
 
-def _followers(df: DataFrame, c: str, is_number: bool) -> DataFrame:
-    """How many values of a column of distinct integers are one more than another: values and their successors meet by value."""
-    own = df.select((F.col(c).cast("double") if is_number else _number(c)).alias("v")).where("v is not null")
-    met = own.select(F.explode(F.array(F.col("v"), F.col("v") + 1)).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    return met.agg(F.count_if(F.col("n") == 2).alias("followers"))
+def _followers(df: DataFrame, is_number: dict[str, bool], n: int) -> dict[str, int]:
+    """How many values of each column of distinct integers, ``n`` in all, are one more than another: values and their successors meet by value.
+
+    They are dealt to as many tasks as they need before they are counted; no value comes more than twice.
+    """
+    own = [F.col(c).cast("double") if number else _number(c) for c, number in is_number.items()]
+    both = [F.struct(F.lit(i).alias("variable"), v.alias("v")) for i, value in enumerate(own) for v in (value, value + 1)]
+    dealt = df.select(F.inline(F.array(*both))).where("v is not null").repartition(_tasks(2 * n), "variable", "v")
+    found = dealt.groupBy("variable", "v").agg(F.count("*").alias("n")).groupBy("variable").agg(F.count_if(F.col("n") == 2).alias("followers")).collect()
+    return {list(is_number)[r["variable"]]: r["followers"] for r in found}
 
 
 def as_number(df: DataFrame, c: str) -> F.Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .describe import clean_numbers
+from .describe import clean_numbers, distinct_counts
 
 #: Fixed names and limits of the typing rules.
 KINDS = ["continuous", "ordinal", "nominal", "binary", "id", "date", "excluded"]
@@ -16,7 +16,7 @@ TEXT_LEVELS, LABEL_LEVELS, ORDINAL_LEVELS, ID_SHARE, LEAST_ID_ROWS = 12, 10, (3,
 
 
 def _profile(df: DataFrame) -> DataFrame:
-    """A row per column from one aggregate over the table."""
+    """A row per column, from one aggregate over the table and its distinct values."""
     stats = []
     for field in df.schema:
         c, number = F.col(f"`{field.name}`"), isinstance(field.dataType, T.NumericType | T.BooleanType)
@@ -24,9 +24,12 @@ def _profile(df: DataFrame) -> DataFrame:
         whole = F.coalesce(F.bool_and(value.cast("double") % 1 == 0), F.lit(False)) if number else F.lit(False)
         stats.append(F.struct(
             F.lit(field.name).alias("variable"), F.lit(number).alias("is_number"), F.lit(isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)).alias("is_date"),
-            F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"), F.count_distinct(value).alias("n_unique"), whole.alias("whole"),
+            F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"), whole.alias("whole"),
         ))
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    found = df.agg(F.array(*stats).alias("s")).select(F.inline("s")).collect()
+    unique = distinct_counts(df, {r["variable"]: r["n"] for r in found})
+    schema = "variable string, is_number boolean, is_date boolean, n long, n_missing long, whole boolean, n_unique long"
+    return df.sparkSession.createDataFrame([(*r, unique[r["variable"]]) for r in found], schema)
 
 
 def ordered_labels(keys: Column) -> Column:
@@ -101,8 +104,12 @@ def code_binary(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str,
 
     Only columns with two levels are coded; a row per column reaches the driver.
     """
-    s = df.agg(F.array(*[F.struct(F.lit(c).alias("c"), F.min(F.col(c).cast("string")).alias("low"), F.max(F.col(c).cast("string")).alias("high"), F.count_distinct(c).alias("k")) for c in columns]).alias("s"))
-    found = {r["c"]: r["high"] for r in s.select(F.inline("s")).where("k = 2").collect()}
+    low, high = ([f"_{end}{i}" for i in range(len(columns))] for end in ("low", "high"))
+    ends = df.agg(*[f(c).alias(name) for f, names in ((F.min, low), (F.max, high)) for c, name in zip(columns, names, strict=True)])
+    # two levels are the least and the greatest value; that row tells, so no values are gathered
+    two = lambda c, a, b: F.coalesce(F.max(F.col(a) < F.col(b)), F.lit(False)) & (F.count_if((F.col(c) != F.col(a)) & (F.col(c) != F.col(b))) == 0)
+    s = df.crossJoin(F.broadcast(ends)).agg(F.array(*[F.struct(F.lit(c).alias("c"), F.max(F.col(c).cast("string")).alias("high"), two(c, a, b).alias("two")) for c, a, b in zip(columns, low, high, strict=True)]).alias("s"))
+    found = {r["c"]: r["high"] for r in s.select(F.inline("s")).where("two").collect()}
     names = {c: f"{c} ({level}=1)" for c, level in found.items()}
     coded = {names[c]: F.when(F.col(c).isNotNull(), (F.col(c).cast("string") == level).cast("double")) for c, level in found.items()}
     return df.withColumns(coded) if coded else df, names
