@@ -15,7 +15,7 @@ from .ranks import quantiles
 #: Fixed thresholds of the typing rules.
 NUMERIC_DISTINCT, CATEGORY_DISTINCT, TEXT_SHARE = 7, 25, 0.9
 #: Values that one task compares on average, and the rows and bytes whose equal values are merged before they are shuffled.
-TASK_VALUES, MERGED_ROWS, MERGED_BYTES = 1 << 18, 1 << 17, 1 << 24
+TASK_VALUES, MERGED_ROWS, MERGED_BYTES = 1 << 19, 1 << 17, 1 << 24
 _COMPARED = T.NumericType | T.StringType | T.BooleanType | T.BinaryType | T.DateType | T.TimestampType | T.TimestampNTZType | T.DayTimeIntervalType
 
 
@@ -33,16 +33,22 @@ def _tasks(values: int) -> int:
     return -(-values // TASK_VALUES) or 1
 
 
-def distinct_counts(df: DataFrame, known: dict[str, int]) -> dict[str, int]:
-    """How many distinct values each column has, from the columns and how many known values each has.
+def values_sent(df: DataFrame, c: str) -> F.Column:
+    """About how many values of a column are left once equal ones are merged, from a sketch of fixed size; 0 only without values."""
+    n = F.count(f"`{c}`")
+    return F.least(n, F.approx_count_distinct(f"`{c}`") * (F.floor(n / MERGED_ROWS) + 1)) if isinstance(df.schema[c].dataType, _COMPARED) else n
+
+
+def distinct_counts(df: DataFrame, sent: dict[str, int]) -> dict[str, int]:
+    """How many distinct values each column has, exactly, from the columns and their ``values_sent``.
 
     Tasks merge equal values of some rows at a time, so frequent values meet in few copies; then values are dealt to as many tasks as
-    all of them need. So neither a map of all values of a scan's task nor one of a shuffle's grows with the table. Nested columns, and
+    those left need. So neither a map of all values of a scan's task nor one of a shuffle's grows with the table. Nested columns, and
     others that Arrow can't compare, are left to Spark's own count.
     """
-    asked = [c for c, n in known.items() if n and isinstance(df.schema[c].dataType, _COMPARED)]
-    others = [c for c, n in known.items() if n and c not in asked]
-    found = dict.fromkeys(known, 0) | (df.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in others]).first().asDict() if others else {})
+    asked = [c for c, n in sent.items() if n and isinstance(df.schema[c].dataType, _COMPARED)]
+    others = [c for c, n in sent.items() if n and c not in asked]
+    found = dict.fromkeys(sent, 0) | (df.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in others]).first().asDict() if others else {})
     if not asked:
         return found
     types = list(dict.fromkeys(df.schema[c].dataType for c in asked))
@@ -68,7 +74,7 @@ def distinct_counts(df: DataFrame, known: dict[str, int]) -> dict[str, int]:
     names = ["variable", *[f"v{j}" for j in range(len(types))]]
     schema = T.StructType([T.StructField(name, t) for name, t in zip(names, [T.IntegerType(), *types], strict=True)])
     values = df.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(asked)]).mapInArrow(work, schema)
-    dealt = values.repartition(_tasks(sum(known.values())), *names).distinct()
+    dealt = values.repartition(_tasks(sum(sent[c] for c in asked)), *names).distinct()
     # a row per column of the table reaches the driver
     return found | {asked[r["variable"]]: r["n"] for r in dealt.groupBy("variable").agg(F.count("*").alias("n")).collect()}
 
@@ -78,17 +84,19 @@ def detect_variables(df: DataFrame, columns: list[str] | None = None) -> DataFra
     df = clean_numbers(df)
     columns = columns or df.columns
     numeric = {f.name: isinstance(f.dataType, T.NumericType | T.BooleanType) for f in df.schema}
+    numbers = {c: f"_number{i}" for i, c in enumerate(columns)}
+    # numbers are read from texts once, below the aggregate
+    read = df.withColumns({name: F.col(c).cast("int").cast("double") if isinstance(df.schema[c].dataType, T.BooleanType) else F.col(c).cast("double") if numeric[c] else _number(c) for c, name in numbers.items()})
     stats = []
     for c in columns:
-        value = F.col(c).cast("int") if isinstance(df.schema[c].dataType, T.BooleanType) else F.col(c)
-        as_number = value.cast("double") if numeric[c] else _number(c)
+        value, as_number = F.col(c), F.col(numbers[c])
         stats.append(F.struct(
             F.lit(c).alias("variable"), F.lit(numeric[c]).alias("is_number"), F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"),
-            F.count(as_number).alias("n_numbers"), F.count_if(as_number % 1 != 0).alias("n_fractions"),
+            F.count(as_number).alias("n_numbers"), F.count_if(as_number % 1 != 0).alias("n_fractions"), values_sent(df, c).alias("sent"),
         ))
     # one row per column of the table reaches the driver, from one aggregate without groups
-    profile = df.agg(F.array(*stats).alias("s")).select(F.inline("s")).collect()
-    unique = distinct_counts(df, {r["variable"]: r["n"] for r in profile})
+    profile = read.agg(F.array(*stats).alias("s")).select(F.inline("s")).collect()
+    unique = distinct_counts(df, {r["variable"]: r["sent"] for r in profile})
     number = {r["variable"]: r["is_number"] or r["n"] > 0 and r["n_numbers"] >= TEXT_SHARE * r["n"] for r in profile}
     # only columns of distinct integers are looked at again: how many of them follow another
     may_count = [r["variable"] for r in profile if number[r["variable"]] and unique[r["variable"]] == r["n"] == r["n_numbers"] and r["n_fractions"] == 0 and r["n"] > 1]

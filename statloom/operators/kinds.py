@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .describe import clean_numbers, distinct_counts
+from .describe import clean_numbers, distinct_counts, values_sent
 
 #: Fixed names and limits of the typing rules.
 KINDS = ["continuous", "ordinal", "nominal", "binary", "id", "date", "excluded"]
@@ -24,12 +24,12 @@ def _profile(df: DataFrame) -> DataFrame:
         whole = F.coalesce(F.bool_and(value.cast("double") % 1 == 0), F.lit(False)) if number else F.lit(False)
         stats.append(F.struct(
             F.lit(field.name).alias("variable"), F.lit(number).alias("is_number"), F.lit(isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)).alias("is_date"),
-            F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"), whole.alias("whole"),
+            F.count(value).alias("n"), F.count_if(value.isNull()).alias("n_missing"), whole.alias("whole"), values_sent(df, field.name).alias("sent"),
         ))
     found = df.agg(F.array(*stats).alias("s")).select(F.inline("s")).collect()
-    unique = distinct_counts(df, {r["variable"]: r["n"] for r in found})
+    unique = distinct_counts(df, {r["variable"]: r["sent"] for r in found})
     schema = "variable string, is_number boolean, is_date boolean, n long, n_missing long, whole boolean, n_unique long"
-    return df.sparkSession.createDataFrame([(*r, unique[r["variable"]]) for r in found], schema)
+    return df.sparkSession.createDataFrame([(*r[:-1], unique[r["variable"]]) for r in found], schema)
 
 
 def ordered_labels(keys: Column) -> Column:
