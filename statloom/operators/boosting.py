@@ -1,15 +1,18 @@
 """Gradient-boosted trees on histograms: the trees of many targets and folds grow together.
 
-A table of a few blocks is grown without jobs a depth: the blocks are broadcast, and each task grows the trees of one target and fold, by the same
-steps. Its size is checked first; beyond it, and with equal results, the following holds. Rows are coded once (numbers by quantile bins, categories by the place of their level), numbered in the order of a hash of their key
-and packed into blocks of ``BLOCK`` rows. One job a depth adds up gradients by (tree, node, feature, bin) over all blocks and searches the sums by groups of
-trees, so that the driver receives the splits alone, whatever the rows. Every ``REFRESH`` rounds the blocks are rewritten with the margins so far, so tasks evaluate few trees again.
+Rows are coded once (numbers by quantile bins, categories by the place of their level), numbered in the order of a hash of their key and packed into blocks
+of ``BLOCK`` rows. To a target, rows with equal codes of all other features are one cell: trees tell them no further apart, and their sums by fold and level
+are all that gradients and scores need. A few columns have few cells however many rows there are; then one job counts the cells of all targets, and each task
+grows the trees of one target and fold over them. The number of cells is checked first; beyond ``FEW_BLOCKS`` blocks of them, and with equal results, one job
+a depth adds up gradients by (tree, node, feature, bin) over all blocks and searches the sums by groups of trees, so that the driver receives the splits
+alone, whatever the rows. Every ``REFRESH`` rounds the blocks are rewritten with the margins so far, so tasks evaluate few trees again.
 
 Folds are exact: within each class of a target, rows in the order of the hash are dealt in turn, so a class's counts over the folds differ by
 one at most. The number of rows of a class before a block comes from the blocks' own counts.
 
 Permutations are keyed bijections of the row numbers (a Feistel network with cycle walking): a true permutation of the whole table, without a
-sort. A row sends its codes to the row that it is mapped to.
+sort. A row sends its codes to the row that it is mapped to. Where the used features have fewer combinations of bins than rows are judged, the guess of
+each combination is worked out once and looked up.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +35,10 @@ BINS, BLOCK, DEPTH, RATE, LEAST_LEAF, REFRESH = 48, 8192, 3, 0.1, 20, 10
 MOST_LEVELS = 255
 #: Numbers that the histograms of one job may have, and bytes of them that may meet in one task.
 AT_ONCE, DIRECT_BYTES = 4_000_000, 64 << 20
-#: Blocks that are broadcast at most, if neither they nor the margins, gradients and cells of one task are larger than this; larger tables grow by one job a depth.
-FEW_BLOCKS, FEW_BYTES, TASK_BYTES = 48, 16 << 20, 1 << 30
+#: Cells of a target as blocks at most, if the sums, margins, gradients and codes of one task aren't larger than this; with more, trees grow by one job a depth.
+FEW_BLOCKS, TASK_BYTES = 48, 1 << 30
+#: Counted rows and bytes of sums that a pack holds, bytes of guesses that are broadcast at most, and guesses that are worked out by one task.
+PACKED_ROWS, PACKED_BYTES, FEW_BYTES, GUESSES = 200_000, 32 << 20, 16 << 20, 1 << 14
 SEED = 42
 
 
@@ -58,6 +64,10 @@ class Coding:
     counts: dict[str, dict[str, int]]
     missing: dict[str, int]
 
+    def bins(self) -> list[int]:
+        """How many codes each feature may have."""
+        return [len(self.edges[c]) + 1 if c in self.edges else max(self.levels[c].values()) + 1 for c in self.features]
+
 
 def level_codes(levels: list[str]) -> dict[str, int]:
     """Places of the sorted levels, brought down to fewer than ``BINS`` where there are more."""
@@ -124,6 +134,11 @@ def packed(df: DataFrame, key: str, coding: Coding, targets: list[Target], folds
     key_type = df.schema["_key"].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("codes", T.BinaryType()), T.StructField("values", T.BinaryType()), T.StructField("counts", T.ArrayType(T.LongType()))])
 
+    def coded(column: pa.ChunkedArray, codes: dict[str, int], missing: float) -> np.ndarray:
+        """The code of each text, and of those without any what stands for a missing value."""
+        place = pc.index_in(column, pa.array(list(codes), column.type)).fill_null(len(codes)).to_numpy()
+        return np.array([*codes.values(), missing])[place]
+
     def pack(name: tuple, table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table.column("_row").to_numpy())))
         n = table.num_rows
@@ -133,18 +148,19 @@ def packed(df: DataFrame, key: str, coding: Coding, targets: list[Target], folds
                 x = table.column(c).to_numpy().astype(float)
                 codes[i] = np.where(np.isnan(x), coding.missing[c], np.searchsorted(coding.edges[c], x))
             else:
-                codes[i] = [coding.levels[c].get(v, coding.missing[c]) for v in table.column(c).to_pylist()]
+                codes[i] = coded(table.column(c), coding.levels[c], coding.missing[c])
         values = np.zeros((len(targets), n))
         counts = np.zeros(places[-1], np.int64)
         for i, t in enumerate(targets):
             if t.levels:
-                code = {x: float(k) for k, x in enumerate(t.levels)}
-                values[i] = [code.get(v, np.nan) for v in table.column(t.name).to_pylist()]
+                values[i] = coded(table.column(t.name), {x: k for k, x in enumerate(t.levels)}, np.nan)
                 counts[places[i] : places[i + 1]] = np.bincount(values[i][~np.isnan(values[i])].astype(int), minlength=len(t.levels))
             else:
                 values[i] = table.column(t.name).to_numpy().astype(float)
                 counts[places[i]] = (~np.isnan(values[i])).sum()
-        return pa.table({"block": [name[0].as_py()], "n": pa.array([n], pa.int32()), "keys": pa.array([table.column("_key").combine_chunks().to_pylist()], pa.list_(table.schema.field("_key").type)), "codes": [codes.tobytes()], "values": [values.tobytes()], "counts": [counts.tolist()]})
+        own_keys = pa.concat_arrays(table.column("_key").chunks)
+        keys = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), own_keys)
+        return pa.table({"block": [name[0].as_py()], "n": pa.array([n], pa.int32()), "keys": keys, "codes": [codes.tobytes()], "values": [values.tobytes()], "counts": [counts.tolist()]})
 
     rows = df.withColumn("block", F.expr(f"_row div {BLOCK}"))
     blocks = work_table(rows.groupBy("block").applyInArrow(pack, schema), "blocks")
@@ -182,7 +198,7 @@ def _added(blocks: DataFrame, work: Callable[[dict], np.ndarray], size: int) ->
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
 
-    got = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    got = blocks.select("n", "codes", "values", "folds", "margins").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     return np.bincount(got.column("i").to_numpy(), got.column("v").to_numpy(), minlength=size) if got.num_rows else np.zeros(size)
 
 
@@ -195,6 +211,7 @@ class Forest:
     base: np.ndarray
     rounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     gains: np.ndarray | None = None
+    fits: np.ndarray | None = None  # (targets, models, 4) sums of ``_fit_sums``, where growing over cells found them
 
     def outputs(self) -> list[tuple[int, int, int]]:
         """(target, model, output) of each column of margins."""
@@ -236,6 +253,17 @@ def _gradients(target: Target, y: np.ndarray, margin: np.ndarray) -> tuple[np.nd
     return p - (np.arange(len(p))[:, None] == y), p * (1 - p)
 
 
+def _cell_gradients(target: Target, rows: np.ndarray, sums: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``_gradients`` over the rows of each cell."""
+    if not target.levels:
+        return rows * margin - sums[1], rows[None]
+    if target.outputs == 1:
+        p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+        return rows * p - sums[1], rows * (p * (1 - p))
+    p = softmax(margin)
+    return rows * p - sums, rows * (p * (1 - p))
+
+
 def softmax(margin: np.ndarray) -> np.ndarray:
     e = np.exp(margin - margin.max(0))
     return e / e.sum(0)
@@ -315,18 +343,17 @@ def _start(blocks: DataFrame, targets: list[Target], folds: int) -> np.ndarray:
     return np.array(base)
 
 
-def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, rounds: int, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_LEAF, few_blocks: int = FEW_BLOCKS) -> tuple[DataFrame, Forest]:
-    """The blocks with all margins, and the trees: for each target a model without each fold, and one of all rows."""
+def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, rounds: int, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_LEAF, few_blocks: int = FEW_BLOCKS, margins: bool = True) -> tuple[DataFrame, Forest]:
+    """The blocks with all margins, and the trees: for each target a model without each fold, and one of all rows. Without ``margins`` the blocks
+    stay as they are if the trees grew over cells; fold scores don't need them then."""
     f = len(coding.features)
     base = _start(blocks, targets, folds)
     forest = Forest(targets, folds + 1, base, gains=np.zeros((len(base), f)))
     own_column = np.array([[t.name == c for c in coding.features] for t in targets])
     barred = own_column[[i for i, _, _ in forest.outputs()]]  # a target tells nothing about itself
-    size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("codes") + F.octet_length("values") + F.octet_length("folds")), F.lit(0))).first()
-    held = size[0] * BLOCK * (48 * max([t.outputs for t in targets], default=1) + 32 * f)
-    if size[0] <= few_blocks and size[1] <= FEW_BYTES and held <= TASK_BYTES:
-        _grow_apart(blocks, forest, barred, rounds, depth, rate, least)
-        return work_table(_with_margins(blocks, forest, 0, depth), "margins"), forest
+    if (cells := _cells_of(blocks, coding, forest, folds, few_blocks)) is not None:
+        _grow_apart(cells, coding, forest, folds, rounds, depth, rate, least)
+        return work_table(_with_margins(blocks, forest, 0, depth), "margins") if margins else blocks, forest
     written_rounds, blocks = 0, blocks.persist()
     tasks = blocks.rdd.getNumPartitions()
     for number in range(rounds):
@@ -347,73 +374,147 @@ def fit(blocks: DataFrame, coding: Coding, targets: list[Target], folds: int, ro
     return out, forest
 
 
-def _cells(codes: np.ndarray) -> np.ndarray:
-    """The cell of each feature and row in a histogram of one node."""
-    return np.arange(len(codes))[:, None] * BINS + codes
-
-
-def _histograms(cells: np.ndarray, node: list[np.ndarray] | None, g: np.ndarray, h: np.ndarray, nodes: int) -> np.ndarray:
-    """Sums (3, outputs, nodes, features, bins) of g, h and rows (outputs, rows). Without ``node`` there is one, and all outputs have the same rows in it."""
-    f, size = len(cells), nodes * len(cells) * BINS
-    out = np.empty((3, len(g), size))
-    cell = cells.ravel()
+def _histograms(codes: np.ndarray, node: list[np.ndarray] | None, g: np.ndarray, h: np.ndarray, nodes: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sums (3, outputs, nodes, features, bins) of g, h and rows (outputs, rows), one each if ``rows`` isn't given. Without ``node`` there is one node, and all outputs have the same rows in it."""
+    f, size = len(codes), nodes * BINS
+    out = np.empty((3, len(g), nodes, f, BINS))
+    add = lambda cell, x: np.bincount(cell, x, size).reshape(nodes, BINS)
+    whole = codes.astype(np.intp)
     if node is None:
-        out[2] = np.bincount(cell, minlength=size)
+        for j in range(f):
+            out[2, :, :, j] = add(whole[j], rows)
     for k in range(len(g)):
-        if node is not None:
-            cell = (cells + node[k].astype(np.int64) * (f * BINS)).ravel()
-            out[2, k] = np.bincount(cell, minlength=size)
-        out[0, k] = np.bincount(cell, np.tile(g[k], f), minlength=size)
-        out[1, k] = np.bincount(cell, np.tile(h[k], f), minlength=size)
-    return out.reshape(3, len(g), nodes, f, BINS)
+        first = None if node is None else node[k].astype(np.intp) * BINS
+        for j in range(f):
+            cell = whole[j] if first is None else whole[j] + first
+            out[0, k, :, j], out[1, k, :, j] = add(cell, g[k]), add(cell, h[k])
+            if node is not None:
+                out[2, k, :, j] = out[1, k, :, j] if h[k] is rows else add(cell, rows)
+    return out
 
 
-def _grow_apart(blocks: DataFrame, forest: Forest, barred: np.ndarray, rounds: int, depth: int, rate: float, least: int) -> None:
-    """Grow the trees of a small table: one task for each target and fold, over blocks that all of them have."""
-    spark, targets, outputs = blocks.sparkSession, forest.targets, forest.outputs()
-    rows = [r.asDict() for r in blocks.select("n", "codes", "values", "folds").orderBy("block").collect()]  # at most FEW_BYTES
-    held = spark.sparkContext.broadcast((rows, forest.base, barred))
-    pairs = [(i, m) for i in range(len(targets)) for m in range(forest.models)]
+def _sums_of(target: Target) -> int:
+    """How many sums a cell has for each fold: rows by level, or rows, the number and its square."""
+    return len(target.levels) or 3
 
-    def work(batches):
-        rows, base, barred = held.value
-        join = lambda c, kind, k: np.concatenate([np.frombuffer(r[c], kind).reshape(k, r["n"]) for r in rows], 1) if rows else np.zeros((k, 0), kind)
-        all_codes, values, dealt = join("codes", np.uint8, barred.shape[1]), join("values", float, len(targets)), join("folds", np.int8, len(targets))
+
+def _centres(forest: Forest) -> list[float]:
+    """What numbers are counted from: the mean of all rows."""
+    first = {i: s for s, (i, m, _) in enumerate(forest.outputs()) if m == forest.models - 1}
+    return [0.0 if t.levels else float(forest.base[first[i]]) for i, t in enumerate(forest.targets)]
+
+
+def _others(coding: Coding, targets: list[Target]) -> list[np.ndarray]:
+    """The places of the features that each target is predicted from."""
+    return [np.array([j for j, c in enumerate(coding.features) if c != t.name], int) for t in targets]
+
+
+def _cells_of(blocks: DataFrame, coding: Coding, forest: Forest, folds: int, few_blocks: int) -> DataFrame | None:
+    """The cells of all targets in packs: target, part, codes (feature by feature) and sums (fold by fold); none if a target has more than a task takes."""
+    targets, f, bins, others, centres = forest.targets, len(coding.features), coding.bins(), _others(coding, forest.targets), _centres(forest)
+    n = int(blocks.agg(F.sum("n")).first()[0] or 0)
+    possible = [int(np.prod([bins[j] for j in own], dtype=object)) for own in others]
+    limits = [min(few_blocks * BLOCK, TASK_BYTES // (48 * t.outputs + 16 * (folds + 1) * _sums_of(t) + 32 * f)) for t in targets]
+
+    def send(batches):
         for batch in batches:
-            for pair in batch.column(0).to_pylist():
-                i, m = pairs[pair]
-                mine = [s for s, (a, b, _) in enumerate(outputs) if (a, b) == (i, m)]
-                use = np.flatnonzero((dealt[i] >= 0) & (dealt[i] != m))
-                codes, y = np.ascontiguousarray(all_codes[:, use]), values[i][use]
-                cells = _cells(codes)
-                margin = np.repeat(base[mine][:, None], len(use), 1)
-                grown, gains = [], np.zeros((len(mine), barred.shape[1]))
-                for _ in range(rounds):
-                    trees = Growing(len(mine), depth, rate, barred.shape[1])
-                    g, h = _gradients(targets[i], y, margin)
-                    node = None
-                    for d in range(depth):
-                        if not trees.take(d, *splits(_histograms(cells, node, g, h, 1 << d), least, barred[mine])):
-                            break
-                        node = [leaves(codes, trees.feature[k], trees.cut[k], d + 1) for k in range(len(mine))]
-                    for k in range(len(mine)):
-                        margin[k] += trees.value[k][leaves(codes, trees.feature[k], trees.cut[k], depth)]
-                    grown.append(trees.done())
-                    gains += trees.gains
-                    if (trees.feature < 0).all():
-                        break
-                packs = [np.stack(x).astype(float).tobytes() for x in zip(*grown, strict=True)] if grown else [b""] * 3
-                yield pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([len(grown)]), *[pa.array([x], pa.binary()) for x in (*packs, gains.tobytes())]], names=["pair", "rounds", "feature", "cut", "value", "gains"])
-
-    found = spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(work, "pair long, rounds long, feature binary, cut binary, value binary, gains binary").toArrow().to_pylist()
+            for row in batch.to_pylist():
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(f, row["n"])
+                values, dealt = np.frombuffer(row["values"]).reshape(len(targets), -1), np.frombuffer(row["folds"], np.int8).reshape(len(targets), -1)
+                for i, t in enumerate(targets):
+                    use = np.flatnonzero(dealt[i] >= 0)
+                    y, own = values[i][use], np.ascontiguousarray(codes[np.ix_(others[i], use)].T)
+                    cell = pa.Array.from_buffers(pa.binary(own.shape[1]), len(use), [None, pa.py_buffer(own)]).cast(pa.binary())
+                    stratum = dealt[i][use].astype(np.int32) * max(len(t.levels), 1) + (y.astype(np.int32) if t.levels else 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), i, np.int32)), cell, pa.array(stratum), pa.array(np.zeros(len(use)) if t.levels else y - centres[i])], names=["target", "cell", "stratum", "y"])
+
+    sent = blocks.select("n", "codes", "values", "folds").mapInArrow(send, "target int, cell binary, stratum int, y double")
+    if any(few < min(n, most) for few, most in zip(limits, possible, strict=True)):
+        if min(limits) <= 0:
+            return None
+        near = {r["target"]: r["cells"] for r in sent.groupBy("target").agg(F.approx_count_distinct("cell", 0.02).alias("cells")).collect()}
+        if any(near.get(i, 0) > few for i, few in enumerate(limits)):
+            return None
+
+    def pack(name: tuple, table: pa.Table) -> pa.Table:
+        i = name[0].as_py()
+        width, k = _sums_of(targets[i]), len(others[i])
+        whole = np.frombuffer(b"".join(table.column("cell").to_pylist()), np.uint8).reshape(-1, k)
+        codes, place = np.unique(whole, axis=0, return_inverse=True)
+        place, stratum, sums = place.ravel(), table.column("stratum").to_numpy(), np.zeros((folds * width, len(codes)))
+        if targets[i].levels:
+            sums[stratum, place] = table.column("n").to_numpy()
+        else:
+            for at, c in enumerate(("n", "y", "yy")):
+                sums[stratum * width + at, place] = table.column(c).to_numpy()
+        return pa.table({"target": pa.array([i], pa.int32()), "part": pa.array([name[1].as_py()], pa.int64()), "codes": pa.array([codes.T.tobytes()], pa.binary()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    parts = [max(1, -(-min(n, most * folds * (len(t.levels) or 1)) // PACKED_ROWS), -(-min(n, most, few) * 8 * folds * _sums_of(t) // PACKED_BYTES)) for t, most, few in zip(targets, possible, limits, strict=True)]
+    counted = sent.groupBy("target", "cell", "stratum").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    counted = counted.withColumn("part", F.pmod(F.xxhash64("cell"), F.element_at(F.array(*[F.lit(p).cast("long") for p in parts]), F.col("target") + 1)))
+    return counted.groupBy("target", "part").applyInArrow(pack, "target int, part long, codes binary, sums binary")
+
+
+def _grow_apart(cells: DataFrame, coding: Coding, forest: Forest, folds: int, rounds: int, depth: int, rate: float, least: int) -> None:
+    """Grow the trees over cells: one task for each target and fold. Those with most outputs begin."""
+    targets, outputs, f, others, centres = forest.targets, forest.outputs(), len(coding.features), _others(coding, forest.targets), _centres(forest)
+    pairs = [(i, m) for i in sorted(range(len(targets)), key=lambda i: -targets[i].outputs) for m in range(forest.models)]
+    held = cells.sparkSession.sparkContext.broadcast(forest.base)
+
+    def work(batches):
+        packs = sorted((x for batch in batches for x in batch.to_pylist()), key=lambda x: x["part"])
+        if not packs:
+            return
+        pair = packs[0]["pair"]
+        i, m = pairs[pair]
+        target, features = targets[i], others[i]
+        mine = [s for s, (a, b, _) in enumerate(outputs) if (a, b) == (i, m)]
+        codes = np.concatenate([np.frombuffer(x["codes"], np.uint8).reshape(len(features), -1) for x in packs], 1)
+        sums = np.concatenate([np.frombuffer(x["sums"]).reshape(folds, _sums_of(target), -1) for x in packs], 2)
+        packs.clear()
+        judged = sums[m].copy() if m < folds else sums.sum(0)
+        sums = sums[[j for j in range(folds) if j != m]].sum(0)
+        rows = sums.sum(0) if target.levels else sums[0]
+        margin = np.repeat(held.value[mine][:, None] - centres[i], codes.shape[1], 1)
+        barred = np.zeros((len(mine), len(features)), bool)
+        grown, gains = [], np.zeros((len(mine), f))
+        for _ in range(rounds):
+            trees = Growing(len(mine), depth, rate, len(features))
+            g, h = _cell_gradients(target, rows, sums, margin)
+            node = None
+            for d in range(depth):
+                if not trees.take(d, *splits(_histograms(codes, node, g, h, 1 << d, rows), least, barred)):
+                    break
+                node = [leaves(codes, trees.feature[k], trees.cut[k], d + 1) for k in range(len(mine))]
+            for k in range(len(mine)):
+                margin[k] += trees.value[k][leaves(codes, trees.feature[k], trees.cut[k], depth)]
+            feature, cut, value = trees.done()
+            grown.append((np.where(feature >= 0, features[feature], -1), cut, value))
+            gains[:, features] += trees.gains
+            if (feature < 0).all():
+                break
+        guess = predicted(target, margin)
+        if target.levels:
+            fit = [judged.sum(), judged[guess.astype(int), np.arange(len(guess))].sum(), 0, 0]
+        else:
+            fit = [judged[0].sum(), (judged[0] * guess**2 - 2 * judged[1] * guess + judged[2]).sum(), judged[1].sum(), judged[2].sum()]
+        arrays = [np.stack(x).astype(float).tobytes() for x in zip(*grown, strict=True)] if grown else [b""] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([pair], pa.int32()), pa.array([len(grown)]), *[pa.array([x], pa.binary()) for x in (*arrays, gains.tobytes(), np.array(fit, float).tobytes())]], names=["pair", "rounds", "feature", "cut", "value", "gains", "fit"])
+
+    first = {i: p for p, (i, m) in enumerate(pairs) if m == 0}
+    of_target = F.element_at(F.array(*[F.lit(first[i]) for i in range(len(targets))]), F.col("target") + 1)
+    copies = cells.withColumn("pair", F.explode(F.sequence(of_target, of_target + (forest.models - 1)))).drop("target")
+    found = copies.repartitionById(len(pairs), "pair").mapInArrow(work, "pair int, rounds long, feature binary, cut binary, value binary, gains binary, fit binary").toArrow().to_pylist()
     most = max([r["rounds"] for r in found], default=0)
     shapes = ((1 << depth) - 1, (1 << depth) - 1, 1 << depth)
     stacked = [np.full((most, len(outputs), k), fill) for k, fill in zip(shapes, (-1.0, 0.0, 0.0), strict=True)]
+    forest.fits = np.zeros((len(targets), forest.models, 4))
     for r in found:
         mine = [s for s, (a, b, _) in enumerate(outputs) if (a, b) == pairs[r["pair"]]]
         for whole, c, k in zip(stacked, ("feature", "cut", "value"), shapes, strict=True):
             whole[: r["rounds"], mine] = np.frombuffer(r[c]).reshape(r["rounds"], len(mine), k)
         forest.gains[mine] = np.frombuffer(r["gains"]).reshape(len(mine), -1)
+        forest.fits[pairs[r["pair"]]] = np.frombuffer(r["fit"])
     forest.rounds = [(a.astype(int), b.astype(int), c) for a, b, c in zip(*stacked, strict=True)]
 
 
@@ -443,7 +544,7 @@ def _level(blocks: DataFrame, forest: Forest, since: int, tree: tuple, d: int, d
                         mine = np.ascontiguousarray(codes[:, use])
                         g, h = _gradients(t, y[use], margin[own].take(use, 1))
                         node = [leaves(mine, feature[s], cut[s], d) for s in range(own.start, own.stop)] if d else None
-                        total[:, own] += _histograms(_cells(mine), node, g, h, nodes)
+                        total[:, own] += _histograms(mine, node, g, h, nodes)
                         at += t.outputs
         if block is not None:
             for i, s in enumerate(firsts):
@@ -525,6 +626,8 @@ def _score(target: Target, s: np.ndarray) -> np.ndarray:
 def fold_scores(blocks: DataFrame, forest: Forest, folds: int) -> np.ndarray:
     """Scores (targets, folds) of rows that the model didn't see, and (targets,) of the model of all rows."""
     targets, models = forest.targets, forest.models
+    if forest.fits is not None:
+        return np.stack([_score(t, s) for t, s in zip(targets, forest.fits, strict=True)])
 
     def work(row: dict) -> np.ndarray:
         n = row["n"]
@@ -542,6 +645,50 @@ def fold_scores(blocks: DataFrame, forest: Forest, folds: int) -> np.ndarray:
     return np.stack([_score(t, s) for t, s in zip(targets, sums, strict=True)])
 
 
+def _guesses(spark, coding: Coding, targets: list[Target], base: np.ndarray, rounds: list, judged: int, depth: int) -> dict[int, tuple[list[int], np.ndarray]]:
+    """For targets whose used features have fewer combinations of bins than ``judged`` rows a feature: these features, and the guess for each combination."""
+    f, bins = len(coding.features), coding.bins()
+    own_rows = np.concatenate([[0], np.cumsum([t.outputs for t in targets])])
+    used = np.zeros((len(base), f), bool)
+    for feature, _, _ in rounds:
+        s, k = np.nonzero(feature >= 0)
+        used[s, feature[s, k]] = True
+    kind = lambda i: np.dtype(float if not targets[i].levels else np.uint8 if len(targets[i].levels) <= 256 else np.int64)
+    asked, size = {}, 0
+    for i in range(len(targets)):
+        features = np.flatnonzero(used[own_rows[i] : own_rows[i + 1]].any(0)).tolist()
+        combinations = int(np.prod([bins[j] for j in features], dtype=object))
+        own = combinations * kind(i).itemsize
+        if features and combinations <= judged * len(features) and size + own <= FEW_BYTES:
+            asked[i], size = (features, combinations), size + own
+    chunks = [(i, at, min(at + GUESSES, n)) for i, (_, n) in sorted(asked.items(), key=lambda x: -targets[x[0]].outputs) for at in range(0, n, GUESSES)]
+    if not chunks:
+        return {}
+    held = spark.sparkContext.broadcast((base, rounds))
+
+    def work(batches):
+        base, rounds = held.value
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                i, start, stop = chunks[at]
+                features, rows = asked[i][0], slice(own_rows[i], own_rows[i + 1])
+                codes = np.zeros((f, stop - start), np.uint8)
+                codes[features] = np.unravel_index(np.arange(start, stop), [bins[j] for j in features])
+                margin = np.repeat(base[rows][:, None], stop - start, 1)
+                _add_trees(margin, codes, rounds, rows, depth)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([predicted(targets[i], margin).astype(kind(i)).tobytes()], pa.binary())], names=["at", "guess"])
+
+    found = {r["at"]: np.frombuffer(r["guess"], kind(chunks[r["at"]][0])) for r in spark.range(0, len(chunks), 1, len(chunks)).mapInArrow(work, "at long, guess binary").toArrow().to_pylist()}
+    return {i: (features, np.concatenate([found[at] for at, c in enumerate(chunks) if c[0] == i])) for i, (features, _) in asked.items()}
+
+
+def _add_trees(margin: np.ndarray, codes: np.ndarray, rounds: list, rows: slice, depth: int) -> None:
+    """Add what the trees of some outputs give to their margins."""
+    for feature, cut, value in rounds:
+        for k, s in enumerate(range(rows.start, rows.stop)):
+            margin[k] += value[s][leaves(codes, feature[s], cut[s], depth)]
+
+
 def permutation_importance(blocks: DataFrame, coding: Coding, forest: Forest, whole: np.ndarray, repeats: int = 3, depth: int = DEPTH) -> np.ndarray:
     """What the score of the model of all rows loses when a feature is permuted, the mean of some repeats: (targets, features).
 
@@ -551,22 +698,26 @@ def permutation_importance(blocks: DataFrame, coding: Coding, forest: Forest, wh
     n = int(blocks.agg(F.sum("n")).first()[0] or 0)
     spark = blocks.sparkSession
     last = [s for s, (_, m, _) in enumerate(forest.outputs()) if m == forest.models - 1]
-    held = spark.sparkContext.broadcast((forest.base[last], [(a[last], b[last], c[last]) for a, b, c in forest.rounds]))
-    own_rows = np.concatenate([[0], np.cumsum([t.outputs for t in targets])])
+    base, rounds = forest.base[last], [(a[last], b[last], c[last]) for a, b, c in forest.rounds]
+    held = spark.sparkContext.broadcast((base, rounds, _guesses(spark, coding, targets, base, rounds, n * repeats, depth)))
+    own_rows, bins = np.concatenate([[0], np.cumsum([t.outputs for t in targets])]), coding.bins()
 
     def send(batches):
         for batch in batches:
             for block, size, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "codes")), strict=True):
                 codes = np.frombuffer(raw, np.uint8).reshape(f, size).T
-                rows = [x.tobytes() for x in np.ascontiguousarray(codes)]
                 for r in range(repeats):
                     to = permuted_numbers(block * BLOCK + np.arange(size), n, r)
-                    yield pa.RecordBatch.from_arrays([pa.array(to // BLOCK), pa.array(np.full(size, r, np.int32)), pa.array(to % BLOCK), pa.array(rows, pa.binary())], names=["block", "repeat", "place", "codes"])
+                    order = np.argsort(to)
+                    blocks_, first = np.unique(to[order] // BLOCK, return_index=True)
+                    ends, places = np.append(first, size).astype(np.int32), (to[order] % BLOCK).astype(np.int32)
+                    packs = [pa.Array.from_buffers(pa.binary(), len(blocks_), [None, pa.py_buffer(ends * np.int32(w)), pa.py_buffer(np.ascontiguousarray(x))]) for w, x in ((4, places), (f, codes[order]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks_), pa.array(np.full(len(blocks_), r, np.int32)), *packs], names=["block", "repeat", "places", "codes"])
 
-    sent = blocks.select("block", "n", "codes").mapInArrow(send, "block long, repeat int, place long, codes binary")
+    sent = blocks.select("block", "n", "codes").mapInArrow(send, "block long, repeat int, places binary, codes binary")
 
     def judge(mine: pa.Table, others: pa.Table) -> pa.Table:
-        base, rounds = held.value
+        base, rounds, guesses = held.value
         row = mine.to_pylist()[0]
         size = row["n"]
         codes = np.frombuffer(row["codes"], np.uint8).reshape(f, size)
@@ -575,12 +726,16 @@ def permutation_importance(blocks: DataFrame, coding: Coding, forest: Forest, wh
         for feature, _, _ in rounds:
             s, k = np.nonzero(feature >= 0)
             used[s, feature[s, k]] = True
+        strides, combination = {}, {}
+        for i, (features, _) in guesses.items():
+            strides[i] = dict(zip(features, np.cumprod([1, *[bins[j] for j in features[:0:-1]]])[::-1].tolist(), strict=True))
+            combination[i] = sum(codes[j].astype(np.int64) * step for j, step in strides[i].items())
         out = np.zeros((repeats, len(targets), f, 4))
-        repeat, place = others.column("repeat").to_numpy(), others.column("place").to_numpy()
-        received = np.frombuffer(b"".join(others.column("codes").to_pylist()), np.uint8).reshape(-1, f)
+        repeat = others.column("repeat").to_numpy()
         for r in range(repeats):
+            own = others.filter(pa.array(repeat == r))
             new = np.empty((size, f), np.uint8)
-            new[place[repeat == r]] = received[repeat == r]
+            new[np.frombuffer(b"".join(own.column("places").to_pylist()), np.int32)] = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(-1, f)
             for j in range(f):
                 moved = codes.copy()
                 moved[j] = new[:, j]
@@ -589,14 +744,17 @@ def permutation_importance(blocks: DataFrame, coding: Coding, forest: Forest, wh
                     if not used[rows_, j].any():
                         continue
                     known = dealt[i] >= 0
-                    margin = np.repeat(base[rows_][:, None], size, 1)
-                    for feature, cut, value in rounds:
-                        for k, s in enumerate(range(own_rows[i], own_rows[i + 1])):
-                            margin[k] += value[s][leaves(moved, feature[s], cut[s], depth)]
-                    out[r, i, j] = _fit_sums(t, values[i][known], predicted(t, margin[:, known]))
+                    if i in guesses:
+                        guess = guesses[i][1][combination[i] + (moved[j].astype(np.int64) - codes[j]) * strides[i][j]][known]
+                    else:
+                        margin = np.repeat(base[rows_][:, None], size, 1)
+                        _add_trees(margin, moved, rounds, rows_, depth)
+                        guess = predicted(t, margin[:, known])
+                    out[r, i, j] = _fit_sums(t, values[i][known], guess)
         return pa.table({"i": np.arange(out.size), "v": out.ravel()})
 
-    parts = sent.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(lambda a, b: judge(b, a), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    own_blocks = blocks.select("block", "n", "codes", "values", "folds")
+    parts = sent.groupBy("block").cogroup(own_blocks.groupBy("block")).applyInArrow(lambda a, b: judge(b, a), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     sums = np.bincount(parts.column("i").to_numpy(), parts.column("v").to_numpy(), minlength=repeats * len(targets) * f * 4).reshape(repeats, len(targets), f, 4) if parts.num_rows else np.zeros((repeats, len(targets), f, 4))
     lost = np.stack([whole[i] - _score(t, sums[:, i]) for i, t in enumerate(targets)])
     return np.where(sums[0, :, :, 0] > 0, lost.mean(1), 0.0)

@@ -68,7 +68,7 @@ def predictability(df: DataFrame, key: str, numbers: list[str], categories: list
             found.append(Target(c, sorted(own)))
     for batch in _batches(coding, found, folds):
         blocks = boosting.packed(df, key, coding, batch, folds)
-        blocks, forest = boosting.fit(blocks, coding, batch, folds, rounds)
+        blocks, forest = boosting.fit(blocks, coding, batch, folds, rounds, margins=False)
         scores = boosting.fold_scores(blocks, forest, folds)
         lost = boosting.permutation_importance(blocks, coding, forest, scores[:, -1], repeats)
         for t, own, importance in zip(batch, scores, lost, strict=True):
